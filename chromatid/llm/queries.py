@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromatid.llm import mixing, token_store, url_rules
+from chromatid.llm import chat_format, embed_dedup, html_extract, mixing, token_store, url_rules, warc
 from chromatid.llm.common import new_path, read
 
 #: The rules of op5's contract.
@@ -25,6 +25,25 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotate(read(spark, sf_dir, "conversations"))
+
+
+OP1_SQL = """
+WITH t AS (SELECT conv_id, turn, floor(turn / 512.0)::BIGINT AS part, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_.\\-]', '_', 'g') AS role,
+  replace(coalesce(text, ''), '<|', '< |') AS x FROM conversations),
+s AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM t WHERE role <> 'system'),
+m AS (SELECT t.*, speaker, CASE WHEN role = speaker THEN '<|im_start|>assistant' || chr(10) WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
+  ELSE '<|im_start|>user name=' || role || chr(10) END AS head FROM t JOIN s ON conv_id IS NOT DISTINCT FROM c),
+o AS (SELECT *, length(head) + coalesce(sum(length(head) + length(x) + 11) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, x
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM m)
+SELECT conv_id, part, speaker, count(*) AS n_turns, count(*) FILTER (WHERE role = speaker) AS n_own,
+  string_agg(head || x || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, x) AS rendered,
+  coalesce(string_agg(st || '-' || (st + length(x) + 10), ',' ORDER BY st) FILTER (WHERE role = speaker), '') AS mask
+FROM o GROUP BY conv_id, part, speaker
+"""
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes documents into a token store in the shared folder and reads every document's digest back."""
     path = new_path(spark, "tokens")
@@ -52,13 +71,42 @@ FROM a LEFT JOIN m ON a.host = m.host AND a.path = m.path AND m.n = 1
 """
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_of_pages(read(spark, sf_dir, "pages")))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_near(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_perspectives": op1_chat_perspectives,
     "op4_token_store": op4_token_store,
     "op5_url_filter": op5_url_filter,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_mix": op8_mix,
+    "op9_html_text": op9_html_text,
+    "op10_embedding_links": op10_embedding_links,
 }
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL}
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+  AND len(list_filter(x, lambda y: y <> 0)) > 0),
+link AS (SELECT a.vec_id AS s, b.vec_id AS d FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach(id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT link.s, reach.r FROM reach JOIN link ON link.d = reach.id),
+n AS (SELECT s, count(*) AS n FROM link GROUP BY s),
+c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.s = v.vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": OP1_SQL, "op5_url_filter": OP5_SQL, "op10_embedding_links": OP10_SQL}

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -56,10 +57,21 @@ class Encoder:
         if len(memo) + len(new) > _MEMO_WORDS:
             memo.clear()
             new = list({w for p in pieces for w in p})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[w] = tuple(e.ids)
+        # Pieces that normalization leaves as long as they are go to the tokenizer many at a time, told apart by their offsets.
+        plain = [w for w in new if "<|" not in w and unicodedata.is_normalized("NFC", w)]
+        told = set(plain)
+        for w in new:
+            if w not in told:
+                memo[w] = tuple(self.tokenizer.encode(w, add_special_tokens=False).ids)
+        for k in range(0, len(plain), 2048):
+            part = plain[k : k + 2048]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(w) + 1 for w in part])
+            of = np.searchsorted(ends, [x[0] for x in e.offsets], side="right")
+            cuts = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
+            ids = e.ids
+            for j, w in enumerate(part):
+                memo[w] = tuple(ids[cuts[j] : cuts[j + 1]])
         return [[i for w in p for i in memo[w]] for p in pieces]
 
 
