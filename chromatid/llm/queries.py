@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromatid.llm import chat_format, embed_dedup, html_extract, mixing, token_store, url_rules, warc
+from chromatid.llm import chat_format, embed_dedup, html_extract, mixing, ngram_join, token_store, url_rules, warc
 from chromatid.llm.common import new_path, read
 
 #: The rules of op5's contract.
@@ -71,6 +71,10 @@ FROM a LEFT JOIN m ON a.host = m.host AND a.path = m.path AND m.n = 1
 """
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses_of_pages(read(spark, sf_dir, "pages")))
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op4_token_store": op4_token_store,
     "op5_url_filter": op5_url_filter,
+    "op6_ngram_join": op6_ngram_join,
     "op7_warc_derivatives": op7_warc_derivatives,
     "op8_mix": op8_mix,
     "op9_html_text": op9_html_text,
