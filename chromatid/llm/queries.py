@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromatid.llm import chat_format, embed_dedup, html_extract, mixing, ngram_join, token_store, url_rules, warc
+from chromatid.llm import chat_format, decontam, embed_dedup, html_extract, mixing, ngram_join, token_store, url_rules, warc
 from chromatid.llm.common import new_path, read
 
 #: The rules of op5's contract.
@@ -44,6 +44,10 @@ FROM o GROUP BY conv_id, part, speaker
 """
 
 
+def op3_benchmark_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.regions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes documents into a token store in the shared folder and reads every document's digest back."""
     path = new_path(spark, "tokens")
@@ -93,6 +97,7 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
+    "op3_benchmark_regions": op3_benchmark_regions,
     "op4_token_store": op4_token_store,
     "op5_url_filter": op5_url_filter,
     "op6_ngram_join": op6_ngram_join,
