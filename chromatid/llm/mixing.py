@@ -20,10 +20,10 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromatid.llm.common import checkpointed, only, stored
+from chromatid.llm.common import free_name, only, stored
 
 #: A word: a run of anything but ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -107,21 +107,20 @@ def _chunk(last: bool):
     return run
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "source", F.xxhash64("text"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, chunk_rows: int = 4096, seed: int = 1) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) for every row of docs (doc_id, text, source).
+    """(doc_id, size, source_size, target, copies, taken, key) for every row of docs (doc_id, text, source).
 
-    Sources are ranked by code point, null last, and take the weights in turn.
+    Sources are ranked by code point, null last, and take the weights in turn. key is row_key()'s hash.
     """
-    rows = only(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_key")
-    )
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
+    rows = only(docs, "doc_id", "source", "text").select("doc_id", "source", size, row_key().alias("key"))
     # Repeated rows become rows of their own by their number among equals; only equal rows share a task there.
-    same = Window.partitionBy("doc_id", "source", "text_key").orderBy(F.lit(1))
-    rows = (
-        rows.withColumn("nth", F.row_number().over(same))
-        .select("doc_id", "source", "size", F.xxhash64("doc_id", "source", "text_key").alias("key"), "nth")
-        .withColumn("seq", F.xxhash64(F.lit(seed), "key", "nth"))
-    )
+    same = Window.partitionBy("key").orderBy(F.lit(1))
+    rows = rows.withColumn("nth", F.row_number().over(same)).withColumn("seq", F.xxhash64(F.lit(seed), "key", "nth")).drop("nth")
     rows = stored(rows, "mix-rows")
     targets = source_targets(rows, weights, max_epochs)
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("source_rows"))
@@ -154,4 +153,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epoch
     extra = extra.select(F.col("key").alias("e_key"), F.col("seq").alias("e_seq"), F.lit(1).alias("extra"))
     out = planned.join(extra, (F.col("key") == F.col("e_key")) & (F.col("seq") == F.col("e_seq")), "left")
     copies = F.col("whole") + F.coalesce("extra", F.lit(0))
-    return out.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "key")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with all its columns."""
+    key = free_name(docs, "_key")
+    copies = mix(docs, **options).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.withColumn(key, row_key())
+    n = free_name(docs, "_n")
+    out = rows.join(copies.withColumnRenamed("_copies", n), key).dropDuplicates([key])
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n))).drop(key, n)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromatid.llm.common import WORD_PATTERN, connected_components, forest, only, runs, stored
+from chromatid.llm.common import WORD_PATTERN, connected_components, forest, free_name, only, runs, stored
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: At this similarity, at most this share of pairs may become candidates.
@@ -191,9 +191,10 @@ def _verify(threshold: float):
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile_rows: int = 256) -> DataFrame:
-    """(doc_id, text_hash, fp, class_id, n_links, n_grams) for every row of docs (doc_id, text).
+    """(doc_id, text_hash, class_key, class_id, n_links) for every row of docs (doc_id, text).
 
-    text_hash is Spark's xxhash64 of the text and fp the fingerprint of the n-gram set; both help callers that pick a row of each class.
+    text_hash is Spark's xxhash64 of the text; class_key is one for each class, and null for texts without words. Both help callers that
+    pick a row of each class.
     """
     bands, rows = band_plan(threshold, recall)
     sketch = F.pandas_udf("fp long, n_grams long, bands array<long>")(_sketch(bands, rows))
@@ -233,16 +234,27 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     of_rep = reps.select("fp", "copies", "min_id").join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = of_rep.groupBy("component").agg(F.min("min_id").alias("class_id"))
     of_rep = of_rep.join(ids, "component").join(links, "fp", "left").select(
-        "fp", "class_id", (F.coalesce("rep_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("known")
-    )
+        "fp", F.col("component").alias("class_key"), "class_id", (F.coalesce("rep_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("known")
+    )
     out = sketched.select("doc_id", "text_hash", "fp", "n_grams").join(of_rep, "fp", "left")
     alone = F.col("known").isNull() | (F.col("n_grams") == 0)
     return out.select(
-        "doc_id", "text_hash", "fp", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), "n_grams",
+        "doc_id", "text_hash", F.when(~alone, F.col("class_key")).alias("class_key"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
 
 
 def join(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, class_id, n_links) for every row of docs."""
     return classes(docs, **options).select("doc_id", "class_id", "n_links")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One document of each class, the one with the smallest doc_id (then text hash), with all its columns; texts without words all stay."""
+    found = classes(docs, **options)
+    row = F.xxhash64("doc_id", "text_hash").alias("row")
+    first = found.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash", row)).alias("first"))
+    kept = first.select("first.row").union(found.where("class_key is null").select(row))
+    name = free_name(docs, "_row")
+    rows = docs.withColumn(name, F.xxhash64("doc_id", F.xxhash64("text")))
+    return rows.join(kept.withColumnRenamed("row", name), name, "left_semi").dropDuplicates([name]).drop(name)

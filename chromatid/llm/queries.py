@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromatid.llm import chat_format, decontam, embed_dedup, html_extract, mixing, ngram_join, token_store, url_rules, warc
+from chromatid.llm import chat_format, cotrain, decontam, embed_dedup, html_extract, mixing, ngram_join, token_store, url_rules, warc
 from chromatid.llm.common import new_path, read
 
 #: The rules of op5's contract.
@@ -44,6 +44,10 @@ FROM o GROUP BY conv_id, part, speaker
 """
 
 
+def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_benchmark_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.regions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -84,7 +88,7 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("key")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +101,7 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
+    "op2_quality_scores": op2_quality_scores,
     "op3_benchmark_regions": op3_benchmark_regions,
     "op4_token_store": op4_token_store,
     "op5_url_filter": op5_url_filter,
