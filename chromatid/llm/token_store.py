@@ -16,14 +16,18 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import itertools
 import math
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,46 +37,95 @@ from chromatid.llm.common import only
 CHUNK_BYTES = 1 << 20
 #: The dictionary is trained on so many documents, each of so many characters at most, cut into pieces of so many ids.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PIECE, DICT_BYTES = 400, 20_000, 512, 32_768
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 800_000
 _SHARD_CHARS = 16 << 20
+_PORTION = 4 << 20
 _loaded: dict = {}
 
 
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: A Latin-1 word in any case with ASCII punctuation behind it: its ids are its letters' in lower case, then its punctuation's.
+_SIMPLE = re.compile(rf"([{_LETTERS}]*)([,.!?;:%$#*&|()\"\-]*)")
+#: Texts of other characters, or with other than a letter or digit before a comma or full stop, are split at spaces only.
+_UNUSUAL = rf"[^ -~\n{_LETTERS}]|[^0-9{_LETTERS}][,.][ \n]|<\|"
+
+
 class Encoder:
-    """The tokenizer, with a bounded memo of ids by space-separated piece.
+    """The tokenizer, with a bounded memo of ids by piece.
 
-    Its pre-tokenizer never joins characters across a space or line feed, so a text's ids are its pieces' ids one after another.
+    Its pre-tokenizer never joins characters across a space or line feed, or letters and the punctuation behind them, and lower-cases
+    them all; so a text's ids are its pieces' ids one after another.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
+        for w, i in words.items():
+            self.ends[i] = w.endswith("</w>")
         self.memo: dict[str, tuple[int, ...]] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+    def _one(self, piece: str) -> tuple[int, ...]:
+        return tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    def _learn(self, new: list[str]) -> None:
+        memo = self.memo
+        pairs = {}
+        for w in new:
+            if not (w.isalpha() and w.islower() and w.isascii()):
+                m = _SIMPLE.fullmatch(w)
+                pairs[w] = (m[1].lower(), m[2]) if m else None
+        letters = list({w for w in new if w not in pairs} | {p[0] for p in pairs.values() if p and p[0] not in memo})
+        for k in range(0, len(letters), 2048):
+            part = letters[k : k + 2048]
+            ids = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                at = 0
+                for w, x in zip(part, cuts.tolist(), strict=True):
+                    memo[w] = tuple(ids[at:x])
+                    at = x
+            else:
+                for w in part:
+                    memo[w] = self._one(w)
+        for w, p in pairs.items():
+            if p is None or not p[0]:
+                memo[w] = self._one(w)
+            elif p[1] and p[1] not in memo:
+                memo[p[1]] = self._one(p[1])
+        for w, p in pairs.items():
+            if p and p[0]:
+                memo[w] = memo[p[0]] + (memo[p[1]] if p[1] else ())
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        whole = pa.array(texts, pa.large_string())
+        plain = pc.utf8_lower(whole)
+        for mark in (", ", ",\n", ". ", ".\n"):
+            plain = pc.replace_substring(plain, mark, f" {mark[0]} ")
+        whole = pc.if_else(pc.match_substring_regex(whole, _UNUSUAL), whole, plain)
+        pieces = pc.split_pattern(pc.replace_substring(whole, "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         memo = self.memo
-        new = list({w for p in pieces for w in p if w not in memo})
+        new = [w for w in words if w not in memo]
         if len(memo) + len(new) > _MEMO_WORDS:
             memo.clear()
-            new = list({w for p in pieces for w in p})
-        # Pieces that normalization leaves as long as they are go to the tokenizer many at a time, told apart by their offsets.
-        plain = [w for w in new if "<|" not in w and unicodedata.is_normalized("NFC", w)]
-        told = set(plain)
-        for w in new:
-            if w not in told:
-                memo[w] = tuple(self.tokenizer.encode(w, add_special_tokens=False).ids)
-        for k in range(0, len(plain), 2048):
-            part = plain[k : k + 2048]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in part])
-            of = np.searchsorted(ends, [x[0] for x in e.offsets], side="right")
-            cuts = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
-            ids = e.ids
-            for j, w in enumerate(part):
-                memo[w] = tuple(ids[cuts[j] : cuts[j + 1]])
-        return [[i for w in p for i in memo[w]] for p in pieces]
+            new = words
+        self._learn(new)
+        ids = [memo[w] for w in words]
+        n = np.array([len(x) for x in ids], dtype="int64")
+        flat = np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4", count=int(n.sum()))
+        begin = np.cumsum(n) - n
+        of = coded.indices.to_numpy(zero_copy_only=False)
+        each = n[of]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        out = flat[np.repeat(begin[of] - (ends - each), each) + np.arange(total)]
+        edges = np.concatenate([[0], ends])[np.asarray(pieces.offsets)]
+        return [out[x:y] for x, y in itertools.pairwise(edges.tolist())]
 
 
 def encoder(path: str) -> Encoder:
@@ -84,8 +137,20 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def _pack(ids: list[int], end_id: int) -> bytes:
-    return np.array([*ids, end_id], dtype="<u4").tobytes()
+def _pack(ids: np.ndarray, end_id: int) -> bytes:
+    return ids.tobytes() + end_id.to_bytes(4, "little")
+
+
+def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about _PORTION characters; a longer text is one of its own."""
+    begin = held = 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held >= _PORTION:
+            yield begin, k + 1
+            begin, held = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes:
@@ -124,6 +189,7 @@ _CHUNK = "shard int, chunk int, dict_hash string, doc_ids array<bigint>, starts
 
 def _write_chunks(tokenizer_path: str, end_id: int, dictionary: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.disable()  # the memo is millions of small objects without cycles
         enc, zip_, name = encoder(tokenizer_path), _compressor(dictionary), dict_hash(dictionary)
         chunk, frames, ids_of, counts, shard = 0, [], [], [], 0
 
@@ -139,8 +205,8 @@ def _write_chunks(tokenizer_path: str, end_id: int, dictionary: bytes):
                 shard = int(pdf["shard"].iloc[0])
             texts = pdf["text"].tolist()
             doc_ids = [None if no else x for no, x in zip(pdf["no_id"].tolist(), pdf["doc_id"].tolist(), strict=True)]
-            for k in range(0, len(texts), 64):
-                for doc_id, ids in zip(doc_ids[k : k + 64], enc.encode(texts[k : k + 64]), strict=True):
+            for x, y in _portions(texts):
+                for doc_id, ids in zip(doc_ids[x:y], enc.encode(texts[x:y]), strict=True):
                     frames.append(zip_.compress(_pack(ids, end_id)))
                     ids_of.append(doc_id)
                     counts.append(len(ids) + 1)
@@ -150,6 +216,7 @@ def _write_chunks(tokenizer_path: str, end_id: int, dictionary: bytes):
                         chunk, frames, ids_of, counts, held = chunk + 1, [], [], [], 0
         if frames:
             yield flush()
+        gc.enable()
 
     return run
 
