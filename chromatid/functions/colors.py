@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def _doubled(c: Column) -> Column:
     return F.concat(F.lit("#"), *[F.repeat(F.substring(c, i, 1), F.lit(2)) for i in (2, 3, 4)])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _rgb(c: Column) -> tuple[Column, Column]:
     pattern = r"rgba?\s*\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)"
     return c.rlike(pattern), F.concat(F.lit("#"), *[_hex2(F.regexp_extract(c, pattern, i)) for i in (1, 2, 3)])
@@ -67,7 +74,8 @@ def normal_color(color: Column, mode: str = "suggestion") -> Column:
         out = out.when(c.rlike("^#[0-9a-f]{6}$"), c).when(c.rlike("^#[0-9a-f]{8}$"), F.substring(c, 1, 7)).when(is_rgb, rgb)
     if mode == "suggestion":
         hsl = r"hsla?\s*\(\s*(\d+)\s*,\s*(\d+)%\s*,\s*(\d+)%(?:\s*,\s*[\d.]+)?\s*\)"
-        out = out.when(c.rlike(hsl), hsl_hex(*[F.regexp_extract(c, hsl, i).cast("double") for i in (1, 2, 3)]))
+        parts = F.struct(*[F.regexp_extract(c, hsl, i).cast("double").alias(k) for k, i in (("h", 1), ("s", 2), ("l", 3))])
+        out = out.when(c.rlike(hsl), let(parts, lambda x: hsl_hex(x["h"], x["s"], x["l"])))
     if mode in ("suggestion", "css", "tokenize"):
         out = out.when(names[c].isNotNull(), names[c])
     return out if mode == "suggestion" else out.otherwise(c)
@@ -128,12 +136,10 @@ def lightness(color: Column) -> Column:
     return (c["r"] + c["g"] + c["b"]) / 3 / 255
 
 
-def color_confidence(original: Column, token: Column) -> Column:
-    """Score of replacing a color by a token's: by fix_distance d, 100; 98 - d to 5; 90 - 2 d, 70 at least, to 15; 70 - d, 40 at least, to 30; else 20."""
-    a, b = normal_color(original, "fix"), F.lower(token)
-    d = fix_distance(a, b)
+def distance_confidence(d: Column) -> Column:
+    """Score of replacing a color that lies d (per cent) off: 100 at 0; 98 - d to 5; 90 - 2 d, 70 at least, to 15; 70 - d, 40 at least, to 30; else 20."""
     return (
-        F.when((a == b) | (d == 0), F.lit(100.0))
+        F.when(d == 0, F.lit(100.0))
         .when(d <= 5, 98 - d)
         .when(d <= 15, F.greatest(F.lit(70.0), 90 - 2 * d))
         .when(d <= 30, F.greatest(F.lit(40.0), 70 - d))
@@ -141,5 +147,12 @@ def color_confidence(original: Column, token: Column) -> Column:
     )
 
 
+def color_confidence(original: Column, token: Column) -> Column:
+    """Score of replacing a color by a token's; equal texts that are no colors score 100 as well."""
+    pair = F.struct(normal_color(original, "fix").alias("a"), F.lower(token).alias("b"))
+    off = let(pair, lambda x: F.when(x["a"] == x["b"], F.lit(0.0)).otherwise(fix_distance(x["a"], x["b"])))
+    return let(off, distance_confidence)
+
+
 def confidence_level(score: Column) -> Column:
     return F.when(score >= 100, "exact").when(score >= 95, "high").when(score >= 70, "medium").otherwise("low")

@@ -175,11 +175,16 @@ def _cells(c: Column, size: float, reach: int) -> Column:
     return F.transform(F.array(*[F.lit(x) for x in steps]), lambda x: r * 400 + g * 20 + b + x)
 
 
+def _channels(values: DataFrame, mode: str) -> DataFrame:
+    """(value, v) of the distinct values that are colors; v is their channels."""
+    v = values.select("value").distinct().withColumn("_hex", colors.normal_color(F.col("value"), mode))
+    return v.select("value", colors.channels(F.col("_hex")).alias("v")).where("v is not null")
+
+
 def color_suggestions(values: DataFrame, tokens: DataFrame, least: float = COLOR_MATCH, top: int = SUGGESTIONS) -> DataFrame:
     """(value, token, confidence, rank): the most similar color tokens (token, hex) of each value, by name among equals."""
     size = (1 - least) * colors.MAX_DISTANCE + 1e-6
-    hex_ = colors.normal_color(F.col("value"), "suggestion")
-    v = values.select("value").distinct().withColumn("v", colors.channels(hex_)).where("v is not null").withColumn("_k", F.explode(_cells(F.col("v"), size, 0)))
+    v = _channels(values, "suggestion").withColumn("_k", F.explode(_cells(F.col("v"), size, 0)))
     t = tokens.select("token", colors.channels(F.lower("hex")).alias("t")).where("t is not null").withColumn("_k", F.explode(_cells(F.col("t"), size, 1)))
     found = v.join(t, "_k").withColumn("confidence", 1 - colors.distance(F.col("v"), F.col("t")) / colors.MAX_DISTANCE).where(F.col("confidence") >= least)
     return _ranked(found, top)
@@ -208,10 +213,10 @@ def spacing_suggestions(values: DataFrame, tokens: DataFrame, least: float = SPA
 def best_fix_colors(values: DataFrame, tokens: DataFrame, least: float = FIX_MATCH) -> DataFrame:
     """(value, token, score, level): the color token (token, hex, seq) of the highest confidence of at least 40, first by seq among equals."""
     size = 0.3 * colors.FIX_DISTANCE + 1e-6
-    hex_ = colors.normal_color(F.col("value"), "fix")
-    v = values.select("value").distinct().withColumn("v", colors.channels(hex_)).where("v is not null").withColumn("_k", F.explode(_cells(F.col("v"), size, 0)))
+    v = _channels(values, "fix").withColumn("_k", F.explode(_cells(F.col("v"), size, 0)))
     t = tokens.withColumn("t", colors.channels(F.lower("hex"))).where("t is not null").withColumn("_k", F.explode(_cells(F.col("t"), size, 1)))
-    found = v.join(t.select("token", "hex", "seq", "_k"), "_k").withColumn("score", colors.color_confidence(F.col("value"), F.col("hex"))).where(F.col("score") >= least)
+    off = colors.distance(F.col("v"), F.col("t")) / colors.FIX_DISTANCE * 100
+    found = v.join(t.select("token", "t", "seq", "_k"), "_k").withColumn("off", off).withColumn("score", colors.distance_confidence(F.col("off"))).where(F.col("score") >= least)
     best = found.groupBy("value").agg(F.max_by(F.struct("token", "score"), F.struct("score", -F.col("seq"))).alias("b"))
     return best.select("value", "b.token", "b.score", colors.confidence_level(F.col("b.score")).alias("level"))
 
