@@ -57,14 +57,18 @@ def _contents(texts: pd.Series) -> pd.Series:
 
 
 def metadata() -> Column:
-    """One-hot buckets of lang and source, and the length: expressions on lang, source and n_chars."""
+    """The length in two forms, whether it is missing, and the buckets of lang and source: expressions on lang, source and n_chars."""
 
     def bucket(column: str, count: int) -> Column:
-        at = F.pmod(F.xxhash64(F.coalesce(column, F.lit("\0"))), F.lit(count))
-        return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: (i == at).cast("double"))
+        return F.pmod(F.xxhash64(F.coalesce(column, F.lit("\0"))), F.lit(count)).cast("double")
 
     size = F.log1p(F.greatest(F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)), F.lit(0.0)))
-    return F.concat(F.array(size / 10.0, size * size / 100.0, F.col("n_chars").isNull().cast("double")), bucket("lang", _LANGS), bucket("source", _SOURCES))
+    return F.array(size / 10.0, size * size / 100.0, F.col("n_chars").isNull().cast("double"), bucket("lang", _LANGS), bucket("source", _SOURCES))
+
+
+def one_hot(meta: np.ndarray) -> np.ndarray:
+    """The regression's columns of metadata rows: a column for each bucket."""
+    return np.column_stack([meta[:, :3], meta[:, 3:4] == np.arange(_LANGS), meta[:, 4:5] == np.arange(_SOURCES)]).astype(float)
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
@@ -110,14 +114,22 @@ class Model:
         return tuple(1 / (1 + F.exp(-x)) for x in (*cal, both))
 
 
-def dot(column: str, beta: np.ndarray, shift: float) -> Column:
-    terms = F.zip_with(column, F.array(*[F.lit(float(b)) for b in beta]), lambda a, b: a * b)
-    total = F.aggregate(terms, F.lit(float(shift)), lambda a, t: a + t)
+def dot(view: str, beta: np.ndarray, shift: float) -> Column:
+    """The log-odds of a view's regression, within 30 of 0."""
+    c = F.col(view)
+    if view == "meta":
+        lang, source = (F.array(*[F.lit(float(x)) for x in part]) for part in np.split(beta[3:], [_LANGS]))
+        total = sum((float(beta[i]) * c[i] for i in range(3)), F.lit(float(shift)))
+        total = total + F.get(lang, c[3].cast("int")) + F.get(source, c[4].cast("int"))
+    else:
+        terms = F.zip_with(c, F.array(*[F.lit(float(x)) for x in beta]), lambda a, b: a * b)
+        total = F.aggregate(terms, F.lit(float(shift)), lambda a, t: a + t)
     return F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))
 
 
-def _matrix(values: pd.Series) -> np.ndarray:
-    return np.array(values.tolist(), dtype=float)
+def _matrix(view: str, values: pd.Series) -> np.ndarray:
+    x = np.stack(values.to_numpy()).astype(float) if len(values) else np.zeros((0, N_CONTENT if view == "content" else 5))
+    return one_hot(x) if view == "meta" else x
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -133,12 +145,15 @@ def train(
     table = features(only(docs, "doc_id", "text", "lang", "source", "n_chars")).select("doc_id", "content", "meta")
     table = stored(table.join(good, "doc_id", "left"), "cotrain-features")
     order = F.xxhash64("doc_id", F.lit(17))
-    sample = table.where("good is not null").withColumn("h", order).orderBy("h", "doc_id", "content").limit(max_labelled).toPandas()
+    labelled = table.where("good is not null").withColumn("h", F.shiftrightunsigned(order, 1) / float(1 << 63))
+    share = min(1.0, max_labelled / max(1, labelled.count()))
+    # A share of the hashes' range, not the smallest ones: no task sends more than its part. Repeated rows count once.
+    sample = labelled.where(F.col("h") < share).dropDuplicates(["doc_id"]).toPandas().sort_values(["h", "doc_id"], kind="stable").head(max_labelled)
     y = sample["good"].to_numpy(dtype=float)
     held = (np.arange(len(sample)) % 5) == 0
     if min(y[held].sum(), (1 - y[held]).sum(), y[~held].sum(), (1 - y[~held]).sum()) < 1:
         return Model(float(y.mean()) if len(y) else 1.0), table
-    views = {v: _matrix(sample[v]) for v in ("content", "meta")}
+    views = {v: _matrix(v, sample[v]) for v in ("content", "meta")}
     have = {v: [(x[~held], y[~held], np.ones((~held).sum()))] for v, x in views.items()}
     model = Model(float(y.mean()))
     open_ = table.where("good is null")
@@ -151,11 +166,11 @@ def train(
 
     refit()
     limit = float(np.log(sure / (1 - sure)))
-    share = float(y[~held].mean())
+    good_share = float(y[~held].mean())
     for _ in range(rounds):
         scored = open_.withColumns({f"z_{v}": model.log_odds(v) for v in views}).withColumn("h", order)
         for v, other in (("content", "meta"), ("meta", "content")):
-            for sign, part in ((1, share), (-1, 1 - share)):
+            for sign, part in ((1, good_share), (-1, 1 - good_share)):
                 count = max(1, round(2 * exchange * part))
                 z = F.col(f"z_{v}") * sign
                 # Enough rows that those given before can be told apart.
@@ -163,7 +178,7 @@ def train(
                 picked = picked[~picked["doc_id"].isin(given[other])].head(count)
                 if len(picked):
                     given[other].update(picked["doc_id"].tolist())
-                    have[other].append((_matrix(picked[other]), np.full(len(picked), float(sign > 0)), np.full(len(picked), _PSEUDO_WEIGHT)))
+                    have[other].append((_matrix(other, picked[other]), np.full(len(picked), float(sign > 0)), np.full(len(picked), _PSEUDO_WEIGHT)))
         refit()
     z = [np.clip(views[v][held] @ getattr(model, v)[0] + getattr(model, v)[1], -30, 30) for v in views]
     one = np.ones(held.sum())
