@@ -2,7 +2,8 @@
 
 Every text node of a page belongs to the path of open tags from the root down to it. Nodes are gathered by path: characters, nodes,
 punctuation marks, and characters inside links. A path's two ratios (characters a node, punctuation marks a node) are smoothed over the
-paths that come next to it in page order, fused into one score, and paths over a threshold relative to the page's mean hold content.
+paths that come next to it in page order, fused into one score, and paths over a threshold relative to the page's mean hold content,
+but those that are mostly links.
 Paths through menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments never do, by tag, role
 or class name; a page with an ``article`` or ``main`` element has its content below it, so there the ratios judge only what isn't marked.
 
@@ -176,7 +177,7 @@ def main_text(page: str | None) -> str:
         nodes[i] += 1
         marks[i] += len(_PUNCTUATION.findall(t))
         linked[i] += min(b.link, len(t))
-    content = path_scores(paths, chars, nodes, marks, linked) >= THRESHOLD
+    content = (path_scores(paths, chars, nodes, marks, linked) >= THRESHOLD) & (2 * linked <= chars)
     # Content below an article or main makes that element the content: its headings and short blocks belong to it as well.
     roots = {b.root for b, _ in found if b.root and content[place[b.path]]}
     return "\n".join(t for b, t in found if (b.root in roots if roots else content[place[b.path]]))
