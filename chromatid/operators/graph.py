@@ -80,14 +80,17 @@ def ownership(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def drift_authors(edges: DataFrame, affects: str = "AFFECTS", changed: str = "CHANGED", authored: str = "AUTHORED") -> DataFrame:
-    """(drift, developer): whoever authored the first commit, by seq, that changed what a drift signal affects."""
+    """(drift, developer): whoever authored the first commit that changed the first thing a drift signal affects, by the edges' seq.
+
+    Each entity's author is settled before signals are joined, so many signals on one entity don't multiply its commits.
+    """
     a, c, d = (edges.where(F.col("type") == k) for k in (affects, changed, authored))
-    hops = (
-        a.select(F.col("src").alias("drift"), F.col("dst").alias("entity"))
-        .join(c.select(F.col("dst").alias("entity"), F.col("src").alias("commit"), F.col("seq").alias("c_seq")), "entity")
-        .join(d.select(F.col("dst").alias("commit"), F.col("src").alias("developer"), F.col("seq").alias("d_seq")), "commit")
+    author = d.groupBy(F.col("dst").alias("commit")).agg(F.min_by("src", "seq").alias("developer"))
+    first = (
+        c.select(F.col("dst").alias("entity"), F.col("src").alias("commit"), "seq").join(author, "commit").groupBy("entity").agg(F.min_by("developer", "seq").alias("developer"))
     )
-    return hops.groupBy("drift").agg(F.min_by("developer", F.struct("c_seq", "d_seq")).alias("developer"))
+    hops = a.select(F.col("src").alias("drift"), F.col("dst").alias("entity"), "seq").join(first, "entity")
+    return hops.groupBy("drift").agg(F.min_by("developer", "seq").alias("developer"))
 
 
 def repeat_offenders(signals: DataFrame, threshold: int = 3) -> DataFrame:
