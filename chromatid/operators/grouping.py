@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chromatid.functions import ids
 from chromatid.functions.strings import glob_regex
+from chromatid.session import durable
 
 
 def keys(path_globs: list[str] | None = None) -> dict[str, Column]:
@@ -32,15 +33,25 @@ def keys(path_globs: list[str] | None = None) -> dict[str, Column]:
 def assign(signals: DataFrame, min_size: int = 2, strategies: dict[str, Column] | None = None) -> DataFrame:
     """signals with (strategy, key): the first strategy whose group, among the signals that earlier ones left, has min_size members; else nulls.
 
-    Each turn counts its keys by a partial aggregate and joins the large ones back, so a key that very many signals share is no task of its own.
-    A strategy is any column that gives a key or null.
+    Later groups depend on what earlier ones took, but only by counts: signals are counted once by all their keys together, the turns are taken on
+    those counts, and the outcome is joined back. Each turn is a partial aggregate and an equi-join, so a key that very many signals share
+    is no task of its own. A strategy is any column that gives a key or null.
     """
-    left = signals.withColumn("strategy", F.lit(None).cast("string")).withColumn("key", F.lit(None).cast("string"))
-    for name, key in (strategies or keys()).items():
-        turn = left.withColumn("_k", F.when(F.col("strategy").isNull(), key))
-        large = turn.where("_k is not null").groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_size).select("_k", F.lit(name).alias("_s"))
-        left = turn.join(large, "_k", "left").withColumns({"strategy": F.coalesce("strategy", "_s"), "key": F.when(F.col("_s").isNotNull(), F.col("_k")).otherwise(F.col("key"))}).drop("_k", "_s")
-    return left
+    turns = strategies or keys()
+    names = [f"_k{i}" for i in range(len(turns))]
+    keyed = signals.withColumns(dict(zip(names, turns.values(), strict=True)))
+    left = durable(keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).withColumns({"strategy": F.lit(None).cast("string"), "key": F.lit(None).cast("string")}))
+    for name, k in zip(turns, names, strict=True):
+        free = F.when(F.col("strategy").isNull(), F.col(k))
+        large = left.groupBy(free.alias("_k")).agg(F.sum("_n").alias("_size")).where(F.col("_k").isNotNull() & (F.col("_size") >= min_size)).select("_k", F.lit(name).alias("_s"))
+        taken = F.col("_s").isNotNull()
+        left = left.join(large, free == F.col("_k"), "left").withColumns({"strategy": F.when(taken, F.col("_s")).otherwise(F.col("strategy")), "key": F.when(taken, F.col("_k")).otherwise(F.col("key"))})
+        left = durable(left.drop("_k", "_s"))
+    found = left.select(*[F.col(k).alias(f"_r{k}") for k in names], "strategy", "key")
+    same = F.lit(True)
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r{k}"))
+    return keyed.join(found, same, "left").drop(*names, *[f"_r{k}" for k in names])
 
 
 def groups(assigned: DataFrame) -> DataFrame:
