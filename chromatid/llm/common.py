@@ -18,6 +18,17 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"\w+"
 
 
+_memos: dict[str, dict] = {}
+
+
+def memo(owner: str) -> dict:
+    """A dict that lasts as long as a Python worker serves one owner: asking for another's drops it, so a worker holds one memo at a time."""
+    if owner not in _memos:
+        _memos.clear()
+        _memos[owner] = {}
+    return _memos[owner]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

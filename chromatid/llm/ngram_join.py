@@ -31,14 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromatid.llm.common import WORD_PATTERN, connected_components, forest, free_name, only, runs, stored
+from chromatid.llm.common import WORD_PATTERN, connected_components, forest, free_name, memo, only, runs, stored
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: At this similarity, at most this share of pairs may become candidates.
 UNLIKE, UNLIKE_SHARE = 0.3, 0.03
 _WORDS = re.compile(WORD_PATTERN)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_memo: dict[str, int] = {}
 
 
 def band_plan(threshold: float = THRESHOLD, recall: float = RECALL, unlike: float = UNLIKE, share: float = UNLIKE_SHARE) -> tuple[int, int]:
@@ -55,13 +54,14 @@ def ngrams(text: str | None, n: int = N) -> np.ndarray:
     words = _WORDS.findall((text or "").lower())
     if not words:
         return np.empty(0, dtype=np.uint64)
-    if len(_memo) > 500_000:
-        _memo.clear()
+    known = memo("words")
+    if len(known) > 500_000:
+        known.clear()
     out = []
     for w in words:
-        h = _memo.get(w)
+        h = known.get(w)
         if h is None:
-            h = _memo[w] = xxhash.xxh3_64_intdigest(w)
+            h = known[w] = xxhash.xxh3_64_intdigest(w)
         out.append(h)
     h = np.array(out, dtype=np.uint64)
     k = max(1, len(h) - n + 1)

@@ -32,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chromatid.llm import common
 from chromatid.llm.common import only
 
 CHUNK_BYTES = 1 << 20
@@ -60,18 +61,16 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.name, self.tokenizer = f"ids of {path}", Tokenizer.from_file(path)
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
         for w, i in words.items():
             self.ends[i] = w.endswith("</w>")
-        self.memo: dict[str, tuple[int, ...]] = {}
 
     def _one(self, piece: str) -> tuple[int, ...]:
         return tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
-    def _learn(self, new: list[str]) -> None:
-        memo = self.memo
+    def _learn(self, new: list[str], memo: dict[str, tuple[int, ...]]) -> None:
         pairs = {}
         for w in new:
             if not (w.isalpha() and w.islower() and w.isascii()):
@@ -109,12 +108,12 @@ class Encoder:
         pieces = pc.split_pattern(pc.replace_substring(whole, "\n", " "), " ")
         coded = pieces.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        memo = self.memo
+        memo = common.memo(self.name)
         new = [w for w in words if w not in memo]
         if len(memo) + len(new) > _MEMO_WORDS:
             memo.clear()
             new = words
-        self._learn(new)
+        self._learn(new, memo)
         ids = [memo[w] for w in words]
         n = np.array([len(x) for x in ids], dtype="int64")
         flat = np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4", count=int(n.sum()))
