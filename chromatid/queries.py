@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chromatid import bindings as b
 from chromatid.functions import colors, ids, spacing, strings
-from chromatid.operators import aggregate, compare, detect, filters, graph, grouping, match, tokenize
+from chromatid.operators import aggregate, compare, detect, filters, graph, grouping, match, search, styles, tokenize
 from chromatid.plans import drift
 from chromatid.schemas import DRIFT_TYPES
 from chromatid.sources import extract, history
@@ -257,11 +257,11 @@ def prop_type_stats(spark, d):
 
 @query(
     "+c AS (SELECT lower(prop) AS prop, type, count(*) AS n, min(seq) AS f FROM props GROUP BY 1, 2), t AS (SELECT prop, sum(n) AS total, arg_max(type, n * 1000000000 - f) AS dominant_type, max(n) AS m FROM c GROUP BY 1)"
-    " SELECT p.component, lower(p.prop) AS prop, p.type, t.dominant_type, p.seq FROM props p JOIN t ON lower(p.prop) = t.prop WHERE total >= 3 AND m / total >= 0.35 AND p.type <> dominant_type",
+    " SELECT p.component, lower(p.prop) AS prop, p.type, t.dominant_type, p.seq FROM props p JOIN t ON lower(p.prop) = t.prop WHERE total >= 3 AND m / total >= 0.3 AND p.type <> dominant_type",
     b.COMPONENT_PROPS,
 )
 def prop_type_conflicts(spark, d):
-    return aggregate.prop_type_conflicts(b.component_props(spark, d), share=0.35)
+    return aggregate.prop_type_conflicts(b.component_props(spark, d), share=0.3)
 
 
 _CLASSES = "array_to_string(list_sort(list_filter(regexp_split_to_array(trim(classes), '\\s+'), lambda c: c <> '')), ' ')"
@@ -750,3 +750,77 @@ def detect_unused(spark, d):
 def detect_hardcoded(spark, d):
     v = b.table(spark, d, "part").select(F.col("p_brand").alias("component"), F.when(F.col("p_partkey") % 2 == 0, "color").otherwise("spacing").alias("kind"), F.col("p_size").cast("string").alias("value"))
     return detect.hardcoded(v).select("id", "severity", "detail")
+
+
+# Searches, examples and styles.
+@query(
+    "SELECT DISTINCT name, round(CASE WHEN lower(name) = 'small ring' THEN 100 WHEN contains(lower(name), 'small ring') OR contains('small ring', lower(name)) THEN 70 + 50 * least(length(name), 10) / greatest(length(name), 10)"
+    " WHEN contains(lower(name), 'small') AND contains(lower(name), 'ring') THEN 80 WHEN contains(lower(name), 'small') OR contains(lower(name), 'ring') THEN 65 ELSE 0 END, 6) AS score"
+    " FROM components WHERE contains(lower(name), 'small') OR contains(lower(name), 'ring')",
+    b.COMPONENTS,
+)
+def search_components(spark, d):
+    return search.by_name(b.components(spark, d), "small ring").select("name", F.round("score", 6).alias("score")).distinct()
+
+
+@query("SELECT token AS id, floor((1 - sqrt(((5 - r) * (5 - r) + (16 - g) * (16 - g) + (16 - b) * (16 - b))::DOUBLE) / 441.67) * 100 + 0.5)::DOUBLE AS score FROM tc WHERE floor((1 - sqrt(((5 - r) * (5 - r) + (16 - g) * (16 - g) + (16 - b) * (16 - b))::DOUBLE) / 441.67) * 100 + 0.5) >= 80", b.COLORS)
+def search_tokens_by_color(spark, d):
+    return search.tokens_by_color(b.color_tokens(spark, d).withColumnRenamed("token", "id"), "051010").select("id", "score")
+
+
+_CONTEXT = "CASE p_partkey % 3 WHEN 0 THEN 'production' WHEN 1 THEN 'example' ELSE 'test' END"
+
+
+def _in_context(spark, d):
+    k = F.col("p_partkey")
+    context = F.when(k % 3 == 0, "production").when(k % 3 == 1, "example").otherwise("test")
+    return b.table(spark, d, "part").where("p_partkey < 300").select(k.alias("id"), F.col("p_name").alias("name"), context.alias("context"))
+
+
+@query(f"SELECT p.p_partkey AS production_id, e.p_partkey AS example_id FROM part p JOIN part e ON lower(p.p_name) = lower(e.p_name) AND {_CONTEXT.replace('p_partkey', 'p.p_partkey')} = 'production' AND {_CONTEXT.replace('p_partkey', 'e.p_partkey')} = 'example' WHERE p.p_partkey < 300 AND e.p_partkey < 300")
+def related_examples(spark, d):
+    return search.related_examples(_in_context(spark, d))
+
+
+@query(
+    f"+c AS (SELECT lower(p_name) AS name, {_CONTEXT} AS context FROM part WHERE p_partkey < 300), g AS (SELECT name, bool_or(context = 'production') AS p, bool_or(context = 'example') AS e FROM c GROUP BY 1)"
+    " SELECT count(*) FILTER (WHERE p AND e) AS with_example, count(*) FILTER (WHERE p AND NOT e) AS without_example, count(*) FILTER (WHERE e AND NOT p) AS example_only,"
+    " floor(count(*) FILTER (WHERE p AND e) * 100 / count(*) FILTER (WHERE p) + 0.5)::INT AS percent FROM g",
+    "unused AS (SELECT 1)",
+)
+def example_coverage(spark, d):
+    return detect.example_coverage(_in_context(spark, d))
+
+
+@query(
+    "SELECT severity, NULL AS type, NULL AS file, count(*) AS n FROM signals GROUP BY severity UNION ALL SELECT NULL, type, NULL, count(*) FROM signals GROUP BY type"
+    " UNION ALL SELECT NULL, NULL, string_split(location, ':')[1] AS f, count(*) FROM signals GROUP BY f",
+    b.SIGNALS,
+)
+def upload_counts(spark, d):
+    return search.upload_counts(b.signals(spark, d))
+
+
+@query(
+    "+v AS (SELECT p_name AS component, p_brand AS file, 'size' AS type, (p_size % 3)::VARCHAR AS key, p_type AS classes FROM part WHERE p_partkey < 400),"
+    " s AS (SELECT component FROM v GROUP BY 1 HAVING count(DISTINCT file) >= 2)"
+    " SELECT component, type, key, array_to_string(list_sort(list(DISTINCT classes)), '|') AS values, count(DISTINCT file)::INT AS files FROM v WHERE component IN (SELECT component FROM s) GROUP BY 1, 2, 3 HAVING count(DISTINCT classes) > 1",
+    "unused AS (SELECT 1)",
+)
+def variant_inconsistencies(spark, d):
+    v = b.table(spark, d, "part").where("p_partkey < 400").select(F.col("p_name").alias("component"), F.col("p_brand").alias("file"), F.lit("size").alias("type"), (F.col("p_size") % 3).cast("string").alias("key"), F.col("p_type").alias("classes"))
+    return styles.variant_inconsistencies(v).withColumn("values", F.array_join("values", "|"))
+
+
+@query(
+    "+s AS (SELECT i * 16 AS px FROM range(1, 30) t(i)), v AS (SELECT DISTINCT value, px FROM spacing_values) SELECT s.px AS px, count(*) AS n FROM s JOIN v ON abs(v.px - s.px) <= 2 GROUP BY s.px",
+    b.SPACINGS,
+)
+def replaced_lengths(spark, d):
+    return styles.replaced_lengths(b.spacing_values(spark, d), spark.range(1, 30).select((F.col("id") * 16).alias("px")))
+
+
+@query("SELECT p.hex AS color, count(DISTINCT v.value) AS n FROM tc p, vc v WHERE p.seq < 20 AND sqrt(((v.r - p.r) * (v.r - p.r) + (v.g - p.g) * (v.g - p.g) + (v.b - p.b) * (v.b - p.b))::DOUBLE) < 30 GROUP BY 1", b.COLORS)
+def replaced_colors(spark, d):
+    p = b.color_tokens(spark, d).where("seq < 20").select(F.col("hex").alias("color"))
+    return styles.replaced_colors(b.color_values(spark, d), p)

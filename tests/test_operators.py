@@ -307,3 +307,45 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
     assert sorted(x for x in seen if isinstance(x, str)) == ["a", "b", "new a", "new a"]
     assert {x for x in seen if isinstance(x, tuple)} >= {("2024-01-01 00:00:00", 2), ("2024-01-02 00:00:00", 1)}
+
+
+def test_styles(spark):
+    from chromatid.operators import styles
+
+    o = frame(spark, "classes string, file string, line int", ("hover:a  hover:b flex bg-primary", "x", 1), ("hover:a hover:b text-primary/50", "y", 1), ("bg-primary hover:bg-muted-foreground flex items-center justify-between", "y", 2))
+    assert {(r.kind, r.pattern, r.n, r.files) for r in styles.extractable(o).collect()} == {("hover-effect", "hover:a hover:b", 2, 2)}
+    got = {r.token: (r.n, r.files, r.examples) for r in styles.semantic_tokens(o).collect()}
+    assert got == {"primary": (3, 2, ["bg-primary", "text-primary/50"]), "muted-foreground": (1, 1, ["hover:bg-muted-foreground"])}
+    f = frame(spark, "path string, content string", ("t.ts", "export const getSpacing = n => theme.spacing(n)"), ("a.ts", "getSpacing(2); colors('x')"))
+    assert {(r.name, r.category, r.path) for r in styles.utilities(f).collect()} == {("getSpacing", "spacing", "a.ts"), ("theme.spacing", "spacing", "t.ts"), ("spacing()", "spacing", "t.ts"), ("colors()", "color", "a.ts")}
+    v = frame(spark, "component string, kind string, property string, value string", ("A", "color", "fill", "#fff"), ("A", "fontSize", "font", "12px"), ("B", "shadow", "s", "x"), ("B", "other", "o", "y"))
+    assert {(r.entity_id, r.detail) for r in styles.utility_signals(v, styles.utilities(f)).collect()} == {("A", "colors()"), ("A", "getSpacing or spacing() or theme.spacing")}
+    assert {(r.category, r.n) for r in styles.utility_summary(v).collect()} == {("color", 1), ("spacing", 1), ("shadow", 1)}
+    a = extract.arbitrary_values(frame(spark, "path string, content string", ("p.tsx", "p-[3px] m-[4px]\nbg-[#abc]")))
+    assert {(r.entity_id, r.severity, r.location, r.detail) for r in styles.arbitrary_signals(a).collect()} == {("p.tsx", "info", "p.tsx:1", "m-[4px] p-[3px]"), ("p.tsx", "warning", "p.tsx:2", "bg-[#abc]")}
+    values = frame(spark, "category string, value string", ("color", "#fff"), ("color", "white"), ("spacing", "4px"), ("font-family", "Arial"))
+    one = styles.css_summary(values, frame(spark, "value string", ("var(--x)",), ("#fff",))).first()
+    assert (one.unique_colors, one.unique_spacing, one.unique_fonts, one.declarations, one.tokenization) == (1, 1, 1, 2, 25)
+
+
+def test_searches(spark):
+    from chromatid.operators import search
+
+    c = frame(spark, "id string, name string, props array<string>, variants array<string>, context string", ("1", "IconButton", ["onClick", "size"], ["Large"], "production"), ("2", "Card", ["buttonLabel"], [], "production"), ("3", "card", ["BUTTONLABEL", "Extra"], [], "example"))
+    assert {(r.id, r.score) for r in search.by_name(c, "button").collect()} == {("1", 100.0)}
+    assert {(r.id, r.score) for r in search.by_prop(c, "size").collect()} == {("1", 100.0)}
+    assert {(r.id, r.score) for r in search.by_prop(c, "button").collect()} == {("2", 80.0), ("3", 80.0)}
+    assert {(r.id, r.score) for r in search.by_pattern(c, "large").collect()} == set() and {r.id for r in search.by_pattern(c, "button").collect()} == {"1", "2", "3"}
+    assert [(r.id, r.missing) for r in search.example_only(c).collect()] == [("2", ["extra"])]
+    t = frame(spark, "id string, name string, hex string, category string", ("a", "primary", "#ff0000", "Color"), ("b", "primari", "#00ff00", "spacing"))
+    assert {r.id for r in search.tokens_by_name(t, "primary").collect()} == {"a", "b"} and [r.id for r in search.tokens_by_color(t, "fe0000").collect()] == ["a"]
+    assert [r.id for r in search.tokens_by_category(t, "color").collect()] == ["a"]
+    i = frame(spark, "path string, module string", ("x.ts", "./ui/button"), ("y.ts", "../button"), ("z.ts", "./mybutton"))
+    assert {(r.path, r.target) for r in search.importers(i, frame(spark, "target string", ("src/ui/button.tsx",))).collect()} == {("x.ts", "src/ui/button.tsx"), ("y.ts", "src/ui/button.tsx")}
+    p = frame(spark, "path string", ("src/examples/a.tsx",), ("src/a.test.tsx",), ("src/a.tsx",), (None,))
+    assert [r.c for r in p.select(search.component_context(F.col("path")).alias("c")).collect()] == ["example", "test", "production", "unknown"]
+    v = frame(spark, "id string, name string, options array<array<string>>, children int", ("1", "B/Large", [["a", "b"], ["c", "d", "e"]], 5), ("2", "B/Small", [["a"]], 1))
+    assert {(r.id, r.expected, r.incomplete, r.excessive) for r in search.variant_matrix(v).collect()} == {("1", 6, True, False), ("2", 1, False, False)}
+    assert [(r.parent, r.n) for r in search.potential_variants(v).collect()] == [("B", 2)]
+    s = frame(spark, "o array<string>", (["sm", "md", "lg"],), (["lg", "sm"],), (["x"],))
+    assert [r.ok for r in s.select(search.sizes_in_order(F.col("o")).alias("ok")).collect()] == [True, False, True]
