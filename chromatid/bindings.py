@@ -80,10 +80,10 @@ NAMED_COMPONENTS = r"""named AS (SELECT p_partkey AS seq, 'part:' || p_partkey A
 
 def component_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_custkey").alias("component"), F.col("o_orderpriority").alias("prop"), F.col("o_orderstatus").alias("type"), (F.col("o_orderkey") % 2 == 0).alias("required"), F.col("o_orderkey").alias("seq"))
+    return o.select(F.col("o_custkey").alias("component"), F.col("o_orderpriority").alias("prop"), F.col("o_orderstatus").alias("type"), (F.col("o_orderkey") % 2 == 0).alias("required"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("timestamp").alias("day"))
 
 
-COMPONENT_PROPS = "props AS (SELECT o_custkey AS component, o_orderpriority AS prop, o_orderstatus AS type, o_orderkey % 2 = 0 AS required, o_orderkey AS seq FROM orders)"
+COMPONENT_PROPS = "props AS (SELECT o_custkey AS component, o_orderpriority AS prop, o_orderstatus AS type, o_orderkey % 2 = 0 AS required, o_orderkey AS seq, o_orderdate AS day FROM orders)"
 
 
 def _hex(key: str, factor: int) -> F.Column:
@@ -132,12 +132,12 @@ def design_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     name = F.when(k % 2 == 0, F.concat(F.lit("Brand.color-"), (k % 89).cast("string"))).otherwise(F.concat(F.lit("brand-color_"), (k % 101).cast("string")))
-    return table(spark, sf_dir, "customer").where(k <= 200).select(F.concat(F.lit("c"), k.cast("string")).alias("id"), name.alias("name"), (k % 61).cast("string").alias("value_key"), k.alias("seq"))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("id"), name.alias("name"), (k % 61).cast("string").alias("value_key"), k.alias("seq"))
 
 
 TOKENS = """design AS (SELECT 'd' || s_suppkey AS id, 'Brand.color-' || (s_suppkey % 97) AS name, (s_suppkey % 50)::VARCHAR AS value_key, s_suppkey AS seq FROM supplier),
 code AS (SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'Brand.color-' || (c_custkey % 89) ELSE 'brand-color_' || (c_custkey % 101) END AS name,
-  (c_custkey % 61)::VARCHAR AS value_key, c_custkey AS seq FROM customer WHERE c_custkey <= 200)"""
+  (c_custkey % 61)::VARCHAR AS value_key, c_custkey AS seq FROM customer)"""
 
 
 def class_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

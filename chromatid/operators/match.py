@@ -40,8 +40,10 @@ def _jaccard(a: Column, b: Column) -> Column:
 def component_scores(source: DataFrame, target: DataFrame, least: float = MIN_MATCH) -> DataFrame:
     """(source_id, target_id, score, source_seq, target_seq) of component pairs (id, name, props, variants, dependencies: arrays of names) of at least that score.
 
-    A name alone gives 0.4 and dependencies 0.1, so a pair of 0.7 shares a prop or a variant: candidates are joined on those.
+    A name alone gives 0.4 and dependencies 0.1, so a pair of over 0.5 shares a prop or a variant: candidates are joined on those.
     """
+    if least <= WEIGHTS["name"] + WEIGHTS["dependencies"]:
+        raise ValueError("pairs of so low a score need share no prop or variant")
 
     def marks(c: DataFrame, side: str) -> DataFrame:
         all_ = F.concat(F.transform("props", lambda p: F.concat(F.lit("p:"), p)), F.transform("variants", lambda v: F.concat(F.lit("v:"), v)))
@@ -77,9 +79,9 @@ def greedy(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     raise RuntimeError(f"pairs are left after {max_rounds} rounds")
 
 
-def fuzzy_components(source: DataFrame, target: DataFrame) -> DataFrame:
+def fuzzy_components(source: DataFrame, target: DataFrame, least: float = MIN_MATCH) -> DataFrame:
     """(source_id, target_id, score, kind) of the greedy matching of components: similar over 0.9, else partial."""
-    m = greedy(component_scores(source, target))
+    m = greedy(component_scores(source, target, least))
     return m.withColumn("kind", F.when(F.col("score") > SIMILAR_MATCH, "similar").otherwise("partial"))
 
 

@@ -62,12 +62,6 @@ def audit_health(spark, d):
     return aggregate.health(b.audit_values(spark, d))
 
 
-@query(_HEALTH.replace("FROM audit_values", "FROM few"), b.AUDIT_VALUES, "few AS (SELECT * FROM audit_values WHERE file = 'file1' AND value::INT <= 3)")
-def audit_health_of_file(spark, d):
-    v = b.audit_values(spark, d).where("file = 'file1' and cast(value as int) <= 3")
-    return aggregate.health(v)
-
-
 # Signals: filters and verdicts.
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info FROM signals", b.SIGNALS)
 def drift_summary(spark, d):
@@ -113,15 +107,15 @@ def ignore_rules(spark, d):
 
 
 def _baseline(spark, d):
-    return b.signals(spark, d).where("seq % 3 = 0").select("id")
+    return b.signals(spark, d).where("detected_at < timestamp'2024-01-11'").select("id")
 
 
-@query("SELECT id, type FROM signals WHERE seq % 3 <> 0", b.SIGNALS)
+@query("SELECT id, type FROM signals WHERE ts >= '2024-01-11'", b.SIGNALS)
 def baseline_new(spark, d):
     return filters.new_since(b.signals(spark, d), _baseline(spark, d)).select("id", "type")
 
 
-@query("SELECT id, type FROM signals WHERE seq % 3 = 0", b.SIGNALS)
+@query("SELECT id, type FROM signals WHERE ts < '2024-01-11'", b.SIGNALS)
 def baseline_suppressed(spark, d):
     return filters.suppressed_by(b.signals(spark, d), _baseline(spark, d)).select("id", "type")
 
@@ -191,7 +185,7 @@ _PIPELINE = drift.Options(overrides=_OVERRIDES, min_severity="warning", ignore=[
 
 @query(
     "+counted AS (SELECT * REPLACE (CASE type WHEN 'hardcoded-value' THEN 'critical' WHEN 'orphaned-token' THEN 'warning' ELSE severity END AS severity) FROM signals),"
-    " chosen AS (SELECT * FROM counted WHERE severity IN ('warning', 'critical') AND NOT (type = 'accessibility-conflict' AND regexp_matches(entity_name, 'User\\d$')) AND seq % 3 <> 0), "
+    " chosen AS (SELECT * FROM counted WHERE severity IN ('warning', 'critical') AND NOT (type = 'accessibility-conflict' AND regexp_matches(entity_name, 'User\\d$')) AND ts >= '2024-01-11'), "
     + _group_sql(20, "chosen").lstrip("+") + _GROUPS,
     b.SIGNALS,
 )
@@ -297,23 +291,22 @@ def class_patterns_tight(spark, d):
 
 
 @query(
-    "SELECT name, lower(regexp_replace(name, '(?i)(New|V\\d+)$', '')) AS base, regexp_matches(name, '(?i)(New|V\\d+|Old)$') AS version FROM named WHERE name NOT LIKE '%Box%' AND name NOT LIKE '%\\_old' ESCAPE '\\'",
+    "SELECT name, lower(regexp_replace(regexp_replace(name, '(?i)(New|V\\d+|Old)$', ''), '\\d+$', '')) AS base, regexp_matches(name, '(?i)(New|V\\d+|Old)$') AS version FROM named",
     b.NAMED_COMPONENTS,
 )
 def base_names(spark, d):
-    c = b.named_components(spark, d).where("name not like '%Box%' and not endswith(name, '_old')")
-    return c.select("name", strings.base_name(F.col("name")).alias("base"), strings.has_version_suffix(F.col("name")).alias("version"))
+    return b.named_components(spark, d).select("name", strings.base_name(F.col("name")).alias("base"), strings.has_version_suffix(F.col("name")).alias("version"))
 
 
 # Matching.
 def _halves(spark, d):
     c = b.components(spark, d)
-    return c.where("seq % 2 = 0"), c.where("seq % 2 = 1 and size < 40")
+    return c.where("framework < 'Brand#2'"), c.where("framework >= 'Brand#2'")
 
 
 _KEY = "regexp_replace(regexp_replace(lower(name), '[-_\\s]', '', 'g'), 'component$', '')"
-_EXACT = f"""+s AS (SELECT {_KEY} AS k, arg_min(id, seq) AS source_id FROM components WHERE seq % 2 = 0 GROUP BY 1),
-t AS (SELECT {_KEY} AS k, arg_max(id, seq) AS target_id FROM components WHERE seq % 2 = 1 AND size < 40 GROUP BY 1), m AS (SELECT source_id, target_id FROM s JOIN t USING (k))"""
+_EXACT = f"""+s AS (SELECT {_KEY} AS k, arg_min(id, seq) AS source_id FROM components WHERE framework < 'Brand#2' GROUP BY 1),
+t AS (SELECT {_KEY} AS k, arg_max(id, seq) AS target_id FROM components WHERE framework >= 'Brand#2' GROUP BY 1), m AS (SELECT source_id, target_id FROM s JOIN t USING (k))"""
 
 
 @query(_EXACT + " SELECT * FROM m", b.COMPONENTS)
@@ -321,45 +314,44 @@ def component_exact_match(spark, d):
     return match.exact_components(*_halves(spark, d))
 
 
-@query(_EXACT + " SELECT id, name FROM components WHERE seq % 2 = 0 AND id NOT IN (SELECT source_id FROM m)", b.COMPONENTS)
+@query(_EXACT + " SELECT id, name FROM components WHERE framework < 'Brand#2' AND id NOT IN (SELECT source_id FROM m)", b.COMPONENTS)
 def component_orphans(spark, d):
     s, t = _halves(spark, d)
     return match.orphans(s, match.exact_components(s, t), "source_id").select("id", "name")
 
 
 def _shaped(spark, d):
-    """Components with props (by size), variants (by type) and dependencies (by framework), in two small halves of every brand."""
-    c = b.components(spark, d)
-    words = F.split("name", " ")
-    shaped = c.select(
-        "seq", "id", "name", F.array_distinct(F.concat(words, F.array(F.concat(F.lit("s"), (F.col("size") % 5).cast("string"))))).alias("props"), F.array("variant").alias("variants"),
-        F.array("framework").alias("dependencies"),
-    )
-    return shaped.where("seq % 20 = 0"), shaped.where("seq % 20 = 7")
+    """Suppliers and customers as components of two sides; their nation is a prop and a variant."""
 
+    def side(table, k):
+        nation = F.concat(F.lit("nation"), F.col(f"{k}_nationkey").cast("string"))
+        key = F.col(f"{k}_{'supp' if k == 's' else 'cust'}key")
+        return b.table(spark, d, table).select(
+            key.alias("seq"), F.concat(F.lit(k), key.cast("string")).alias("id"), F.col(f"{k}_name").alias("name"), F.array(nation, F.lit(k)).alias("props"), F.array(nation).alias("variants"),
+            F.array().cast("array<string>").alias("dependencies"),
+        )
 
-_SHAPED = """shaped AS (SELECT seq, id, name, list_distinct(list_append(string_split(name, ' '), 's' || (size % 5))) AS props, [variant] AS variants, [framework] AS deps FROM components),
-pairs AS (SELECT a.id AS source_id, b.id AS target_id, a.seq AS source_seq, b.seq AS target_seq,
-  0.4 * (1 - levenshtein(lower(a.name), lower(b.name)) / greatest(length(a.name), length(b.name)))
-  + 0.3 * len(list_intersect(a.props, b.props)) / len(list_distinct(list_concat(a.props, b.props)))
-  + 0.2 * len(list_intersect(a.variants, b.variants)) / len(list_distinct(list_concat(a.variants, b.variants)))
-  + 0.1 * len(list_intersect(a.deps, b.deps)) / len(list_distinct(list_concat(a.deps, b.deps))) AS score
-  FROM shaped a, shaped b WHERE a.seq % 20 = 0 AND b.seq % 20 = 7)"""
+    return side("supplier", "s"), side("customer", "c")
 
 
-@query("SELECT source_id, target_id, round(score, 6) AS score FROM pairs WHERE score >= 0.7", b.COMPONENTS, _SHAPED)
+_SHAPED = """pairs AS (SELECT 's' || s_suppkey AS source_id, 'c' || c_custkey AS target_id,
+  0.4 * (1 - levenshtein(lower(s_name), lower(c_name)) / greatest(length(s_name), length(c_name)))
+  + CASE WHEN s_nationkey = c_nationkey THEN 0.3 / 3 + 0.2 ELSE 0 END AS score FROM supplier, customer)"""
+
+
+@query("SELECT source_id, target_id, round(score, 6) AS score FROM pairs WHERE score >= 0.55", _SHAPED)
 def component_similarity(spark, d):
-    return match.component_scores(*_shaped(spark, d)).select("source_id", "target_id", F.round("score", 6).alias("score"))
+    return match.component_scores(*_shaped(spark, d), least=0.55).select("source_id", "target_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def component_fuzzy_match(spark, d):
-    return match.fuzzy_components(*_shaped(spark, d)).withColumn("score", F.round("score", 6))
+    return match.fuzzy_components(*_shaped(spark, d), least=0.55).withColumn("score", F.round("score", 6))
 
 
 @query(
-    "+s AS (SELECT component, lower(prop) AS k, arg_max(type, seq) AS ty, arg_max(required, seq) AS r, arg_max(prop, seq) AS p FROM props WHERE seq % 2 = 0 GROUP BY 1, 2),"
-    " t AS (SELECT component, lower(prop) AS k, arg_max(type, seq) AS ty, arg_max(prop, seq) AS p FROM props WHERE seq % 2 = 1 GROUP BY 1, 2),"
+    "+s AS (SELECT component, lower(prop) AS k, arg_max(type, seq) AS ty, arg_max(required, seq) AS r, arg_max(prop, seq) AS p FROM props WHERE day < '1998-01-01' GROUP BY 1, 2),"
+    " t AS (SELECT component, lower(prop) AS k, arg_max(type, seq) AS ty, arg_max(prop, seq) AS p FROM props WHERE day >= '1998-01-01' GROUP BY 1, 2),"
     " x AS (SELECT component, coalesce(s.p, t.p) AS prop, CASE WHEN t.p IS NULL THEN 'missing in target' WHEN s.p IS NULL THEN 'missing in source' WHEN s.ty <> t.ty THEN 'type' END AS difference,"
     " s.ty AS source_type, t.ty AS target_type, s.r AS r FROM s FULL JOIN t USING (component, k))"
     " SELECT component, prop, difference, source_type, target_type, CASE WHEN difference = 'type' OR (difference = 'missing in target' AND r) THEN 'warning' ELSE 'info' END AS severity FROM x WHERE difference IS NOT NULL",
@@ -367,7 +359,7 @@ def component_fuzzy_match(spark, d):
 )
 def prop_differences(spark, d):
     p = b.component_props(spark, d)
-    return match.prop_differences(p.where("seq % 2 = 0"), p.where("seq % 2 = 1"))
+    return match.prop_differences(p.where("day < timestamp'1998-01-01'"), p.where("day >= timestamp'1998-01-01'"))
 
 
 _TKEY = "regexp_replace(lower(name), '[-_\\s.]', '', 'g')"
@@ -460,7 +452,7 @@ def unused_components(spark, d):
 
 
 @query(
-    "+n AS (SELECT *, lower(regexp_replace(regexp_replace(name, '(?i)(New|V\\d+|Old)$', ''), '\\d+$', '')) AS base, regexp_matches(name, '(?i)(New|V\\d+|Old)$') AS version FROM named WHERE seq < 300),"
+    "+n AS (SELECT *, lower(regexp_replace(regexp_replace(name, '(?i)(New|V\\d+|Old)$', ''), '\\d+$', '')) AS base, regexp_matches(name, '(?i)(New|V\\d+|Old)$') AS version FROM named),"
     " s AS (SELECT base, count(*) AS n, bool_or(version) AS hit, arg_min(version, seq) AS fv, arg_min(id, seq) AS fid FROM n GROUP BY 1),"
     " m AS (SELECT n.*, fv, fid FROM n JOIN s USING (base) WHERE s.n > 1 AND hit AND length(base) >= 3)"
     " SELECT fid AS group_id, id AS member_id FROM m WHERE fv UNION ALL SELECT id, id FROM m WHERE NOT fv AND NOT version"
@@ -468,7 +460,7 @@ def unused_components(spark, d):
     b.NAMED_COMPONENTS,
 )
 def duplicate_groups(spark, d):
-    return match.duplicate_groups(b.named_components(spark, d).where("seq < 300"))
+    return match.duplicate_groups(b.named_components(spark, d))
 
 
 _LINEAR = "CASE WHEN {0} / 255.0 <= 0.03928 THEN {0} / 255.0 / 12.92 ELSE pow(({0} / 255.0 + 0.055) / 1.055, 2.4) END"
@@ -487,9 +479,9 @@ def contrast_pairs(spark, d):
     return match.contrast_pairs(styles).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("SELECT a.name, a.id AS a_id, c.id AS b_id FROM components a JOIN components c ON a.name = c.name AND a.seq < c.seq WHERE a.framework = 'Brand#1' AND c.framework = 'Brand#1'", b.COMPONENTS)
+@query("SELECT a.name, a.id AS a_id, c.id AS b_id FROM components a JOIN components c ON a.name = c.name AND a.seq < c.seq", b.COMPONENTS)
 def variant_pairs(spark, d):
-    return match.variant_pairs(b.components(spark, d).where("framework = 'Brand#1'"))
+    return match.variant_pairs(b.components(spark, d))
 
 
 # Vocabularies.
@@ -547,12 +539,18 @@ def token_usages(spark, d):
     return graph.usages(b.graph_edges(spark, d))
 
 
-@query("SELECT id, name FROM nodes WHERE type = 'Token' AND id NOT IN (SELECT dst FROM edges WHERE type = 'USES' AND src < 's3')", b.GRAPH)
+@query("SELECT id, name FROM nodes WHERE type = 'Token' AND id NOT IN (SELECT dst FROM edges JOIN supplier ON src = 's' || s_suppkey WHERE type = 'USES' AND s_acctbal > 9000)", b.GRAPH)
 def unused_graph_tokens(spark, d):
-    e = b.graph_edges(spark, d).where("type <> 'USES' or src < 's3'")
+    rich = b.table(spark, d, "supplier").where("s_acctbal > 9000").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("src"))
+    e = b.graph_edges(spark, d).join(rich, "src", "left_semi")
     return graph.without_in(b.graph_nodes(spark, d), e, "Token", "USES").select("id", "name")
 
 
+@query("SELECT id FROM nodes WHERE type = 'Commit' AND id NOT IN (SELECT src FROM edges WHERE type = 'CHANGED')", b.GRAPH)
+def idle_commits(spark, d):
+    return graph.without_out(b.graph_nodes(spark, d), b.graph_edges(spark, d), "Commit", "CHANGED").select("id")
+
+
 @query(
     "SELECT entity, author, commits, last, row_number() OVER (PARTITION BY entity ORDER BY commits DESC, f)::INT AS rank FROM (SELECT e.dst AS entity, n.author, count(*) AS commits, max(n.ts) AS last, min(n.seq) AS f"
     " FROM edges e JOIN nodes n ON e.src = n.id WHERE e.type = 'CHANGED' GROUP BY 1, 2)",
@@ -654,18 +652,19 @@ def active_contributors(spark, d):
     return history.active_since(history.developers(c), c, now).select("email")
 
 
-_SNAPS = """snap AS (SELECT user_id AS id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS s, count(*) AS n FROM events WHERE event_id % 7 < 2 AND event_id < 2000 GROUP BY ALL)"""
+_SNAPS = """snap AS (SELECT user_id || ':' || floor(value)::BIGINT AS id, ts < '2024-01-16' AS early, count(*) AS n FROM events GROUP BY ALL)"""
 
 
 @query(
     "SELECT coalesce(x.id, y.id) AS id, CASE WHEN x.id IS NULL THEN 'added' WHEN y.id IS NULL THEN 'removed' ELSE 'modified' END AS change"
-    " FROM (SELECT * FROM snap WHERE s = 'a') x FULL JOIN (SELECT * FROM snap WHERE s = 'b') y ON x.id = y.id WHERE x.id IS NULL OR y.id IS NULL OR x.n <> y.n",
+    " FROM (SELECT * FROM snap WHERE early) x FULL JOIN (SELECT * FROM snap WHERE NOT early) y ON x.id = y.id WHERE x.id IS NULL OR y.id IS NULL OR x.n <> y.n",
     _SNAPS,
 )
 def scan_diff(spark, d):
-    e = b.table(spark, d, "events").where("event_id % 7 < 2 and event_id < 2000")
-    s = e.groupBy(F.col("user_id").alias("id"), (F.col("event_id") % 2).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    return compare.diff(s.where("s = 0"), s.where("s = 1"), ["n"])
+    e = b.table(spark, d, "events")
+    key = F.concat_ws(":", F.col("user_id").cast("string"), F.floor("value").cast("long").cast("string")).alias("id")
+    s = e.groupBy(key, (F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).alias("early")).agg(F.count(F.lit(1)).alias("n"))
+    return compare.diff(s.where("early"), s.where("not early"), ["n"])
 
 
 @query("SELECT page_id, (unnest(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1))) AS href FROM pages")
@@ -768,22 +767,21 @@ def search_tokens_by_color(spark, d):
     return search.tokens_by_color(b.color_tokens(spark, d).withColumnRenamed("token", "id"), "051010").select("id", "score")
 
 
-_CONTEXT = "CASE p_partkey % 3 WHEN 0 THEN 'production' WHEN 1 THEN 'example' ELSE 'test' END"
+_CONTEXT = "CASE WHEN p_type < 'M' THEN 'production' WHEN p_type < 'S' THEN 'example' ELSE 'test' END"
 
 
 def _in_context(spark, d):
-    k = F.col("p_partkey")
-    context = F.when(k % 3 == 0, "production").when(k % 3 == 1, "example").otherwise("test")
-    return b.table(spark, d, "part").where("p_partkey < 300").select(k.alias("id"), F.col("p_name").alias("name"), context.alias("context"))
+    context = F.when(F.col("p_type") < "M", "production").when(F.col("p_type") < "S", "example").otherwise("test")
+    return b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), context.alias("context"))
 
 
-@query(f"SELECT p.p_partkey AS production_id, e.p_partkey AS example_id FROM part p JOIN part e ON lower(p.p_name) = lower(e.p_name) AND {_CONTEXT.replace('p_partkey', 'p.p_partkey')} = 'production' AND {_CONTEXT.replace('p_partkey', 'e.p_partkey')} = 'example' WHERE p.p_partkey < 300 AND e.p_partkey < 300")
+@query(f"SELECT p.p_partkey AS production_id, e.p_partkey AS example_id FROM part p JOIN part e ON lower(p.p_name) = lower(e.p_name) AND {_CONTEXT.replace('p_type', 'p.p_type')} = 'production' AND {_CONTEXT.replace('p_type', 'e.p_type')} = 'example'")
 def related_examples(spark, d):
     return search.related_examples(_in_context(spark, d))
 
 
 @query(
-    f"+c AS (SELECT lower(p_name) AS name, {_CONTEXT} AS context FROM part WHERE p_partkey < 300), g AS (SELECT name, bool_or(context = 'production') AS p, bool_or(context = 'example') AS e FROM c GROUP BY 1)"
+    f"+c AS (SELECT lower(p_name) AS name, {_CONTEXT} AS context FROM part), g AS (SELECT name, bool_or(context = 'production') AS p, bool_or(context = 'example') AS e FROM c GROUP BY 1)"
     " SELECT count(*) FILTER (WHERE p AND e) AS with_example, count(*) FILTER (WHERE p AND NOT e) AS without_example, count(*) FILTER (WHERE e AND NOT p) AS example_only,"
     " floor(count(*) FILTER (WHERE p AND e) * 100 / count(*) FILTER (WHERE p) + 0.5)::INT AS percent FROM g",
     "unused AS (SELECT 1)",
@@ -802,13 +800,13 @@ def upload_counts(spark, d):
 
 
 @query(
-    "+v AS (SELECT p_name AS component, p_brand AS file, 'size' AS type, (p_size % 3)::VARCHAR AS key, p_type AS classes FROM part WHERE p_partkey < 400),"
+    "+v AS (SELECT p_name AS component, p_brand AS file, 'size' AS type, (p_size % 3)::VARCHAR AS key, p_type AS classes FROM part),"
     " s AS (SELECT component FROM v GROUP BY 1 HAVING count(DISTINCT file) >= 2)"
     " SELECT component, type, key, array_to_string(list_sort(list(DISTINCT classes)), '|') AS values, count(DISTINCT file)::INT AS files FROM v WHERE component IN (SELECT component FROM s) GROUP BY 1, 2, 3 HAVING count(DISTINCT classes) > 1",
     "unused AS (SELECT 1)",
 )
 def variant_inconsistencies(spark, d):
-    v = b.table(spark, d, "part").where("p_partkey < 400").select(F.col("p_name").alias("component"), F.col("p_brand").alias("file"), F.lit("size").alias("type"), (F.col("p_size") % 3).cast("string").alias("key"), F.col("p_type").alias("classes"))
+    v = b.table(spark, d, "part").select(F.col("p_name").alias("component"), F.col("p_brand").alias("file"), F.lit("size").alias("type"), (F.col("p_size") % 3).cast("string").alias("key"), F.col("p_type").alias("classes"))
     return styles.variant_inconsistencies(v).withColumn("values", F.array_join("values", "|"))
 
 
@@ -820,7 +818,7 @@ def replaced_lengths(spark, d):
     return styles.replaced_lengths(b.spacing_values(spark, d), spark.range(1, 30).select((F.col("id") * 16).alias("px")))
 
 
-@query("SELECT p.hex AS color, count(DISTINCT v.value) AS n FROM tc p, vc v WHERE p.seq < 20 AND sqrt(((v.r - p.r) * (v.r - p.r) + (v.g - p.g) * (v.g - p.g) + (v.b - p.b) * (v.b - p.b))::DOUBLE) < 30 GROUP BY 1", b.COLORS)
+@query("SELECT p.hex AS color, count(DISTINCT v.value) AS n FROM tc p, vc v WHERE sqrt(((v.r - p.r) * (v.r - p.r) + (v.g - p.g) * (v.g - p.g) + (v.b - p.b) * (v.b - p.b))::DOUBLE) < 30 GROUP BY 1", b.COLORS)
 def replaced_colors(spark, d):
-    p = b.color_tokens(spark, d).where("seq < 20").select(F.col("hex").alias("color"))
+    p = b.color_tokens(spark, d).select(F.col("hex").alias("color"))
     return styles.replaced_colors(b.color_values(spark, d), p)
