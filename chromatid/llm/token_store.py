@@ -153,14 +153,12 @@ def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes:
-    """From at most SAMPLE_DOCS documents; empty (plain frames) where the sample is too small to train on."""
-    sample = (
-        only(docs, "doc_id", "text")
-        .where(F.char_length("text").between(1, SAMPLE_CHARS))
-        .orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-        .limit(SAMPLE_DOCS)
-        .toPandas()
-    )
+    """From about SAMPLE_DOCS documents, by a share of their hashes; empty (plain frames) where the sample is too small to train on."""
+    rows = only(docs, "doc_id", "text").where(F.char_length("text").between(1, SAMPLE_CHARS))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / float(1 << 63))
+    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
+    # Repeated rows have one hash and count once; a share of the range, so that no task sends more than its part.
+    sample = rows.where(F.col("h") < share).dropDuplicates(["h"]).toPandas().sort_values(["h", "text"]).head(SAMPLE_DOCS)
     pieces = []
     for ids in encoder(tokenizer_path).encode(sample["text"].tolist()):
         raw = _pack(ids, end_id)
