@@ -36,8 +36,9 @@ from chromatid.llm import common
 from chromatid.llm.common import only
 
 CHUNK_BYTES = 1 << 20
-#: The dictionary is trained on so many documents, each of so many characters at most, cut into pieces of so many ids.
+#: The dictionary is trained on so many documents, each of so many bytes at most, cut into pieces of so many ids.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PIECE, DICT_BYTES = 400, 20_000, 512, 32_768
+_ELIGIBLE = f"octet_length(text) BETWEEN 1 AND {SAMPLE_CHARS}"
 _MEMO_WORDS = 800_000
 _SHARD_CHARS = 16 << 20
 _PORTION = 4 << 20
@@ -47,10 +48,37 @@ _loaded: dict = {}
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 #: A Latin-1 word in any case with ASCII punctuation behind it: its ids are its letters' in lower case, then its punctuation's.
 _SIMPLE = re.compile(rf"([{_LETTERS}]*)([,.!?;:%$#*&|()\"\-]*)")
+_LOWER = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: Texts of other characters, or with other than a letter or digit before a comma or full stop, are split at spaces only.
 _UNUSUAL = rf"[^ -~\n{_LETTERS}]|[^0-9{_LETTERS}][,.][ \n]|<\|"
 
 
+class Pieces:
+    """Ids of pieces, one after another in an array that grows; a piece is its place in the order they came."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.begin, self.size, self.used = np.empty(1 << 20, dtype="<u4"), np.empty(1 << 18, dtype="int64"), np.empty(1 << 18, dtype="int64"), 0
+
+    def add(self, pieces: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        at, k = len(self.place), len(pieces)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while at + k > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.size))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[at : at + k], self.size[at : at + k] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+        self.place.update(zip(pieces, range(at, at + k), strict=True))
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces one after another, where each piece's end)."""
+        size = self.size[places]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.begin[places] - (ends - size), size) + np.arange(total)], ends
+
+
 class Encoder:
     """The tokenizer, with a bounded memo of ids by piece.
 
@@ -67,36 +95,38 @@ class Encoder:
         for w, i in words.items():
             self.ends[i] = w.endswith("</w>")
 
-    def _one(self, piece: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+    def _one_by_one(self, known: Pieces, new: list[str]) -> None:
+        ids = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in new]
+        known.add(new, np.array(list(itertools.chain.from_iterable(ids)), dtype="<u4"), np.array([len(x) for x in ids], dtype="int64"))
 
-    def _learn(self, new: list[str], memo: dict[str, tuple[int, ...]]) -> None:
-        pairs = {}
+    def _learn(self, known: Pieces, new: list[str]) -> None:
+        place = known.place
+        letters, pairs, others = [], [], []
         for w in new:
-            if not (w.isalpha() and w.islower() and w.isascii()):
-                m = _SIMPLE.fullmatch(w)
-                pairs[w] = (m[1].lower(), m[2]) if m else None
-        letters = list({w for w in new if w not in pairs} | {p[0] for p in pairs.values() if p and p[0] not in memo})
+            if w.isascii() and w.isalpha() and w.islower() or _LOWER.fullmatch(w):
+                letters.append(w)
+            elif (m := _SIMPLE.fullmatch(w)) and m[1]:
+                pairs.append((w, m[1].lower(), m[2]))
+            else:
+                others.append(w)
+        told = set(letters)
+        letters += {x for _, x, _ in pairs if x not in place and x not in told}
         for k in range(0, len(letters), 2048):
+            # A word of letters is one pre-token, whose last id alone ends a word.
             part = letters[k : k + 2048]
-            ids = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
-                at = 0
-                for w, x in zip(part, cuts.tolist(), strict=True):
-                    memo[w] = tuple(ids[at:x])
-                    at = x
+                known.add(part, ids, np.diff(cuts, prepend=0))
             else:
-                for w in part:
-                    memo[w] = self._one(w)
-        for w, p in pairs.items():
-            if p is None or not p[0]:
-                memo[w] = self._one(w)
-            elif p[1] and p[1] not in memo:
-                memo[p[1]] = self._one(p[1])
-        for w, p in pairs.items():
-            if p and p[0]:
-                memo[w] = memo[p[0]] + (memo[p[1]] if p[1] else ())
+                self._one_by_one(known, part)
+        told = set(others)
+        self._one_by_one(known, others + list({x for _, _, x in pairs if x and x not in place and x not in told}))
+        pairs = [x for x in pairs if x[0] not in place]
+        ends = np.array([(place[x], place[y] if y else -1) for _, x, y in pairs], dtype="int64").reshape(-1, 2)
+        ids, _ = known.take(ends[ends >= 0])
+        size = known.size[ends[:, 0]] + np.where(ends[:, 1] >= 0, known.size[ends[:, 1]], 0)
+        known.add([x[0] for x in pairs], ids, size)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
@@ -109,20 +139,14 @@ class Encoder:
         coded = pieces.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         memo = common.memo(self.name)
-        new = [w for w in words if w not in memo]
-        if len(memo) + len(new) > _MEMO_WORDS:
-            memo.clear()
+        known = memo.setdefault("pieces", Pieces())
+        new = [w for w in words if w not in known.place]
+        if len(known.place) + len(new) > _MEMO_WORDS:
+            known = memo["pieces"] = Pieces()
             new = words
-        self._learn(new, memo)
-        ids = [memo[w] for w in words]
-        n = np.array([len(x) for x in ids], dtype="int64")
-        flat = np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4", count=int(n.sum()))
-        begin = np.cumsum(n) - n
-        of = coded.indices.to_numpy(zero_copy_only=False)
-        each = n[of]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        out = flat[np.repeat(begin[of] - (ends - each), each) + np.arange(total)]
+        self._learn(known, new)
+        places = np.fromiter(map(known.place.__getitem__, words), dtype="int64", count=len(words))
+        out, ends = known.take(places[coded.indices.to_numpy(zero_copy_only=False)])
         edges = np.concatenate([[0], ends])[np.asarray(pieces.offsets)]
         return [out[x:y] for x, y in itertools.pairwise(edges.tolist())]
 
@@ -152,13 +176,11 @@ def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes:
-    """From about SAMPLE_DOCS documents, by a share of their hashes; empty (plain frames) where the sample is too small to train on."""
-    rows = only(docs, "doc_id", "text").where(F.char_length("text").between(1, SAMPLE_CHARS))
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / float(1 << 63))
-    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
+def train_dictionary(docs: DataFrame, eligible: int, tokenizer_path: str, end_id: int) -> bytes:
+    """From about SAMPLE_DOCS of the eligible documents, by a share of their hashes; empty (plain frames) where the sample is too small to train on."""
+    rows = only(docs, "doc_id", "text").where(_ELIGIBLE).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / float(1 << 63))
     # Repeated rows have one hash and count once; a share of the range, so that no task sends more than its part.
-    sample = rows.where(F.col("h") < share).dropDuplicates(["h"]).toPandas().sort_values(["h", "text"]).head(SAMPLE_DOCS)
+    sample = rows.where(F.col("h") < min(1.0, SAMPLE_DOCS / max(1, eligible))).dropDuplicates(["h"]).toPandas().sort_values(["h", "text"]).head(SAMPLE_DOCS)
     pieces = []
     for ids in encoder(tokenizer_path).encode(sample["text"].tolist()):
         raw = _pack(ids, end_id)
@@ -222,12 +244,12 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
     """Encodes every whole text of docs (doc_id, text), appends end_id, and writes the store."""
     spark = docs.sparkSession
     rows = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    dictionary = train_dictionary(docs, tokenizer_path, end_id)
+    total, eligible = rows.agg(F.sum(F.octet_length("text")), F.count_if(F.expr(_ELIGIBLE))).first()
+    dictionary = train_dictionary(docs, eligible, tokenizer_path, end_id)
     spark.createDataFrame(
         [(dict_hash(dictionary), bytearray(dictionary), tokenizer_path, end_id)], "dict_hash string, dictionary binary, tokenizer string, end_id long"
     ).coalesce(1).write.parquet(f"{path}/dictionary")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_chars))
+    shards = max(1, math.ceil((total or 0) / shard_chars))
     # The text's hash splits a doc_id that very many rows share over shards; doc_id stays the order between them.
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(shards, *key).sortWithinPartitions(*key)
