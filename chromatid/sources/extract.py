@@ -42,13 +42,6 @@ USAGES = {
     "hsl": r"(hsla?\([^)]+\))",
     "arbitrary": r"\b([a-z][a-z-]*-\[[^\]\s]+\])",
 }
-# Utility prefixes of arbitrary values by the kind of value they hold.
-ARBITRARY = {
-    "color": "bg text border ring fill stroke from via to outline decoration accent caret divide placeholder shadow".split(),
-    "spacing": "p px py pt pr pb pl m mx my mt mr mb ml gap gap-x gap-y space-x space-y inset top right bottom left".split(),
-    "size": "w h min-w max-w min-h max-h size basis".split(),
-    "radius": ["rounded"],
-}
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
@@ -173,17 +166,6 @@ def classes(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(_all(F.col("content"), r"\bclass(?:Name)?=\"([^\"]*)\"", 1)).alias("pos", "classes"))
 
 
-def arbitrary_values(files: DataFrame) -> DataFrame:
-    """(path, line, full_class, value, kind) of utility classes with arbitrary values, such as ``p-[13px]`` and ``bg-(--brand)``; once a line and class."""
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "line"))
-    found = lines.select("path", (F.col("at") + 1).alias("line"), F.explode(F.array_distinct(_all(F.col("line"), r"(-?[a-z][a-z-]*-(?:\[[^\]\s]+\]|\(--[^)\s]+\)))", 1))).alias("full_class"))
-    prefix, value = F.regexp_extract("full_class", r"^-?([a-z][a-z-]*)-[\[(]", 1), F.regexp_extract("full_class", r"[\[(](.*)[\])]$", 1)
-    kind = F.when(prefix.isin("text") & value.rlike(r"^\d"), "font-size")
-    for name, prefixes in ARBITRARY.items():
-        kind = kind.when(prefix.isin(prefixes), name)
-    return found.select("path", "line", "full_class", value.alias("value"), kind.otherwise("other").alias("kind"))
-
-
 def css_variables(files: DataFrame) -> DataFrame:
     """(path, name, value) of CSS and SCSS variables that files define; the first definition of a name in a file counts."""
     forms = F.concat(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chromatid.operators import aggregate, compare, detect, filters, graph, grouping, match, tokenize
 from chromatid.plans import audit, drift
 from chromatid.sinks import reports
-from chromatid.sources import components, extract, files, history, tokens_json
+from chromatid.sources import components, extract, files, history, markup, tokens_json
 from chromatid.streaming import incremental
 
 
@@ -213,7 +213,6 @@ def test_sources(spark):
     assert {(r.module, r.target) for r in extract.resolve(edges, f).collect()} == {("./button", "src/button.tsx"), ("./all", "src/all/index.ts")}
     assert {(r.package, r.n) for r in extract.packages(edges).collect()} == {("react", 1), ("path", 1), ("lodash", 1)}
     assert {(r.kind, r.name, r.line) for r in extract.usages(f).where("kind = 'hex'").collect()} == {("hex", "#ff0000", 9), ("hex", "#fff", 13)}
-    assert {(r.full_class, r.value, r.kind) for r in extract.arbitrary_values(f).collect()} == {("p-[13px]", "13px", "spacing"), ("bg-[#fff]", "#fff", "color"), ("text-[14px]", "14px", "font-size")}
     c = components.declared(f, "react")
     assert {r.name for r in c.collect()} == {"Panel", "PanelItem", "PanelHeader"}
     assert {(r.root, r.member) for r in components.compounds(c).collect()} == {("Panel", "PanelItem"), ("Panel", "PanelHeader")}
@@ -321,7 +320,7 @@ def test_styles(spark):
     v = frame(spark, "component string, kind string, property string, value string", ("A", "color", "fill", "#fff"), ("A", "fontSize", "font", "12px"), ("B", "shadow", "s", "x"), ("B", "other", "o", "y"))
     assert {(r.entity_id, r.detail) for r in styles.utility_signals(v, styles.utilities(f)).collect()} == {("A", "colors()"), ("A", "getSpacing or spacing() or theme.spacing")}
     assert {(r.category, r.n) for r in styles.utility_summary(v).collect()} == {("color", 1), ("spacing", 1), ("shadow", 1)}
-    a = extract.arbitrary_values(frame(spark, "path string, content string", ("p.tsx", "p-[3px] m-[4px]\nbg-[#abc]")))
+    a = markup.arbitrary_values(frame(spark, "path string, content string", ("p.tsx", "p-[3px] m-[4px]\nbg-[#abc]")))
     assert {(r.entity_id, r.severity, r.location, r.detail) for r in styles.arbitrary_signals(a).collect()} == {("p.tsx", "info", "p.tsx:1", "m-[4px] p-[3px]"), ("p.tsx", "warning", "p.tsx:2", "bg-[#abc]")}
     values = frame(spark, "category string, value string", ("color", "#fff"), ("color", "white"), ("spacing", "4px"), ("font-family", "Arial"))
     one = styles.css_summary(values, frame(spark, "value string", ("var(--x)",), ("#fff",))).first()
