@@ -9,7 +9,7 @@ position less item position) that lie within k of each other. So:
 3. bands that meet the item's bound are regions to check; banded alignment gives the region's least edit distance and its span.
 
 A region counts within k = ``edit_rate`` of the item's bytes, rounded down. Documents are independent rows: no shuffle, and each whole text is
-searched. Items travel to the executors in blocks of at most ``block_bytes``, one pass over the documents a block, so what is sent at
+searched. Items travel to the executors in blocks of about ``block_bytes``, one pass over the documents a block, so what is sent at
 a time doesn't grow with the benchmark.
 
 Null texts hold nothing; null and repeated items are left out and searched once, under their smallest id; items whose normal form is shorter
@@ -210,7 +210,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: floa
     """docs (with a column text) and the array of its regions (item_id, start, end, distance, shared) of benchmark (item_id, text)."""
     items = only(benchmark, "item_id", "text").where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     size = F.octet_length("text")
-    # Items longer than a block are blocks of their own; the others are dealt to as many blocks as their bytes need.
+    # Items are dealt by a hash to as many blocks as their bytes need, so a block has about block_bytes.
     total = items.agg(F.sum(size)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     hits = F.array().cast(_HIT)
