@@ -7,11 +7,13 @@ calibrated on labelled documents held out from training, a last small regression
 every document gets its probability of being good.
 
 Bounds (the fit's; scoring covers every row): at most ``max_labelled`` labelled documents, taken by a hash of doc_id, and ``exchange`` pseudo-labels
-a class, view and round. A fifth of the labelled ones are held out.
+a class, view and round. Where labels are more than that, a class rarer than a tenth of the bound still gets up to a tenth of it, and log-odds are
+shifted back to the true shares. A fifth of each class's labelled documents are held out, one at least; a class's only one is trained on and calibrated on, as without it
+there is nothing to learn.
 
-Null text is empty; null metadata are a category of their own. Documents with several labels count by their mean, a tie as good. Without labels
-of both classes nothing is learned: every document scores the share of good labels, or 1 without any. An empty table gives an empty result;
-repeated rows are scored each; extra columns are ignored (kept by ``keep_good``).
+Null text is empty; null metadata are a category of their own. Documents with several labels count by their mean, a tie as good. Only where no
+document of a class has a label nothing is learned: every document scores the share of good labels, or 1 without any. An empty table gives an empty
+result; repeated rows are scored each; extra columns are ignored (kept by ``keep_good``).
 """
 
 from __future__ import annotations
@@ -137,6 +139,28 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.withColumn("content", F.pandas_udf("array<double>")(_contents)("text")).withColumn("meta", metadata())
 
 
+def quotas(counts: dict[bool, int], most: int) -> dict[bool, int]:
+    """How many labelled documents of each class to take: all, or by the classes' shares but a tenth of most of each (or all it has)."""
+    total = sum(counts.values())
+    if total <= most:
+        return dict(counts)
+    least = max(1, most // 10)
+    out = {c: min(n, max(least, round(most * n / total))) for c, n in counts.items()}
+    largest = max(out, key=out.get)
+    out[largest] = max(1, most - sum(n for c, n in out.items() if c != largest))
+    return out
+
+
+def folds(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each row is held out, and whether it is trained on: every fifth of each class is held out, in order; a class's only row is both."""
+    held, rest = np.zeros(len(y), dtype=bool), np.zeros(len(y), dtype=bool)
+    for c in (0.0, 1.0):
+        at = np.flatnonzero(y == c)
+        held[at[::5]] = True
+        rest[at if len(at) == 1 else np.delete(at, np.s_[::5])] = True
+    return held, rest
+
+
 def train(
     docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, exchange: int = EXCHANGE, rounds: int = ROUNDS, sure: float = SURE
 ) -> tuple[Model, DataFrame]:
@@ -146,27 +170,35 @@ def train(
     table = stored(table.join(good, "doc_id", "left"), "cotrain-features")
     order = F.xxhash64("doc_id", F.lit(17))
     labelled = table.where("good is not null").withColumn("h", F.shiftrightunsigned(order, 1) / float(1 << 63))
-    share = min(1.0, max_labelled / max(1, labelled.count()))
-    # A share of the hashes' range, not the smallest ones: no task sends more than its part. Repeated rows count once.
-    sample = labelled.where(F.col("h") < share).dropDuplicates(["doc_id"]).toPandas().sort_values(["h", "doc_id"], kind="stable").head(max_labelled)
+    counts = {r["good"]: r["count"] for r in labelled.select("doc_id", "good").distinct().groupBy("good").count().collect()}
+    quota = quotas(counts, max_labelled)
+    # A share of the hashes' range (with a margin, so that the quota is met), not the smallest ones: no task sends more than its part. Repeated rows count once.
+    share = {c: 1.0 if n == counts[c] else min(1.0, (n + 6 * n**0.5 + 20) / counts[c]) for c, n in quota.items()}
+    below = F.when(F.col("good"), F.lit(share.get(True, 0.0))).otherwise(F.lit(share.get(False, 0.0)))
+    sample = labelled.where(F.col("h") < below).dropDuplicates(["doc_id"]).toPandas().sort_values(["h", "doc_id"], kind="stable")
+    sample = sample[sample.groupby("good").cumcount() < sample["good"].map(quota).astype("int64")] if len(sample) else sample
     y = sample["good"].to_numpy(dtype=float)
-    held = (np.arange(len(sample)) % 5) == 0
-    if min(y[held].sum(), (1 - y[held]).sum(), y[~held].sum(), (1 - y[~held]).sum()) < 1:
-        return Model(float(y.mean()) if len(y) else 1.0), table
+    total = sum(counts.values())
+    good_share = counts.get(True, 0) / total if total else 1.0
+    if len(counts) < 2:
+        return Model(good_share), table
+    # From the sample's shares of the classes back to those of all labelled documents; 0 where all are taken.
+    prior = float(np.log(counts[True] / counts[False]) - np.log(y.sum() / (1 - y).sum()))
+    held, rest = folds(y)
     views = {v: _matrix(v, sample[v]) for v in ("content", "meta")}
-    have = {v: [(x[~held], y[~held], np.ones((~held).sum()))] for v, x in views.items()}
-    model = Model(float(y.mean()))
+    have = {v: [(x[rest], y[rest], np.ones(rest.sum()))] for v, x in views.items()}
+    model = Model(good_share)
     open_ = table.where("good is null")
     given = {v: set() for v in views}
 
     def refit() -> None:
         for v in views:
             x, t, w = (np.concatenate(part) for part in zip(*have[v], strict=True))
-            setattr(model, v, fit(x, t, w))
+            beta, shift = fit(x, t, w)
+            setattr(model, v, (beta, shift + prior))
 
     refit()
     limit = float(np.log(sure / (1 - sure)))
-    good_share = float(y[~held].mean())
     for _ in range(rounds):
         scored = open_.withColumns({f"z_{v}": model.log_odds(v) for v in views}).withColumn("h", order)
         for v, other in (("content", "meta"), ("meta", "content")):
@@ -183,10 +215,10 @@ def train(
     z = [np.clip(views[v][held] @ getattr(model, v)[0] + getattr(model, v)[1], -30, 30) for v in views]
     one = np.ones(held.sum())
     curves = [fit(x[:, None], y[held], one) for x in z]
-    model.calibration = tuple((float(b[0]), float(c)) for b, c in curves)
+    model.calibration = tuple((float(b[0]), float(c) + prior) for b, c in curves)
     cal = np.column_stack([a * x + b for x, (a, b) in zip(z, model.calibration, strict=True)])
     beta, shift = fit(cal, y[held], one)
-    model.blend = (float(beta[0]), float(beta[1]), float(shift))
+    model.blend = (float(beta[0]), float(beta[1]), float(shift) + prior)
     return model, table
 
 

@@ -269,6 +269,30 @@ def test_classifier_on_awkward_tables(spark):
     assert cotrain.score(df.limit(0), lab).count() == 0
 
 
+def test_classifier_learns_from_rare_classes(spark):
+    junk = [(900 + i, "!!! %%% ### $$$ " * 20, "xx", f"s{i % 3}", 320) for i in range(60)]
+    df = docs(spark, some_docs(120) + junk)
+    # One to four labels of the rare class, wherever the hash puts them.
+    for n in (1, 4):
+        for rare, common in ((1, 0), (0, 1)):
+            rows = [(i, 1, 0) for i in range(n if rare else 100)] + [(900 + i, 0, 0) for i in range(40 if rare else n)]
+            kept = {r.doc_id for r in cotrain.keep_good(df, spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()}
+            assert kept == set(range(120)), (n, rare, common)
+    # Fewer are taken than there are: the rare class is not left out.
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(900, 0, 0), (901, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in cotrain.score(df, lab, max_labelled=30).collect()}
+    assert max(got[900 + i] for i in range(60)) < min(got[i] for i in range(120))
+    assert cotrain.quotas({True: 1_000_000, False: 30_000}, 20_000) == {True: 18_000, False: 2_000} and cotrain.quotas({True: 90, False: 3}, 20) == {True: 18, False: 2}
+
+
+def test_folds_hold_both_classes():
+    for sizes in ((1, 1), (2, 9), (1, 30), (5, 6)):
+        y = np.random.default_rng(4).permutation(np.repeat([0.0, 1.0], sizes))
+        held, rest = cotrain.folds(y)
+        assert all(((y == c) & part).sum() >= 1 for c in (0, 1) for part in (held, rest))
+        assert (held & rest).sum() == sum(n == 1 for n in sizes) and (held | rest).all()
+
+
 def expected_ids(rows):
     from tokenizers import Tokenizer
 
