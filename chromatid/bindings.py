@@ -150,6 +150,12 @@ CLASS_STRINGS = """lines AS (SELECT source AS file, unnest(string_split(text, ch
 class_strings AS (SELECT array_to_string(string_split(t, ' ')[1:3], ' ') AS classes, file FROM lines)"""
 
 
+def class_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole line of every document, as a class list."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "classes"))
+    return d.select("classes", "file", (F.col("pos") + 1).alias("line"))
+
+
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """USES supplier to part, CHANGED order to supplier, AUTHORED customer to order, all distinct."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")

@@ -275,6 +275,16 @@ def class_duplicates(spark, d):
     return aggregate.class_duplicates(b.class_strings(spark, d))
 
 
+@query()
+def class_patterns_lines(spark, d):
+    return aggregate.class_patterns(b.class_lines(spark, d))
+
+
+@query()
+def class_duplicates_lines(spark, d):
+    return aggregate.class_duplicates(b.class_lines(spark, d))
+
+
 _SIZED = "'p-' || p_size || ' m-' || (p_partkey % 7) || ' text-' || CASE p_partkey % 3 WHEN 0 THEN 'sm' WHEN 1 THEN 'lg' ELSE 'body' END || ' flex'"
 
 

@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables; the others for their invariants."""
 
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -40,6 +41,19 @@ def test_queries_without_sql_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_class_lists_are_whole_lines(spark):
+    files = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("source", "text").where("text is not null").collect():
+        for line in r.text.split("\n"):
+            files.setdefault(" ".join(sorted(x for x in re.split(r"[ \t\n\x0b\f\r]+", line) if x)), []).append(r.source)
+    files.pop("", None)
+    rows = {p: (len(f), len(set(f))) for p, f in files.items()}
+    got = {r.pattern: (r.n, r.files) for r in QUERIES["class_patterns_lines"](spark, SF).collect()}
+    assert got == {p: x for p, x in rows.items() if x[0] >= 2} and max(len(p.split(" ")) for p in got) > 3
+    got = {r.pattern: (r.n, r.files) for r in QUERIES["class_duplicates_lines"](spark, SF).collect()}
+    assert got == {p: x for p, x in rows.items() if x[1] >= 2 and len(p.split(" ")) >= 3} and max(len(p.split(" ")) for p in got) > 3
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
