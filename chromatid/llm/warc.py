@@ -5,6 +5,10 @@ WARC-Refers-To, and have a block digest of their own. Record ids are name-based
 
 Each response is turned on its own: no shuffle, whatever their sizes. Null body: empty; null address, date or headers: left out;
 repeated responses give repeated records; an empty table gives an empty result; extra columns are ignored.
+
+From WARC files, payloads stay bytes and digests are the source's own (or else made from these bytes). Text is decoded by the HTTP headers only for the
+records' contents; payloads that aren't text, or are in an encoding unknown here (as br), have none. Files are read by Spark's readers line by
+line and records put together as they come: a task holds a record and a batch of lines, not a file.
 """
 
 from __future__ import annotations
@@ -13,9 +17,11 @@ import base64
 import gzip
 import hashlib
 import html as entities
+import itertools
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,10 +65,10 @@ def _headers(raw: str) -> dict[str, str]:
     return {k.strip(): v.strip() for k, _, v in pairs}
 
 
-def derive(record_id: str, uri: str | None, date: str | None, http: str | None, body: str | None) -> list[tuple]:
-    """The two records of one response, in _RECORD's order without source_id."""
+def derive(record_id: str, uri: str | None, date: str | None, http: str | None, body: str | None, payload: str | None = None) -> list[tuple]:
+    """The two records of one response, in _RECORD's order without source_id. payload: its digest, made from body if it isn't known."""
     page, http = body or "", http or ""
-    payload = digest(page.encode("utf-8", "replace"))
+    payload = payload or digest(page.encode("utf-8", "replace"))
     title = _TITLE.search(page)
     meta = {
         "Envelope": {
@@ -94,14 +100,15 @@ def _derive_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = [
                 (r.source_id, *x)
                 for r in pdf.iloc[k : k + 256].itertuples(index=False)
-                for x in derive(r.record_id, r.target_uri, r.warc_date, r.http_headers, r.body)
+                for x in derive(r.record_id, r.target_uri, r.warc_date, r.http_headers, r.body, getattr(r, "payload_digest", None))
             ]
             yield pd.DataFrame(rows, columns=names)
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
-    """Metadata and conversion records of responses (source_id, record_id, target_uri, warc_date, http_headers, body), all strings."""
-    return only(responses, "source_id", "record_id", "target_uri", "warc_date", "http_headers", "body").mapInPandas(_derive_all, _RECORD)
+    """Metadata and conversion records of responses (source_id, record_id, target_uri, warc_date, http_headers, body, and payload_digest if there), all strings."""
+    known = [c for c in responses.columns if c == "payload_digest"]
+    return only(responses, "source_id", "record_id", "target_uri", "warc_date", "http_headers", "body", *known).mapInPandas(_derive_all, _RECORD)
 
 
 def responses_of_pages(pages: DataFrame, warc_date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -139,34 +146,163 @@ def write_members(records: DataFrame, path: str) -> None:
     records.mapInPandas(run, "record_id string, member binary").write.parquet(path)
 
 
+#: Bytes that are unpacked at once.
+_PIECE = 1 << 22
+
+
+def gunzip(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The contents of gzip members laid end to end, or plain chunks as they are."""
+    first = b""
+    while len(first) < 2 and (piece := next(chunks, None)) is not None:
+        first += piece
+    if first[:2] != b"\x1f\x8b":
+        yield from itertools.chain([first], chunks)
+        return
+    member, over = zlib.decompressobj(31), b""
+    for chunk in itertools.chain([first], chunks):
+        data = over + chunk
+        over = b""
+        while data:
+            if member.eof:
+                if len(data) < 2:  # may be half of a member's first bytes
+                    over = data
+                    break
+                if data[:2] != b"\x1f\x8b":
+                    return
+                member = zlib.decompressobj(31)
+            yield (out := member.decompress(data, _PIECE))
+            while not member.eof and len(out) == _PIECE:
+                yield (out := member.decompress(member.unconsumed_tail, _PIECE))
+            data = member.unused_data
+
+
+def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of the records of a WARC file that comes in pieces, gzip members or plain; one record is held at a time."""
+    data, rest = bytearray(), gunzip(iter(chunks))
+
+    def more() -> bool:
+        piece = next(rest, None)
+        data.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (at := data.find(b"WARC/")) < 0:
+            del data[:-4]
+            if not more():
+                return
+        del data[:at]
+        start = 0
+        while (end := data.find(b"\r\n\r\n", start)) < 0:
+            start = max(0, len(data) - 3)
+            if not more():
+                return
+        head = _headers(data[:end].decode("utf-8", "replace"))
+        stop = end + 4 + int(head.get("Content-Length", 0))
+        while len(data) < stop and more():
+            pass
+        yield head, bytes(data[end + 4 : stop])
+        del data[:stop]
+
+
 def parse(data: bytes) -> list[dict[str, str]]:
     """Records of a WARC file, gzip members or plain: their headers, and the block under ``block``."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    return [head | {"block": block.decode("utf-8", "replace")} for head, block in records(iter([data]))]
+
+
+def _unchunked(data: bytes) -> bytes:
+    """The contents of HTTP's chunks; data as it is where they don't fit."""
     out, at = [], 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            break
-        head = _headers(data[at:end].decode("utf-8", "replace"))
-        n = int(head.get("Content-Length", 0))
-        out.append(head | {"block": data[end + 4 : end + 4 + n].decode("utf-8", "replace")})
-        at = end + 4 + n
-    return out
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(data[at:end].split(b";")[0], 16)
+        except ValueError:
+            return data
+        if n == 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return data
+
+
+def decoded(http: str, payload: bytes) -> str:
+    """The text of a payload by its HTTP headers: chunks, compression and charset (or the page's own, or UTF-8, or else Windows-1252)."""
+    head = {k.lower(): v for k, v in _headers(http).items()}
+    kind = head.get("content-type", "").lower()
+    if kind and not re.match(r"\s*(text/|[\w.+-]+/[\w.+-]*(xml|html|json|javascript))", kind):
+        return ""
+    if "chunked" in head.get("transfer-encoding", "").lower():
+        payload = _unchunked(payload)
+    for coding in reversed([x.strip() for x in head.get("content-encoding", "").lower().split(",")]):
+        if coding in ("gzip", "x-gzip"):
+            if payload[:2] == b"\x1f\x8b":  # crawlers may keep the header of what they have unpacked
+                try:
+                    payload = b"".join(gunzip(iter([payload])))
+                except zlib.error:
+                    return ""
+        elif coding == "deflate":
+            for bits in (15, -15):
+                try:
+                    payload = zlib.decompressobj(bits).decompress(payload)
+                    break
+                except zlib.error:
+                    pass
+        elif coding not in ("", "identity"):
+            return ""
+    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind)
+    own = re.search(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?([\w.:-]+)|<\?xml[^>]{0,100}?encoding\s*=\s*[\"']([\w.:-]+)", payload[:2048], re.I)
+    if payload[:3] == b"\xef\xbb\xbf":
+        return payload[3:].decode("utf-8", "replace")
+    if payload[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return payload.decode("utf-16", "replace")
+    for charset in (named and named[1], own and (own[1] or own[2]).decode("ascii", "replace")):
+        if charset:
+            try:
+                return payload.decode(charset, "replace")
+            except (LookupError, UnicodeError):  # unknown here, or not a charset
+                pass
+    try:
+        return payload.decode("utf-8")
+    except UnicodeDecodeError:
+        return payload.decode("cp1252", "replace")
+
+
+#: Rows and bytes of payloads that read_responses() hands over at once.
+_ROWS, _BYTES = 256, 1 << 24
+_RESPONSE = (
+    "source_id string, record_id string, target_uri string, warc_date string, http_headers string, body string, payload binary, payload_digest string"
+)
+
+
+def _responses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = re.findall(r"(\w+) (?:string|binary)", _RESPONSE)
+    pieces = ((file, b"\n".join([*part["line"], b""])) for pdf in batches for file, part in pdf.groupby("file", sort=False))
+    rows, size = [], 0
+    for _, own in itertools.groupby(pieces, key=lambda x: x[0]):
+        for head, block in records(x[1] for x in own):
+            if head.get("WARC-Type") != "response":
+                continue
+            http, _, payload = block.partition(b"\r\n\r\n")
+            http = http.decode("utf-8", "replace")
+            key = head.get("WARC-Record-ID")
+            rows.append(
+                (key, key, head.get("WARC-Target-URI"), head.get("WARC-Date"), http, decoded(http, payload), payload, head.get("WARC-Payload-Digest") or digest(payload))
+            )
+            size += len(payload)
+            if len(rows) >= _ROWS or size >= _BYTES:
+                yield pd.DataFrame(rows, columns=names)
+                rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of the WARC files at path, as derivatives() takes them. Each file is read by one task."""
+    """Response records of the WARC files at path, as derivatives() takes them, with the payload as it came.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for data in pdf["content"]:
-                rows = []
-                for r in parse(bytes(data)):
-                    if r.get("WARC-Type") == "response":
-                        http, _, body = r["block"].partition("\r\n\r\n")
-                        rows.append((r.get("WARC-Record-ID"), r.get("WARC-Record-ID"), r.get("WARC-Target-URI"), r.get("WARC-Date"), http, body))
-                yield pd.DataFrame(rows, columns=["source_id", "record_id", "target_uri", "warc_date", "http_headers", "body"])
-
-    schema = "source_id string, record_id string, target_uri string, warc_date string, http_headers string, body string"
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    A task streams a .gz file, which can't be split; other files' lines are sorted back to their order, which spills if it must.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    )
+    whole = F.lower("file").endswith(".gz")
+    split = lines.where(~whole).withColumn("k", F.monotonically_increasing_id()).repartition("file").sortWithinPartitions("file", "start", "k")
+    return lines.where(whole).select("line", "file").mapInPandas(_responses, _RESPONSE).union(split.select("line", "file").mapInPandas(_responses, _RESPONSE))

@@ -141,6 +141,47 @@ def test_warc_files_are_read(spark, tmp_path):
     assert {r.record_type for r in warc.derivatives(warc.read_responses(spark, str(tmp_path))).collect()} == {"metadata", "conversion"}
 
 
+def test_warc_payloads_stay_bytes(spark, tmp_path):
+    def record(k, head, payload, digest=""):
+        block = f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + payload
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{k}>\r\n{digest}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    latin, squeezed = "<p>Grüße\r\n</p>".encode("latin-1"), gzip.compress("<p>Ωmega</p>".encode(), mtime=0)
+    cases = {
+        "a": ("Content-Type: text/html; charset=ISO-8859-1", latin, "", "Grüße"),
+        "b": ("Content-Type: text/html\r\nContent-Encoding: gzip", squeezed, "", "Ωmega"),
+        "c": ("Content-Type: image/png", bytes(range(256)) * 300, "", ""),
+        "d": ("Content-Type: text/html", b"<p>kept</p>", "WARC-Payload-Digest: sha1:OWN\r\n", "kept"),
+        "e": ("Content-Type: text/html\r\nTransfer-Encoding: chunked", b"3\r\n<p>\r\n4\r\nx y \r\n0\r\n\r\n", "", "x y"),
+        "f": ("Content-Type: text/html", latin, "", "Grüße"),
+    }
+    members = [record(k, head, payload, own) for k, (head, payload, own, _) in cases.items()]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, members)))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, members)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(members * 5))
+    (tmp_path / "zipped.warc").write_bytes(b"".join(map(gzip.compress, members)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")  # plain files are split
+    try:
+        responses = warc.read_responses(spark, str(tmp_path))
+        got = responses.collect()
+        out = [r for r in warc.derivatives(responses).collect() if r.record_type == "conversion"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == len(out) == 8 * len(cases)
+    want = {f"<{k}>": own[21:-2] or "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode() for k, (_, payload, own, _) in cases.items()}
+    assert all(bytes(r.payload) == cases[r.record_id[1]][1] and r.payload_digest == want[r.record_id] for r in got)
+    assert all(r.source_digest == want[r.source_id] and r.block == cases[r.source_id[1]][3] for r in out)
+
+
+def test_warc_records_come_in_pieces():
+    data = b"".join(warc.serialize({"record_type": "conversion", "record_id": f"<{k}>", "refers_to": None, "target_uri": None, "warc_date": None, "block_digest": None, "content_type": None, "block": "WARC/ é" * k}) for k in range(9))
+    for raw in (data, gzip.decompress(data)):
+        for n in (1, 7, 100_000):
+            found = list(warc.records(raw[i : i + n] for i in range(0, len(raw), n)))
+            assert [(h["WARC-Record-ID"], b.decode()) for h, b in found] == [(f"<{k}>", "WARC/ é" * k) for k in range(9)]
+
+
 def vectors():
     rng = np.random.default_rng(6)
     rows = []
