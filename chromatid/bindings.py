@@ -193,6 +193,14 @@ IMPORT_EDGES = """imports AS (SELECT DISTINCT src, dst FROM
   (SELECT p_partkey AS src, unnest([p_partkey // 2, p_partkey // 3]) AS dst FROM part WHERE p_partkey >= 2) WHERE dst >= 1)"""
 
 
+def looped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The imports, and parts in rings of 12: k imports k + 1, and the last of a ring its first."""
+    k = F.col("p_partkey")
+    first = F.greatest(F.lit(1), k - 11)
+    ring = table(spark, sf_dir, "part").select(F.lit("IMPORTS").alias("type"), k.alias("src"), F.when(k % 12 == 11, first).otherwise(k + 1).alias("dst"))
+    return import_edges(spark, sf_dir).union(ring).distinct()
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     author = F.concat(F.when(F.col("o_orderkey") % 2 == 0, F.lit("User")).otherwise(F.lit("user")), F.col("o_custkey").cast("string"))

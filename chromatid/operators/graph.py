@@ -132,9 +132,52 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.union(edges.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("kind"), "type", "n"))
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) that are left when those from nodes without in-edges and to nodes without out-edges are dropped, again and again."""
+    n = edges.count()
+    while True:
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edges = durable(kept.select("src", "dst"))
+        if (left := edges.count()) == n:
+            return edges
+        n = left
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """(id, component) of every node on a cycle of any length: component is the smallest id of its strongly connected component.
+
+    Each node learns the smallest id that reaches it and the smallest that it reaches; where these agree they name its component. The rest goes on
+    within equal pairs, as no cycle crosses them. A round of the labels takes a step, so there are as many as the longest way to a smallest id.
+    """
+    e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    loops = e.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
+    found = loops.limit(0)
+    e = _trimmed(durable(e.where("src <> dst")))
+    while not e.isEmpty():
+        labels = durable(e.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("f"), F.col("id").alias("b")))
+        while True:
+            down = e.join(labels.select(F.col("id").alias("src"), "f"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("f").alias("f2"))
+            up = e.join(labels.select(F.col("id").alias("dst"), "b"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("b").alias("b2"))
+            both = labels.join(down, "id", "left").join(up, "id", "left")
+            labels = durable(both.select("id", F.least("f", "f2").alias("f"), F.least("b", "b2").alias("b"), (F.coalesce(F.col("f2") < F.col("f"), F.lit(False)) | F.coalesce(F.col("b2") < F.col("b"), F.lit(False))).alias("moved")))
+            if labels.where("moved").isEmpty():
+                break
+        same = labels.where("f = b").select("id", F.col("f").alias("component"))
+        found = durable(found.union(same.join(same.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("id", "component")))
+        open_ = labels.where("f <> b")
+        ends = e.join(open_.select(F.col("id").alias("src"), F.col("f").alias("f1"), F.col("b").alias("b1")), "src").join(open_.select(F.col("id").alias("dst"), "f", "b"), "dst")
+        e = _trimmed(durable(ends.where("f = f1 and b = b1").select("src", "dst")))
+    return found.union(loops.join(found.select("id"), "id", "left_anti"))
+
+
 def cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
-    """(cycle, length) of simple cycles up to a length: node ids joined by ``>``, beginning at the smallest, each cycle once."""
-    e = edges.select("src", "dst").distinct()
+    """(cycle, length) of simple cycles up to a length: node ids joined by ``>``, beginning at the smallest, each cycle once.
+
+    Their number grows exponentially with their length; cycle_nodes() finds the nodes of all cycles.
+    """
+    at = cycle_nodes(edges)
+    e = edges.select("src", "dst").distinct().join(at.select(F.col("id").alias("src"), F.col("component").alias("c")), "src").join(at.withColumnRenamed("id", "dst"), "dst")
+    e = durable(e.where("c = component").select("src", "dst"))
     paths = durable(e.where("src < dst").select(F.array("src", "dst").alias("path")))
     found = e.where("src = dst").select(F.array("src").alias("path"))
     for _ in range(max_length - 1):

@@ -644,6 +644,11 @@ def dependency_cycles(spark, d):
     return graph.cycles(spark.range(20).select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % 20).alias("dst")))
 
 
+@query()
+def dependency_cycle_nodes(spark, d):
+    return graph.cycle_nodes(b.looped_edges(spark, d))
+
+
 @query("SELECT src, dst FROM imports", b.IMPORT_EDGES)
 def dependency_graph(spark, d):
     return b.import_edges(spark, d).select("src", "dst").distinct()

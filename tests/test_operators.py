@@ -1,6 +1,7 @@
 """Order-dependent operators against plain Python, detectors and sources on small fixtures."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -348,3 +349,19 @@ def test_searches(spark):
     assert [(r.parent, r.n) for r in search.potential_variants(v).collect()] == [("B", 2)]
     s = frame(spark, "o array<string>", (["sm", "md", "lg"],), (["lg", "sm"],), (["x"],))
     assert [r.ok for r in s.select(search.sizes_in_order(F.col("o")).alias("ok")).collect()] == [True, False, True]
+
+
+def test_nodes_on_cycles_of_any_length(spark):
+    rng = random.Random(5)
+    pairs = {(rng.randrange(40), rng.randrange(40)) for _ in range(52)} | {(100 + i, 100 + (i + 1) % 11) for i in range(11)} | {(39, 105), (107, 200), (200, 201), (300, 300)}
+    nodes = {x for p in pairs for x in p}
+    reach = {x: {b for a, b in pairs if a == x} for x in nodes}
+    for k in nodes:
+        for x in nodes:
+            if k in reach[x]:
+                reach[x] |= reach[k]
+    want = {x: min([x, *(y for y in reach[x] if x in reach[y])]) for x in nodes if x in reach[x]}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    got = graph.cycle_nodes(edges).collect()
+    assert {r.id: r.component for r in got} == want and len(got) == len(want) and want[110] == 100
+    assert graph.cycle_nodes(edges.where("src between 100 and 109")).count() == 0
