@@ -1,13 +1,16 @@
 """Style in markup and code: inline objects and bindings, utility classes, directives, routes, stories, design files, raw signals.
 
-Files are (path, content). All but ``design_nodes`` are regular expressions inside Spark.
+Files are (path, content). Most are regular expressions inside Spark; what may run over several lines or needs balanced braces is found in Python, over the whole
+content, at the line it begins on.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +58,79 @@ def _lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
 
 
+_CODE = re.compile(r"""//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`|[{}]""", re.S)
+_IN_TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
+_OPENINGS = {
+    "styles": re.compile(r"""style=\{\s*\{|:style="\s*\{|\[ngStyle\]="\s*\{"""),
+    "classes": re.compile(r"class(?:Name)?=\{\s*`"),
+    "apply": re.compile(r"@apply\s+([^;}]+)"),
+}
+
+
+def _block(text: str, at: int) -> tuple[str, int] | None:
+    """What stands between a brace that opened before at and the one that closes it, without comments, and where it ends."""
+    out, depth, start = [], 1, at
+    while m := _CODE.search(text, at):
+        at = m.end()
+        if m[0][:2] in ("//", "/*"):
+            out.append(text[start : m.start()])
+            start = at
+        elif m[0] == "`":
+            if (inner := _template(text, at)) is None:
+                return None
+            at = inner[1]
+        elif m[0] in "{}":
+            depth += 1 if m[0] == "{" else -1
+            if not depth:
+                return "".join([*out, text[start : m.start()]]), at
+    return None
+
+
+def _template(text: str, at: int) -> tuple[str, int] | None:
+    """A template literal that opened before at, with ``*`` for what is filled in, and where it ends."""
+    out = []
+    while m := _IN_TEMPLATE.search(text, at):
+        out.append(text[at : m.start()])
+        at = m.end()
+        if m[0] == "`":
+            return "".join(out), at
+        if m[0] == "${":
+            if (inner := _block(text, at)) is None:
+                return None
+            at = inner[1]
+        out.append("*" if m[0] == "${" else m[0])
+    return None
+
+
+def _found(kind: str, text: str) -> Iterator[tuple[int, str]]:
+    line, at = 1, 0
+    for m in _OPENINGS[kind].finditer(text):
+        line, at = line + text.count("\n", at, m.start()), m.start()
+        if kind == "apply":
+            yield line, m[1]
+        elif kind == "styles":
+            if inner := _block(text, m.end()):
+                yield line, inner[0]
+        elif (inner := _template(text, m.end())) and text.count("${", m.end(), inner[1]) and re.compile(r"\s*\}").match(text, inner[1]):
+            yield line, inner[0]
+
+
+def _spans(files: DataFrame, kind: str) -> DataFrame:
+    """(path, line, text) of style objects, templates of classes or @apply lists, over any number of lines."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, n, t) for p, c in zip(pdf["path"], pdf["content"], strict=True) if c is not None for n, t in _found(kind, c)]
+            yield pd.DataFrame(rows, columns=["path", "line", "text"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, line int, text string")
+
+
+def _joined(text: str) -> Column:
+    """Lines as one, with a space between."""
+    return F.trim(F.regexp_replace(text, r"\s*\n\s*", " "))
+
+
 def arbitrary_kind(utility: Column, value: Column) -> Column:
     """What an arbitrary value sets: by its utility, and for those of several types by the value."""
     length = value.rlike(r"^-?\d*\.?\d+(px|rem|em)$")
@@ -79,7 +155,7 @@ def arbitrary_values(files: DataFrame) -> DataFrame:
 
 def apply_directives(files: DataFrame) -> DataFrame:
     """(path, line, classes) of @apply directives."""
-    return _lines(files).select("path", "line", F.explode(_all("text", r"@apply\s+([^;}]+)", 1)).alias("classes")).withColumn("classes", F.trim("classes"))
+    return _spans(files, "apply").select("path", "line", _joined("text").alias("classes"))
 
 
 def static_classes(files: DataFrame) -> DataFrame:
@@ -92,8 +168,7 @@ def static_classes(files: DataFrame) -> DataFrame:
 
 def dynamic_classes(files: DataFrame) -> DataFrame:
     """(path, line, pattern) of template literals in class attributes, with ``*`` for what is filled in."""
-    found = _lines(files).select("path", "line", F.explode(_all("text", r"class(?:Name)?=\{`([^`]*\$\{[^`]*)`\}", 1)).alias("t"))
-    return found.select("path", "line", F.regexp_replace("t", r"\$\{[^}]*\}", "*").alias("pattern")).distinct()
+    return _spans(files, "classes").select("path", "line", _joined("text").alias("pattern")).distinct()
 
 
 def state_classes(files: DataFrame) -> DataFrame:
@@ -109,9 +184,8 @@ def state_classes(files: DataFrame) -> DataFrame:
 
 def inline_styles(files: DataFrame) -> DataFrame:
     """(path, line, property, value) of style objects (``style={{…}}``, ``:style="{…}"``, ``[ngStyle]="{…}"``) and style bindings (``[style.x.px]="…"``); properties in kebab case."""
-    objects = r"""(?:style=\{\{|:style="\{|\[ngStyle\]="\{)([^{}]*)\}"""
     pair = r"""['"]?([a-zA-Z-]+)['"]?\s*:\s*(?:'([^']*)'|"([^"]*)"|(-?\d+(?:\.\d+)?))"""
-    body = _lines(files).select("path", "line", F.explode(_all("text", objects, 1)).alias("body"))
+    body = _spans(files, "styles").withColumnRenamed("text", "body")
     parts = F.arrays_zip(*[_all("body", pair, i).alias(n) for i, n in ((1, "p"), (2, "a"), (3, "b"), (4, "n"))])
     o = body.select("path", "line", F.explode(parts).alias("x"))
     px = F.when(F.col("x.n") != "", F.concat("x.n", F.lit("px")))

@@ -30,6 +30,24 @@ def test_utility_classes(spark):
     assert {(r.kind, r.state) for r in markup.state_classes(f).collect()} == {("data", "state=open"), ("aria", "checked"), ("group", "hover"), ("peer", "focus")}
 
 
+def test_styles_and_classes_over_several_lines(spark):
+    code = """<div
+  style={{
+    color: '#abc', // don't: '1'
+    ...(on ? { padding: 8 } : {}),
+    margin: 4,
+  }}
+  className={`btn-${on ? `x-${y}` : "}"}
+    flex`}
+/>
+.a { @apply flex
+    p-2; }"""
+    f = frame(spark, ("a.tsx", code), ("b.tsx", "style={{ color: 'red'"), ("c.tsx", None))
+    assert {(r.line, r.property, r.value) for r in markup.inline_styles(f).collect()} == {(2, "color", "#abc"), (2, "padding", "8px"), (2, "margin", "4px")}
+    assert [(r.line, r.pattern) for r in markup.dynamic_classes(f).collect()] == [(7, "btn-* flex")]
+    assert [(r.line, r.classes) for r in markup.apply_directives(f).collect()] == [(10, "flex p-2")]
+
+
 def test_inline_styles_and_signals(spark):
     s = markup.inline_styles(frame(spark, ("a.tsx", TSX)))
     got = {(r.line, r.property, r.value) for r in s.collect()}
