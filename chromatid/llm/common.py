@@ -1,21 +1,25 @@
-"""What the training-data operators share: reading, durable intermediate tables, connected components.
+"""What the training-data operators share: reading, durable intermediate tables, joins by hot keys, connected components.
 
 Executors may be lost at any time, so lineage is cut only by files in the shared folder that the session names in
-``spark.checkpoint.dir``; a folder of our own is made only where that setting is missing (tests, a laptop).
+``spark.checkpoint.dir``; a folder of our own is made only where that setting is missing and driver and executors are one process.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Expands a key into words: runs of letters, digits and underscore, in lower case.
-WORD_PATTERN = r"\w+"
+#: A word: a run of letters, marks, digits and underscores.
+WORD_PATTERN = r"[\p{L}\p{M}\p{N}_]+"
+#: Bytes of rows that Spark hands to a Python worker at once, where an operator writes its own tables.
+BATCH_BYTES = 16 << 20
+_stored: list[str] = []
 
 
 _memos: dict[str, dict] = {}
@@ -51,6 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="chromatid-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
@@ -61,14 +67,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Bounds the bytes of the batches that jobs run in this block hand to Python workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: a cut in the lineage that outlives executors and has a measured size."""
+    """Writes df as Parquet into the shared folder and reads it back: a cut in the lineage that outlives executors and has a measured size.
+
+    The files stay until drop_stored() is called, as results are read from them later.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with batches_of(spark):
+        df.write.parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes what stored() has written in this session, but the files that keep reads directly."""
+    kept = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
+    left = []
+    for path in _stored:
+        if path.split(":", 1)[-1].lstrip("/") in kept:
+            left.append(path)
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _stored[:] = left
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for narrow tables in loops; Spark's cleaner removes it once nothing refers to it."""
     shared_dir(df.sparkSession)
@@ -79,26 +115,37 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """The equi-join of rows with one row a key: groups (key, n, ...), where n says how many of the ``total`` rows have the key.
+
+    Keys with more rows than two tasks' fair share would gather in one task, so those are broadcast and their rows stay where they are. There are at most
+    half as many such keys as shuffle partitions, whatever the tables' sizes; all other rows meet in a shuffle by the key.
+    """
+    fair = 2 * total // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy, light = F.broadcast(groups.where(F.col("n") > fair)), groups.where(F.col("n") <= fair)
+    apart = rows.join(heavy, key)
+    return rows.join(F.broadcast(groups.where(F.col("n") > fair).select(key)), key, "left_anti").join(light, key).select(apart.columns).union(apart)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in the undirected edges (src, dst): component is the smallest id reachable.
 
-    Alternates the large-star and small-star steps: each is one grouped minimum and one equi-join, and the edge count never
-    grows, so a hub of any degree costs a skewed join that adaptive execution can split, never a group in one task.
+    Alternates the large-star and small-star steps: each is one grouped minimum, which is partly taken before its shuffle, and one join back by
+    join_groups(), so a hub of any degree is never a group in one task. The edge count never grows.
     """
-    spark = edges.sparkSession
     e = (
         edges.where("src <> dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct()
     )
     e = checkpointed(e)
-    last = None
+    last, count = None, e.count()
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_groups(both, low, "u", 2 * count).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_groups(large, low, "u", count)
         e = checkpointed(
             small.select("u", F.col("m").alias("v"))
             .union(small.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
@@ -107,7 +154,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == last:
             break
-        last = tuple(now)
+        last, count = tuple(now), now[0]
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(

@@ -1,42 +1,45 @@
 """N-gram Jaccard self-join by MinHash banding.
 
-A text's n-grams are runs of five words; words are runs of letters and digits in lower case. A text of one to four words has
+A text's n-grams are runs of five words; words are runs of letters, marks, digits and underscores in lower case. A text of one to four words has
 one n-gram, itself. Two documents are linked where the Jaccard similarity of their n-gram sets is at least the threshold.
 
-1. Every text becomes a fingerprint of its n-gram set and MinHash values in bands; the numbers of bands and rows follow from the
-   target recall at the threshold (``band_plan``). Documents with one fingerprint are one representative with a count.
-2. Representatives are shuffled on their band hashes; those that share one are joined to the smallest of them, a star, never pairwise.
-   Connected components of the stars hold all candidate pairs.
-3. Candidates' n-gram sets are made anew from their texts. A component is dealt to tiles of about ``tile_rows`` representatives by a hash; each pair
-   of tiles is one group, in which the pairs that share a band are verified on the full sets. It returns each representative's
-   number of links and a spanning forest of the links, never the pairs.
-4. Components of the verified forests are the classes.
+1. Spark's expressions cut texts into words and hash them. Every text becomes a fingerprint of its n-gram set and MinHash values in bands; the
+   numbers of bands and rows follow from the target recall at the threshold (``band_plan``). Documents with one fingerprint are one
+   representative with a count.
+2. Representatives are shuffled on their band hashes. A bucket is the representatives that share one; a bucket whose members all share an earlier
+   band's bucket as well is left out, as every pair of it is verified there.
+3. The members' n-gram sets are made anew from their texts. A bucket is dealt to tiles of about ``tile_rows`` representatives (fewer, if their sets are
+   large) by a hash; each pair of tiles is one group, in which the pairs that share this band and none before are verified on the
+   full sets. It returns each representative's number of links and a spanning forest of the links, never the pairs.
+4. Connected components of the verified forests are the classes.
 
 Counts include copies: a document's n_links is the number of all other documents linked with it directly. A class's id is its smallest doc_id.
 
 Null and word-less texts link with nothing and are their own class. Null doc_ids are rows like others; a class of nothing else has a
-null id. Repeated rows are copies. N-grams and fingerprints are 64-bit hashes: two sets are taken for one with a chance of 2^-64.
+null id. Repeated rows are copies. Very long texts are whole sets like others: the largest thing a task holds is two tiles' sets, about 2 * ``tile_grams``
+n-grams and two texts' own. N-grams and fingerprints are 64-bit hashes: two sets are taken for one with a chance of 2^-64.
 Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromatid.llm.common import WORD_PATTERN, connected_components, forest, free_name, memo, only, runs, stored
+from chromatid.llm.common import WORD_PATTERN, connected_components, forest, free_name, join_groups, only, runs, stored, text_of
 
-N, THRESHOLD, RECALL = 5, 0.8, 0.9995
+N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: At this similarity, at most this share of pairs may become candidates.
 UNLIKE, UNLIKE_SHARE = 0.3, 0.03
-_WORDS = re.compile(WORD_PATTERN)
+#: A tile holds about so many representatives, and about so many n-grams.
+TILE_ROWS, TILE_GRAMS = 256, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,21 +52,16 @@ def band_plan(threshold: float = THRESHOLD, recall: float = RECALL, unlike: floa
     return bands, rows
 
 
-def ngrams(text: str | None, n: int = N) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's n-grams."""
-    words = _WORDS.findall((text or "").lower())
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    known = memo("words")
-    if len(known) > 500_000:
-        known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    h = np.array(out, dtype=np.uint64)
+def word_hashes(column: str = "text") -> Column:
+    """The text's words in order, each as a 64-bit hash."""
+    return F.transform(F.regexp_extract_all(F.lower(text_of(column)), F.lit(WORD_PATTERN), F.lit(0)), lambda w: F.xxhash64(w))
+
+
+def ngrams(words: np.ndarray, n: int = N) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-grams of a text's word hashes."""
+    h = words.view(np.uint64)
+    if not len(h):
+        return h
     k = max(1, len(h) - n + 1)
     total = np.zeros(k, dtype=np.uint64)
     for i in range(min(n, len(h))):
@@ -74,16 +72,17 @@ def ngrams(text: str | None, n: int = N) -> np.ndarray:
 
 def _multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240501)
-    return rng.integers(1, 1 << 32, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, count, dtype=np.uint64)
+    return rng.integers(1, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, count, dtype=np.uint32)
 
 
 def signature(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit hash a band, of the smallest value of each of its hash functions."""
+    """One 64-bit hash a band, of the smallest value of each of its hash functions (of the n-grams' upper 32 bits)."""
     a, b = _multipliers(bands * rows)
-    low = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(grams), 1024):
-        low = np.minimum(low, (grams[k : k + 1024, None] * a[None, :] + b[None, :]).min(axis=0))
-    low = (low >> np.uint64(20)).reshape(bands, rows)
+    x = (grams >> np.uint64(32)).astype(np.uint32)
+    low = np.full(bands * rows, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for k in range(0, len(x), 512):
+        low = np.minimum(low, (x[k : k + 512, None] * a[None, :] + b[None, :]).min(axis=0))
+    low = low.astype(np.uint64).reshape(bands, rows)
     out = np.arange(1, bands + 1, dtype=np.uint64) * _MIX
     for r in range(rows):
         out = (out ^ low[:, r]) * _MIX
@@ -95,33 +94,47 @@ def _fingerprint(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes())
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _lists(batch: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
+    """The rows of a column of arrays of longs."""
+    c = batch.column(column)
+    flat, at = c.flatten().to_numpy(zero_copy_only=False), c.offsets.to_numpy() - c.offsets[0].as_py()
+    return (flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True))
 
 
 def _sketch(bands: int, rows: int):
-    def run(texts: pd.Series) -> pd.DataFrame:
-        prints, counts, marks = [], [], []
-        for t in texts.tolist():
-            g = ngrams(t)
-            counts.append(len(g))
-            prints.append(_fingerprint(g))
-            marks.append(_signed(signature(g, bands, rows)) if len(g) else None)
-        return pd.DataFrame({"fp": _signed(np.array(prints, dtype=np.uint64)), "n_grams": counts, "bands": marks})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, counts, marks = [], [], []
+            for words in _lists(batch, "words"):
+                g = ngrams(words)
+                counts.append(len(g))
+                prints.append(_fingerprint(g))
+                marks.append(signature(g, bands, rows) if len(g) else np.empty(0, dtype=np.uint64))
+            ends = np.cumsum([0, *map(len, marks)])
+            flat = np.concatenate([*marks, np.empty(0, dtype=np.uint64)]).view(np.int64)
+            columns = [
+                batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(counts, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "n_grams", "bands"])
 
     return run
 
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds the n-gram sets as bytes; a representative that repeated rows bring twice to a task passes once."""
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the words by the n-gram set as bytes; a representative that repeated rows bring again to a task mostly passes once."""
     seen: set[int] = set()
-    for pdf in batches:
-        for k in range(0, len(pdf), 500):
-            part = pdf.iloc[k : k + 500]
-            part = part[~part["fp"].isin(seen) & ~part["fp"].duplicated()]
-            sets = [ngrams(t) for t in part["text"]]
-            seen.update(part["fp"].tolist())
-            yield part.drop(columns="text").assign(grams=[g.tobytes() for g in sets])
+    for batch in batches:
+        if len(seen) > 200_000:
+            seen.clear()
+        keep, sets = [], []
+        for k, (fp, words) in enumerate(zip(batch.column("fp").to_pylist(), _lists(batch, "words"), strict=True)):
+            if fp not in seen:
+                seen.add(fp)
+                keep.append(k)
+                sets.append(ngrams(words).tobytes())
+        rest = batch.select([c for c in batch.schema.names if c != "words"]).take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], names=[*rest.schema.names, "grams"])
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -145,103 +158,139 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(sets: list[np.ndarray], bands: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs that share a band and reach the threshold on their full sets."""
-    candidate = np.zeros((len(sets), len(sets)), dtype=bool)
-    for b in range(bands.shape[1]):
-        candidate |= bands[:, b][:, None] == bands[:, b][None, :]
-    np.fill_diagonal(candidate, False)
+def verified(sets: list[np.ndarray], candidate: np.ndarray, threshold: float) -> np.ndarray:
+    """Boolean matrix of the candidate pairs (a symmetric matrix) that reach the threshold on their full sets."""
+    out = np.zeros_like(candidate)
+    some = np.flatnonzero(candidate.any(axis=1))
     size = np.array([len(s) for s in sets], dtype=float)
     i, j = np.nonzero(np.triu(candidate))
-    out = np.zeros_like(candidate)
-    if len(i) <= 4 * len(sets):
+    # Sets whose sizes alone keep them apart need no look.
+    near = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+    i, j = i[near], j[near]
+    if len(i) <= 4 * len(some):
         both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], dtype=float)
     else:
-        both = _shared(sets)[i, j]
+        place = np.cumsum(candidate.any(axis=1)) - 1
+        both = _shared([sets[x] for x in some])[place[i], place[j]]
     # In whole numbers, but for the threshold: shared >= threshold * union.
     ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
     out[i[ok], j[ok]] = out[j[ok], i[ok]] = True
     return out
 
 
+def first_shared(bands: np.ndarray, band: int, hash_: int) -> np.ndarray:
+    """Boolean matrix of the pairs of rows that share this band and none before it."""
+    of = bands[:, band] == hash_
+    out = of[:, None] & of[None, :]
+    for b in range(band):
+        out &= bands[:, b][:, None] != bands[:, b][None, :]
+    np.fill_diagonal(out, False)
+    return out
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        src, dst, links = [], [], []
-        for (_, a, b), pdf in runs(batches, ["component", "a", "b"]):
+        src, dst, links, held = [], [], [], 0
+        for (band, hash_, a, b), pdf in runs(batches, ["band", "hash", "a", "b"]):
             pdf = pdf.drop_duplicates("fp")
-            if len(pdf) < 2:
-                continue
-            sets = [np.frombuffer(g, dtype=np.uint64) for g in pdf["grams"]]
-            linked = verified(sets, np.array(pdf["bands"].tolist()), threshold)
+            candidate = first_shared(np.array(pdf["bands"].tolist()), int(band), int(hash_))
             if a != b:  # pairs within a tile belong to the group of that tile alone
                 first = (pdf["tile"] == a).to_numpy()
-                linked &= first[:, None] != first[None, :]
+                candidate &= first[:, None] != first[None, :]
+            if not candidate.any():
+                continue
+            linked = verified([np.frombuffer(g, dtype=np.uint64) for g in pdf["grams"]], candidate, threshold)
             ids, root = pdf["fp"].to_numpy(), forest(linked)
             some = np.flatnonzero(linked.any(axis=1))
             src.append(ids[some])
             dst.append(ids[root[some]])
             links.append((linked @ pdf["copies"].to_numpy())[some])
-            if sum(map(len, src)) > 20_000:
+            held += len(some)
+            if held > 20_000:
                 yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "links": np.concatenate(links).astype("int64")})
-                src, dst, links = [], [], []
-        if src:
+                src, dst, links, held = [], [], [], 0
+        if held:
             yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "links": np.concatenate(links).astype("int64")})
 
     return run
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile_rows: int = 256) -> DataFrame:
+def buckets(reps: DataFrame, bands: int, tile_rows: int, tile_grams: int) -> DataFrame:
+    """(fp, in): the buckets (band, hash, tiles) that each representative has to be verified in, an array of at most as many as there are bands."""
+    banded = reps.select("fp", F.posexplode("bands").alias("band", "hash"))
+    shared = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = stored(banded.join(shared, ["band", "hash"]), "ngram-buckets")
+    before = [F.col("band") > b for b in range(bands)]
+    # An earlier band that has one value for all members holds all their pairs.
+    per = (
+        members.join(reps.select("fp", "n_grams", F.col("bands").alias("all")), "fp")
+        .groupBy("band", "hash")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"),
+            *[F.min(F.when(before[b], F.get("all", F.lit(b)))).alias(f"lo{b}") for b in range(bands)],
+            *[F.max(F.when(before[b], F.get("all", F.lit(b)))).alias(f"hi{b}") for b in range(bands)],
+        )
+    )
+    held = F.lit(False)
+    for b in range(bands):
+        held = held | F.coalesce(F.col(f"lo{b}") == F.col(f"hi{b}"), F.lit(False))
+    tiles = F.greatest(F.ceil(F.col("n") / float(tile_rows)), F.ceil(F.col("grams") / float(tile_grams))).cast("int")
+    kept = per.where(~held).select("band", "hash", F.least(tiles, F.col("n").cast("int")).alias("tiles"))
+    return members.join(kept, ["band", "hash"]).groupBy("fp").agg(F.collect_list(F.struct("band", "hash", "tiles")).alias("in"))
+
+
+def classes(
+    docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile_rows: int = TILE_ROWS, tile_grams: int = TILE_GRAMS
+) -> DataFrame:
     """(doc_id, text_hash, class_key, class_id, n_links) for every row of docs (doc_id, text).
 
     text_hash is Spark's xxhash64 of the text; class_key is one for each class, and null for texts without words. Both help callers that
     pick a row of each class.
     """
     bands, rows = band_plan(threshold, recall)
-    sketch = F.pandas_udf("fp long, n_grams long, bands array<long>")(_sketch(bands, rows))
     texts = only(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    sketched = stored(texts.withColumn("s", sketch("text")).select("doc_id", "text_hash", "s.fp", "s.n_grams", "s.bands"), "ngram-sketches")
-
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    sketched = texts.select("doc_id", "text_hash", word_hashes().alias("words")).mapInArrow(
+        _sketch(bands, rows), f"doc_id {kind}, text_hash long, fp long, n_grams long, bands array<long>"
+    )
+    sketched = stored(sketched, "ngram-sketches")
     reps = stored(
         sketched.where("n_grams > 0")
         .groupBy("fp")
         .agg(
-            F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands")
+            F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"),
+            F.first("n_grams").alias("n_grams"),
         ),
         "ngram-reps",
     )
-    banded = reps.select("fp", F.posexplode("bands").alias("band", "hash"))
-    hubs = banded.groupBy("band", "hash").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = banded.join(hubs, ["band", "hash"]).where("fp <> hub").select(F.col("fp").alias("src"), F.col("hub").alias("dst"))
-    groups = stored(connected_components(stars).select(F.col("id").alias("fp"), "component"), "ngram-groups")
-    tiles = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / float(tile_rows)).cast("int").alias("tiles"))
-    wanted = (
-        reps.join(groups.join(tiles, "component"), "fp")
-        .withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles").cast("long")).cast("int"))
-        .select("fp", F.col("row.doc_id").alias("w_id"), F.col("row.text_hash").alias("w_hash"), "copies", "bands", "component", "tile", "tiles")
-    )
-    candidates = texts.join(wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select(
-        "text", "fp", "copies", "bands", "component", "tile", "tiles"
+    wanted = reps.join(buckets(reps, bands, tile_rows, tile_grams), "fp").select(
+        "fp", F.col("row.doc_id").alias("w_id"), F.col("row.text_hash").alias("w_hash"), "copies", "bands", "in"
     )
-    sets = candidates.mapInPandas(_grams, "fp long, copies long, bands array<long>, component long, tile int, tiles int, grams binary")
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "component", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "fp", "copies", "bands", "grams"
+    sets = (
+        texts.join(wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+        .select("fp", "copies", "bands", "in", word_hashes().alias("words"))
+        .mapInArrow(_grams, "fp long, copies long, bands array<long>, in array<struct<band: int, hash: bigint, tiles: int>>, grams binary")
     )
-    found = paired.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b").mapInPandas(_verify(threshold), "src long, dst long, links long")
+    dealt = sets.withColumn("x", F.explode("in")).select("fp", "copies", "bands", "grams", "x.*")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    paired = dealt.select("band", "hash", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "fp", "copies", "bands", "grams")
+    key = ["band", "hash", "a", "b"]
+    found = paired.repartition(*key).sortWithinPartitions(*key).mapInPandas(_verify(threshold), "src long, dst long, links long")
     found = stored(found, "ngram-links")
 
     links = found.groupBy(F.col("src").alias("fp")).agg(F.sum("links").alias("rep_links"))
     joined = connected_components(found.select("src", "dst")).select(F.col("id").alias("fp"), "component")
     of_rep = reps.select("fp", "copies", "min_id").join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = of_rep.groupBy("component").agg(F.min("min_id").alias("class_id"))
-    of_rep = of_rep.join(ids, "component").join(links, "fp", "left").select(
-        "fp", F.col("component").alias("class_key"), "class_id", (F.coalesce("rep_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("known")
-    )
-    out = sketched.select("doc_id", "text_hash", "fp", "n_grams").join(of_rep, "fp", "left")
-    alone = F.col("known").isNull() | (F.col("n_grams") == 0)
-    return out.select(
-        "doc_id", "text_hash", F.when(~alone, F.col("class_key")).alias("class_key"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-    )
+    of_rep = stored(of_rep.join(links, "fp", "left"), "ngram-members")
+    ids = of_rep.groupBy("component").agg(F.min("min_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    totals = of_rep.agg(F.count(F.lit(1)), F.sum("copies")).first()
+    of_rep = join_groups(of_rep, ids, "component", totals[0]).select(
+        "fp", F.col("copies").alias("n"), F.col("component").alias("class_key"), "class_id", (F.coalesce("rep_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    )
+    out = sketched.where("n_grams > 0").select("doc_id", "text_hash", "fp")
+    out = join_groups(out, of_rep, "fp", totals[1] or 0).select("doc_id", "text_hash", "class_key", "class_id", F.col("n_links").cast("long").alias("n_links"))
+    none = sketched.where("n_grams = 0").select("doc_id", "text_hash", F.lit(None).cast("long"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long"))
+    return out.union(none)
 
 
 def join(docs: DataFrame, **options) -> DataFrame:

@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from chromatid.llm import cotrain, decontam, mixing, ngram_join, token_store
-from chromatid.llm.common import connected_components, forest, new_path
+from chromatid.llm.common import WORD_PATTERN, connected_components, forest, new_path
 from chromatid.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -55,7 +56,7 @@ def test_connected_components_and_forest(spark):
 
 
 def grams(text):
-    w = re.findall(r"\w+", (text or "").lower())
+    w = regex.findall(WORD_PATTERN, (text or "").lower())
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
