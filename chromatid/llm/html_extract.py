@@ -1,23 +1,30 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node of a page belongs to the path of open tags from the root down to it. Nodes are gathered by path: characters, nodes,
-punctuation marks, and characters inside links. A path's two ratios (characters a node, punctuation marks a node) are smoothed over the
-paths that come next to it in page order, fused into one score, and paths over a threshold relative to the page's mean hold content,
-but those that are mostly links.
-Paths through menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments never do, by tag, role
-or class name; a page with an ``article`` or ``main`` element has its content below it, so there the ratios judge only what isn't marked.
+Every text node of a page belongs to the path of open tags from the root down to it (a tag with what its class, id or role marks). Nodes are
+gathered by path: characters, nodes, punctuation marks, and characters inside links. A path's two ratios (unlinked characters a node, punctuation
+marks a node) are smoothed over the paths that come next to it in page order and fused into one score relative to the page's mean.
 
+1. Paths over the threshold, but those that are mostly links, hold content. The content's region is the ``article`` and ``main`` elements that hold
+   enough of its characters, or else the deepest element that holds most of them.
+2. What is known of a path is a prior that its score is multiplied with: high inside the region, where short blocks next to content count as well; low outside;
+   near nothing where a class, id or role names menus, adverts, notices, comments and the like; nothing below tags that never hold content.
+   Paths over the threshold after that are selected, but for mostly linked ones that aren't headings of the region.
+
+A class name counts as a mark only if all its words do (``menu-bar``, ``related-posts``, but not ``menu-of-the-day`` or ``related-work``).
 Blocks are what block-level tags delimit; inline tags and ``br`` don't end one. Character references are decoded, white space in a
 block becomes one space, blocks are trimmed and joined in page order by a line feed.
 
-Null or empty html gives an empty text; markup that never closes runs to the end of the page; a page without any markup is one
-block of text and is returned as it is. Pages are independent rows: repeated rows and long pages need no shuffle, extra columns are ignored.
+Null or empty html gives an empty text; a page without any markup is one block of text and is returned as it is. Malformed markup keeps its text: a tag
+ends at the first ``>`` that isn't within a whole quoted value, and comments and elements without content that never end are taken for their
+start tag alone, but scripts and styles run to the end of the page. Pages are independent rows, read once from start to end in
+time and memory that grow with their length alone: repeated rows and very long pages need no shuffle, extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -26,135 +33,229 @@ from pyspark.sql import functions as F
 
 from chromatid.llm.common import only
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A tag from its ``<`` on; a quote begins a value after ``=`` only, and only if what follows its end can follow a value.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>=]++|=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>]))?+|[\"'])*+)>")
+_ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 #: Elements that have no end tag.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line of text; all others delimit blocks.
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: Elements whose contents aren't text of the page.
+_SKIPPED = frozenset("script style template noscript svg iframe textarea select title".split())
 #: Elements that never hold content.
-_BOILER_TAGS = frozenset("nav header footer aside form button dialog menu head title".split())
-#: Words of class names, ids and roles that mark what isn't content.
-_BOILER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav|navigation|navbar|menu\w*|breadcrumbs?|sidebars?|footer|cookies?|consent|notices?|gdpr|popup|modal"
-    r"|newsletter|subscribe|share|social|comments?|replies|disqus|related)(?:$|[\s_-])",
-    re.I,
+_BOILER_TAGS = frozenset("nav header footer aside form button dialog menu head title template noscript svg iframe textarea select".split())
+#: Words of class names, ids and roles that mark what isn't content, and words that may stand beside them.
+_BOILER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion nav navigation navbar menu menus breadcrumb breadcrumbs sidebar sidebars"
+    " footer cookie cookies consent notice notices gdpr popup modal newsletter subscribe share sharing social comment comments reply replies respond disqus related recommended".split()
+)
+_BESIDE = frozenset(
+    "area bar block body bottom box button buttons container content form group holder icons inner items left link links list main mobile module outer panel post posts article"
+    " articles reader readers user users page primary right row secondary section site slot stories thread title toolbar top unit widget wrap wrapper banner header message text".split()
 )
-#: Words that mark what isn't content outside an article only; inside one they may name its own heading.
-_PAGE_WORDS = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner|widget|complementary|contentinfo|search|login|signup)(?:$|[\s_-])", re.I)
+#: Words that mark what isn't content outside an article only, as inside one they may name its own heading, and words beside them.
+_PAGE_WORDS = frozenset("header masthead banner widget widgets complementary contentinfo search login signup".split())
+_PAGE_BESIDE = frozenset("site page global top main bar box form container wrapper wrap inner area left right".split())
 #: Elements that a new start tag of the same kind ends where its end tag is missing, and the elements that stop the search for it.
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("html body article main section div ul ol dl table blockquote nav header footer aside form".split())
 #: Block elements before which an open p ends.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold text rather than other blocks; regions are made of others.
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead table ul ol dl blockquote pre figcaption caption".split())
 _PUNCTUATION = re.compile(r"[.,;:!?。，！？…]")
+_SPACES = re.compile(r"\s+")
 #: Weights of a path, the next ones and the ones after those; and the threshold as a share of the page's mean score.
 SMOOTHING, THRESHOLD = (1.0, 0.5, 0.25), 0.5
+#: Priors of paths: inside the region, outside where there is one, and marked ones wherever they are; all others' is 1.
+INSIDE, OUTSIDE, MARKED = 20.0, 0.1, 0.02
+#: Shares of the content's characters that articles must hold to be its region, and that another element must.
+ARTICLES_HOLD, REGION_HOLDS = 0.25, 0.8
 
 
 class Block:
-    """A run of text: its tag path, whether it is marked as boilerplate, and the number of the article or main that it is in (0: none)."""
+    """A run of text: number of its tag path, of its element, and of the article or main that it is in (0: none)."""
+
+    __slots__ = ("element", "link", "path", "root", "text")
+
+    def __init__(self, path: int, element: int, root: int):
+        self.path, self.element, self.root, self.text, self.link = path, element, root, [], 0
+
 
-    __slots__ = ("boiler", "link", "path", "root", "text")
+class Page:
+    """A page's blocks in order. Paths are a tree: (parent, tag, prior of marks) by number; elements have parents and tags by number."""
 
-    def __init__(self, path: str, boiler: bool, root: int):
-        self.path, self.boiler, self.root, self.text, self.link = path, boiler, root, [], 0
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.paths: list[tuple[int, str, float]] = [(0, "", 1.0)]
+        self.parents, self.tags = [0], [""]
+        self._number: dict[tuple[int, str, float], int] = {}
+        self._read(page)
 
+    def _path(self, parent: int, tag: str, prior: float) -> int:
+        key = (parent, tag, prior)
+        n = self._number.get(key)
+        if n is None:
+            n = self._number[key] = len(self.paths)
+            self.paths.append(key)
+        return n
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order, each with its tag path."""
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate here or above, number of the article or main here or above
-    out: list[Block] = []
-    now: Block | None = None
-    links = roots = 0
+    def _read(self, page: str) -> None:
+        stack: list[tuple[str, int, int, int]] = []  # tag; path, element and article or main number here or above
+        places: dict[str, list[int]] = defaultdict(list)  # of each tag, in the stack
+        outer: list[int] = []  # places of elements that aren't inline
+        scopes: list[dict[str, list[int]]] = [defaultdict(list)]  # places by tag since each element of _SCOPE
+        now: Block | None = None
+        links = roots = 0
+        over: set[str] = set()  # ends that don't come any more
 
-    def put(text: str) -> None:
-        nonlocal now
-        if not text:
-            return
-        if now is None:
-            if text.isspace():
+        def put(text: str) -> None:
+            nonlocal now
+            if not text:
                 return
-            outer = [t for t, _, _ in stack if t not in _INLINE]
-            now = Block("/".join(outer), bool(stack) and stack[-1][1], stack[-1][2] if stack else 0)
-            out.append(now)
-        now.text.append(text)
-        now.link += len(text) if links else 0
-
-    def close(k: int) -> None:
-        nonlocal now, links
-        for tag, _, _ in stack[k:]:
-            links -= tag == "a"
-            if tag not in _INLINE:
+            if now is None:
+                if text.isspace():
+                    return
+                _, path, element, root = stack[outer[-1]] if outer else ("", 0, 0, 0)
+                now = Block(path, element, root)
+                self.blocks.append(now)
+            now.text.append(text)
+            now.link += len(text) if links else 0
+
+        def close(k: int) -> None:
+            nonlocal now, links
+            while len(stack) > k:
+                tag = stack.pop()[0]
+                links -= tag == "a"
+                places[tag].pop()
+                if tag in _SCOPE:
+                    scopes.pop()
+                scopes[-1][tag].pop()
+                if tag not in _INLINE:
+                    outer.pop()
+                    now = None
+
+        def find(what: str, at: int) -> int:
+            if what in over:
+                return -1
+            k = page.find(what, at)
+            if k < 0:
+                over.add(what)
+            return k
+
+        at = begin = 0  # where the search goes on, where the text that isn't put yet begins
+        while True:
+            at = page.find("<", at)
+            if at < 0 or (end := find(">", at)) < 0:
+                break
+            after = page[at + 1 : at + 2]
+            if after in "!?":
+                put(page[begin:at])
+                if page.startswith("<!--", at) and (k := find("-->", at + 4)) >= 0:
+                    end = k + 2
+                at = begin = end + 1
+                continue
+            m = _TAG.match(page, at) if after == "/" or after.isalpha() and after.isascii() else None
+            if m is None and (after == "/" or not after.isascii() or not after.isalpha()):
+                if after != "/":
+                    at += 1  # a less-than sign
+                    continue
+                put(page[begin:at])
+                at = begin = end + 1
+                continue
+            put(page[begin:at])
+            if m is None:
+                shut, tag, attributes = False, re.match(r"[^\s/>]*", page[at + 1 : end])[0].lower(), page[at + 1 : end]
+            else:
+                shut, tag, attributes, end = bool(m[1]), m[2].lower(), m[3], m.end() - 1
+            at = begin = end + 1
+            if shut:
+                if places[tag] and not (tag in _INLINE and outer and outer[-1] > places[tag][-1]):
+                    close(places[tag][-1])
+                elif tag not in _INLINE:
+                    now = None
+                continue
+            if tag in _SKIPPED:
+                k = -1
+                if (what := f"</{tag}") not in over:
+                    found = re.compile(rf"{what}(?![\w-])[^>]*+>?", re.I).search(page, at)
+                    if found:
+                        k = found.end()
+                    else:
+                        over.add(what)
+                if k < 0 and tag in ("script", "style"):
+                    return
+                if k >= 0:
+                    if tag not in _INLINE:
+                        now = None
+                    at = begin = k
+                    continue
                 now = None
-        del stack[k:]
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        put(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            continue
-        if m[2]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None and not (tag in _INLINE and any(t not in _INLINE for t, _, _ in stack[k + 1 :])):
-                close(k)
-            elif tag not in _INLINE:
+                continue
+            if tag not in _INLINE:
                 now = None
-            continue
-        if tag not in _INLINE:
-            now = None
-        if tag == "br":
-            put(" ")
-        if tag in _VOID:
-            continue
-        ends = _SELF_CLOSING.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-        if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in _SCOPE:
-                    break
-        _, boiler, root = stack[-1] if stack else ("", False, 0)
-        if not boiler:
-            # Inside an article, header holds the article's own heading.
-            boiler = tag in _BOILER_TAGS and not (tag == "header" and root)
-            boiler = boiler or bool(m[4]) and _marked(tag, m[4], root > 0)
-        links += tag == "a"
-        if not root and tag in ("article", "main"):
-            roots += 1
-            root = roots
-        stack.append((tag, boiler, root))
-    put(page[at:])
-    return out
+            if tag == "br":
+                put(" ")
+            if tag in _VOID:
+                continue
+            ends = [x[-1] for t in (*_SELF_CLOSING.get(tag, ()), *(("p",) if tag in _ENDS_P else ())) if (x := scopes[-1].get(t))]
+            if ends:
+                close(max(ends))
+            _, path, element, root = stack[-1] if stack else ("", 0, 0, 0)
+            if tag not in _INLINE:
+                prior = self.paths[path][2]
+                if prior:
+                    # Inside an article, header holds the article's own heading.
+                    if tag in _BOILER_TAGS and not (tag == "header" and root):
+                        prior = 0.0
+                    elif attributes and _marked(tag, attributes, root > 0):
+                        prior = MARKED
+                path = self._path(path, tag, prior)
+                self.parents.append(element)
+                self.tags.append(tag)
+                element = len(self.parents) - 1
+                outer.append(len(stack))
+            if not root and tag in ("article", "main"):
+                roots += 1
+                root = roots
+            links += tag == "a"
+            places[tag].append(len(stack))
+            scopes[-1][tag].append(len(stack))
+            stack.append((tag, path, element, root))
+            if tag in _SCOPE:
+                scopes.append(defaultdict(list))
+        put(page[begin:])
+
+
+def _words(name: str) -> set[str]:
+    return {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_A-Za-z]+", name)}
 
 
 def _marked(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main") and not inside:
         return False
-    names = " ".join(a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(attributes))
-    return bool(_BOILER_WORDS.search(names) or not inside and _PAGE_WORDS.search(names))
+    for a in _ATTRIBUTE.findall(attributes):
+        for name in (a[0] or a[1] or a[2]).split():
+            words = _words(name)
+            if words & _BOILER_WORDS and words <= _BOILER_WORDS | _BESIDE or not inside and words & _PAGE_WORDS and words <= _PAGE_WORDS | _PAGE_BESIDE:
+                return True
+    return False
 
 
-def path_scores(paths: list[str], chars: np.ndarray, nodes: np.ndarray, marks: np.ndarray, linked: np.ndarray) -> np.ndarray:
+def path_scores(chars: np.ndarray, nodes: np.ndarray, marks: np.ndarray, linked: np.ndarray) -> np.ndarray:
     """Fused score of each path, in page order: the mean of two smoothed ratios, each relative to its mean over the page's nodes."""
-    score = np.zeros(len(paths))
+    score = np.zeros(len(chars))
     for what in (chars - linked, marks):
         ratio = what / nodes
-        smooth = np.zeros(len(paths))
-        weight = np.zeros(len(paths))
+        smooth = np.zeros(len(chars))
+        weight = np.zeros(len(chars))
         for d, w in enumerate(SMOOTHING):
             for s in {d, -d}:
-                k = np.arange(len(paths)) + s
-                ok = (k >= 0) & (k < len(paths))
+                k = np.arange(len(chars)) + s
+                ok = (k >= 0) & (k < len(chars))
                 smooth[ok] += w * ratio[k[ok]]
                 weight[ok] += w
         smooth /= weight
@@ -163,24 +264,66 @@ def path_scores(paths: list[str], chars: np.ndarray, nodes: np.ndarray, marks: n
     return score
 
 
-def main_text(page: str | None) -> str:
-    found = [(b, re.sub(r"\s+", " ", entities.unescape("".join(b.text))).strip()) for b in blocks(page or "")]
-    found = [(b, t) for b, t in found if t and not b.boiler]
+def _region(page: Page, mass: dict[int, int], total: int) -> int:
+    """The deepest element that isn't made for text and holds most of the content's characters; 0 if that is the whole page."""
+    held = [0] * len(page.parents)
+    for element, chars in mass.items():
+        held[element] += chars
+    best = 0
+    for e in range(len(held) - 1, 0, -1):  # children come after their parents
+        if best == 0 and held[e] >= REGION_HOLDS * total and page.tags[e] not in _TEXT_TAGS:
+            best = e
+        held[page.parents[e]] += held[e]
+    return best if page.tags[best] not in ("html", "body") else 0
+
+
+def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
+    page = Page(html or "")
+    found = [(b, _SPACES.sub(" ", entities.unescape("".join(b.text))).strip()) for b in page.blocks]
+    found = [(b, t) for b, t in found if t and page.paths[b.path][2] > 0]
     if not found:
         return ""
-    paths = list(dict.fromkeys(b.path for b, _ in found))
-    place = {p: i for i, p in enumerate(paths)}
-    chars, nodes, marks, linked = (np.zeros(len(paths)) for _ in range(4))
+    place = {p: i for i, p in enumerate(dict.fromkeys(b.path for b, _ in found))}
+    chars, nodes, marks, linked = (np.zeros(len(place)) for _ in range(4))
     for b, t in found:
         i = place[b.path]
         chars[i] += len(t)
         nodes[i] += 1
         marks[i] += len(_PUNCTUATION.findall(t))
         linked[i] += min(b.link, len(t))
-    content = (path_scores(paths, chars, nodes, marks, linked) >= THRESHOLD) & (2 * linked <= chars)
-    # Content below an article or main makes that element the content: its headings and short blocks belong to it as well.
-    roots = {b.root for b, _ in found if b.root and content[place[b.path]]}
-    return "\n".join(t for b, t in found if (b.root in roots if roots else content[place[b.path]]))
+    score = path_scores(chars, nodes, marks, linked) * np.array([page.paths[p][2] for p in place])
+    plain = 2 * linked <= chars
+    content = (score >= threshold) & plain
+
+    mass: dict[int, int] = defaultdict(int)
+    of_root: dict[int, int] = defaultdict(int)
+    for b, t in found:
+        if content[place[b.path]]:
+            mass[b.element] += len(t)
+            of_root[b.root] += len(t)
+    total = sum(mass.values())
+    roots = {r for r in of_root if r} if total - of_root[0] >= ARTICLES_HOLD * total else set()
+    region = _region(page, mass, total) if total and not roots else 0
+    inside = [False] * len(page.parents)
+    for e in range(1, len(inside)):
+        inside[e] = e == region or inside[page.parents[e]]
+
+    out = []
+    for b, t in found:
+        i, tag = place[b.path], page.paths[b.path][1]
+        # Where the region is the whole page, elements made for text belong to it.
+        within = b.root in roots if roots else inside[b.element] if region else tag in _TEXT_TAGS
+        marked = page.paths[b.path][2] < 1
+        prior = 1.0 if marked else INSIDE if within else OUTSIDE if roots or region else 1.0
+        if score[i] * prior >= threshold and (plain[i] or within and tag in _HEADINGS and not marked):
+            out.append(t)
+    return "\n".join(out)
+
+
+def page_text(html: str) -> str:
+    """All text that a reader would see, one block a line."""
+    lines = (_SPACES.sub(" ", entities.unescape("".join(b.text))).strip() for b in Page(html).blocks)
+    return "\n".join(x for x in lines if x)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:

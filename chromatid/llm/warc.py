@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromatid.llm.common import only
-from chromatid.llm.html_extract import blocks
+from chromatid.llm.html_extract import page_text
 
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 _LINK = re.compile(r"<(a|link|img|script|iframe|form|area|source)\b([^>]*)>", re.I)
@@ -46,12 +46,6 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def plain_text(page: str) -> str:
-    """All text that a reader would see, one block a line."""
-    lines = (re.sub(r"\s+", " ", entities.unescape("".join(b.text))).strip() for b in blocks(page))
-    return "\n".join(x for x in lines if x)
-
-
 def links(page: str) -> list[dict[str, str]]:
     out = []
     for m in _LINK.finditer(_COMMENT.sub("", page)):
@@ -85,7 +79,7 @@ def derive(record_id: str, uri: str | None, date: str | None, http: str | None,
     out = []
     for kind, content_type, block in (
         ("metadata", "application/json", json.dumps(meta, ensure_ascii=False, separators=(",", ":"))),
-        ("conversion", "text/plain", plain_text(page)),
+        ("conversion", "text/plain", page_text(page)),
     ):
         data = block.encode("utf-8", "replace")
         name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id}#{kind}')}>"

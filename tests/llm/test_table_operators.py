@@ -8,7 +8,9 @@ import html
 import json
 import math
 import re
+import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -94,12 +96,42 @@ def test_article_texts_of_the_test_pages(spark):
         ("<!-- <p>no</p> --><article>bare</article>", "bare"),
         ("<nav>only a menu</nav>", ""),
         ("<article><p>" + "long text. " * 30_000 + "</p></article>", ("long text. " * 30_000).strip()),
+        ("<article><p>See <a href=foo\">this</a> now.</p><p>Second paragraph, here.</p><p>Third.</p></article>", "See this now.\nSecond paragraph, here.\nThird."),
+        ("<article><p>See <a href=\"foo>this</a> now.</p><p>Second <a href=\"x\">one</a>, here.</p></article>", "See this now.\nSecond one, here."),
+        ("<article><p>x <!-- y <p>text, here.</p></article>", "x text, here."),
+        ("<article><p title='<b>no</b>'>a < b, and c > d.</p><title>u</article>", "a < b, and c > d.\nu"),
+        ("<body><div id=content><h1>Title</h1><p>A long enough sentence, with marks, and more of it.</p><ul><li>one</li><li>two</li></ul></div><div>x</div></body>", "Title\nA long enough sentence, with marks, and more of it.\none\ntwo"),
+        ("<article><h1>T</h1><p>A long text, with marks. Yes.</p><section id='related-work'><h2>Related work</h2><p>Others did it, too.</p></section><div class='menu-of-the-day'><p>Soup, then fish.</p></div><div class='relatedPosts'><p>Some other long text, with marks, to read.</p></div><div class='comment-list'><p>I like it, really, it is good.</p></div></article>", "T\nA long text, with marks. Yes.\nRelated work\nOthers did it, too.\nSoup, then fish."),
+        ("<article><h2><a href=1>Linked heading</a></h2><p>Body text, long enough to be content. Sure.</p><ul><li><a href=1>rel one</a></li><li><a href=2>rel two</a></li></ul></article>", "Linked heading\nBody text, long enough to be content. Sure."),
+        ("<main><div class='sidebar'><p>Side text, long and good, with marks.</p></div><article>The text, which is short.</article></main>", "The text, which is short."),
     ],
 )
 def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_ratios_decide():
+    ad = "<div class=ad>Buy it now, it is good.</div>"
+    page = ad + "<div id=c><h1>Title</h1><p>First paragraph of text, long and punctuated.</p><p>Second one, also long, with a point.</p></div><div>About</div><article><a href=1>A teaser</a></article>"
+    assert html_extract.main_text(page) == "Title\nFirst paragraph of text, long and punctuated.\nSecond one, also long, with a point."
+    assert html_extract.main_text(page, threshold=0.0) != html_extract.main_text(page)
+    rows = [r[0] for r in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()]
+    assert all(html_extract.main_text(h, threshold=0.0) != html_extract.main_text(h) for h in rows)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<p a="x> ' * 12_000, "<p '> t " * 16_000, "<p " * 40_000, "<div>" * 16_000 + "x" + "</div>" * 16_000, "<b>" * 16_000 + "<p></p>" * 16_000, "<i><div>" + "<b>" * 16_000 + "</i>" * 16_000,
+        "<!-- " * 20_000, "<title>x" * 16_000, '<a b="' * 20_000 + ">", "<" * 100_000 + ">", "</" * 50_000 + ">", "<p " + "class " * 20_000 + ">x", "<p class" + " " * 100_000 + ">x", "<svg>" * 20_000,
+    ],
+)
+def test_hostile_markup_takes_linear_time(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 1.5
+
+
 def test_extract_on_awkward_tables(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>x</p>"), (2**60 + 1, "u", ""), (1, None, None)], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
     got = [tuple(r) for r in html_extract.extract(df).collect()]
