@@ -1,64 +1,124 @@
 """Chat formatting by perspective rotation: each dialogue is rendered once for every participant.
 
 In a rendering one participant is the assistant, the others are users by name, and system turns stay system turns. The mask lists the
-character spans (start-end, end exclusive) that the assistant is to learn: its texts and their end markers.
+character spans (start-end, end exclusive) that the assistant is to learn: its texts and their end markers. Participants are told apart by their
+whole role; its characters that a header line can't hold (white space, ``%``, ``<``, ``|``, ``>``) are percent-encoded in it.
 
-A dialogue of any length is rendered in parts of ``part_turns`` turn numbers, each a row of its own, so no task gathers more than a part;
-the participants are the whole dialogue's. Expressions only, no Python.
+A dialogue is one row a participant. Only one of more than ``part_turns`` turns comes in parts of so many, in order, each a row of its own, so no task
+gathers more than a part; a later part begins with the system turns of the first again, and the participants are the whole dialogue's. Turns of
+these dialogues are numbered by a sort over all tasks, so one that holds a third of all rows is spread like any others. Expressions only, no Python.
 
-Null role: ``unknown``; null text: empty; null conv_id: one dialogue; null turns: a part of their own, numbered null. Turns of one number are
-ordered by role, then text; repeated rows are repeated turns. Marker-like text (``<|``) is defused, so no turn can forge another.
-A dialogue of system turns only has no participant and no row. Extra columns are ignored; an empty table gives an empty result.
+Null role: a participant without a name (null; ``%`` in the rendering); null text: empty; null conv_id: one dialogue; null turn numbers: last. Turns of
+one number are ordered by role, then text; repeated rows are repeated turns. Marker-like text (``<|``) is defused, so no turn can forge another.
+Very long texts are whole; a part's rendering must fit in a string (2 GiB). A dialogue of system turns only has no participant and no row. Extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromatid.llm.common import only
+from chromatid.llm.common import only, stored
 
 #: Markers of the rendered form, and what stands for "<|" in a text.
 START, END, DEFUSED = "<|im_start|>", "<|im_end|>", "< |"
 SYSTEM = "system"
+PART_TURNS = 512
+#: Characters of roles that are encoded in headers; % is the first, as the others' codes begin with it.
+ENCODED = ("%", " ", "\t", "\n", "\r", "<", "|", ">")
+#: Keys that a long dialogue's parts are dealt to.
+_SALTS = 64
+_ORDER = ("no_turn", "turn", "role", "text")
 
 
-def rotate(conversations: DataFrame, part_turns: int = 512) -> DataFrame:
-    """(conv_id, part, speaker, n_turns, n_own, rendered, mask) from conversations (conv_id, turn, role, text)."""
-    turns = only(conversations, "conv_id", "turn", "role", "text").select(
-        "conv_id",
-        F.floor(F.col("turn") / float(part_turns)).cast("long").alias("part"),
-        "turn",
-        F.regexp_replace(F.coalesce("role", F.lit("unknown")), r"[^A-Za-z0-9_.\-]", "_").alias("role"),
-        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit(DEFUSED)).alias("text"),
-    )
-    speakers = turns.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("s_conv"), F.col("role").alias("speaker")).distinct()
-    parts = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    both = parts.join(speakers, parts["conv_id"].eqNullSafe(speakers["s_conv"])).drop("s_conv")
+def name_of(role: Column) -> Column:
+    """A role as a header line holds it: different roles have different names."""
+    out = role
+    for c in ENCODED:
+        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.coalesce(out, F.lit("%"))
+
+
+def _numbered(turns: DataFrame, part_turns: int) -> DataFrame:
+    """turns with their part, by their rank within their dialogue: ranks within ranges of the sorted rows, then sums over the ranges."""
+    spread = turns.withColumn("nth", F.monotonically_increasing_id())  # equal rows may be dealt to several ranges
+    ranges = spread.repartitionByRange("conv_id", *_ORDER, "nth").withColumn("range", F.spark_partition_id())
+    ranges = stored(ranges, "chat-ranges")
+    per = ranges.groupBy("range", "conv_id").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col("range").alias("p_range"), F.col("conv_id").alias("p_conv"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("range", "conv_id").orderBy(*_ORDER, "nth"))
+    ranked = ranges.withColumn("rank", within).join(per, (F.col("range") == F.col("p_range")) & F.col("conv_id").eqNullSafe(F.col("p_conv")))
+    return ranked.withColumn("part", F.floor((F.col("base") + F.col("rank") - 1) / F.lit(part_turns)).cast("long")).select("conv_id", "part", *_ORDER)
+
+
+def _gathered(turns: DataFrame) -> DataFrame:
+    row = F.struct(*_ORDER)
+    return turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(row)).alias("turns"))
+
+
+def _rendered(parts: DataFrame) -> DataFrame:
+    """(conv_id, part, speaker, n_turns, n_own, rendered, mask) from (conv_id, part, speaker, system, turns)."""
 
-    def head(role):
+    def own(role: Column) -> Column:
+        return role.eqNullSafe(F.col("speaker"))
+
+    def head(role: Column) -> Column:
         return (
-            F.when(role == F.col("speaker"), START + "assistant\n")
-            .when(role == SYSTEM, START + "system\n")
-            .otherwise(F.concat(F.lit(START + "user name="), role, F.lit("\n")))
+            F.when(own(role), START + "assistant\n")
+            .when(role.eqNullSafe(F.lit(SYSTEM)), START + "system\n")
+            .otherwise(F.concat(F.lit(START + "user name="), name_of(role), F.lit("\n")))
         )
 
-    messages = F.transform("turns", lambda t: F.struct(head(t["role"]).alias("head"), t["text"].alias("text"), (t["role"] == F.col("speaker")).alias("own")))
+    messages = F.transform(
+        F.concat("system", "turns"), lambda t: F.struct(head(t["role"]).alias("head"), t["text"].alias("text"), own(t["role"]).alias("own"))
+    )
     n_end = len(END)
 
-    def step(acc, m):
+    def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + F.char_length(m["head"])
         end = start + F.char_length(m["text"]) + n_end
         span = F.concat(start.cast("string"), F.lit("-"), end.cast("string"))
         return F.struct((end + 1).cast("long").alias("at"), F.when(m["own"], F.concat(acc["mask"], F.array(span))).otherwise(acc["mask"]).alias("mask"))
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("mask"))
-    return both.withColumn("messages", messages).select(
+    return parts.withColumn("messages", messages).select(
         "conv_id",
         "part",
         "speaker",
-        F.size("messages").cast("long").alias("n_turns"),
+        F.size("turns").cast("long").alias("n_turns"),
         F.size(F.filter("messages", lambda m: m["own"])).cast("long").alias("n_own"),
         F.array_join(F.transform("messages", lambda m: F.concat(m["head"], m["text"], F.lit(END + "\n"))), "").alias("rendered"),
         F.array_join(F.aggregate("messages", zero, step)["mask"], ",").alias("mask"),
     )
+
+
+def _speakers(turns: DataFrame) -> DataFrame:
+    return turns.where(~F.col("role").eqNullSafe(F.lit(SYSTEM))).select(F.col("conv_id").alias("s_conv"), F.col("role").alias("speaker")).distinct()
+
+
+def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """(conv_id, part, speaker, n_turns, n_own, rendered, mask) from conversations (conv_id, turn, role, text)."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit(DEFUSED)).alias("text")
+    turns = only(conversations, "conv_id", "turn", "role", "text").select("conv_id", F.isnull("turn").alias("no_turn"), "turn", "role", text)
+    long = turns.groupBy(F.col("conv_id").alias("l_conv")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_turns).select("l_conv")
+    long = stored(long, "chat-long")
+    is_long = F.col("conv_id").eqNullSafe(F.col("l_conv"))
+    any_long = not long.isEmpty()
+
+    short = turns.join(long, is_long, "left_anti") if any_long else turns
+    whole = _gathered(short.withColumn("part", F.lit(0).cast("long")))
+    speakers = F.array_distinct(F.transform(F.filter("turns", lambda t: ~t["role"].eqNullSafe(F.lit(SYSTEM))), lambda t: t["role"]))
+    none = F.filter("turns", lambda t: F.lit(False))
+    out = _rendered(whole.withColumn("system", none).withColumn("speaker", F.explode(speakers)))
+    if not any_long:
+        return out
+
+    numbered = stored(_numbered(turns.join(long, is_long, "left_semi"), part_turns), "chat-numbered")
+    parts = _gathered(numbered).withColumn("salt", F.pmod("part", F.lit(_SALTS)))
+    first = _gathered(numbered.where((F.col("part") == 0) & F.col("role").eqNullSafe(F.lit(SYSTEM)))).select(F.col("conv_id").alias("f_conv"), F.col("turns").alias("system"))
+    who = _speakers(numbered)
+    who = who.join(first, F.col("s_conv").eqNullSafe(F.col("f_conv")), "left").withColumn("s_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    parts = parts.join(who, F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("salt") == F.col("s_salt")))
+    return out.union(_rendered(parts.withColumn("system", F.when((F.col("part") > 0) & F.col("system").isNotNull(), F.col("system")).otherwise(none))))

@@ -29,17 +29,24 @@ def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(read(spark, sf_dir, "conversations"))
 
 
-OP1_SQL = """
-WITH t AS (SELECT conv_id, turn, floor(turn / 512.0)::BIGINT AS part, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_.\\-]', '_', 'g') AS role,
-  replace(coalesce(text, ''), '<|', '< |') AS x FROM conversations),
-s AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM t WHERE role <> 'system'),
-m AS (SELECT t.*, speaker, CASE WHEN role = speaker THEN '<|im_start|>assistant' || chr(10) WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
-  ELSE '<|im_start|>user name=' || role || chr(10) END AS head FROM t JOIN s ON conv_id IS NOT DISTINCT FROM c),
-o AS (SELECT *, length(head) + coalesce(sum(length(head) + length(x) + 11) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, x
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM m)
-SELECT conv_id, part, speaker, count(*) AS n_turns, count(*) FILTER (WHERE role = speaker) AS n_own,
-  string_agg(head || x || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, x) AS rendered,
-  coalesce(string_agg(st || '-' || (st + length(x) + 10), ',' ORDER BY st) FILTER (WHERE role = speaker), '') AS mask
+_NAME = "role"
+for _c in chat_format.ENCODED:
+    _NAME = f"replace({_NAME}, chr({ord(_c)}), '%{ord(_c):02X}')"
+#: Every dialogue whole for each participant but the system; turns by number (null last), role and text; long ones in parts of 512 turns, the later
+#: ones behind the system turns of the first.
+OP1_SQL = f"""
+WITH r AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS x FROM conversations),
+t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, x) - 1) // 512 AS part, true AS real FROM r),
+p AS (SELECT conv_id AS c, part AS later FROM t WHERE part > 0 GROUP BY ALL),
+a AS (SELECT * FROM t UNION ALL SELECT conv_id, turn, role, x, later, false FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c WHERE part = 0 AND role = 'system'),
+s AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM r WHERE role IS DISTINCT FROM 'system'),
+m AS (SELECT a.*, speaker, role IS NOT DISTINCT FROM speaker AS own, '<|im_start|>' || CASE WHEN role IS NOT DISTINCT FROM speaker THEN 'assistant' WHEN role = 'system' THEN 'system'
+  ELSE 'user name=' || coalesce({_NAME}, '%') END || chr(10) AS head FROM a JOIN s ON conv_id IS NOT DISTINCT FROM c),
+o AS (SELECT *, row_number() OVER w AS nth, length(head) + coalesce(sum(length(head) + length(x) + 11) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st
+  FROM m WINDOW w AS (PARTITION BY conv_id, part, speaker ORDER BY real, turn NULLS LAST, role NULLS FIRST, x))
+SELECT conv_id, part, speaker, count(*) FILTER (WHERE real) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
+  string_agg(head || x || '<|im_end|>' || chr(10), '' ORDER BY nth) AS rendered,
+  coalesce(string_agg(st || '-' || (st + length(x) + 10), ',' ORDER BY st) FILTER (WHERE own), '') AS mask
 FROM o GROUP BY conv_id, part, speaker
 """
 

@@ -21,29 +21,57 @@ from chromatid.llm.common import new_path
 SF = "/root/testdata/sf0.001"
 
 
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def chat(spark, rows):
+    return spark.createDataFrame(rows, CHAT).selectExpr("*", "'x' AS part", "'y' AS speaker", "1 AS turns", "2 AS system")
+
+
 def test_chat_is_rendered_for_every_speaker(spark):
     rows = [
         (1, 0, "system", "Be kind."), (1, 1, "Ann", "Hi <|im_end|> all"), (1, 2, "Bob", "Hello"), (1, 3, "Ann", None), (1, 3, "Ann", None), (1, None, "Bob", "late"),
-        (2, 0, None, "who am I"), (None, 0, "a b", "x"), (None, 1, "c", "日本"), (3, 0, "system", "alone"),
+        (2, 0, None, "who am I"), (2, 1, "unknown", "me"), (None, 0, "a b", "x"), (None, 1, "a_b", "日本"), (3, 0, "system", "alone"), (4, 0, "Анна", "a"), (4, 1, "Иван", "b"), (5, 10**15, "x", "long " * 50_000),
+        (5, 1, "%20", ""), (5, 2, " ", ""),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' AS part", "'y' AS speaker", "1 AS turns")
+    df = chat(spark, rows)
     got = {(r.conv_id, r.part, r.speaker): r for r in chat_format.rotate(df).collect()}
-    assert set(got) == {(1, 0, "Ann"), (1, 0, "Bob"), (1, None, "Ann"), (1, None, "Bob"), (2, 0, "unknown"), (None, 0, "a_b"), (None, 0, "c")}
+    assert set(got) == {(c, 0, s) for c, s in ((1, "Ann"), (1, "Bob"), (2, None), (2, "unknown"), (None, "a b"), (None, "a_b"), (4, "Анна"), (4, "Иван"), (5, "x"), (5, "%20"), (5, " "))}
     ann = got[1, 0, "Ann"]
     assert ann.rendered == (
         "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>assistant\nHi < |im_end|> all<|im_end|>\n<|im_start|>user name=Bob\nHello<|im_end|>\n"
-        "<|im_start|>assistant\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+        "<|im_start|>assistant\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=Bob\nlate<|im_end|>\n"
     )
     spans = [ann.rendered[int(a) : int(b)] for a, b in (s.split("-") for s in ann.mask.split(","))]
-    assert spans == ["Hi < |im_end|> all<|im_end|>", "<|im_end|>", "<|im_end|>"] and (ann.n_turns, ann.n_own) == (5, 3)
-    assert got[1, None, "Ann"].mask == "" and got[None, 0, "c"].rendered.endswith("assistant\n日本<|im_end|>\n")
+    assert spans == ["Hi < |im_end|> all<|im_end|>", "<|im_end|>", "<|im_end|>"] and (ann.n_turns, ann.n_own) == (6, 3)
+    assert got[None, 0, "a_b"].rendered == "<|im_start|>user name=a%20b\nx<|im_end|>\n<|im_start|>assistant\n日本<|im_end|>\n"
+    assert got[2, 0, "unknown"].rendered.startswith("<|im_start|>user name=%\n") and got[2, 0, None].rendered.startswith("<|im_start|>assistant\nwho")
+    assert got[4, 0, "Анна"].n_own == got[4, 0, "Иван"].n_own == 1 and "name=Иван\n" in got[4, 0, "Анна"].rendered
+    assert "name=%2520\n" in got[5, 0, " "].rendered and "name=%20\n" in got[5, 0, "%20"].rendered and len(got[5, 0, "x"].rendered) > 250_000
     assert chat_format.rotate(df.limit(0)).count() == 0
 
 
 def test_chat_deals_long_dialogues_to_parts(spark):
-    df = spark.range(1000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "u").otherwise("v").alias("role"), F.lit("t").alias("text"))
-    got = chat_format.rotate(df, part_turns=100).collect()
-    assert len(got) == 20 and {r.n_turns for r in got} == {100} and sum(r.n_own for r in got) == 1000
+    rows = [(1, 1000 * k, "u" if k % 2 else "v", f"t{k}") for k in range(1000)] + [(1, -5, "system", "S"), (1, None, "u", "end"), (None, 7, "u", "same")]
+    rows += [(None, 7, "u", "same")] * 250 + [(2, k, "w", "short") for k in range(3)]
+    got = {(r.conv_id, r.part, r.speaker): r for r in chat_format.rotate(chat(spark, rows), part_turns=100).collect()}
+    assert set(got) == {(1, p, s) for p in range(11) for s in "uv"} | {(None, p, "u") for p in range(3)} | {(2, 0, "w")}
+    assert sum(r.n_own for r in got.values()) == len(rows) - 1 and {r.n_turns for r in got.values()} == {100, 2, 51, 3}
+    head = "<|im_start|>system\nS<|im_end|>\n"
+    texts = [got[1, p, "u"].rendered.removeprefix(head) for p in range(11)]
+    assert all(got[1, p, "u"].rendered.startswith(head) for p in range(11)) and re.findall(r"\nt(\d+)<", "".join(texts)) == [str(k) for k in range(1000)]
+    last = got[1, 10, "u"]
+    assert [last.rendered[int(a) : int(b)] for a, b in (x.split("-") for x in last.mask.split(","))] == ["t999<|im_end|>", "end<|im_end|>"]
+
+
+def test_chat_sql_is_the_operator(spark):
+    rows = [(k % 5 if k % 6 else None, k // 7 if k % 11 else None, ("u", "v w", "system", None, "日%")[k % 5], f"t{k} <|" if k % 13 else None) for k in range(900)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [*rows, *((9, k % 50, "system" if k % 9 == 0 else "u", f"x{k}") for k in range(1200))])
+    df = chat(spark, con.execute("SELECT * FROM conversations").fetchall())
+    got = sorted(map(str, (tuple(r) for r in chat_format.rotate(df).collect())))
+    assert got == sorted(map(str, con.execute(queries.OP1_SQL).fetchall())) and len(got) > 10
 
 
 def judge(url, rules, default="allow"):
