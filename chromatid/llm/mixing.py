@@ -4,14 +4,15 @@ Every source gets a target share of the words; a document's expected number of c
 at most ``max_epochs``. The whole part is taken outright. The fractional parts are inclusion probabilities, moved through the null
 space of the balancing constraints (documents and words) until all but a few are 0 or 1: first within chunks of each source, then
 within chunks of what those left over, level by level, until a source has one chunk. Its last two or three fractional rows are the
-landing problem, solved by trying every rounding.
+landing problem: they move on by the words constraint alone, and the last one is drawn. Every step keeps each row's expectation.
 
 A chunk is chosen by a hash of the row, and holds at most ``chunk_rows`` rows on average, so a source with a third of all rows is many
-chunks. Rows of one chunk are ordered by falling size, so that the rows still fractional at the end are small ones. Draws come from a
-hash of the row and a seed: reruns agree, whatever the partitioning.
+chunks. Rows of one chunk are ordered by falling size, so that the rows still fractional at the end are small ones. Each step of each chunk and
+level has a draw of its own, from a generator seeded by the chunk's name: reruns agree, whatever the partitioning.
 
-Null text counts 0 words; null sources are one source, ranked last; repeated rows are rows of their own; an empty table gives an empty
-result; a table without any words has targets of 0.
+Null text counts 0 words; null sources are one source, ranked last; repeated rows are counted, then numbered, and are rows of their own; very long
+texts are counted whole. An empty table gives an empty result; a table without any words has targets of 0. Extra columns are ignored (kept by
+``mixed``, where rows that differ in any column are rows of their own).
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromatid.llm.common import free_name, only, stored
+from chromatid.llm.common import free_name, stored
 
 #: A word: a run of anything but ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Repeated rows are numbered in blocks of so many.
+_BLOCK = 4096
 _STATE = "source string, key long, seq long, size long, p double, done boolean"
 
 
@@ -54,10 +58,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: flo
     )
 
 
-def flight(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """Moves p along vectors that keep sum(p) and sum(p * size), until at most two entries stay fractional."""
+def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, documents: bool = True) -> np.ndarray:
+    """Moves p along vectors that keep sum(p * size) and, if documents is set, sum(p), until at most one or two entries stay fractional.
+
+    Each step goes up or down by a draw of its own, so that every entry keeps its expectation.
+    """
     eps = 1e-9
-    size, p, draw = size.tolist(), p.astype(float).tolist(), draw.tolist()
+    size, p = size.tolist(), p.astype(float).tolist()
     window: list[int] = []
     for i in range(len(p)):
         if not eps < p[i] < 1 - eps:
@@ -71,11 +78,14 @@ def flight(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
             elif len(window) == 3:
                 a, b, c = use = tuple(window)
                 u = (float(size[b] - size[c]), float(size[c] - size[a]), float(size[a] - size[b]))
+            elif len(window) == 2 and not documents:
+                a, b = use = tuple(window)
+                u = (float(size[b]), -float(size[a]))
             else:
                 break
-            up = min((1 - p[k]) / x if x > 0 else p[k] / -x for k, x in zip(use, u, strict=True))
-            down = min(p[k] / x if x > 0 else (1 - p[k]) / -x for k, x in zip(use, u, strict=True))
-            step = up if draw[i] * (up + down) < down else -down
+            up = min((1 - p[k]) / x if x > 0 else p[k] / -x for k, x in zip(use, u, strict=True) if x)
+            down = min(p[k] / x if x > 0 else (1 - p[k]) / -x for k, x in zip(use, u, strict=True) if x)
+            step = up if rng.random() * (up + down) < down else -down
             for k, x in zip(use, u, strict=True):
                 p[k] += step * x
                 if not eps < p[k] < 1 - eps:
@@ -84,43 +94,52 @@ def flight(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return np.array(p)
 
 
-def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Rounds the few fractional entries so that words, then documents, stay nearest to their expectation."""
-    open_ = np.flatnonzero((p > 0) & (p < 1))
-    words, docs = float((p[open_] * size[open_]).sum()), float(p[open_].sum())
-    best = min(itertools.product((0, 1), repeat=len(open_)), key=lambda x: (abs(float(np.dot(x, size[open_])) - words), abs(sum(x) - docs), x))
-    p = p.copy()
-    p[open_] = best
+def landing(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Rounds the few fractional entries: the documents constraint is given up first, then the words one."""
+    p = flight(size, p, rng, documents=False)
+    for k in np.flatnonzero((p > 0) & (p < 1)):
+        p[k] = float(rng.random() < p[k])
     return p
 
 
-def _chunk(last: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _chunk(last: bool, seed: int, level: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key", "seq"], ascending=[False, True, True], kind="stable")
-        size, p = pdf["size"].to_numpy(), pdf["p"].to_numpy()
-        draw = (pdf["seq"].to_numpy().astype(np.uint64) >> np.uint64(11)) / float(1 << 53)
-        p = flight(size, p, draw)
+        size = pdf["size"].to_numpy()
+        source = None if key[0] is None or key[0] != key[0] else str(key[0])
+        rng = np.random.default_rng(xxhash.xxh3_64_intdigest(repr((seed, level, source, int(key[1])))))
+        p = flight(size, pdf["p"].to_numpy(), rng)
         if last:
-            p = landing(size, p)
+            p = landing(size, p, rng)
         return pdf.assign(p=p, done=(p == 0) | (p == 1))[["source", "key", "seq", "size", "p", "done"]]
 
     return run
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows, each with its number nth among equal ones: equal rows are counted (partly before their shuffle), then dealt out again in blocks."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    few = counted.where(F.col("n") <= _BLOCK).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    many = counted.where(F.col("n") > _BLOCK).withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {_BLOCK})"))).repartition("key", "block")
+    many = many.withColumn("nth", F.explode(F.expr(f"sequence(block * {_BLOCK} + 1, least((block + 1) * {_BLOCK}, n))")))
+    return few.select(*rows.columns, "nth").union(many.select(*rows.columns, "nth"))
+
+
 def row_key() -> Column:
     return F.xxhash64("doc_id", "source", F.xxhash64("text"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, chunk_rows: int = 4096, seed: int = 1) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, chunk_rows: int = 4096, seed: int = 1, key: Column | None = None
+) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken, key) for every row of docs (doc_id, text, source).
 
-    Sources are ranked by code point, null last, and take the weights in turn. key is row_key()'s hash.
+    Sources are ranked by code point, null last, and take the weights in turn. Rows with one key (by default row_key()) are repeated rows; it must
+    hold their doc_id, source and text.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
-    rows = only(docs, "doc_id", "source", "text").select("doc_id", "source", size, row_key().alias("key"))
-    # Repeated rows become rows of their own by their number among equals; only equal rows share a task there.
-    same = Window.partitionBy("key").orderBy(F.lit(1))
-    rows = rows.withColumn("nth", F.row_number().over(same)).withColumn("seq", F.xxhash64(F.lit(seed), "key", "nth")).drop("nth")
+    rows = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`source`").alias("source"), size, (row_key() if key is None else key).alias("key"))
+    rows = numbered(rows).withColumn("seq", F.xxhash64(F.lit(seed), "key", "nth")).drop("nth")
     rows = stored(rows, "mix-rows")
     targets = source_targets(rows, weights, max_epochs)
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("source_rows"))
@@ -137,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epoch
     while True:
         last = most <= chunk_rows * 1.5
         chunk = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("seq", F.lit(level)), chunks.cast("long"))
-        done = live.withColumn("chunk", chunk).groupBy("source", "chunk").applyInPandas(_chunk(last), _STATE)
+        done = live.withColumn("chunk", chunk).groupBy("source", "chunk").applyInPandas(_chunk(last, seed, level), _STATE)
         done = stored(done, f"mix-{level}")
         taken.append(done.where("done and p = 1").select("source", "key", "seq"))
         if last:
@@ -158,9 +177,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epoch
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns."""
-    key = free_name(docs, "_key")
-    copies = mix(docs, **options).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn(key, row_key())
-    n = free_name(docs, "_n")
-    out = rows.join(copies.withColumnRenamed("_copies", n), key).dropDuplicates([key])
+    key, n = free_name(docs, "_key"), free_name(docs, "_n")
+    # Maps have no hash of their own.
+    parts = [F.to_json(c) if "map<" in docs.schema[c.strip("`")].dataType.simpleString() else F.col(c) for c in (f"`{x}`" for x in docs.columns)]
+    whole = F.xxhash64(F.xxhash64("text"), *parts)
+    copies = mix(docs, key=whole, **options).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
+    out = docs.withColumn(key, whole).join(copies, key).dropDuplicates([key])
     return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n))).drop(key, n)
