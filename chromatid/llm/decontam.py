@@ -1,54 +1,58 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are compared in a normal form: lower case, ASCII punctuation and white space as single spaces, as UTF-8 bytes. A region of a document
-that is within k edits of an item of m bytes shares at least m + 1 - q (k + 1) of its q-grams, all on diagonals (document
+Texts are compared in a normal form: lower case, ASCII punctuation and white space as single spaces. A region of a document
+that is within k edits of an item of m characters shares at least m + 1 - q (k + 1) of its q-grams, all on diagonals (document
 position less item position) that lie within k of each other. So:
 
 1. every q-gram of a document is looked up among the items' q-grams (a bit table, then exact 64-bit hashes);
 2. shared q-grams are counted by item in diagonal bands that overlap by k, so that some band holds all those of any true region;
 3. bands that meet the item's bound are regions to check; banded alignment gives the region's least edit distance and its span.
 
-A region counts within k = ``edit_rate`` of the item's bytes, rounded down. Documents are independent rows: no shuffle, and each whole text is
-searched. Items travel to the executors in blocks of about ``block_bytes``, one pass over the documents a block, so what is sent at
-a time doesn't grow with the benchmark.
+A region counts within k = ``edit_rate`` of the item's characters, rounded down. q is 8; an item for which the lemma says nothing at that q is searched with the
+largest q at which it does, m // (k + 1), and one of fewer than 8 characters as whole words only, since within words it is no passage. Documents are
+independent rows: no shuffle, and each whole text is searched, in time and memory that grow with its length. Items travel to the executors in blocks of about
+``block_bytes``, each searched in a pass of its own over the documents, so what a task holds doesn't grow with the benchmark.
 
-Null texts hold nothing; null and repeated items are left out and searched once, under their smallest id; items whose normal form is shorter
-than q bytes are left out, as words this short are no passage. Repeated documents are searched each; an empty table gives an empty result.
-Extra columns are ignored (kept by ``decontaminate``).
+Null texts hold nothing; null items and items without a letter or digit are left out; repeated items are searched once, under their smallest id. Repeated
+documents are searched each; an empty table gives an empty result. Extra columns are ignored (kept by ``decontaminate``).
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromatid.llm.common import only
+from chromatid.llm.common import free_name, only, stored
 
 Q, EDIT_RATE, BLOCK_BYTES = 8, 0.08, 1 << 20
-_SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: By code, up to 128 for all others: whether it stands for a space.
+_IS_SPACE = np.array([not chr(c).isalnum() for c in range(128)] + [False])
 _PRIME = 0x9E3779B97F4A7C15
 _HIT = "array<struct<item_id: bigint, start: bigint, end: bigint, distance: bigint, shared: bigint>>"
-_built: dict[str, Items] = {}
+_built: dict[str, list[Items]] = {}
 
 
 def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of the normal form, place of each in the UTF-8 form of the lower-cased text)."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "replace").translate(_SPACES), dtype=np.uint8)
-    space = raw == 32
+    """(codes of the normal form's characters, place of each in the lower-cased text)."""
+    raw = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
+    space = _IS_SPACE[np.minimum(raw, 128)]
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]
     at = np.flatnonzero(keep)
-    if len(at) and raw[at[-1]] == 32:
+    if len(at) and space[at[-1]]:
         at = at[:-1]
-    return raw[at], at
+    if len(at) and space[at[0]]:
+        at = at[1:]
+    return np.where(space[at], np.uint32(32), raw[at]), at
 
 
 def qgrams(a: np.ndarray, q: int = Q) -> np.ndarray:
-    """64-bit hashes of the q bytes from each place on, by doubling."""
+    """64-bit hashes of the q characters from each place on, by doubling."""
     if len(a) < q:
         return np.empty(0, dtype=np.uint64)
     by = {1: a.astype(np.uint64) + np.uint64(1)}
@@ -67,17 +71,23 @@ def qgrams(a: np.ndarray, q: int = Q) -> np.ndarray:
     return (out ^ (out >> np.uint64(32))) * np.uint64(_PRIME)
 
 
+def edits_of(m: int, edit_rate: float) -> int:
+    return int(edit_rate * m)
+
+
+def q_of(m: int, q: int, edit_rate: float) -> int:
+    """The q that an item of m characters is searched with: at most q, and small enough that its bound is 1 at least."""
+    return max(1, min(q, m // (edits_of(m, edit_rate) + 1)))
+
+
 class Items:
-    """The items of one block and the places of their q-grams."""
+    """Items of one q (id, normal form) and the places of their q-grams. short: they are found as whole words only."""
 
-    def __init__(self, items: list[tuple[int | None, str]], q: int, edit_rate: float):
-        self.q = q
-        kept = [(i, normal(t)[0]) for i, t in items]
-        kept = [(i, a) for i, a in kept if len(a) >= q]
-        self.ids, self.bytes = [i for i, _ in kept], [a for _, a in kept]
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], q: int, edit_rate: float, short: bool = False):
+        self.q, self.short = q, short
+        self.ids, self.bytes = [i for i, _ in items], [a for _, a in items]
         m = np.array([len(a) for a in self.bytes], dtype=np.int64)
-        # With more edits than m // q - 1, the bound would be 0 and the lemma say nothing.
-        self.edits = np.minimum((edit_rate * m).astype(np.int64), np.maximum(m // q - 1, 0))
+        self.edits = np.array([edits_of(int(x), edit_rate) for x in m], dtype=np.int64)
         self.bound = m + 1 - q * (self.edits + 1)
         grams = [qgrams(a, q) for a in self.bytes]
         hashes = np.concatenate([*grams, np.empty(0, dtype=np.uint64)])
@@ -121,10 +131,13 @@ class Items:
         """(start, end, distance) of the item's best region with diagonals in the band, or None if it takes too many edits."""
         p, k = self.bytes[item], int(self.edits[item])
         lo, hi = half * self.half, (half + 2) * self.half
+        if self.short:  # every place of the band where it stands between spaces
+            found = [x for x in range(max(0, lo), min(len(a) - len(p), hi) + 1) if _stands(a, x, p)]
+            return (found[0], found[0] + len(p), 0) if found else None
         x, y = max(0, lo - k), min(len(a), hi + len(p) + k)
         exact = a[x:y].tobytes().find(p.tobytes())
-        if exact >= 0:
-            return x + exact, x + exact + len(p), 0
+        if exact >= 0 and not exact % 4:
+            return x + exact // 4, x + exact // 4 + len(p), 0
         ends, best = banded(p, a, lo - k, hi + k, k)
         if best > k:
             return None
@@ -133,6 +146,12 @@ class Items:
         return ends - start, ends, best
 
 
+def _stands(a: np.ndarray, x: int, p: np.ndarray) -> bool:
+    """Whether a holds p at x as whole words."""
+    y = x + len(p)
+    return (x == 0 or a[x - 1] == 32) and (y == len(a) or a[y] == 32) and bool((a[x:y] == p).all())
+
+
 def banded(p: np.ndarray, a: np.ndarray, lo: int, hi: int, most: int, anchored: bool = False) -> tuple[int, int]:
     """(end in a, distance) of the best alignment of all of p with a part of a on the diagonals lo..hi; anchored: a part that begins at 0.
 
@@ -143,7 +162,8 @@ def banded(p: np.ndarray, a: np.ndarray, lo: int, hi: int, most: int, anchored:
     column = np.arange(lo, hi + 1)
     ramp = np.arange(width)
     row = np.where((column >= 0) & (column <= len(a)), column if anchored else 0, far).astype(np.int64)
-    padded = np.concatenate([np.full(max(0, -lo) + 1, 256, dtype=np.int16), a.astype(np.int16), np.full(max(0, hi + len(p) - len(a)) + 1, 256, dtype=np.int16)])
+    edge = np.iinfo(np.uint32).max  # no character
+    padded = np.concatenate([np.full(max(0, -lo) + 1, edge, dtype=np.uint32), a, np.full(max(0, hi + len(p) - len(a)) + 1, edge, dtype=np.uint32)])
     shift = max(0, -lo) + 1
     for i in range(1, len(p) + 1):
         j = column + i  # columns of this row; its character is a[j - 1]
@@ -161,75 +181,92 @@ def banded(p: np.ndarray, a: np.ndarray, lo: int, hi: int, most: int, anchored:
     return int(column[best] + len(p)), int(row[best])
 
 
-def _spans(text: str, at: np.ndarray, found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int]]:
+def index(items: list[tuple[int | None, str]], q: int = Q, edit_rate: float = EDIT_RATE) -> list[Items]:
+    """The items by their q, short ones apart."""
+    by: dict[tuple[int, bool], list] = {}
+    for i, t in items:
+        a = normal(t)[0]
+        if len(a):
+            by.setdefault((q_of(len(a), q, edit_rate), len(a) < q), []).append((i, a))
+    return [Items(x, n, edit_rate, short) for (n, short), x in by.items()]
+
+
+def _spans(text: str, at: np.ndarray, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans in characters of the text itself, end exclusive."""
-    if text.isascii():
-        return [(int(at[s]), int(at[e - 1]) + 1) for s, e, *_ in found]
-    lower = [c.lower().encode("utf-8", "replace") for c in text]
-    ends = np.cumsum([len(c) for c in lower])
-    return [tuple(int(np.searchsorted(ends, at[x], side="right")) + d for x, d in ((s, 0), (e - 1, 1))) for s, e, *_ in found]
+    if len(text.lower()) == len(text):
+        return [(int(at[s]), int(at[e - 1]) + 1) for s, e in found]
+    ends = np.cumsum([len(c.lower()) for c in text])
+    return [tuple(int(np.searchsorted(ends, at[x], side="right")) + d for x, d in ((s, 0), (e - 1, 1))) for s, e in found]
 
 
-def search(text: str | None, items: Items) -> list[dict[str, int | None]]:
+def search(text: str | None, items: list[Items]) -> list[dict[str, int | None]]:
     """Regions of the text that are within an item's edits; of overlapping ones of one item, the nearest."""
     if not text:
         return []
     a, at = normal(text)
-    found: list[tuple[int, int, int, int, int]] = []
-    for item, half, shared in items.regions(a):
-        hit = items.align(a, item, half)
-        if hit:
-            found.append((hit[0], hit[1], hit[2], item, shared))
+    found: list[tuple[int, int, int, int, int, int]] = []  # start, end, distance, index, item, shared
+    for n, part in enumerate(items):
+        for item, half, shared in part.regions(a):
+            hit = part.align(a, item, half)
+            if hit:
+                found.append((hit[0], hit[1], hit[2], n, item, shared))
     if not found:
         return []
-    found.sort(key=lambda f: (f[3], f[2], f[0], -f[4]))
-    best: list[tuple[int, int, int, int, int]] = []
+    found.sort(key=lambda f: (f[3], f[4], f[2], f[0], -f[5]))
+    best: list[tuple[int, int, int, int, int, int]] = []
+    taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for f in found:
-        if not any(b[3] == f[3] and b[0] < f[1] and f[0] < b[1] for b in best):
+        own = taken.setdefault(f[3:5], [])
+        if not any(x < f[1] and f[0] < y for x, y in own):
+            own.append(f[:2])
             best.append(f)
-    best.sort(key=lambda f: (f[0], f[3]))
+    best.sort(key=lambda f: (f[0], f[3], f[4]))
     return [
-        {"item_id": items.ids[f[3]], "start": s, "end": e, "distance": f[2], "shared": f[4]} for f, (s, e) in zip(best, _spans(text, at, best), strict=True)
+        {"item_id": items[f[3]].ids[f[4]], "start": s, "end": e, "distance": f[2], "shared": f[5]}
+        for f, (s, e) in zip(best, _spans(text, at, [f[:2] for f in best]), strict=True)
     ]
 
 
 def _finder(items: list[tuple[int | None, str]], q: int, edit_rate: float) -> Column:
+    """The regions of a row's text that hold one of the items. A worker keeps the index of one block."""
     name = hashlib.sha256(repr((items, q, edit_rate)).encode("utf-8", "replace")).hexdigest()
 
     @F.pandas_udf(_HIT)
     def find(text: pd.Series) -> pd.Series:
         if name not in _built:
             _built.clear()
-            _built[name] = Items(items, q, edit_rate)
+            _built[name] = index(items, q, edit_rate)
         return pd.Series([search(t, _built[name]) for t in text.tolist()], dtype=object)
 
-    return find("text")
+    # Not to be evaluated again by filters that Spark derives from it.
+    return find.asNondeterministic()("text")
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES, column: str = "hits") -> DataFrame:
-    """docs (with a column text) and the array of its regions (item_id, start, end, distance, shared) of benchmark (item_id, text)."""
+def finders(benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> list[Column]:
+    """An array of regions (item_id, start, end, distance, shared) of a column text, for each block of benchmark (item_id, text)."""
     items = only(benchmark, "item_id", "text").where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    size = F.octet_length("text")
     # Items are dealt by a hash to as many blocks as their bytes need, so a block has about block_bytes.
-    total = items.agg(F.sum(size)).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    hits = F.array().cast(_HIT)
+    out = []
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         if rows:
-            hits = F.concat(hits, _finder([(r["item_id"], r["text"]) for r in rows], q, edit_rate))
-    return docs.withColumn(column, hits)
+            out.append(_finder([(r["item_id"], r["text"]) for r in rows], q, edit_rate))
+    return out
 
 
 def regions(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, start, end, distance, shared): one row per region of a document that holds an item."""
-    found = with_hits(only(docs, "doc_id", "text"), benchmark, **options)
-    return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.start", "h.end", "h.distance", "h.shared")
+    rows = only(docs, "doc_id", "text")
+    passes = [rows.withColumn("hits", find) for find in finders(benchmark, **options)] or [rows.limit(0).withColumn("hits", F.array().cast(_HIT))]
+    passes = [x.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.start", "h.end", "h.distance", "h.shared") for x in passes]
+    return reduce(DataFrame.union, passes)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any such region, with all their columns."""
-    column = "_hits"
-    while column in docs.columns:
-        column += "_"
-    return with_hits(docs, benchmark, column=column, **options).where(F.size(column) == 0).drop(column)
+    """The documents without any such region, with all their columns. What a block leaves is stored for the next one."""
+    hits, out = free_name(docs, "_hits"), docs
+    for k, find in enumerate(finders(benchmark, **options)):
+        out = (stored(out, "decontaminated") if k else out).withColumn(hits, find).where(F.size(hits) == 0).drop(hits)
+    return out
