@@ -54,19 +54,38 @@ def links(page: str) -> list[dict[str, str]]:
     return out
 
 
-def _headers(raw: str) -> dict[str, str]:
-    pairs = (line.partition(":") for line in raw.split("\r\n")[1:] if ":" in line)
-    return {k.strip(): v.strip() for k, _, v in pairs}
+def _lines(raw: str) -> list[tuple[str, str]]:
+    """(name, value) of header lines behind the first line, in order; lines that begin with white space continue the one before."""
+    unfolded = re.sub(r"\r?\n[ \t]+", " ", raw)
+    pairs = (line.partition(":") for line in re.split(r"\r?\n", unfolded)[1:] if ":" in line)
+    return [(k.strip(), v.strip()) for k, _, v in pairs]
+
+
+def _headers(raw: str) -> dict[str, str | list[str]]:
+    """Values by name; a list where a name comes several times."""
+    out: dict[str, str | list[str]] = {}
+    for k, v in _lines(raw):
+        known = out.get(k)
+        out[k] = v if known is None else [*known, v] if isinstance(known, list) else [known, v]
+    return out
+
+
+def _value(headers: dict[str, str | list[str]], name: str) -> str | None:
+    """The first value of a name in any case."""
+    v = next((x for k, x in headers.items() if k.lower() == name.lower()), None)
+    return v[0] if isinstance(v, list) else v
 
 
-def derive(record_id: str, uri: str | None, date: str | None, http: str | None, body: str | None, payload: str | None = None) -> list[tuple]:
-    """The two records of one response, in _RECORD's order without source_id. payload: its digest, made from body if it isn't known."""
+def derive(
+    record_id: str, uri: str | None, date: str | None, http: str | None, body: str | None, payload: str | None = None, source_block: str | None = None
+) -> list[tuple]:
+    """The two records of one response, in _RECORD's order without source_id. payload: its digest, made from body if it isn't known; source_block: its block's, if known."""
     page, http = body or "", http or ""
     payload = payload or digest(page.encode("utf-8", "replace"))
     title = _TITLE.search(page)
     meta = {
         "Envelope": {
-            "WARC-Header-Metadata": {k: v for k, v in (("WARC-Record-ID", record_id), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Payload-Digest", payload)) if v},
+            "WARC-Header-Metadata": {k: v for k, v in (("WARC-Record-ID", record_id), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Payload-Digest", payload), ("WARC-Block-Digest", source_block)) if v},
             "Payload-Metadata": {
                 "HTTP-Response-Metadata": {
                     "Status": http.split("\r\n")[0],
@@ -94,14 +113,14 @@ def _derive_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = [
                 (r.source_id, *x)
                 for r in pdf.iloc[k : k + 256].itertuples(index=False)
-                for x in derive(r.record_id, r.target_uri, r.warc_date, r.http_headers, r.body, getattr(r, "payload_digest", None))
+                for x in derive(r.record_id, r.target_uri, r.warc_date, r.http_headers, r.body, getattr(r, "payload_digest", None), getattr(r, "source_block_digest", None))
             ]
             yield pd.DataFrame(rows, columns=names)
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
-    """Metadata and conversion records of responses (source_id, record_id, target_uri, warc_date, http_headers, body, and payload_digest if there), all strings."""
-    known = [c for c in responses.columns if c == "payload_digest"]
+    """Metadata and conversion records of responses (source_id, record_id, target_uri, warc_date, http_headers, body, and payload_digest and source_block_digest if there), all strings."""
+    known = [c for c in responses.columns if c in ("payload_digest", "source_block_digest")]
     return only(responses, "source_id", "record_id", "target_uri", "warc_date", "http_headers", "body", *known).mapInPandas(_derive_all, _RECORD)
 
 
@@ -120,11 +139,12 @@ def responses_of_pages(pages: DataFrame, warc_date: str = "1970-01-01T00:00:00Z"
 
 
 def serialize(r: dict) -> bytes:
-    """One record as a gzip member of a WARC file."""
+    """One record as a gzip member of a WARC file. The source's payload digest and HTTP headers are fields of their own names."""
     data = r["block"].encode("utf-8", "replace")
     fields = (
         ("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]),
-        ("WARC-Date", r["warc_date"]), ("WARC-Block-Digest", r["block_digest"]), ("Content-Type", r["content_type"]), ("Content-Length", str(len(data))),
+        ("WARC-Date", r["warc_date"]), ("WARC-Block-Digest", r["block_digest"]), ("WARC-Source-Payload-Digest", r.get("source_digest")),
+        *(("WARC-Source-Header", f"{k}: {v}") for k, v in _lines(r.get("source_headers") or "")), ("Content-Type", r["content_type"]), ("Content-Length", str(len(data))),
     )
     head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v) + "\r\n"
     return gzip.compress(head.encode() + data + b"\r\n\r\n", mtime=0)
@@ -170,7 +190,7 @@ def gunzip(chunks: Iterator[bytes]) -> Iterator[bytes]:
             data = member.unused_data
 
 
-def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str | list[str]], bytes]]:
     """(headers, block) of the records of a WARC file that comes in pieces, gzip members or plain; one record is held at a time."""
     data, rest = bytearray(), gunzip(iter(chunks))
 
@@ -191,14 +211,14 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
             if not more():
                 return
         head = _headers(data[:end].decode("utf-8", "replace"))
-        stop = end + 4 + int(head.get("Content-Length", 0))
+        stop = end + 4 + int(_value(head, "Content-Length") or 0)
         while len(data) < stop and more():
             pass
         yield head, bytes(data[end + 4 : stop])
         del data[:stop]
 
 
-def parse(data: bytes) -> list[dict[str, str]]:
+def parse(data: bytes) -> list[dict[str, str | list[str]]]:
     """Records of a WARC file, gzip members or plain: their headers, and the block under ``block``."""
     return [head | {"block": block.decode("utf-8", "replace")} for head, block in records(iter([data]))]
 
@@ -220,7 +240,7 @@ def _unchunked(data: bytes) -> bytes:
 
 def decoded(http: str, payload: bytes) -> str:
     """The text of a payload by its HTTP headers: chunks, compression and charset (or the page's own, or UTF-8, or else Windows-1252)."""
-    head = {k.lower(): v for k, v in _headers(http).items()}
+    head = {k.lower(): ", ".join(v) if isinstance(v, list) else v for k, v in _headers(http).items()}
     kind = head.get("content-type", "").lower()
     if kind and not re.match(r"\s*(text/|[\w.+-]+/[\w.+-]*(xml|html|json|javascript))", kind):
         return ""
@@ -263,7 +283,8 @@ def decoded(http: str, payload: bytes) -> str:
 #: Rows and bytes of payloads that read_responses() hands over at once.
 _ROWS, _BYTES = 256, 1 << 24
 _RESPONSE = (
-    "source_id string, record_id string, target_uri string, warc_date string, http_headers string, body string, payload binary, payload_digest string"
+    "source_id string, record_id string, target_uri string, warc_date string, http_headers string, body string, payload binary, payload_digest string,"
+    " source_block_digest string"
 )
 
 
@@ -273,14 +294,12 @@ def _responses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows, size = [], 0
     for _, own in itertools.groupby(pieces, key=lambda x: x[0]):
         for head, block in records(x[1] for x in own):
-            if head.get("WARC-Type") != "response":
+            if _value(head, "WARC-Type") != "response":
                 continue
             http, _, payload = block.partition(b"\r\n\r\n")
             http = http.decode("utf-8", "replace")
-            key = head.get("WARC-Record-ID")
-            rows.append(
-                (key, key, head.get("WARC-Target-URI"), head.get("WARC-Date"), http, decoded(http, payload), payload, head.get("WARC-Payload-Digest") or digest(payload))
-            )
+            key, uri, date, own, of_block = (_value(head, f"WARC-{x}") for x in ("Record-ID", "Target-URI", "Date", "Payload-Digest", "Block-Digest"))
+            rows.append((key, key, uri, date, http, decoded(http, payload), payload, own or digest(payload), of_block))
             size += len(payload)
             if len(rows) >= _ROWS or size >= _BYTES:
                 yield pd.DataFrame(rows, columns=names)
