@@ -1,28 +1,31 @@
 """Quality classifier by co-training of two views.
 
-The content view sees the text only (its characters' classes and shapes, in shares), the metadata view sees lang, source and n_chars
-only. Both are logistic regressions, fitted on a bounded sample of labelled documents. For some rounds each view scores all unlabelled
-documents and hands those it is surest of, some of each class, to the other view as pseudo-labels of half weight. Each view is then
-calibrated on labelled documents held out from training, a last small regression on the same ones weighs the two calibrated views, and
-every document gets its probability of being good.
+The content view sees the text only: shares of its characters' classes and marks, and counts of its words, pairs of words and runs of three
+characters, hashed into a bounded number of columns. The metadata view sees lang, source and n_chars only. Both are logistic regressions, fitted on a
+bounded sample of labelled documents. For some rounds each view scores all unlabelled documents and hands those it is surest of, some of each class, to the other
+view as pseudo-labels of half weight. Each view is then calibrated on labelled documents held out from training, a last small regression on held-out
+ones weighs the two calibrated views, and every document gets its probability of being good.
 
 Bounds (the fit's; scoring covers every row): at most ``max_labelled`` labelled documents, taken by a hash of doc_id, and ``exchange`` pseudo-labels
 a class, view and round. Where labels are more than that, a class rarer than a tenth of the bound still gets up to a tenth of it, and log-odds are
 shifted back to the true shares. A fifth of each class's labelled documents are held out, one at least; a class's only one is trained on and calibrated on, as without it
-there is nothing to learn.
+there is nothing to learn. The calibration and the weights of the views have a half of the held-out ones each, where every class has four of them at least.
 
-Null text is empty; null metadata are a category of their own. Documents with several labels count by their mean, a tie as good. Only where no
+Null text is empty; very long texts are read whole, in one pass; null metadata are a category of their own. Documents with several labels count by their
+mean, a tie as good; of unlike rows with one labelled doc_id the one with the smallest hash is learned from. Only where no
 document of a class has a label nothing is learned: every document scores the share of good labels, or 1 without any. An empty table gives an empty
 result; repeated rows are scored each; extra columns are ignored (kept by ``keep_good``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromatid.llm.common import only, stored
@@ -34,21 +37,53 @@ _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 _LANGS, _SOURCES = 16, 64
 
 
-def content(text: str | None) -> list[float]:
-    """Shares of characters by kind, and shapes of words and lines; nothing but the text itself."""
-    raw = (text or "").encode("utf-8", "replace")
-    n = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
+#: Columns that words and pairs of words are hashed into, and runs of three characters.
+_WORDS, _RUNS = 96, 48
+_MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
+_LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+_IS_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+
+
+def _places(h: np.ndarray, count: int) -> np.ndarray:
+    """Signed sums of hashed things by column, as shares of their number, their roots taken so that rare things count as well."""
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    total = np.bincount((h >> np.uint64(32)).astype(np.int64) % count, weights=sign, minlength=count) / max(1, len(h))
+    return np.sign(total) * np.sqrt(np.abs(total))
+
+
+def hashed(raw: np.ndarray) -> np.ndarray:
+    """Counts of words, pairs of words and runs of three characters (bytes of the UTF-8 form, in lower case but for letters outside ASCII)."""
+    a = _LOWER[raw]
+    inside = np.concatenate([[False], _IS_WORD[a], [False]])
+    begin, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    # A word's hash is the sum of its bytes' hashes by their place in it.
+    at = np.arange(len(a)) - np.repeat(begin, end - begin)[np.cumsum(inside[1:-1]) - 1] if len(begin) else np.empty(0, dtype=np.int64)
+    letters = (a.astype(np.uint64) + np.uint64(1) + at.astype(np.uint64) * _BASE) * _MIX if len(begin) else np.empty(0, dtype=np.uint64)
+    letters = (letters ^ (letters >> np.uint64(29))) * _BASE
+    words = np.add.reduceat(letters[inside[1:-1]], np.cumsum(end - begin) - (end - begin)) if len(begin) else np.empty(0, dtype=np.uint64)
+    pairs = words[:-1] * _BASE + words[1:]
+    x = a.astype(np.uint64)
+    runs = (x[:-2] * _BASE + x[1:-1]) * _BASE + x[2:] if len(x) > 2 else np.empty(0, dtype=np.uint64)
+    return np.concatenate([_places(np.concatenate([words, pairs]), _WORDS), _places(runs, _RUNS)])
+
+
+def content(text: str | None) -> np.ndarray:
+    """Shares of characters by kind, shapes of words and lines, and hashed n-grams; nothing but the text itself."""
+    whole = (text or "").encode("utf-8", "replace")
+    raw = np.frombuffer(whole, dtype=np.uint8)
+    n = np.bincount(raw, minlength=256)
     size = max(1, len(raw))
     upper, lower, digit = int(n[65:91].sum()), int(n[97:123].sum()), int(n[48:58].sum())
     words, lines = int(n[32] + n[10] + 1), int(n[10] + 1)
-    parts = raw.split()
+    parts = whole.split()
     kinds = len(set(parts)) / max(1, len(parts))
     out = [
         upper / size, lower / size, digit / size, int(n[128:].sum()) / size, upper / max(1, upper + lower), words / size, min(1.0, lines / words),
         min(4.0, np.log1p(size / words)), kinds, 1.0 if not parts else 0.0,
     ]
     out += [min(1.0, 10 * int(n[c]) / words) for c in _MARKS]
-    return [float(x) for x in out]
+    return np.concatenate([np.array(out), hashed(raw)]).astype(np.float32)
 
 
 N_CONTENT = len(content(""))
@@ -124,7 +159,7 @@ def dot(view: str, beta: np.ndarray, shift: float) -> Column:
         total = sum((float(beta[i]) * c[i] for i in range(3)), F.lit(float(shift)))
         total = total + F.get(lang, c[3].cast("int")) + F.get(source, c[4].cast("int"))
     else:
-        terms = F.zip_with(c, F.array(*[F.lit(float(x)) for x in beta]), lambda a, b: a * b)
+        terms = F.zip_with(c, F.lit(np.asarray(beta, dtype=float)).cast("array<double>"), lambda a, b: a * b)
         total = F.aggregate(terms, F.lit(float(shift)), lambda a, t: a + t)
     return F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))
 
@@ -136,7 +171,7 @@ def _matrix(view: str, values: pd.Series) -> np.ndarray:
 
 def features(docs: DataFrame) -> DataFrame:
     """docs with the views' columns content and meta, for tables that have no columns of these names."""
-    return docs.withColumn("content", F.pandas_udf("array<double>")(_contents)("text")).withColumn("meta", metadata())
+    return docs.withColumn("content", F.pandas_udf("array<float>")(_contents)("text")).withColumn("meta", metadata())
 
 
 def quotas(counts: dict[bool, int], most: int) -> dict[bool, int]:
@@ -161,6 +196,28 @@ def folds(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return held, rest
 
 
+def surest(model: Model, wanted: dict[tuple[str, bool], int], limit: float):
+    """For mapInArrow: of each batch of unlabelled rows, for each view and class as many as wanted of those it is surest of, their log-odds over the limit."""
+    kinds = list(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column("h").to_numpy(zero_copy_only=False)
+            x = {v: batch.column(v).flatten().to_numpy(zero_copy_only=False).reshape(len(h), -1).astype(float) for v in ("content", "meta")}
+            x["meta"] = one_hot(x["meta"])
+            for k, (view, good) in enumerate(kinds):
+                beta, shift = getattr(model, view)
+                z = (x[view] @ beta + shift) * (1 if good else -1)
+                at = np.flatnonzero(z >= limit)
+                at = at[np.lexsort((h[at], -z[at]))[: wanted[view, good]]]
+                part = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(z[at]), *part.columns], names=["pick", "z", *part.schema.names])
+
+    return run
+
+
 def train(
     docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, exchange: int = EXCHANGE, rounds: int = ROUNDS, sure: float = SURE
 ) -> tuple[Model, DataFrame]:
@@ -175,7 +232,9 @@ def train(
     # A share of the hashes' range (with a margin, so that the quota is met), not the smallest ones: no task sends more than its part. Repeated rows count once.
     share = {c: 1.0 if n == counts[c] else min(1.0, (n + 6 * n**0.5 + 20) / counts[c]) for c, n in quota.items()}
     below = F.when(F.col("good"), F.lit(share.get(True, 0.0))).otherwise(F.lit(share.get(False, 0.0)))
-    sample = labelled.where(F.col("h") < below).dropDuplicates(["doc_id"]).toPandas().sort_values(["h", "doc_id"], kind="stable")
+    one = F.min_by(F.struct("content", "meta"), F.xxhash64("content", "meta")).alias("one")
+    sample = labelled.where(F.col("h") < below).groupBy("doc_id", "h", "good").agg(one).select("doc_id", "h", "good", "one.*").toPandas()
+    sample = sample.sort_values(["h", "doc_id"], kind="stable")
     sample = sample[sample.groupby("good").cumcount() < sample["good"].map(quota).astype("int64")] if len(sample) else sample
     y = sample["good"].to_numpy(dtype=float)
     total = sum(counts.values())
@@ -188,7 +247,8 @@ def train(
     views = {v: _matrix(v, sample[v]) for v in ("content", "meta")}
     have = {v: [(x[rest], y[rest], np.ones(rest.sum()))] for v, x in views.items()}
     model = Model(good_share)
-    open_ = table.where("good is null")
+    open_ = table.where("good is null").select("doc_id", order.alias("h"), "content", "meta")
+    schema = f"pick int, z double, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in open_.schema)}"
     given = {v: set() for v in views}
 
     def refit() -> None:
@@ -200,28 +260,42 @@ def train(
     refit()
     limit = float(np.log(sure / (1 - sure)))
     for _ in range(rounds):
-        scored = open_.withColumns({f"z_{v}": model.log_odds(v) for v in views}).withColumn("h", order)
-        for v, other in (("content", "meta"), ("meta", "content")):
-            for sign, part in ((1, good_share), (-1, 1 - good_share)):
-                count = max(1, round(2 * exchange * part))
-                z = F.col(f"z_{v}") * sign
-                # Enough rows that those given before can be told apart.
-                picked = scored.where(z >= limit).orderBy(z.desc(), "h", "doc_id").limit(count + len(given[other])).select("doc_id", other).toPandas()
-                picked = picked[~picked["doc_id"].isin(given[other])].head(count)
-                if len(picked):
-                    given[other].update(picked["doc_id"].tolist())
-                    have[other].append((_matrix(other, picked[other]), np.full(len(picked), float(sign > 0)), np.full(len(picked), _PSEUDO_WEIGHT)))
+        share_of = {True: good_share, False: 1 - good_share}
+        count = {c: max(1, round(2 * exchange * part)) for c, part in share_of.items()}
+        # Enough rows that those given before can be told apart.
+        wanted = {(v, c): count[c] + len(given[other]) for v, other in (("content", "meta"), ("meta", "content")) for c in (True, False)}
+        # One pass over all rows: the surest of each batch, then of each task, then of all.
+        picked = open_.mapInArrow(surest(model, wanted, limit), schema)
+        nth = F.row_number().over(Window.partitionBy("pick").orderBy(F.col("z").desc(), "h", "doc_id"))
+        picked = picked.withColumn("nth", nth).where(F.col("nth") <= max(wanted.values())).toPandas().sort_values("nth", kind="stable")
+        for k, (view, good_) in enumerate(wanted):
+            other = "meta" if view == "content" else "content"
+            part = picked[picked["pick"] == k]
+            part = part[~part["doc_id"].isin(given[other])].head(count[good_])
+            if len(part):
+                given[other].update(part["doc_id"].tolist())
+                have[other].append((_matrix(other, part[other]), np.full(len(part), float(good_)), np.full(len(part), _PSEUDO_WEIGHT)))
         refit()
-    z = [np.clip(views[v][held] @ getattr(model, v)[0] + getattr(model, v)[1], -30, 30) for v in views]
-    one = np.ones(held.sum())
-    curves = [fit(x[:, None], y[held], one) for x in z]
+    z = [np.clip(x @ getattr(model, v)[0] + getattr(model, v)[1], -30, 30) for v, x in views.items()]
+    first, second = halves(y, held)
+    curves = [fit(x[first, None], y[first], np.ones(first.sum())) for x in z]
     model.calibration = tuple((float(b[0]), float(c) + prior) for b, c in curves)
     cal = np.column_stack([a * x + b for x, (a, b) in zip(z, model.calibration, strict=True)])
-    beta, shift = fit(cal, y[held], one)
+    beta, shift = fit(cal[second], y[second], np.ones(second.sum()))
     model.blend = (float(beta[0]), float(beta[1]), float(shift) + prior)
     return model, table
 
 
+def halves(y: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The held-out rows to calibrate on and to weigh the views on: a half of each class each, or all for both where a class has fewer than four."""
+    if min(((y == c) & held).sum() for c in (0, 1)) < 4:
+        return held, held
+    first = np.zeros_like(held)
+    for c in (0, 1):
+        first[np.flatnonzero((y == c) & held)[::2]] = True
+    return first, held & ~first
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """(doc_id, p_content, p_metadata, score, kept) for every row of docs."""
     model, table = train(docs, labels, **options)
@@ -230,7 +304,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **op
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents that the classifier doesn't reject, with all their columns."""
+    """The documents that the classifier doesn't reject, with all their columns.
+
+    Views are computed again from the rows: matching rows with train()'s table would shuffle all texts.
+    """
     model, _ = train(docs, labels, **options)
     if model.content is None:
         return docs if model.share >= threshold else docs.limit(0)

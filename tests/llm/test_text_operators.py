@@ -139,7 +139,7 @@ def distance(p, w):
 
 
 def test_decontamination_is_brute_force():
-    items = decontam.Items([(i, t) for i, t in BENCH if t], decontam.Q, decontam.EDIT_RATE)
+    items = decontam.index([(i, t) for i, t in BENCH if t])
     rng = np.random.default_rng(2)
     filler = " ".join(r[1] for r in some_docs(4))
     found = 0
@@ -152,7 +152,7 @@ def test_decontamination_is_brute_force():
         cut = int(rng.integers(0, 400)) if trial % 4 else 0
         text = filler[:cut] + " " + "".join(s) + (" " + filler[cut : cut + 300] if trial % 3 else "")
         p, w = decontam.normal(BENCH[item][1])[0], decontam.normal(text)[0]
-        d, k = distance(p.tolist(), w.tolist()), int(items.edits[item])
+        d, k = distance(p.tolist(), w.tolist()), decontam.edits_of(len(p), decontam.EDIT_RATE)
         hits = [h for h in decontam.search(text, items) if h["item_id"] == item + 1]
         assert (min((h["distance"] for h in hits), default=None)) == (d if d <= k else None)
         for h in hits:
@@ -169,12 +169,35 @@ def test_decontamination_of_tables(spark):
     bench = spark.createDataFrame([*BENCH, (9, BENCH[0][1])], "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id, r.distance) for r in decontam.regions(df, bench, block_bytes=120).collect()), key=str)
     assert got == sorted([(50, 1, 0), (51, 2, 0), (None, 1, 0), (54, 1, 0), (54, 1, 0), (55, 1, 0)], key=str)
+    plan = decontam.regions(df, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted(r.doc_id for r in decontam.decontaminate(df, bench, block_bytes=120).collect()) == sorted([r[0] for r in clean] + [52, 53])
     kept = decontam.decontaminate(df, bench)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted([r[0] for r in clean] + [52, 53])
     assert decontam.regions(df, bench.limit(0)).count() == 0 and decontam.regions(df.limit(0), bench).count() == 0
 
 
+def test_short_items_keep_their_edits_and_are_whole_words():
+    short = {1: "ab, cd efg hij", 2: "tiny", 3: "?!", 4: "日本語の文章はここにあります、そして続きます。", 5: "x", 6: "Abcdefg hijklmn opqrs tu"}
+    items = decontam.index(list(short.items()))
+    assert {i for part in items for i in part.ids} == {1, 2, 4, 5, 6} and all((part.bound >= 1).all() for part in items)
+    found = lambda text: [(h["item_id"], text[h["start"] : h["end"]], h["distance"]) for h in decontam.search(text, items)]
+    assert found("destiny and tiny. Tiny!") == [(2, "tiny", 0), (2, "Tiny", 0)] or found("destiny and tiny. Tiny!") == [(2, "tiny", 0)]
+    assert found("zz ab cd eefg hij zz")[0][0::2] == (1, 1) and found("y X") == [(5, "X", 0)] and found("boxes") == []
+    assert found("前 日本語の文章はここにありまず、そして続きます。")[0][0::2] == (4, 1)
+    assert found("İİİ so abcdefg hijklm opqrs tu") == [(6, "abcdefg hijklm opqrs tu", 1)]
+    rng = np.random.default_rng(7)
+    for _ in range(300):  # every item length, at the most edits it may have
+        m = int(rng.integers(8, 40))
+        item = "".join(rng.choice(list("abcdefgh"), m))
+        k, p = decontam.edits_of(m, decontam.EDIT_RATE), list(item)
+        for x in rng.choice(m, k, replace=False):
+            p[x] = "z"
+        hits = decontam.search("qq " + "".join(p) + " qq", decontam.index([(1, item)]))
+        assert hits and hits[0]["distance"] <= k
+
+
 def brute_targets(sizes, weights=(5.0, 2.0, 1.0), cap=3.0):
     order = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
@@ -228,19 +251,39 @@ def test_mix_meets_its_targets_and_reruns_agree(spark):
 @given(st.lists(st.tuples(st.integers(0, 50), st.floats(0.0, 1.0)), max_size=40), st.integers(0, 1 << 30))
 def test_flight_keeps_the_balance(units, seed):
     size, p = np.array([u[0] for u in units], dtype=float), np.array([u[1] for u in units])
-    out = mixing.flight(size, p, np.random.default_rng(seed).random(len(units)))
+    rng = np.random.default_rng(seed)
+    out = mixing.flight(size, p, rng)
     open_ = (out > 0) & (out < 1)
     assert open_.sum() <= 2 and ((out >= 0) & (out <= 1)).all()
     assert out.sum() == pytest.approx(p.sum(), abs=1e-5) and (out * size).sum() == pytest.approx((p * size).sum(), abs=1e-4)
-    done = mixing.landing(size, out)
+    done = mixing.landing(size, out, rng)
     assert set(np.unique(done)) <= {0.0, 1.0}
 
 
-def test_flight_is_unbiased():
-    size, p = np.arange(1.0, 13.0), np.linspace(0.1, 0.9, 12)
-    rng = np.random.default_rng(8)
-    mean = np.mean([mixing.flight(size, p, rng.random(12)) for _ in range(3000)], axis=0)
-    assert np.abs(mean - p).max() < 0.04
+def test_two_levels_and_landing_are_unbiased():
+    n, runs = 48, 4000
+    size, p = np.random.default_rng(1).integers(1, 40, n).astype(float), np.full(n, 0.3)
+    total = np.zeros(n)
+    for run in range(runs):
+        rng = np.random.default_rng(run)
+        chunk, out = rng.integers(0, 4, n), p.copy()
+        for c in range(4):
+            out[chunk == c] = mixing.flight(size[chunk == c], p[chunk == c], rng)
+        out = mixing.landing(size, mixing.flight(size, out, rng), rng)
+        assert set(np.unique(out)) <= {0.0, 1.0} and abs((out * size).sum() - (p * size).sum()) <= 80
+        total += out
+    error = (0.3 * 0.7 / runs) ** 0.5
+    assert np.abs(total / runs - p).max() < 4 * error
+
+
+def test_rows_that_differ_in_other_columns_are_not_merged(spark):
+    rows = [(1, "one two three", lang, "s", k) for lang in ("en", "de") for k in (1, 2)] + [(1, "one two three", "en", "s", 1)] * 2
+    out = mixing.mixed(docs(spark, rows), max_epochs=1.0).collect()
+    assert collections.Counter(map(tuple, out)) == collections.Counter(rows)
+    hot = docs(spark, [(7, "a b", "en", "s", 1)]).selectExpr("explode(sequence(1, 9000)) AS x", "*").drop("x").union(docs(spark, [(8, "c", "en", "t", 1)]))
+    got = mixing.mix(hot).collect()
+    assert len(got) == 9001 and {r.taken for r in got if r.doc_id == 8} == {3}
+    assert abs(sum(r.taken for r in got if r.doc_id == 7) - got[0].target) <= 2
 
 
 def test_classifier_finds_held_out_labels(spark):
