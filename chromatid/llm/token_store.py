@@ -8,10 +8,12 @@ A store is a folder of three Parquet tables, which Spark's writers commit, so it
   its chunk's payload, and how many ids all documents before it have.
 
 Documents are dealt to shards by ranges of doc_id, null first, and lie in ascending order; a frame holds little-endian unsigned 32-bit ids,
-ending with the end id. The dictionary is trained on the serialized ids of a bounded sample of documents, taken by a hash of doc_id.
+ending with the end id. There are at most ``MAX_SHARDS`` shards, whatever the input; a shard is one file of each table, so a reader that wants few documents
+reads the payloads of their shards only. The dictionary is trained on pieces of the serialized ids of a bounded sample of documents of any length,
+taken by a hash; where there are too few pieces to train on, they are the dictionary themselves.
 
-Null text is empty text (one id: the end id). Repeated rows are stored as often as they come. An empty table gives an empty store.
-Extra columns are ignored.
+Null text is empty text (one id: the end id). Very long texts are encoded whole, each a frame of its own. Repeated rows are stored as often as they
+come, and may lie in several shards. An empty table gives an empty store. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +35,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromatid.llm import common
-from chromatid.llm.common import only
+from chromatid.llm.common import batches_of, only, stored
 
 CHUNK_BYTES = 1 << 20
-#: The dictionary is trained on so many documents, each of so many bytes at most, cut into pieces of so many ids.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PIECE, DICT_BYTES = 400, 20_000, 512, 32_768
-_ELIGIBLE = f"octet_length(text) BETWEEN 1 AND {SAMPLE_CHARS}"
-_MEMO_WORDS = 800_000
+#: The dictionary is trained on about so many documents, so many pieces of each spread over its length, each of so many ids.
+SAMPLE_DOCS, DOC_PIECES, PIECE_IDS, DICT_BYTES = 400, 16, 512, 32_768
+MAX_SHARDS = 1 << 16
+#: Bytes that the memo of pieces may take, at about _PIECE_BYTES a piece beside its characters.
+MEMO_BYTES, _PIECE_BYTES = 96 << 20, 180
+#: Shards that a reader names in its filter at most; beyond, it reads all and joins.
+_NAMED = 1000
 _SHARD_CHARS = 16 << 20
 _PORTION = 4 << 20
 _loaded: dict = {}
@@ -58,6 +63,7 @@ class Pieces:
 
     def __init__(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.begin, self.size, self.used = np.empty(1 << 20, dtype="<u4"), np.empty(1 << 18, dtype="int64"), np.empty(1 << 18, dtype="int64"), 0
 
     def add(self, pieces: list[str], ids: np.ndarray, size: np.ndarray) -> None:
@@ -69,6 +75,7 @@ class Pieces:
         self.ids[self.used : self.used + len(ids)] = ids
         self.begin[at : at + k], self.size[at : at + k] = self.used + np.cumsum(size) - size, size
         self.used += len(ids)
+        self.chars += sum(map(len, pieces))
         self.place.update(zip(pieces, range(at, at + k), strict=True))
 
     def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +90,14 @@ class Encoder:
     """The tokenizer, with a bounded memo of ids by piece.
 
     Its pre-tokenizer never joins characters across a space or line feed, or letters and the punctuation behind them, and lower-cases
-    them all; so a text's ids are its pieces' ids one after another.
+    them all; so a text's ids are its pieces' ids one after another. A tokenizer for which that isn't so on a probe of such texts encodes whole texts.
     """
 
+    PROBE = (
+        "The quick, brown Fox (jumps) over 12.5 dogs; isn't it? YES!\nÉté à Ärger: straße -- \"quoted\" & more...",
+        "a,b c . d , e\nx, y. z <|end|> Σίσυφος 日本語 naïve\tTAB  two   spaces \n\n $5 #tag *** %%% don't I'LL",
+    )
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -94,6 +106,11 @@ class Encoder:
         self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
         for w, i in words.items():
             self.ends[i] = w.endswith("</w>")
+        self.whole = False
+        self.whole = any(x.tolist() != y.tolist() for x, y in zip(self.encode(list(self.PROBE)), self._encode_whole(list(self.PROBE)), strict=True))
+
+    def _encode_whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _one_by_one(self, known: Pieces, new: list[str]) -> None:
         ids = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in new]
@@ -130,6 +147,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        if self.whole:
+            return self._encode_whole(texts)
         whole = pa.array(texts, pa.large_string())
         plain = pc.utf8_lower(whole)
         for mark in (", ", ",\n", ". ", ".\n"):
@@ -141,7 +160,7 @@ class Encoder:
         memo = common.memo(self.name)
         known = memo.setdefault("pieces", Pieces())
         new = [w for w in words if w not in known.place]
-        if len(known.place) + len(new) > _MEMO_WORDS:
+        if known.chars + sum(map(len, new)) + (len(known.place) + len(new)) * _PIECE_BYTES > MEMO_BYTES:
             known = memo["pieces"] = Pieces()
             new = words
         self._learn(known, new)
@@ -176,19 +195,29 @@ def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def _sample_pieces(tokenizer_path: str, end_id: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for h, text in zip(pdf["h"].tolist(), pdf["text"].tolist(), strict=True):
+                raw = _pack(encoder(tokenizer_path).encode([text])[0], end_id)
+                cut = 4 * PIECE_IDS
+                at = np.unique(np.linspace(0, (len(raw) - 1) // cut, DOC_PIECES).astype(int))
+                yield pd.DataFrame({"h": h, "k": at, "piece": [raw[k * cut : (k + 1) * cut] for k in at.tolist()]})
+
+    return run
+
+
 def train_dictionary(docs: DataFrame, eligible: int, tokenizer_path: str, end_id: int) -> bytes:
-    """From about SAMPLE_DOCS of the eligible documents, by a share of their hashes; empty (plain frames) where the sample is too small to train on."""
-    rows = only(docs, "doc_id", "text").where(_ELIGIBLE).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / float(1 << 63))
+    """From about SAMPLE_DOCS of the eligible documents (those with text), by a share of their hashes; their pieces are cut out by the tasks."""
+    rows = only(docs, "doc_id", "text").where("text <> ''").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / float(1 << 63))
     # Repeated rows have one hash and count once; a share of the range, so that no task sends more than its part.
-    sample = rows.where(F.col("h") < min(1.0, SAMPLE_DOCS / max(1, eligible))).dropDuplicates(["h"]).toPandas().sort_values(["h", "text"]).head(SAMPLE_DOCS)
-    pieces = []
-    for ids in encoder(tokenizer_path).encode(sample["text"].tolist()):
-        raw = _pack(ids, end_id)
-        pieces += [raw[k : k + 4 * SAMPLE_PIECE] for k in range(0, len(raw), 4 * SAMPLE_PIECE)]
+    sample = rows.where(F.col("h") < min(1.0, SAMPLE_DOCS / max(1, eligible))).dropDuplicates(["h"]).select("h", "text")
+    pieces = sample.mapInPandas(_sample_pieces(tokenizer_path, end_id), "h double, k long, piece binary").toPandas().sort_values(["h", "k"])["piece"]
+    pieces = [bytes(x) for x in pieces]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, pieces, level=3).as_bytes() if len(pieces) >= 64 else b""
+        return zstandard.train_dictionary(DICT_BYTES, pieces, level=3).as_bytes() if len(pieces) >= 64 else b"".join(pieces)[:DICT_BYTES]
     except zstandard.ZstdError:
-        return b""
+        return b"".join(pieces)[:DICT_BYTES]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -244,20 +273,21 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
     """Encodes every whole text of docs (doc_id, text), appends end_id, and writes the store."""
     spark = docs.sparkSession
     rows = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    total, eligible = rows.agg(F.sum(F.octet_length("text")), F.count_if(F.expr(_ELIGIBLE))).first()
+    total, eligible = rows.agg(F.sum(F.octet_length("text")), F.count_if(F.col("text") != "")).first()
     dictionary = train_dictionary(docs, eligible, tokenizer_path, end_id)
     spark.createDataFrame(
         [(dict_hash(dictionary), bytearray(dictionary), tokenizer_path, end_id)], "dict_hash string, dictionary binary, tokenizer string, end_id long"
     ).coalesce(1).write.parquet(f"{path}/dictionary")
-    shards = max(1, math.ceil((total or 0) / shard_chars))
-    # The text's hash splits a doc_id that very many rows share over shards; doc_id stays the order between them.
+    shards = max(1, min(MAX_SHARDS, math.ceil((total or 0) / shard_chars)))
+    # The text's hash, and a number, split a doc_id and a whole row that very many rows share over shards; doc_id stays the order between them.
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(shards, *key).sortWithinPartitions(*key)
+    dealt = rows.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(shards, *key, "nth").sortWithinPartitions(*key)
     dealt = dealt.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("no_id"), "text", F.spark_partition_id().alias("shard"))
     chunks = dealt.mapInPandas(_write_chunks(tokenizer_path, end_id, dictionary), _CHUNK)
-    chunks.write.parquet(f"{path}/chunks")
+    with batches_of(spark):
+        chunks.write.parquet(f"{path}/chunks")
 
-    # Starts: sums over shards, then over the chunks of a shard, then over the documents of a chunk.
+    # Starts: sums over shards (at most MAX_SHARDS rows), then over the chunks of a shard, then over the documents of a chunk.
     index = spark.read.schema(_CHUNK).parquet(f"{path}/chunks").drop("payload")
     index = index.withColumn("tokens", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)"))
     per_shard = index.groupBy("shard").agg(F.sum("tokens").alias("tokens"))
@@ -309,7 +339,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the documents in wanted (doc_id): their frames only are cut out of the chunks and decompressed."""
+    """(doc_id, ids) of the documents in wanted (doc_id): their frames only are cut out of the chunks and decompressed.
+
+    Where they lie in few shards, the scan skips the payloads of all others by the files' statistics.
+    """
     name, dictionary = _dictionary(spark, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -321,5 +354,10 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 
     index = spark.read.parquet(f"{path}/offsets").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     chunks = spark.read.parquet(f"{path}/chunks").select("shard", "chunk", "dict_hash", "payload")
+    index = stored(index, "token-wanted")
+    shards = [r[0] for r in index.select("shard").distinct().limit(_NAMED + 1).collect()]
+    if len(shards) <= _NAMED:
+        chunks = chunks.where(F.col("shard").isin(shards))
+    chunks = chunks.join(index.select("shard", "chunk").distinct(), ["shard", "chunk"], "left_semi")
     frames = index.join(chunks, ["shard", "chunk"]).select("doc_id", "dict_hash", F.expr("substring(payload, cast(offset + 1 as int), cast(length as int))").alias("frame"))
     return frames.mapInPandas(run, "doc_id long, ids array<long>")
