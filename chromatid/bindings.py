@@ -141,21 +141,14 @@ code AS (SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'Brand.
 
 
 def class_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three words of every line of every document, as a class list."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "t"))
-    return d.select(F.array_join(F.slice(F.split("t", " "), 1, 3), " ").alias("classes"), "file", (F.col("pos") + 1).alias("line"))
-
-
-CLASS_STRINGS = """lines AS (SELECT source AS file, unnest(string_split(text, chr(10))) AS t FROM documents),
-class_strings AS (SELECT array_to_string(string_split(t, ' ')[1:3], ' ') AS classes, file FROM lines)"""
-
-
-def class_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole line of every document, as a class list."""
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "classes"))
     return d.select("classes", "file", (F.col("pos") + 1).alias("line"))
 
 
+CLASS_STRINGS = """class_strings AS (SELECT source AS file, unnest(string_split(text, chr(10))) AS classes FROM documents)"""
+
+
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """USES supplier to part, CHANGED order to supplier, AUTHORED customer to order, all distinct."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
@@ -194,13 +187,21 @@ IMPORT_EDGES = """imports AS (SELECT DISTINCT src, dst FROM
 
 
 def looped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The imports, and parts in rings of 12: k imports k + 1, and the last of a ring its first."""
+    """The imports, and parts in rings: 24 parts after another make a ring of 3, one of 9 and one of 12; k imports k + 1, and the last of a ring its first."""
     k = F.col("p_partkey")
-    first = F.greatest(F.lit(1), k - 11)
-    ring = table(spark, sf_dir, "part").select(F.lit("IMPORTS").alias("type"), k.alias("src"), F.when(k % 12 == 11, first).otherwise(k + 1).alias("dst"))
+    at = k % 24
+    first = F.when(at == 2, k - 2).when(at == 11, k - 8).when(at == 23, k - 11).otherwise(k + 1)
+    ring = table(spark, sf_dir, "part").select(F.lit("IMPORTS").alias("type"), k.alias("src"), first.alias("dst"))
     return import_edges(spark, sf_dir).union(ring).distinct()
 
 
+LOOPED_EDGES = (
+    IMPORT_EDGES
+    + """, looped AS (SELECT src, dst FROM imports UNION SELECT p_partkey, CASE p_partkey % 24 WHEN 2 THEN p_partkey - 2 WHEN 11 THEN p_partkey - 8
+  WHEN 23 THEN p_partkey - 11 ELSE p_partkey + 1 END FROM part)"""
+)
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     author = F.concat(F.when(F.col("o_orderkey") % 2 == 0, F.lit("User")).otherwise(F.lit("user")), F.col("o_custkey").cast("string"))

@@ -170,6 +170,37 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     return found.union(loops.join(found.select("id"), "id", "left_anti"))
 
 
+def component_cycles(edges: DataFrame) -> DataFrame:
+    """(cycle, length): for each strongly connected component the shortest cycle through its smallest node, of any length; ids joined by ``>``.
+
+    From the smallest nodes on, a round takes a step: each node of a component that is reached first keeps its smallest predecessor. The first round that
+    closes a component's cycle ends its search; the way back follows the predecessors. A node is its own cycle where it leads to itself.
+    """
+    e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    at = durable(cycle_nodes(e))
+    inner = e.join(at.select(F.col("id").alias("src"), F.col("component").alias("c")), "src").join(at.withColumnRenamed("id", "dst"), "dst")
+    inner = durable(inner.where("c = component").select("c", "src", "dst"))
+    # (c, id, before): the nodes reached, by the round that reached them.
+    reached = [durable(inner.select("c", F.col("c").alias("id"), F.lit(None).cast(inner.schema["src"].dataType).alias("before")).distinct())]
+    seen, ends = reached[0], None
+    while not reached[-1].isEmpty():
+        step = reached[-1].select("c", F.col("id").alias("src")).join(inner, ["c", "src"])
+        closed = step.where("dst = c").groupBy("c").agg(F.min("src").alias("last")).withColumn("round", F.lit(len(reached)))
+        ends = durable(closed if ends is None else ends.union(closed.join(ends, "c", "left_anti")))
+        new = step.join(ends, "c", "left_anti").join(seen.select("c", F.col("id").alias("dst")), ["c", "dst"], "left_anti")
+        reached.append(durable(new.groupBy("c", F.col("dst").alias("id")).agg(F.min("src").alias("before"))))
+        seen = durable(seen.union(reached[-1]))
+    way = None
+    for k in range(len(reached) - 2, -1, -1):  # the last node of cycles that the round after k closed, and of the way so far
+        last = ends.where(F.col("round") == k + 1).select("c", F.col("last").alias("id"), F.lit("").alias("tail"), F.lit(0).alias("length"))
+        here = last if way is None else way.union(last)
+        here = here.join(reached[k], ["c", "id"])
+        tail = F.when(F.col("length") == 0, F.col("id").cast("string")).otherwise(F.concat(F.col("id").cast("string"), F.lit(">"), "tail"))
+        way = durable(here.select("c", F.coalesce("before", "id").alias("id"), tail.alias("tail"), (F.col("length") + 1).alias("length")))
+    none = edges.sparkSession.createDataFrame([], "cycle string, length int")
+    return none if way is None else way.select(F.col("tail").alias("cycle"), "length")
+
+
 def cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
     """(cycle, length) of simple cycles up to a length: node ids joined by ``>``, beginning at the smallest, each cycle once.
 

@@ -1,12 +1,15 @@
 """Matching of components and tokens.
 
-Similarity joins meet on keys that no true pair lacks (a shared prop, a color cell, a length bucket), so they are equi-joins whatever the
-sides' sizes; Spark broadcasts a side by its measured size alone.
+Similarity joins meet on keys that no true pair lacks (a rare shared prop, a color cell, digits at their places, a length bucket), so they are
+equi-joins whatever the sides' sizes; Spark broadcasts a side by its measured size alone. Nearest colors are searched within growing reach: narrow
+keys first, and only what they leave open goes on to wider ones.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,16 +43,25 @@ def _jaccard(a: Column, b: Column) -> Column:
 def component_scores(source: DataFrame, target: DataFrame, least: float = MIN_MATCH) -> DataFrame:
     """(source_id, target_id, score, source_seq, target_seq) of component pairs (id, name, props, variants, dependencies: arrays of names) of at least that score.
 
-    A name alone gives 0.4 and dependencies 0.1, so a pair of over 0.5 shares a prop or a variant: candidates are joined on those.
+    A name alone gives 0.4 and dependencies 0.1, so a pair of 0.5 + 0.5 t has a Jaccard similarity of at least t in its props or its variants (0.4 for 0.7).
+    Sets that similar share one of their rarest members, of all but a share of t and one more: candidates are joined on those.
     """
-    if least <= WEIGHTS["name"] + WEIGHTS["dependencies"]:
+    share = (least - WEIGHTS["name"] - WEIGHTS["dependencies"]) / (WEIGHTS["props"] + WEIGHTS["variants"])
+    if share <= 0:
         raise ValueError("pairs of so low a score need share no prop or variant")
 
-    def marks(c: DataFrame, side: str) -> DataFrame:
-        all_ = F.concat(F.transform("props", lambda p: F.concat(F.lit("p:"), p)), F.transform("variants", lambda v: F.concat(F.lit("v:"), v)))
-        return c.select(F.col("id").alias(f"{side}_id"), F.explode(F.array_distinct(all_)).alias("mark"))
+    def marks(c: DataFrame) -> DataFrame:
+        kinds = [F.transform(F.array_distinct(k), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("mark"))) for k in ("props", "variants")]
+        return c.select("id", F.explode(F.concat(*kinds)).alias("x")).select("id", "x.*")
 
-    pairs = marks(source, "source").join(marks(target, "target"), "mark").select("source_id", "target_id").distinct()
+    rarity = marks(source).union(marks(target)).groupBy("kind", "mark").agg(F.count(F.lit(1)).alias("n"))
+
+    def rare(c: DataFrame, side: str) -> DataFrame:
+        sets = marks(c).join(rarity, ["kind", "mark"]).groupBy("id", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "mark"))).alias("m"))
+        first = F.slice("m", 1, F.size("m") - F.ceil(F.size("m") * F.lit(share) - 1e-9).cast("int") + 1)
+        return sets.select(F.col("id").alias(f"{side}_id"), "kind", F.explode(first).alias("x")).select(f"{side}_id", "kind", "x.mark")
+
+    pairs = rare(source, "source").join(rare(target, "target"), ["kind", "mark"]).select("source_id", "target_id").distinct()
     s, t = (c.select(*[F.col(k).alias(f"{side}_{k}") for k in ("id", "name", "props", "variants", "dependencies", "seq")]) for side, c in (("source", source), ("target", target)))
     both = pairs.join(s, "source_id").join(t, "target_id")
     score = WEIGHTS["name"] * strings.similarity(F.lower("source_name"), F.lower("target_name"))
@@ -142,39 +154,61 @@ def token_match(design: DataFrame, code: DataFrame) -> DataFrame:
     return out
 
 
+def _nearest_hex(values: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(value, token, distance): for values and tokens (token, seq) of six hex digits, the token with the fewest other digits, five at most, first by seq.
+
+    Round d joins on all but d digits at their places and answers the values that have a token at that distance; the others go on.
+    """
+
+    def digits(c: Column) -> Column:
+        return F.replace(F.lower(c), F.lit("#"), F.lit(""))
+
+    def masks(x: Column, d: int) -> Column:
+        forms = []
+        for out in itertools.combinations(range(1, 7), d):
+            forms.append(F.concat(*[F.lit("*") if i in out else F.substring(x, i, 1) for i in range(1, 7)]))
+        return F.array(*forms)
+
+    open_ = durable(values.select("value", digits(F.col("value")).alias("v")).where(F.char_length("v") == 6))
+    by_hex = tokens.withColumn("t", digits(F.col("token"))).where(F.char_length("t") == 6).groupBy("t").agg(F.min(F.struct("seq", "token")).alias("first"))
+    by_hex = durable(by_hex)
+    done = None
+    for d in range(1, 6):
+        met = open_.withColumn("k", F.explode(masks(F.col("v"), d))).join(by_hex.withColumn("k", F.explode(masks(F.col("t"), d))), "k")
+        best = met.groupBy("value").agg(F.min("first").alias("m")).select("value", "m.token", F.lit(float(d)).alias("distance"))
+        best = durable(best)
+        done = best if done is None else done.union(best)
+        open_ = durable(open_.join(best.select("value"), "value", "left_anti"))
+        if open_.isEmpty():
+            break
+    return done
+
+
 def close_matches(values: DataFrame, tokens: DataFrame, category: str) -> DataFrame:
     """(value, token, distance): the nearest token, first by seq, of values (value) that are no token (token, seq) but near one.
 
-    Colors are near with 5 differing hex digits at most, so they share a digit at its place; lengths with a difference of 2 at most, so they lie in
-    next buckets of 2; other categories have no near values.
+    Colors are near with 5 differing hex digits at most; lengths with a difference of 2 at most, so they lie in next buckets of 2; other
+    categories have no near values.
     """
     v = values.select("value").distinct().join(tokens.select(F.lower("token").alias("_t")).distinct(), F.lower("value") == F.col("_t"), "left_anti")
     t = tokens.select("token", "seq")
     if category == "color":
-
-        def places(c: Column) -> Column:
-            x = F.replace(F.lower(c), F.lit("#"), F.lit(""))
-            return F.when(F.char_length(x) == 6, F.array(*[F.concat(F.lit(f"{i}"), F.substring(x, i, 1)) for i in range(1, 7)])).otherwise(F.array().cast("array<string>"))
-
-        far, limit = colors.differing_digits(F.col("value"), F.col("token")), 5
-        v, t = v.withColumn("_k", F.explode(places(F.col("value")))), t.withColumn("_k", F.explode(places(F.col("token"))))
-    elif category in ("spacing", "radius"):
-        number = lambda c: F.regexp_extract(c, r"^\s*([-+]?(\d+\.?\d*|\.\d+))", 1).try_cast("double")
-        far, limit = F.abs(number(F.col("value")) - number(F.col("token"))), 2
-        cell = lambda c: F.floor(number(c) / 2)
-        v = v.withColumn("_k", cell(F.col("value")))
-        t = t.withColumn("_k", F.explode(F.array(*[cell(F.col("token")) + i for i in (-1, 0, 1)])))
-    else:
+        return _nearest_hex(v, t)
+    if category not in ("spacing", "radius"):
         return values.sparkSession.createDataFrame([], "value string, token string, distance double")
-    near = v.join(t, "_k").withColumn("distance", far.cast("double")).where((F.col("distance") > 0) & (F.col("distance") <= limit))
+    number = lambda c: F.regexp_extract(c, r"^\s*([-+]?(\d+\.?\d*|\.\d+))", 1).try_cast("double")
+    cell = lambda c: F.floor(number(c) / 2)
+    v = v.withColumn("_k", cell(F.col("value")))
+    t = t.withColumn("_k", F.explode(F.array(*[cell(F.col("token")) + i for i in (-1, 0, 1)])))
+    near = v.join(t, "_k").withColumn("distance", F.abs(number(F.col("value")) - number(F.col("token"))).cast("double")).where((F.col("distance") > 0) & (F.col("distance") <= 2))
     return near.groupBy("value").agg(F.min_by(F.struct("token", "distance"), F.struct("distance", "seq")).alias("m")).select("value", "m.token", "m.distance")
 
 
 def _cells(c: Column, size: float, reach: int) -> Column:
-    """Cells of a channel struct's cube grid, with their neighbours up to reach."""
-    r, g, b = (F.floor(c[k] / size) + 8 for k in ("r", "g", "b"))
-    steps = [400 * i + 20 * j + k for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) for k in range(-reach, reach + 1)]
-    return F.transform(F.array(*[F.lit(x) for x in steps]), lambda x: r * 400 + g * 20 + b + x)
+    """Cells of a channel struct's cube grid (of 5 units and more), with their neighbours up to reach."""
+    r, g, b = (F.floor(c[k] / size) + reach for k in ("r", "g", "b"))
+    steps = [4096 * i + 64 * j + k for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) for k in range(-reach, reach + 1)]
+    return F.transform(F.array(*[F.lit(x) for x in steps]), lambda x: r * 4096 + g * 64 + b + x)
 
 
 def _channels(values: DataFrame, mode: str) -> DataFrame:
@@ -183,13 +217,42 @@ def _channels(values: DataFrame, mode: str) -> DataFrame:
     return v.select("value", colors.channels(F.col("_hex")).alias("v")).where("v is not null")
 
 
+def near_colors(values: DataFrame, tokens: DataFrame, reaches: Iterable[float], enough: int) -> DataFrame:
+    """(v, t, ..., off): for distinct channels v of values, the tokens (t: channels, ...) within the first of the rising reaches in which there are enough, or else the last.
+
+    What is answered within a narrow reach never meets the wide cells of the next ones.
+    """
+    open_ = durable(values.select("v").distinct())
+    tokens = durable(tokens)
+    reaches, done = list(reaches), None
+    for reach in reaches:
+        size = reach + 1e-6
+        t = tokens.withColumn("_k", F.explode(_cells(F.col("t"), size, 1)))
+        v = open_.withColumn("_k", _cells(F.col("v"), size, 0)[0] + (4096 + 64 + 1))
+        found = v.join(t, "_k").drop("_k").withColumn("off", colors.distance(F.col("v"), F.col("t"))).where(F.col("off") <= size)
+        found = durable(found)
+        if reach != reaches[-1]:
+            settled = durable(found.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("v"))
+            found = found.join(settled, "v", "left_semi")
+            open_ = durable(open_.join(settled, "v", "left_anti"))
+        done = found if done is None else done.union(found)
+        if reach != reaches[-1] and open_.isEmpty():
+            break
+    return done
+
+
 def color_suggestions(values: DataFrame, tokens: DataFrame, least: float = COLOR_MATCH, top: int = SUGGESTIONS) -> DataFrame:
     """(value, token, confidence, rank): the most similar color tokens (token, hex) of each value, by name among equals."""
-    size = (1 - least) * colors.MAX_DISTANCE + 1e-6
-    v = _channels(values, "suggestion").withColumn("_k", F.explode(_cells(F.col("v"), size, 0)))
-    t = tokens.select("token", colors.channels(F.lower("hex")).alias("t")).where("t is not null").withColumn("_k", F.explode(_cells(F.col("t"), size, 1)))
-    found = v.join(t, "_k").withColumn("confidence", 1 - colors.distance(F.col("v"), F.col("t")) / colors.MAX_DISTANCE).where(F.col("confidence") >= least)
-    return _ranked(found, top)
+    reach = (1 - least) * colors.MAX_DISTANCE
+    v = _channels(values, "suggestion")
+    t = tokens.select("token", colors.channels(F.lower("hex")).alias("t")).where("t is not null")
+    # Of tokens with one color, no more than the first by name can count.
+    t = t.withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("token"))).where(F.col("k") <= top).drop("k")
+    found = near_colors(v, t, [r for r in (reach / 8, reach / 4, reach / 2) if r >= 5] + [reach], top)
+    found = found.withColumn("confidence", 1 - F.col("off") / colors.MAX_DISTANCE).where(F.col("confidence") >= least)
+    order = Window.partitionBy("v").orderBy(F.desc("confidence"), "token")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return v.join(found, "v").select("value", "token", "confidence", "rank")
 
 
 def _ranked(found: DataFrame, top: int) -> DataFrame:
@@ -214,13 +277,12 @@ def spacing_suggestions(values: DataFrame, tokens: DataFrame, least: float = SPA
 
 def best_fix_colors(values: DataFrame, tokens: DataFrame, least: float = FIX_MATCH) -> DataFrame:
     """(value, token, score, level): the color token (token, hex, seq) of the highest confidence of at least 40, first by seq among equals."""
-    size = 0.3 * colors.FIX_DISTANCE + 1e-6
-    v = _channels(values, "fix").withColumn("_k", F.explode(_cells(F.col("v"), size, 0)))
-    t = tokens.withColumn("t", colors.channels(F.lower("hex"))).where("t is not null").withColumn("_k", F.explode(_cells(F.col("t"), size, 1)))
-    off = colors.distance(F.col("v"), F.col("t")) / colors.FIX_DISTANCE * 100
-    found = v.join(t.select("token", "t", "seq", "_k"), "_k").withColumn("off", off).withColumn("score", colors.distance_confidence(F.col("off"))).where(F.col("score") >= least)
-    best = found.groupBy("value").agg(F.max_by(F.struct("token", "score"), F.struct("score", -F.col("seq"))).alias("b"))
-    return best.select("value", "b.token", "b.score", colors.confidence_level(F.col("b.score")).alias("level"))
+    v = _channels(values, "fix")
+    t = tokens.withColumn("t", colors.channels(F.lower("hex"))).where("t is not null").groupBy("t").agg(F.min_by("token", "seq").alias("token"), F.min("seq").alias("seq"))
+    # The reaches are those beyond which every score is lower than any within.
+    found = near_colors(v, t, [x * colors.FIX_DISTANCE for x in (0.05, 0.15, 0.3)], 1).withColumn("score", colors.distance_confidence(F.col("off") / colors.FIX_DISTANCE * 100))
+    best = found.where(F.col("score") >= least).groupBy("v").agg(F.max_by(F.struct("token", "score"), F.struct("score", -F.col("seq"))).alias("b"))
+    return v.join(best, "v").select("value", "b.token", "b.score", colors.confidence_level(F.col("b.score")).alias("level"))
 
 
 def unused(entities: DataFrame, usages: DataFrame) -> DataFrame:

@@ -275,16 +275,6 @@ def class_duplicates(spark, d):
     return aggregate.class_duplicates(b.class_strings(spark, d))
 
 
-@query()
-def class_patterns_lines(spark, d):
-    return aggregate.class_patterns(b.class_lines(spark, d))
-
-
-@query()
-def class_duplicates_lines(spark, d):
-    return aggregate.class_duplicates(b.class_lines(spark, d))
-
-
 _SIZED = "'p-' || p_size || ' m-' || (p_partkey % 7) || ' text-' || CASE p_partkey % 3 WHEN 0 THEN 'sm' WHEN 1 THEN 'lg' ELSE 'body' END || ' flex'"
 
 
@@ -634,21 +624,27 @@ def impact_summary(spark, d):
     return graph.impact_summary(graph.impact(b.import_edges(spark, d), _starts(spark)), n)
 
 
-@query(
-    "RECURSIVE +e AS (SELECT k AS src, (7 * k + 3) % 20 AS dst FROM range(0, 20) t(k)), p(path, tail) AS (SELECT [src, dst], dst FROM e WHERE src < dst UNION ALL"
-    " SELECT list_append(path, e.dst), e.dst FROM p JOIN e ON e.src = p.tail WHERE e.dst > path[1] AND NOT list_contains(path, e.dst) AND len(path) < 8)"
-    " SELECT array_to_string(path, '>') AS cycle, len(path)::INT AS length FROM p JOIN e ON e.src = p.tail AND e.dst = path[1] UNION ALL SELECT src::VARCHAR, 1 FROM e WHERE src = dst",
-    "unused AS (SELECT 1)",
-)
-def dependency_cycles(spark, d):
-    return graph.cycles(spark.range(20).select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % 20).alias("dst")))
+_REACH = "r(src, dst) AS (SELECT src, dst FROM looped UNION SELECT r.src, e.dst FROM r JOIN looped e ON e.src = r.dst WHERE e.dst // 24 = r.src // 24)"
+#: Imports lead to smaller ids, so a cycle stays within a ring of looped_edges(), and a ring within 24 ids.
+_RINGS = _REACH + ", scc AS (SELECT a.src AS id, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)"
 
 
-@query()
+@query("RECURSIVE +" + _RINGS + " SELECT id, component FROM scc", b.LOOPED_EDGES)
 def dependency_cycle_nodes(spark, d):
     return graph.cycle_nodes(b.looped_edges(spark, d))
 
 
+@query(
+    "RECURSIVE +" + _RINGS + ", p(c, path, tail) AS (SELECT component, [component], component FROM scc WHERE id = component UNION ALL SELECT c, list_append(path, e.dst), e.dst"
+    " FROM p JOIN looped e ON e.src = p.tail JOIN scc ON scc.id = e.dst AND scc.component = c WHERE NOT list_contains(path, e.dst)),"
+    " q AS (SELECT c, path, row_number() OVER (PARTITION BY c ORDER BY len(path), list_reverse(path)) AS n FROM p JOIN looped e ON e.src = p.tail AND e.dst = p.c)"
+    " SELECT array_to_string(path, '>') AS cycle, len(path)::INT AS length FROM q WHERE n = 1",
+    b.LOOPED_EDGES,
+)
+def dependency_cycles(spark, d):
+    return graph.component_cycles(b.looped_edges(spark, d))
+
+
 @query("SELECT src, dst FROM imports", b.IMPORT_EDGES)
 def dependency_graph(spark, d):
     return b.import_edges(spark, d).select("src", "dst").distinct()

@@ -22,8 +22,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir, or in one of our own where that isn't set."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; where that isn't set and all is one process, in one of our own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chromatid-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="chromatid-"))
     return df.checkpoint(eager=True)

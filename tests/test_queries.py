@@ -48,9 +48,9 @@ def test_class_lists_are_whole_lines(spark):
             files.setdefault(" ".join(sorted(x for x in re.split(r"[ \t\n\x0b\f\r]+", line) if x)), []).append(r.source)
     files.pop("", None)
     rows = {p: (len(f), len(set(f))) for p, f in files.items()}
-    got = {r.pattern: (r.n, r.files) for r in QUERIES["class_patterns_lines"](spark, SF).collect()}
+    got = {r.pattern: (r.n, r.files) for r in QUERIES["class_patterns"](spark, SF).collect()}
     assert got == {p: x for p, x in rows.items() if x[0] >= 2} and max(len(p.split(" ")) for p in got) > 3
-    got = {r.pattern: (r.n, r.files) for r in QUERIES["class_duplicates_lines"](spark, SF).collect()}
+    got = {r.pattern: (r.n, r.files) for r in QUERIES["class_duplicates"](spark, SF).collect()}
     assert got == {p: x for p, x in rows.items() if x[1] >= 2 and len(p.split(" ")) >= 3} and max(len(p.split(" ")) for p in got) > 3
 
 
