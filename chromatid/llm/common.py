@@ -119,7 +119,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> Dat
     """The equi-join of rows with one row a key: groups (key, n, ...), where n says how many of the ``total`` rows have the key.
 
     Keys with more rows than two tasks' fair share would gather in one task, so those are broadcast and their rows stay where they are. There are at most
-    half as many such keys as shuffle partitions, whatever the tables' sizes; all other rows meet in a shuffle by the key.
+    half as many such keys as shuffle partitions, whatever the tables' sizes; all other rows meet in a shuffle by the key. total may be an upper bound.
     """
     fair = 2 * total // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     heavy, light = F.broadcast(groups.where(F.col("n") > fair)), groups.where(F.col("n") <= fair)
@@ -139,6 +139,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     e = checkpointed(e)
+    # All rounds' joins take one bound, so that Spark compiles their code once.
     last, count = None, e.count()
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -154,7 +155,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == last:
             break
-        last, count = tuple(now), now[0]
+        last = tuple(now)
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(

@@ -215,28 +215,25 @@ def _verify(threshold: float):
     return run
 
 
-def buckets(reps: DataFrame, bands: int, tile_rows: int, tile_grams: int) -> DataFrame:
+def buckets(reps: DataFrame, tile_rows: int, tile_grams: int) -> DataFrame:
     """(fp, in): the buckets (band, hash, tiles) that each representative has to be verified in, an array of at most as many as there are bands."""
     banded = reps.select("fp", F.posexplode("bands").alias("band", "hash"))
     shared = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = stored(banded.join(shared, ["band", "hash"]), "ngram-buckets")
-    before = [F.col("band") > b for b in range(bands)]
-    # An earlier band that has one value for all members holds all their pairs.
+    members = banded.join(shared, ["band", "hash"]).join(reps.select("fp", "n_grams", F.col("bands").alias("all")), "fp")
+    members = stored(members, "ngram-buckets")
+    # The bands before this one in which a member is like the bucket's smallest: one that all members have in common holds all their pairs.
+    first = members.groupBy("band", "hash").agg(F.min(F.struct("fp", "all")).alias("first"))
+    bits = F.zip_with("all", "first.all", lambda x, y: (x == y).cast("long"))
+    like = F.aggregate(F.slice(bits, 1, F.col("band")), F.lit(0).cast("long"), lambda m, bit: m * 2 + bit)
     per = (
-        members.join(reps.select("fp", "n_grams", F.col("bands").alias("all")), "fp")
+        members.join(first, ["band", "hash"])
+        .withColumn("like", like)
         .groupBy("band", "hash")
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"),
-            *[F.min(F.when(before[b], F.get("all", F.lit(b)))).alias(f"lo{b}") for b in range(bands)],
-            *[F.max(F.when(before[b], F.get("all", F.lit(b)))).alias(f"hi{b}") for b in range(bands)],
-        )
-    )
-    held = F.lit(False)
-    for b in range(bands):
-        held = held | F.coalesce(F.col(f"lo{b}") == F.col(f"hi{b}"), F.lit(False))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"), F.bit_and("like").alias("like"))
+    )
     tiles = F.greatest(F.ceil(F.col("n") / float(tile_rows)), F.ceil(F.col("grams") / float(tile_grams))).cast("int")
-    kept = per.where(~held).select("band", "hash", F.least(tiles, F.col("n").cast("int")).alias("tiles"))
-    return members.join(kept, ["band", "hash"]).groupBy("fp").agg(F.collect_list(F.struct("band", "hash", "tiles")).alias("in"))
+    kept = per.where("like = 0").select("band", "hash", F.least(tiles, F.col("n").cast("int")).alias("tiles"))
+    return members.select("band", "hash", "fp").join(kept, ["band", "hash"]).groupBy("fp").agg(F.collect_list(F.struct("band", "hash", "tiles")).alias("in"))
 
 
 def classes(
@@ -248,6 +245,8 @@ def classes(
     pick a row of each class.
     """
     bands, rows = band_plan(threshold, recall)
+    if bands > 63:
+        raise ValueError("so high a recall at so low a threshold takes more than 63 bands")
     texts = only(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     sketched = texts.select("doc_id", "text_hash", word_hashes().alias("words")).mapInArrow(
@@ -263,7 +262,7 @@ def classes(
         ),
         "ngram-reps",
     )
-    wanted = reps.join(buckets(reps, bands, tile_rows, tile_grams), "fp").select(
+    wanted = reps.join(buckets(reps, tile_rows, tile_grams), "fp").select(
         "fp", F.col("row.doc_id").alias("w_id"), F.col("row.text_hash").alias("w_hash"), "copies", "bands", "in"
     )
     sets = (
