@@ -163,3 +163,70 @@ def name_match_score(name: Column, wanted: Column) -> Column:
         .when(found > 0, 50 + 30 * found / F.size(words))
         .otherwise(F.lit(0.0))
     )
+
+
+# Style properties whose values should be tokens, in kebab case, by what they set.
+TOKEN_PROPERTIES = {
+    "color": (
+        "color", "background-color", "background", "border-color", "fill", "stroke", "outline-color", "text-decoration-color", "caret-color", "accent-color",
+    ),
+    "spacing": (
+        "padding", "padding-top", "padding-right", "padding-bottom", "padding-left", "margin", "margin-top", "margin-right", "margin-bottom", "margin-left", "gap", "row-gap",
+        "column-gap", "width", "height", "min-width", "min-height", "max-width", "max-height", "top", "right", "bottom", "left", "inset",
+    ),
+    "fontSize": ("font-size",),
+}
+# How hard-coded values of these kinds look.
+TOKEN_VALUES = {"color": r"^(#[0-9a-fA-F]{3,8}|rgba?\(|hsla?\(|oklch\()", "spacing": r"^\d+(\.\d+)?(px|rem|em)$", "fontSize": r"^\d+(\.\d+)?(px|rem|em|pt)$"}
+# What the beginning of a generated file says, and how much of it is looked at.
+GENERATED, GENERATED_HEAD = r"(?i:auto-generated|auto generated|do not edit|this file is generated|generated by|generated file)|@generated", 500
+# Ends of files that a check looks at.
+SCANNABLE = (".tsx", ".jsx", ".ts", ".js", ".vue", ".svelte", ".component.ts", ".blade.php", ".erb", ".twig", ".njk", ".html", ".css", ".scss", ".json")
+# Folders that hold variants of components, the first that fits counts.
+VARIANT_FOLDERS = (
+    r"registry/([^/]+)/ui/", r"registry/([^/]+)/components/", r"registry/([^/]+)/blocks/", r"themes?/([^/]+)/", r"styles?/([^/]+)/", r"variants?/([^/]+)/", r"platforms?/([^/]+)/",
+    r"brands?/([^/]+)/",
+)
+
+
+def hardcoded_type(prop: Column, value: Column) -> Column:
+    """color, spacing or fontSize where a style property (in kebab or camel case) has a value that should be a token; else null."""
+    plain = F.replace(F.lower(prop), F.lit("-"), F.lit(""))
+    out = F.when(is_token_reference(value), F.lit(None).cast("string"))
+    for kind, names in TOKEN_PROPERTIES.items():
+        camel = [n.split("-")[0] + "".join(w.capitalize() for w in n.split("-")[1:]) for n in names]
+        out = out.when((prop.isin([*names, *camel]) | plain.isin(list(names))) & value.rlike(TOKEN_VALUES[kind]), kind)
+    return out
+
+
+def ignore_marked(text: Column, tool: str) -> Column:
+    """Whether a text says that a tool is to ignore or disable something there: ``tool-ignore`` or ``tool-disable``."""
+    return text.rlike(rf"(?i)\b{tool}-(ignore|disable)")
+
+
+def is_generated(content: Column) -> Column:
+    """Whether a file's first 500 characters say that it was generated."""
+    return F.substring(content, 1, GENERATED_HEAD).rlike(GENERATED)
+
+
+def is_scannable(path: Column) -> Column:
+    return path.rlike("(" + "|".join(e.replace(".", r"\.") for e in SCANNABLE) + ")$")
+
+
+def variant_name(path: Column) -> Column:
+    """The variant that a component's path is in; null for none."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in VARIANT_FOLDERS])
+
+
+def hardcoded_value(actual: Column, message: Column) -> Column:
+    """A signal's hard-coded value: what it says it found, else the first hex color, rgb color or px length of its message."""
+    forms = (r"(#[0-9a-fA-F]{3,8})\b", r"(?i)(rgba?\s*\([^)]+\))", r"\b(\d+(?:\.\d+)?px)\b")
+    return F.coalesce(F.nullif(actual, F.lit("")), *[F.nullif(F.regexp_extract(message, p, 1), F.lit("")) for p in forms])
+
+
+def dimension(text: Column) -> Column:
+    """struct(value, unit) of a number with px, rem, em or no unit (px); 0 px for anything else."""
+    pattern = r"^([\d.]+)(px|rem|em)?$"
+    number = F.regexp_extract(F.regexp_extract(text, pattern, 1), r"^(\d*\.?\d*)", 1).try_cast("double")
+    unit = F.coalesce(F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")), F.lit("px"))
+    return F.struct(F.coalesce(number, F.lit(0.0)).alias("value"), unit.alias("unit"))

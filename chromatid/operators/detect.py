@@ -119,6 +119,31 @@ def variant_divergence(props: DataFrame) -> DataFrame:
     return both.select("name", "a_id", "b_id", "prop", kind.alias("difference")).where("difference is not null")
 
 
+def variant_differences(props: DataFrame, variants: DataFrame, styles: DataFrame) -> DataFrame:
+    """(name, a_id, b_id, field, difference, severity) between all pairs of variants of a component (name).
+
+    props (name, id, prop, type, required, seq): missing or of another type; variants (id, variant): missing; styles (id, property, value, seq): other values, the last
+    of a property. A missing required prop, another type and another value warn.
+    """
+    pairs = match.variant_pairs(props.groupBy("name", "id").agg(F.min("seq").alias("seq")))
+
+    def sides(rows: DataFrame, what: str) -> DataFrame:
+        """Both sides' what by field, for all pairs."""
+        a, b = (pairs.join(rows.select(F.col("id").alias(f"{k}_id"), "field", F.col(what).alias(k)), f"{k}_id") for k in "ab")
+        return a.join(b, ["name", "a_id", "b_id", "field"], "full_outer")
+
+    last = props.groupBy("id", F.lower("prop").alias("field")).agg(F.max_by(F.struct("type", "required"), "seq").alias("p"))
+    p = sides(last, "p")
+    missing = F.col("a").isNull() | F.col("b").isNull()
+    kind = F.when(missing, "prop-missing").when(F.col("a.type") != F.col("b.type"), "prop-type")
+    warns = ~missing | F.coalesce("a.required", "b.required")
+    out = p.select("name", "a_id", "b_id", "field", kind.alias("difference"), F.when(warns, "warning").otherwise("info").alias("severity")).where("difference is not null")
+    v = sides(variants.select("id", F.lower("variant").alias("field"), F.lit(True).alias("v")).distinct(), "v").where(missing)
+    out = out.union(v.select("name", "a_id", "b_id", "field", F.lit("variant-missing"), F.lit("info")))
+    s = sides(styles.groupBy("id", F.col("property").alias("field")).agg(F.max_by("value", "seq").alias("s")), "s")
+    return out.union(s.where("a <> b and b <> ''").select("name", "a_id", "b_id", "field", F.lit("style-value"), F.lit("warning")))
+
+
 def example_coverage(components: DataFrame) -> DataFrame:
     """One row of components (name, context: production or example): with and without an example, examples only, per cent covered."""
     by = components.groupBy(F.lower("name").alias("name")).agg(F.bool_or(F.col("context") == "production").alias("p"), F.bool_or(F.col("context") == "example").alias("e"))

@@ -231,3 +231,34 @@ def cytoscape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(element) in JSON, one a node or edge."""
     n = nodes.select(F.to_json(F.struct(F.struct("id", F.coalesce("name", "id").alias("label"), "type").alias("data"))).alias("element"))
     return n.union(edges.select(F.to_json(F.struct(F.struct("id", F.col("src").alias("source"), F.col("dst").alias("target"), "type").alias("data"))).alias("element")))
+
+
+def drifting_tokens(edges: DataFrame) -> DataFrame:
+    """(token, expected, actual) of edges (type, src, expected, actual) that say a token drifts from its definition."""
+    return edges.where("type = 'DRIFTS_FROM'").select(F.col("src").alias("token"), "expected", "actual")
+
+
+def drift_in_pr(edges: DataFrame, prs: DataFrame) -> DataFrame:
+    """(pr, drift): drift signals flagged in pull requests (pr: a number, or a node's id that begins with ``pr:``)."""
+    wanted = prs.select("pr", F.when(F.col("pr").startswith("pr:"), F.col("pr")).otherwise(F.concat(F.lit("pr:"), "pr")).alias("dst"))
+    return edges.where("type = 'FLAGGED_IN'").join(wanted, "dst").select("pr", F.col("src").alias("drift"))
+
+
+def from_cytoscape(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes (id, name, type), edges (type, src, dst)) of cytoscape()'s elements: a round trip."""
+    d = elements.select(F.from_json("element", "data struct<id: string, label: string, type: string, source: string, target: string>").alias("x")).select("x.data.*")
+    nodes = d.where("source is null").select("id", F.col("label").alias("name"), "type")
+    return nodes, d.where("source is not null").select("type", F.col("source").alias("src"), F.col("target").alias("dst"))
+
+
+def ask(question: str) -> str:
+    """Which query a question in words means: unused tokens, untested or undocumented components, repeat offenders or coverage."""
+    q = question.lower()
+    routes = (
+        ("unused tokens", "unused" in q and "token" in q), ("untested components", "untested" in q and "component" in q), ("undocumented components", "undocumented" in q and "component" in q),
+        ("repeat offenders", "repeat" in q or "offender" in q), ("coverage", "coverage" in q),
+    )
+    found = next((name for name, fits in routes if fits), None)
+    if found is None:
+        raise ValueError(f"no query for {question!r}; there are: {', '.join(name for name, _ in routes)}")
+    return found

@@ -159,15 +159,20 @@ def palette(values: DataFrame) -> DataFrame:
 
 
 def spacing_scale(values: DataFrame) -> DataFrame:
-    """(scope, base, scale) of px values (scope, px): the base that divides most of them, the earlier tried of equals; its multiples to 128, ten at most."""
+    """(scope, base, scale) of px values (scope, px): the base that divides most of them, the earlier tried of equals; its multiples to 128, ten at most.
+
+    A scope without a value in px (null) has no base and the default scale.
+    """
     hits = [F.count_if(F.col("px") % b == 0).alias(f"h{b}") for b in BASES]
-    by = values.groupBy("scope").agg(*hits)
+    by = values.groupBy("scope").agg(F.count("px").alias("known"), *hits)
     best = F.greatest(*[F.col(f"h{b}") for b in BASES])
     base = F.lit(BASES[0])
     for b in reversed(BASES):
         base = F.when((F.col(f"h{b}") == best) & (best > 0), b).otherwise(base)
     multiples = F.filter(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: i * F.col("base")), lambda v: v <= SCALE_TOP)
-    return by.select("scope", base.alias("base")).withColumn("scale", F.slice(multiples, 1, SCALE_SIZE))
+    out = by.select("scope", F.when(F.col("known") > 0, base).alias("base"))
+    default = F.array(*[F.lit(x) for x in DEFAULT_SCALE])
+    return out.withColumn("scale", F.when(F.col("base").isNull(), default).otherwise(F.slice(multiples, 1, SCALE_SIZE)))
 
 
 def css(tokens: DataFrame) -> DataFrame:
@@ -176,3 +181,17 @@ def css(tokens: DataFrame) -> DataFrame:
     by = tokens.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))).alias("all"))
     body = F.array_join(F.transform("all", lambda x: x["line"]), "\n")
     return by.select("scope", F.concat(F.lit(":root {\n"), body, F.lit("\n}\n")).alias("css"))
+
+
+# Where a Tailwind theme has the tokens of a name's first word.
+THEME_KEYS = {"color": "colors", "space": "spacing", "spacing": "spacing", "size": "spacing", "radius": "borderRadius", "font": "fontSize", "breakpoint": "screens"}
+
+
+def tailwind(tokens: DataFrame) -> DataFrame:
+    """(scope, theme): tokens (scope, name, value) as the ``theme.extend`` of a Tailwind configuration in JSON; a vocabulary is one document."""
+    word = F.split_part("name", F.lit("-"), F.lit(1))
+    key = F.coalesce(F.create_map(*[F.lit(x) for kv in THEME_KEYS.items() for x in kv])[word], F.lit("colors"))
+    by = tokens.withColumn("key", key).groupBy("scope", "key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("values"))
+    whole = by.groupBy("scope").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.to_json("values").alias("values"))))).alias("all"))
+    parts = F.transform(F.map_entries("all"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
+    return whole.select("scope", F.concat(F.lit('{"theme":{"extend":{'), F.array_join(parts, ","), F.lit("}}}")).alias("theme"))

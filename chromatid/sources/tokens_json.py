@@ -64,3 +64,23 @@ def walk(path: str, content: str) -> Iterator[tuple]:
 def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tokens, errors) of token files (path, content)."""
     return files_.scan(files, walk, SCHEMA)
+
+
+# Categories of token lists by their file's name.
+LIST_CATEGORIES = {
+    "color": "colors color", "spacing": "spacing space", "typography": "font-sizes fontsizes font-weights fontweights fonts line-heights lineheights letter-spacings letterspacing",
+    "shadow": "shadows shadow", "border": "radii radius borders border", "sizing": "sizes size", "motion": "durations duration easings",
+}
+
+
+def walk_list(path: str, content: str) -> Iterator[tuple]:
+    stem = path.rsplit("/", 1)[-1].replace(".json", "").lower()
+    kind = next((c for c, names in LIST_CATEGORIES.items() if stem in names.split()), "other")
+    for name in json.loads(content):
+        if isinstance(name, str):
+            yield name, name, "raw", kind, "list", f"Token name from {path}"
+
+
+def read_lists(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tokens, errors) of files (path, content) that list token names in a JSON array; the category comes from the file's name."""
+    return files_.scan(files, walk_list, SCHEMA)
