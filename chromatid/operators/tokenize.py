@@ -6,6 +6,7 @@ values are clustered as one ordered fold per group, so a group is a category (or
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,20 +33,26 @@ def color_counts(values: DataFrame) -> DataFrame:
 
 
 def color_clusters(values: DataFrame, threshold: float = 5.0) -> DataFrame:
-    """(scope, cluster, representative, n, members): colors by falling use each join the first cluster whose representative is nearer than threshold * 10."""
+    """(scope, cluster, representative, n, members): colors by falling use each join the first cluster whose representative is nearer than threshold * 10.
+
+    A scope's distinct colors (2^24 at most) are one fold: the commonest open color takes all open ones within reach, so there are as many steps as
+    clusters, whose number the color space bounds. Values that are no colors are clusters of their own.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "seq"], ascending=[False, True], kind="stable")
-        found: list[list] = []
-        for color, n, r, g, b in pdf[["color", "n", "r", "g", "b"]].itertuples(index=False):
-            near = next((c for c in found if ((c[3] - r) ** 2 + (c[4] - g) ** 2 + (c[5] - b) ** 2) ** 0.5 < threshold * 10), None)
-            if near:
-                near[1] += n
-                near[2].append(color)
-            else:
-                found.append([color, n, [color], r, g, b])
-        order = sorted(range(len(found)), key=lambda i: -found[i][1])
-        return pd.DataFrame([(*key, k, found[i][0], found[i][1], found[i][2]) for k, i in enumerate(order)], columns=["scope", "cluster", "representative", "n", "members"])
+        pdf = pdf.sort_values(["n", "seq"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        color, n, rgb = pdf["color"].to_numpy(), pdf["n"].to_numpy(), pdf[["r", "g", "b"]].to_numpy(dtype=float)
+        none = np.isnan(rgb).any(axis=1)
+        found = [(int(i), np.array([i])) for i in np.flatnonzero(none)]
+        open_ = np.flatnonzero(~none)
+        while len(open_):
+            near = np.sqrt(((rgb[open_] - rgb[open_[0]]) ** 2).sum(axis=1)) < threshold * 10
+            near[0] = True
+            found.append((int(open_[0]), open_[near]))
+            open_ = open_[~near]
+        found = sorted(((i, int(n[at].sum()), at) for i, at in found), key=lambda c: (-c[1], c[0]))
+        rows = [(*key, k, color[i], total, color[at].tolist()) for k, (i, total, at) in enumerate(found)]
+        return pd.DataFrame(rows, columns=["scope", "cluster", "representative", "n", "members"])
 
     c = color_counts(values).withColumn("rgb", colors.channels(F.col("color"))).select("scope", "color", "n", "seq", "rgb.*")
     return c.groupBy("scope").applyInPandas(run, "scope string, cluster int, representative string, n long, members array<string>")
