@@ -92,11 +92,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes what stored() has written in this session, but the files that keep reads directly."""
+def stored_so_far() -> int:
+    """How many tables stored() has written, as drop_stored() takes it."""
+    return len(_stored)
+
+
+def drop_stored(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Deletes the tables that stored() has written since there were so many, but those whose files keep reads directly."""
     kept = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
-    left = []
-    for path in _stored:
+    left = _stored[:since]
+    for path in _stored[since:]:
         if path.split(":", 1)[-1].lstrip("/") in kept:
             left.append(path)
             continue

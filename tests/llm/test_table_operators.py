@@ -362,6 +362,33 @@ def test_pipeline_is_its_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "mix", "tokens"]
 
 
+def test_pipeline_on_awkward_tables(spark):
+    import corpus_pipeline
+
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    rng = np.random.default_rng(3)
+    item = "The quick brown fox jumps over the lazy dog, while seven wizards quietly judge my vow of silence."
+    rows = [(i, " ".join(rng.choice(words, 40)), "en", f"s{i % 3}", 200) for i in range(60)]
+    rows += [(100 + i, "!!! %%% ### $$$ " * 20, "xx", "s1", 320) for i in range(30)] + [(200, rows[0][1], "en", "s0", 200), (201, rows[0][1].upper(), "en", "s2", 200)] + [rows[5]] * 3
+    rows += [(300, f"{rows[7][1]} {item}", "en", "s1", 300), (None, "one row of words without an id", None, None, None), (301, None, None, None, None), (302, "", "en", "s1", 0), (303, "long text " * 30_000, "en", "s0", 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"1 AS {c}" for c in ("_row", "_key", "_hits", "row", "shard", "key", "fp")])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(100 + i, 0, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, item)], "item_id long, text string")
+
+    def run(tables):
+        path = new_path(spark, "tables")
+        for name, df in zip(("documents", "labels", "benchmark"), tables, strict=True):
+            df.write.parquet(f"{path}/{name}.parquet")
+        return collections.Counter(r.doc_id for r in corpus_pipeline.run(spark, path).collect())
+
+    got = run((docs, labels, bench))
+    assert not set(got) & {*range(100, 130), 200, 201, 300} and got[5] <= 3 and len(set(got)) > 30
+    assert run((docs.limit(0), labels, bench)) == run((docs.limit(0), labels.limit(0), bench.limit(0))) == {}
+    # Without labels and benchmark nothing is rejected.
+    every = set(run((docs, labels.limit(0), bench.limit(0))))
+    assert {r[0] for r in rows} >= every and every & set(range(100, 130))
+
+
 def test_every_operator_has_one_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
