@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of letters, marks, digits and underscores.
 WORD_PATTERN = r"[\p{L}\p{M}\p{N}_]+"
+#: Rows that a key may have in one task without care.
+HOT_ROWS = 2000
 #: Bytes of rows that Spark hands to a Python worker at once, where an operator writes its own tables.
 BATCH_BYTES = 16 << 20
 _stored: list[str] = []
@@ -144,14 +146,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     e = checkpointed(e)
-    # All rounds' joins take one bound, so that Spark compiles their code once.
     last, count = None, e.count()
+
+    def with_least(rows: DataFrame, low: DataFrame) -> DataFrame:
+        # A plain join, whose plan is a third as large, where no key is worth more. All rounds have one bound, so that Spark compiles their code once.
+        most = low.agg(F.max("n")).first()[0] or 0
+        return join_groups(rows, low, "u", 2 * count) if most > HOT_ROWS else rows.join(low, "u")
+
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_groups(both, low, "u", 2 * count).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_groups(large, low, "u", count)
+        large = with_least(both, low).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = with_least(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
         e = checkpointed(
             small.select("u", F.col("m").alias("v"))
             .union(small.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
