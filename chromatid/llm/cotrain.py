@@ -105,21 +105,35 @@ def metadata() -> Column:
 
 def one_hot(meta: np.ndarray) -> np.ndarray:
     """The regression's columns of metadata rows: a column for each bucket."""
-    return np.column_stack([meta[:, :3], meta[:, 3:4] == np.arange(_LANGS), meta[:, 4:5] == np.arange(_SOURCES)]).astype(float)
+    return np.column_stack([meta[:, :3], meta[:, 3:4] == np.arange(_LANGS), meta[:, 4:5] == np.arange(_SOURCES)]).astype(np.float32)
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
-    """(coefficients, intercept) of a ridge logistic regression on the columns of x as they are, by Newton's method."""
-    mean, spread = x.mean(axis=0), x.std(axis=0)
+#: Rows, labels and weights of a part of the training data.
+Part = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _blocks(parts: list[Part], rows: int = 2048):
+    for x, y, w in parts:
+        for k in range(0, len(y), rows):
+            yield x[k : k + rows].astype(float), y[k : k + rows], w[k : k + rows]
+
+
+def fit(parts: list[Part], ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
+    """(coefficients, intercept) of a ridge logistic regression on the columns as they are, by Newton's method; sums are taken block by block."""
+    n = sum(len(y) for _, y, _ in parts)
+    mean = sum(x.sum(axis=0) for x, _, _ in _blocks(parts)) / n
+    spread = np.sqrt(sum(((x - mean) ** 2).sum(axis=0) for x, _, _ in _blocks(parts)) / n)
     spread[spread < 1e-9] = 1.0
-    z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
-    penalty = np.full(z.shape[1], ridge)
+    penalty = np.full(len(mean) + 1, ridge)
     penalty[-1] = 1e-6
-    w = np.zeros(z.shape[1])
+    w = np.zeros(len(mean) + 1)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        slope = z.T @ (weight * (p - y)) + penalty * w
-        curve = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(penalty)
+        slope, curve = penalty * w, np.diag(penalty)
+        for x, y, weight in _blocks(parts):
+            z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            slope += z.T @ (weight * (p - y))
+            curve += (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
         step = np.linalg.solve(curve, slope)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-7:
@@ -164,8 +178,9 @@ def dot(view: str, beta: np.ndarray, shift: float) -> Column:
     return F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))
 
 
-def _matrix(view: str, values: pd.Series) -> np.ndarray:
-    x = np.stack(values.to_numpy()).astype(float) if len(values) else np.zeros((0, N_CONTENT if view == "content" else 5))
+def _matrix(view: str, values: pa.ChunkedArray) -> np.ndarray:
+    """A view's rows from a column of arrays, without an object a row."""
+    x = values.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, N_CONTENT if view == "content" else 5)
     return one_hot(x) if view == "meta" else x
 
 
@@ -233,10 +248,10 @@ def train(
     share = {c: 1.0 if n == counts[c] else min(1.0, (n + 6 * n**0.5 + 20) / counts[c]) for c, n in quota.items()}
     below = F.when(F.col("good"), F.lit(share.get(True, 0.0))).otherwise(F.lit(share.get(False, 0.0)))
     one = F.min_by(F.struct("content", "meta"), F.xxhash64("content", "meta")).alias("one")
-    sample = labelled.where(F.col("h") < below).groupBy("doc_id", "h", "good").agg(one).select("doc_id", "h", "good", "one.*").toPandas()
-    sample = sample.sort_values(["h", "doc_id"], kind="stable")
-    sample = sample[sample.groupby("good").cumcount() < sample["good"].map(quota).astype("int64")] if len(sample) else sample
-    y = sample["good"].to_numpy(dtype=float)
+    sample = labelled.where(F.col("h") < below).groupBy("doc_id", "h", "good").agg(one).select("doc_id", "h", "good", "one.*").toArrow()
+    keys = sample.select(["h", "doc_id", "good"]).to_pandas().sort_values(["h", "doc_id"], kind="stable")
+    keys = keys[keys.groupby("good").cumcount() < keys["good"].map(quota).astype("int64")] if len(keys) else keys
+    y = keys["good"].to_numpy(dtype=float)
     total = sum(counts.values())
     good_share = counts.get(True, 0) / total if total else 1.0
     if len(counts) < 2:
@@ -244,7 +259,9 @@ def train(
     # From the sample's shares of the classes back to those of all labelled documents; 0 where all are taken.
     prior = float(np.log(counts[True] / counts[False]) - np.log(y.sum() / (1 - y).sum()))
     held, rest = folds(y)
-    views = {v: _matrix(v, sample[v]) for v in ("content", "meta")}
+    taken = keys.index.to_numpy()
+    views = {v: _matrix(v, sample[v])[taken] for v in ("content", "meta")}
+    del sample, keys
     have = {v: [(x[rest], y[rest], np.ones(rest.sum()))] for v, x in views.items()}
     model = Model(good_share)
     open_ = table.where("good is null").select("doc_id", order.alias("h"), "content", "meta")
@@ -253,8 +270,7 @@ def train(
 
     def refit() -> None:
         for v in views:
-            x, t, w = (np.concatenate(part) for part in zip(*have[v], strict=True))
-            beta, shift = fit(x, t, w)
+            beta, shift = fit(have[v])
             setattr(model, v, (beta, shift + prior))
 
     refit()
@@ -267,21 +283,21 @@ def train(
         # One pass over all rows: the surest of each batch, then of each task, then of all.
         picked = open_.mapInArrow(surest(model, wanted, limit), schema)
         nth = F.row_number().over(Window.partitionBy("pick").orderBy(F.col("z").desc(), "h", "doc_id"))
-        picked = picked.withColumn("nth", nth).where(F.col("nth") <= max(wanted.values())).toPandas().sort_values("nth", kind="stable")
+        picked = picked.withColumn("nth", nth).where(F.col("nth") <= max(wanted.values())).toArrow().sort_by([("pick", "ascending"), ("nth", "ascending")])
+        which, ids = picked["pick"].to_numpy(), picked["doc_id"].to_pylist()
         for k, (view, good_) in enumerate(wanted):
             other = "meta" if view == "content" else "content"
-            part = picked[picked["pick"] == k]
-            part = part[~part["doc_id"].isin(given[other])].head(count[good_])
-            if len(part):
-                given[other].update(part["doc_id"].tolist())
-                have[other].append((_matrix(other, part[other]), np.full(len(part), float(good_)), np.full(len(part), _PSEUDO_WEIGHT)))
+            at = [i for i in np.flatnonzero(which == k).tolist() if ids[i] not in given[other]][: count[good_]]
+            if at:
+                given[other].update(ids[i] for i in at)
+                have[other].append((_matrix(other, picked[other].take(pa.array(at))), np.full(len(at), float(good_)), np.full(len(at), _PSEUDO_WEIGHT)))
         refit()
     z = [np.clip(x @ getattr(model, v)[0] + getattr(model, v)[1], -30, 30) for v, x in views.items()]
     first, second = halves(y, held)
-    curves = [fit(x[first, None], y[first], np.ones(first.sum())) for x in z]
+    curves = [fit([(x[first, None], y[first], np.ones(first.sum()))]) for x in z]
     model.calibration = tuple((float(b[0]), float(c) + prior) for b, c in curves)
     cal = np.column_stack([a * x + b for x, (a, b) in zip(z, model.calibration, strict=True)])
-    beta, shift = fit(cal[second], y[second], np.ones(second.sum()))
+    beta, shift = fit([(cal[second], y[second], np.ones(second.sum()))])
     model.blend = (float(beta[0]), float(beta[1]), float(shift) + prior)
     return model, table
 
