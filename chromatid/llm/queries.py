@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chromatid.llm import chat_format, cotrain, decontam, embed_dedup, html_extract, mixing, ngram_join, token_store, url_rules, warc
+from chromatid.llm import chat_format, cotrain, decontam, divergence, embed_dedup, fill_middle, html_extract, mixing, nearest, ngram_join, token_store, url_rules, warc
 from chromatid.llm.common import new_path, read
 
 #: The rules of op5's contract.
@@ -106,6 +107,21 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.link_near(read(spark, sf_dir, "embeddings"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the transformed texts and of what is rebuilt from them."""
+    out = fill_middle.transform(read(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restore(), 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_quality_scores": op2_quality_scores,
@@ -117,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_html_text": op9_html_text,
     "op10_embedding_links": op10_embedding_links,
+    "op11_nearest": op11_nearest,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 OP10_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
@@ -131,4 +150,55 @@ SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id =
 FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.s = v.vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_perspectives": OP1_SQL, "op5_url_filter": OP5_SQL, "op10_embedding_links": OP10_SQL}
+_VECTOR = "x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0"
+OP11_SQL = f"""
+WITH v AS (SELECT vec_id, row_number() OVER () AS nth, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), ok AS (SELECT * FROM v WHERE {_VECTOR}),
+d AS (SELECT q.nth, q.vec_id AS query_id, c.vec_id, c.nth AS other, list_distance(q.x, c.x) AS score
+  FROM ok q JOIN ok c ON q.vec_id % 100 = 0 AND q.nth <> c.nth AND len(q.x) = len(c.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY nth ORDER BY score, vec_id NULLS LAST, other)::INT AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS nth, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), '{divergence.UPPER}', '{divergence.LOWER}') AS x FROM documents),
+w AS (SELECT nth, lang, source, unnest(regexp_extract_all(x, '{divergence.TERM_PATTERN}')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT nth) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+n AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS count, (1 + 1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT // (coalesce(n.n, 0) + l.v)::HUGEINT)::BIGINT AS p,
+  (1 + 1000000000 * (k.total + 1)::HUGEINT // (l.n + l.v)::HUGEINT)::BIGINT AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN l ON l.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE count > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+_CUT = "array_to_string(t[{0} + 1:{1}], '')"
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(x, '(?s)[A-Za-z]+|[^A-Za-z]') AS t, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+  ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(t) AS n, least(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS a, greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS b,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+s AS (SELECT *, {_CUT.format("0", "a")} AS prefix, {_CUT.format("a", "b")} AS middle, {_CUT.format("b", "n")} AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(x) AS restored_sha256 FROM s
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_perspectives": OP1_SQL,
+    "op5_url_filter": OP5_SQL,
+    "op10_embedding_links": OP10_SQL,
+    "op11_nearest": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
+}
