@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromatid.operators import fill
+
 # How component declarations look, by framework.
 DECLARATIONS = {
     "react": r"(?m)^(?:export\s+)?(?:default\s+)?(?:function|const)\s+([A-Z][A-Za-z0-9]*)\b",
@@ -72,3 +74,19 @@ def inherit_props(components: DataFrame) -> DataFrame:
     parent = components.where(F.size("props") > 0).groupBy("name").agg(F.max_by("props", "seq").alias("_p")).withColumnRenamed("name", "_n")
     out = components.join(parent, F.col("extends") == F.col("_n"), "left")
     return out.withColumn("props", F.when((F.size("props") == 0) & F.col("_p").isNotNull(), F.col("_p")).otherwise(F.col("props"))).drop("_p", "_n")
+
+
+def inherit_in_order(components: DataFrame) -> DataFrame:
+    """components (name, extends, props, seq) where one without props has those of the component it extends, over chains of any length.
+
+    A name means the last component of it. A link counts if the one it leads to has props of its own, or comes earlier in the input and so has settled
+    before: a chain written from its root downwards passes its props on, one written upwards only those of the next one. seq is unlike; extra columns stay.
+    """
+    last = components.groupBy("name").agg(F.max(F.struct("seq", (F.size("props") > 0).alias("has"))).alias("l")).select(F.col("name").alias("_n"), F.col("l.seq").alias("_to"), F.col("l.has").alias("_has"))
+    linked = components.join(last, F.col("extends") == F.col("_n"), "left")
+    counts = (F.size("props") == 0) & (F.col("_has") | (F.col("_to") < F.col("seq")))
+    roots = fill.followed(linked.select(F.col("seq").alias("id"), F.when(counts, F.col("_to")).alias("next")))
+    held = components.where(F.size("props") > 0).select(F.col("seq").alias("root"), F.col("props").alias("_props"))
+    given = roots.join(held, "root").select(F.col("id").alias("_id"), "_props")
+    out = components.join(given, F.col("seq") == F.col("_id"), "left")
+    return out.withColumn("props", F.coalesce("_props", "props")).select(components.columns)

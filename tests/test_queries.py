@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from chromatid import more_queries  # noqa: F401 (adds its queries)
+from chromatid import more_queries, source_queries  # noqa: F401 (they add their queries)
 from chromatid.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
