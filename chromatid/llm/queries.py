@@ -153,8 +153,8 @@ FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.s = v.vec_id
 _VECTOR = "x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0"
 OP11_SQL = f"""
 WITH v AS (SELECT vec_id, row_number() OVER () AS nth, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), ok AS (SELECT * FROM v WHERE {_VECTOR}),
-d AS (SELECT q.nth, q.vec_id AS query_id, c.vec_id, c.nth AS other, list_distance(q.x, c.x) AS score
-  FROM ok q JOIN ok c ON q.vec_id % 100 = 0 AND q.nth <> c.nth AND len(q.x) = len(c.x)),
+d AS (SELECT q.nth, q.vec_id AS query_id, c.vec_id, c.nth AS other,
+  sqrt(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])), lambda a, b: a + b)) AS score FROM ok q JOIN ok c ON q.vec_id % 100 = 0 AND q.nth <> c.nth AND len(q.x) = len(c.x)),
 r AS (SELECT *, row_number() OVER (PARTITION BY nth ORDER BY score, vec_id NULLS LAST, other)::INT AS rank FROM d)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
