@@ -8,8 +8,8 @@ p depends on a term's count alone, so for a pair of sources f has one value for
 tallied, never terms: those of two counts over 0 by pairing the sources of each term, each unordered pair once; those of a count and 0 as what is left of
 each source's own histogram of counts; (0, 0) as what is left of V. f is evaluated once a combination, in either direction, times its tally.
 
-Counts are taken within documents first, then by partial sums for each (lang, source, term), so neither a frequent term nor a hot source gathers rows;
-a kept term's row holds a count for each source that has it. Pairs of sources are as many as the result has rows, for that is what it lists.
+Tasks add up what their documents hold, in tables of bounded size, and Spark sums those by (lang, source, term), so neither a frequent term nor a hot source gathers
+rows; a kept term's row holds a count for each source that has it. Pairs of sources are as many as the result has rows, for that is what it lists.
 
 Null text, lang and source are ''. Every row is a document of its own, repeated or not. A language without kept terms (V = 0) has its pairs with a value
 of 0 and no terms; a source alone in its language has no pairs. Ties rank by the UTF-8 bytes of the item. A text's words are held at once, whole.
@@ -18,6 +18,10 @@ An empty table gives an empty result, and extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,10 @@ from chromatid.llm.common import only, stored
 
 TERM_PATTERN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of UTF-8 as they count: letters in lower case, those of characters beyond ASCII as they are, all others as a space.
+_TERM_BYTES = bytes(c if c >= 128 or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
+#: Terms that a task adds up before it hands them on.
+HELD = 300_000
 GROUP = ["lang", "source"]
 
 
@@ -40,13 +48,37 @@ def difference(p: str, q: str) -> Column:
     return F.expr(f"({p} - {q}) * ({p} - {q}) DIV {q}")
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of every term by group, added up over as many documents as leave ``HELD`` terms at most, but one document at least."""
+    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def given() -> pa.RecordBatch:
+        rows = [(lang, source, term, n, docs[term]) for (lang, source), (all_, docs) in counts.items() for term, n in all_.items()]
+        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[*GROUP, "term", "count", "docs"])
+
+    held = 0
+    for batch in batches:
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in (*GROUP, "text")), strict=True):
+            words = text.translate(_TERM_BYTES).split()
+            all_, docs = counts.setdefault((lang, source), (Counter(), Counter()))
+            before = len(all_)
+            all_.update(words)
+            docs.update(set(words))
+            held += len(all_) - before
+            if held > HELD:
+                yield given()
+                counts.clear()
+                held = 0
+    if held:
+        yield given()
+
+
 def kept_terms(docs: DataFrame, min_docs: int = 3) -> DataFrame:
     """(lang, term, total, held) of the terms that languages keep; held lists (source, count) by source."""
-    words = F.sort_array(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM_PATTERN), F.lit(0)))
-    # A word that differs from the one before it, in a text's sorted words, counts the document.
-    entry = F.explode(F.transform("words", lambda w, i: F.struct(w.alias("term"), ((i == 0) | (F.get("words", i - 1) != w)).cast("long").alias("docs"))))
-    entries = docs.select(*GROUP, words.alias("words")).select(*GROUP, entry.alias("e")).select(*GROUP, "e.*")
-    counts = entries.groupBy(*GROUP, "term").agg(F.count(F.lit(1)).alias("count"), F.sum("docs").alias("docs"))
+    counted = docs.select(*GROUP, F.col("text").cast("binary").alias("text")).mapInArrow(_count, "lang string, source string, term binary, count long, docs long")
+    counts = counted.groupBy(*GROUP, F.col("term").cast("string").alias("term")).agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     terms = counts.groupBy("lang", "term").agg(
         F.sum("docs").alias("docs"), F.sum("count").alias("total"), F.array_sort(F.collect_list(F.struct("source", "count"))).alias("held")
     )
