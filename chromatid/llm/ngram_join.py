@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromatid.llm.common import WORD_PATTERN, connected_components, forest, free_name, join_groups, only, runs, stored, text_of
@@ -298,11 +298,19 @@ def join(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id (then text hash), with all its columns; texts without words all stay."""
-    found = classes(docs, **options)
-    row = F.xxhash64("doc_id", "text_hash").alias("row")
-    first = found.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash", row)).alias("first"))
-    kept = first.select("first.row").union(found.where("class_key is null").select(row))
-    name = free_name(docs, "_row")
-    rows = docs.withColumn(name, F.xxhash64("doc_id", F.xxhash64("text")))
-    return rows.join(kept.withColumnRenamed("row", name), name, "left_semi").dropDuplicates([name]).drop(name)
+    """One document of each class, the one with the smallest doc_id (null last), text hash and other columns, with all its columns; rows without words all stay.
+
+    The choice is the same in every run: of rows that share doc_id and text, the one whose other columns have the smallest digest stays, and only rows alike in every
+    column are taken for each other.
+    """
+    hash_, length, nth = (free_name(docs, n) for n in ("_hash", "_length", "_nth"))
+    spoken = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    found = classes(docs, **options).where("class_key is not null")
+    first = found.groupBy("class_key").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    rows = docs.where(spoken).withColumn(hash_, F.xxhash64("text")).withColumn(length, F.char_length("text"))
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col(hash_) == F.col("first_hash")), "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    place = Window.partitionBy("doc_id", hash_).orderBy(length, F.sha2(F.to_json(F.struct(F.lit(0).alias("_"), *others)), 256))
+    kept = kept.withColumn(nth, F.row_number().over(place)).where(F.col(nth) == 1).drop(hash_, length, nth)
+    return kept.unionByName(docs.where(~spoken))
