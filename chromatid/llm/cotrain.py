@@ -7,7 +7,7 @@ view as pseudo-labels of half weight. Each view is then calibrated on labelled d
 ones weighs the two calibrated views, and every document gets its probability of being good.
 
 Bounds (the fit's; scoring covers every row): at most ``max_labelled`` labelled documents, taken by a hash of doc_id, and ``exchange`` pseudo-labels
-a class, view and round. Where labels are more than that, a class rarer than a tenth of the bound still gets up to a tenth of it, and log-odds are
+a class, view and round; rows that share doc_id and content hand on one. Where labels are more than that, a class rarer than a tenth of the bound still gets up to a tenth of it, and log-odds are
 shifted back to the true shares. A fifth of each class's labelled documents are held out, one at least; a class's only one is trained on and calibrated on, as without it
 there is nothing to learn. The calibration and the weights of the views have a half of the held-out ones each, where every class has four of them at least.
 
@@ -212,21 +212,25 @@ def folds(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def surest(model: Model, wanted: dict[tuple[str, bool], int], limit: float):
-    """For mapInArrow: of each batch of unlabelled rows, for each view and class as many as wanted of those it is surest of, their log-odds over the limit."""
+    """For mapInArrow: of each batch of unlabelled rows, for each view and class as many as wanted of those it is surest of, their log-odds over the limit.
+
+    Rows of one doc_id and content (key) count once.
+    """
     kinds = list(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h = batch.column("h").to_numpy(zero_copy_only=False)
+            h, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "key"))
             x = {v: batch.column(v).flatten().to_numpy(zero_copy_only=False).reshape(len(h), -1).astype(float) for v in ("content", "meta")}
             x["meta"] = one_hot(x["meta"])
             for k, (view, good) in enumerate(kinds):
                 beta, shift = getattr(model, view)
                 z = (x[view] @ beta + shift) * (1 if good else -1)
                 at = np.flatnonzero(z >= limit)
-                at = at[np.lexsort((h[at], -z[at]))[: wanted[view, good]]]
+                at = at[np.lexsort((h[at], -z[at]))]
+                at = at[np.sort(np.unique(key[at], return_index=True)[1])[: wanted[view, good]]]
                 part = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(z[at]), *part.columns], names=["pick", "z", *part.schema.names])
 
@@ -264,7 +268,7 @@ def train(
     del sample, keys
     have = {v: [(x[rest], y[rest], np.ones(rest.sum()))] for v, x in views.items()}
     model = Model(good_share)
-    open_ = table.where("good is null").select("doc_id", order.alias("h"), "content", "meta")
+    open_ = table.where("good is null").select("doc_id", order.alias("h"), F.xxhash64("doc_id", "content").alias("key"), "content", "meta")
     schema = f"pick int, z double, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in open_.schema)}"
     given = {v: set() for v in views}
 
@@ -278,18 +282,18 @@ def train(
     for _ in range(rounds):
         share_of = {True: good_share, False: 1 - good_share}
         count = {c: max(1, round(2 * exchange * part)) for c, part in share_of.items()}
-        # Enough rows that those given before can be told apart.
+        # Enough documents that those given before can be told apart.
         wanted = {(v, c): count[c] + len(given[other]) for v, other in (("content", "meta"), ("meta", "content")) for c in (True, False)}
         # One pass over all rows: the surest of each batch, then of each task, then of all.
         picked = open_.mapInArrow(surest(model, wanted, limit), schema)
-        nth = F.row_number().over(Window.partitionBy("pick").orderBy(F.col("z").desc(), "h", "doc_id"))
-        picked = picked.withColumn("nth", nth).where(F.col("nth") <= max(wanted.values())).toArrow().sort_by([("pick", "ascending"), ("nth", "ascending")])
-        which, ids = picked["pick"].to_numpy(), picked["doc_id"].to_pylist()
+        nth = {part: F.row_number().over(Window.partitionBy(*part).orderBy(F.col("z").desc(), "h", "doc_id", "key")) for part in (("pick", "key"), ("pick",))}
+        picked = picked.withColumn("nth", nth["pick", "key"]).where("nth = 1").withColumn("nth", nth["pick",]).where(F.col("nth") <= max(wanted.values())).toArrow().sort_by([("pick", "ascending"), ("nth", "ascending")])
+        which, keys_ = picked["pick"].to_numpy(), picked["key"].to_pylist()
         for k, (view, good_) in enumerate(wanted):
             other = "meta" if view == "content" else "content"
-            at = [i for i in np.flatnonzero(which == k).tolist() if ids[i] not in given[other]][: count[good_]]
+            at = [i for i in np.flatnonzero(which == k).tolist() if keys_[i] not in given[other]][: count[good_]]
             if at:
-                given[other].update(ids[i] for i in at)
+                given[other].update(keys_[i] for i in at)
                 have[other].append((_matrix(other, picked[other].take(pa.array(at))), np.full(len(at), float(good_)), np.full(len(at), _PSEUDO_WEIGHT)))
         refit()
     z = [np.clip(x @ getattr(model, v)[0] + getattr(model, v)[1], -30, 30) for v, x in views.items()]
@@ -320,7 +324,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **op
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents that the classifier doesn't reject, with all their columns.
+    """The documents that the classifier doesn't reject, with all their columns. Where all labels are of one class, all documents stay or go with it.
 
     Views are computed again from the rows: matching rows with train()'s table would shuffle all texts.
     """
