@@ -6,12 +6,15 @@ marks a node) are smoothed over the paths that come next to it in page order and
 
 1. Paths over the threshold, but those that are mostly links, hold content. The content's region is the ``article`` and ``main`` elements that hold
    enough of its characters, or else the deepest element that holds most of them.
-2. What is known of a path is a prior that its score is multiplied with: high inside the region, where short blocks next to content count as well; low outside;
-   near nothing where a class, id or role names menus, adverts, notices, comments and the like; nothing below tags that never hold content.
-   Paths over the threshold after that are selected, but for mostly linked ones that aren't headings of the region.
+2. Inside the region unmarked blocks are content, short ones, lists and tables as well; lists of links only where the region is an ``article`` or ``main``.
+   Outside, and where a class, id or role names menus, adverts, notices, comments and the like, a path's score counts a fifth, so it has to be far over the mean.
+   Elements for navigation, page headers and footers, sidebars and dialogs never hold content, nor do forms, unless one is around most of the page's text.
+
+Ratios alone can't tell a short advert from a short paragraph: on pages whose markup names its parts, as most do, the names decide, and ratios where
+they are missing or wrong (README has figures).
 
 A class name counts as a mark only if all its words do (``menu-bar``, ``related-posts``, but not ``menu-of-the-day`` or ``related-work``).
-Blocks are what block-level tags delimit; inline tags and ``br`` don't end one. Character references are decoded, white space in a
+Blocks are what block-level tags delimit; inline tags, buttons and ``br`` don't end one; a button by itself is none. Character references are decoded, white space in a
 block becomes one space, blocks are trimmed and joined in page order by a line feed.
 
 Null or empty html gives an empty text; a page without any markup is one block of text and is returned as it is. Malformed markup keeps its text: a tag
@@ -40,12 +43,14 @@ _ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line of text; all others delimit blocks.
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 #: Elements whose contents aren't text of the page.
 _SKIPPED = frozenset("script style template noscript svg iframe textarea select title".split())
 #: Elements that never hold content.
-_BOILER_TAGS = frozenset("nav header footer aside form button dialog menu head title template noscript svg iframe textarea select".split())
+_BOILER_TAGS = frozenset("nav header footer aside dialog menu head title template noscript svg iframe textarea select".split())
+#: Elements that hold content whatever they are called.
+_CONTENT_TAGS = frozenset("table pre code figure blockquote".split())
 #: Words of class names, ids and roles that mark what isn't content, and words that may stand beside them.
 _BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion nav navigation navbar menu menus breadcrumb breadcrumbs sidebar sidebars"
@@ -55,6 +60,8 @@ _BESIDE = frozenset(
     "area bar block body bottom box button buttons container content form group holder icons inner items left link links list main mobile module outer panel post posts article"
     " articles reader readers user users page primary right row secondary section site slot stories thread title toolbar top unit widget wrap wrapper banner header message text".split()
 )
+#: Words for reader comments that mark outside of ``article`` elements only, as inside one they may name a part of it.
+_TALK_WORDS = frozenset("discussion discussions talkback".split())
 #: Words that mark what isn't content outside an article only, as inside one they may name its own heading, and words beside them.
 _PAGE_WORDS = frozenset("header masthead banner widget widgets complementary contentinfo search login signup".split())
 _PAGE_BESIDE = frozenset("site page global top main bar box form container wrapper wrap inner area left right".split())
@@ -70,19 +77,21 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，！？…]")
 _SPACES = re.compile(r"\s+")
 #: Weights of a path, the next ones and the ones after those; and the threshold as a share of the page's mean score.
 SMOOTHING, THRESHOLD = (1.0, 0.5, 0.25), 0.5
-#: Priors of paths: inside the region, outside where there is one, and marked ones wherever they are; all others' is 1.
-INSIDE, OUTSIDE, MARKED = 20.0, 0.1, 0.02
+#: Priors of paths: outside the region where there is one, and marked ones wherever they are; all others' is 1. Both leave room for a score far over the mean.
+OUTSIDE, MARKED = 0.2, 0.2
+#: A form that holds this share of the page's characters is around the page, not a part of it; what is known of paths within forms until that is settled.
+FORM_HOLDS, FORM = 0.5, 1e-9
 #: Shares of the content's characters that articles must hold to be its region, and that another element must.
 ARTICLES_HOLD, REGION_HOLDS = 0.25, 0.8
 
 
 class Block:
-    """A run of text: number of its tag path, of its element, and of the article or main that it is in (0: none)."""
+    """A run of text: number of its tag path, of its element, and of the article or main that it is in (0: none); characters in links and in buttons."""
 
-    __slots__ = ("element", "link", "path", "root", "text")
+    __slots__ = ("button", "element", "link", "path", "root", "text")
 
     def __init__(self, path: int, element: int, root: int):
-        self.path, self.element, self.root, self.text, self.link = path, element, root, [], 0
+        self.path, self.element, self.root, self.text, self.link, self.button = path, element, root, [], 0, 0
 
 
 class Page:
@@ -109,7 +118,7 @@ class Page:
         outer: list[int] = []  # places of elements that aren't inline
         scopes: list[dict[str, list[int]]] = [defaultdict(list)]  # places by tag since each element of _SCOPE
         now: Block | None = None
-        links = roots = 0
+        links = roots = articles = buttons = 0
         over: set[str] = set()  # ends that don't come any more
 
         def put(text: str) -> None:
@@ -124,12 +133,15 @@ class Page:
                 self.blocks.append(now)
             now.text.append(text)
             now.link += len(text) if links else 0
+            now.button += len(text.strip()) if buttons else 0
 
         def close(k: int) -> None:
-            nonlocal now, links
+            nonlocal now, links, articles, buttons
             while len(stack) > k:
                 tag = stack.pop()[0]
                 links -= tag == "a"
+                articles -= tag == "article"
+                buttons -= tag == "button"
                 places[tag].pop()
                 if tag in _SCOPE:
                     scopes.pop()
@@ -211,8 +223,10 @@ class Page:
                     # Inside an article, header holds the article's own heading.
                     if tag in _BOILER_TAGS and not (tag == "header" and root):
                         prior = 0.0
-                    elif attributes and _marked(tag, attributes, root > 0):
-                        prior = MARKED
+                    elif tag == "form":
+                        prior = min(prior, FORM * prior if prior >= MARKED else prior)
+                    elif attributes and prior in (1.0, FORM) and _marked(tag, attributes, root > 0, articles > 0):
+                        prior *= MARKED
                 path = self._path(path, tag, prior)
                 self.parents.append(element)
                 self.tags.append(tag)
@@ -222,6 +236,8 @@ class Page:
                 roots += 1
                 root = roots
             links += tag == "a"
+            articles += tag == "article"
+            buttons += tag == "button"
             places[tag].append(len(stack))
             scopes[-1][tag].append(len(stack))
             stack.append((tag, path, element, root))
@@ -234,12 +250,14 @@ def _words(name: str) -> set[str]:
     return {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_A-Za-z]+", name)}
 
 
-def _marked(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in ("html", "body", "article", "main") and not inside:
+def _marked(tag: str, attributes: str, inside: bool, in_article: bool) -> bool:
+    if tag in ("html", "body", "article", "main") and not inside or tag in _CONTENT_TAGS:
         return False
     for a in _ATTRIBUTE.findall(attributes):
         for name in (a[0] or a[1] or a[2]).split():
             words = _words(name)
+            if words & _TALK_WORDS and words <= _TALK_WORDS | _BESIDE and not in_article:
+                return True
             if words & _BOILER_WORDS and words <= _BOILER_WORDS | _BESIDE or not inside and words & _PAGE_WORDS and words <= _PAGE_WORDS | _PAGE_BESIDE:
                 return True
     return False
@@ -277,10 +295,23 @@ def _region(page: Page, mass: dict[int, int], total: int) -> int:
     return best if page.tags[best] not in ("html", "body") else 0
 
 
+def _settle_forms(page: Page, found: list[tuple[Block, str]]) -> dict[int, float]:
+    """What is known of each path: a form that holds most of the page's unlinked text counts for nothing, what else is in forms isn't content."""
+    known = [page.paths[p][2] for p in range(len(page.paths))]
+    chars = [0, 0]
+    for b, t in found:
+        if known[b.path] > 0:
+            chars[known[b.path] <= FORM] += max(0, len(t) - b.link)
+    around = chars[1] > 0 and chars[1] >= FORM_HOLDS * sum(chars)
+    return {p: k / FORM if 0 < k <= FORM and around else 0.0 if k <= FORM else k for p, k in enumerate(known)}
+
+
 def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     page = Page(html or "")
     found = [(b, _SPACES.sub(" ", entities.unescape("".join(b.text))).strip()) for b in page.blocks]
-    found = [(b, t) for b, t in found if t and page.paths[b.path][2] > 0]
+    known = _settle_forms(page, found)
+    # A button in a sentence is text; one by itself isn't.
+    found = [(b, t) for b, t in found if t and known[b.path] > 0 and b.button < len(_SPACES.sub("", "".join(b.text)))]
     if not found:
         return ""
     place = {p: i for i, p in enumerate(dict.fromkeys(b.path for b, _ in found))}
@@ -291,7 +322,8 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
         nodes[i] += 1
         marks[i] += len(_PUNCTUATION.findall(t))
         linked[i] += min(b.link, len(t))
-    score = path_scores(chars, nodes, marks, linked) * np.array([page.paths[p][2] for p in place])
+    prior = np.array([known[p] for p in place])
+    score = path_scores(chars, nodes, marks, linked) * prior
     plain = 2 * linked <= chars
     content = (score >= threshold) & plain
 
@@ -313,9 +345,13 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
         i, tag = place[b.path], page.paths[b.path][1]
         # Where the region is the whole page, elements made for text belong to it.
         within = b.root in roots if roots else inside[b.element] if region else tag in _TEXT_TAGS
-        marked = page.paths[b.path][2] < 1
-        prior = 1.0 if marked else INSIDE if within else OUTSIDE if roots or region else 1.0
-        if score[i] * prior >= threshold and (plain[i] or within and tag in _HEADINGS and not marked):
+        if prior[i] < 1:  # marked: only a score far over the mean tells otherwise
+            kept = content[i]
+        elif within:  # nothing unmarked is left out of articles; elsewhere lists of links are
+            kept = bool(roots) or plain[i] and (score[i] > 0 or not linked[i]) or tag in _HEADINGS
+        else:
+            kept = plain[i] and score[i] * (OUTSIDE if roots or region else 1.0) >= threshold
+        if kept:
             out.append(t)
     return "\n".join(out)
 

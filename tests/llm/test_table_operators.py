@@ -139,6 +139,33 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = "A long sentence, with marks, that tells a lot. " * 9
+
+
+def test_wrappers_lists_and_names_that_mislead():
+    text = LONG.strip()
+    form = f"<body><form action='/'><div class='page'><nav>no</nav><h1>T</h1><p>{LONG}</p></div><input></form></body>"
+    assert html_extract.main_text(form) == f"T\n{text}"
+    assert html_extract.main_text(f"<body><p>{LONG}</p><form><p>Your name, please.</p><input></form></body>") == text
+    lists = "<ul><li><a href=x>Alpha report</a></li><li><a href=y>Beta report</a></li></ul><p><a href=z>A linked paragraph, whole.</a></p>"
+    page = f"<main><article><h1>T</h1><p>{LONG}</p>{lists}<p>Press <button>Go</button> to start.</p><button>Share</button><table class='share'><tr><td>1</td><td>2</td></tr></table></article></main>"
+    assert html_extract.main_text(page) == f"T\n{text}\nAlpha report\nBeta report\nA linked paragraph, whole.\nPress Go to start.\n1\n2"
+    for tag in ("section id='discussion'", "div class=\"comments\""):
+        assert html_extract.main_text(f"<main><h1>T</h1><p>{LONG}</p><{tag}><p>I liked it.</p><p>Me too, said Bob.</p></{tag.split()[0]}></main>") == f"T\n{text}"
+    assert html_extract.main_text(f"<article><h1>T</h1><p>{LONG}</p><section id='discussion'><p>We discuss.</p></section></article>").endswith("We discuss.")
+
+
+def test_ratios_find_content_without_telling_names():
+    pages = [r[0] for r in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()]
+    right = 0
+    for page in pages:
+        blind = re.sub(r"<(/?)(nav|article|footer)\b", r"<\1div", page).replace(' class="ad"', "")
+        want, got = html_extract.main_text(page), html_extract.main_text(blind)
+        right += got == want
+        assert want in got  # nothing of the article is lost
+    assert right >= 0.85 * len(pages)
+
+
 def test_ratios_decide():
     ad = "<div class=ad>Buy it now, it is good.</div>"
     page = ad + "<div id=c><h1>Title</h1><p>First paragraph of text, long and punctuated.</p><p>Second one, also long, with a point.</p></div><div>About</div><article><a href=1>A teaser</a></article>"

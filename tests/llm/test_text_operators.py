@@ -119,6 +119,22 @@ def test_ngram_join_keeps_one_of_each_class(spark):
     assert ngram_join.join(empty).collect() == [] and ngram_join.keep_one(empty).collect() == []
 
 
+def test_rows_without_words_and_rows_that_differ_stay_apart(spark):
+    rows = [(7, t, lang, source, 1) for t in (None, "!!") for lang, source in (("en", "a"), ("en", "b"), ("de", "a"))]
+    rows += [(8, "one two three four five six", "en", s, 1) for s in ("c", "a", "b")] + [(8, "one two three four five six", "en", "a", 1)] * 2
+    rows += [(9, "Other words for the same id, again", "en", None, 1), (9, "Other words for the same id, again", "en", "x", 1), (None, "no id here at all, none", None, None, None), (None, "no id here at all, none", "q", None, None)]
+    want = None
+    for _ in range(2):
+        for order in (rows, rows[::-1]):
+            got = sorted(map(tuple, ngram_join.keep_one(spark.createDataFrame(order, DOCS).repartition(3)).collect()), key=str)
+            assert sorted((r for r in got if r[0] == 7), key=str) == sorted(rows[:6], key=str)
+            assert len([r for r in got if r[0] == 8]) == len([r for r in got if r[0] == 9]) == len([r for r in got if r[0] is None]) == 1
+            want = want or got
+            assert got == want
+    twice = spark.createDataFrame([(7, None, "en", "a", 1)] * 3, DOCS)
+    assert ngram_join.keep_one(twice).count() == 3
+
+
 def test_band_plan_meets_its_recall():
     for threshold in (0.7, 0.8, 0.9):
         bands, rows = ngram_join.band_plan(threshold, 0.999)
@@ -178,6 +194,98 @@ def test_decontamination_of_tables(spark):
     assert decontam.regions(df, bench.limit(0)).count() == 0 and decontam.regions(df.limit(0), bench).count() == 0
 
 
+def every_end(p, w, k):
+    """{end: least distance} of parts of w that end there and are within k edits of p."""
+    row = list(range(len(p) + 1))
+    out = {}
+    for j, c in enumerate(w, 1):
+        new = [0]
+        for i, e in enumerate(p, 1):
+            new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (c != e)))
+        row = new
+        if row[-1] <= k:
+            out[j] = row[-1]
+    return out
+
+
+def brute_regions(p, w, k):
+    """All regions that don't overlap, nearest first, then by end: each the shortest of its end and distance."""
+    taken = []
+    for end, d in sorted(every_end(p, w, k).items(), key=lambda x: (x[1], x[0])):
+        back = every_distance = None
+        row = list(range(len(p) + 1))
+        for back in range(1, min(end, len(p) + k) + 1):
+            new = [back]
+            for i, e in enumerate(reversed(p), 1):
+                new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (w[end - back] != e)))
+            row = new
+            every_distance = row[-1]
+            if every_distance == d:
+                break
+        start = end - back
+        if every_distance == d and all(end <= x or y <= start for x, y, _ in taken):
+            taken.append((start, end, d))
+    return sorted(taken)
+
+
+def found_regions(text, items):
+    return sorted((h["item_id"], h["start"], h["end"], h["distance"]) for h in decontam.search(text, items))
+
+
+def test_every_region_is_found_whatever_else_is_in_the_benchmark():
+    item = "thirty characters of an item x"
+    long = " ".join(f"w{i}" for i in range(500))
+    for between in ("", " ", " and text between them, "):
+        text = between.join([item] * 12)
+        alone, beside = (found_regions(text, decontam.index(b)) for b in ([(1, item)], [(1, item), (2, long)]))
+        assert len(alone) == 12 and alone == beside
+    assert len(found_regions("yes yes yes yes no yes", decontam.index([(1, "yes")]))) == 5
+    assert len(found_regions("yes yes yes yes no yes", decontam.index([(1, "yes"), (2, long)]))) == 5
+
+
+def test_repeated_items_are_brute_force():
+    rng = np.random.default_rng(11)
+    cases = 0
+    for trial in range(60):
+        m = int(rng.choice([5, 9, 13, 26, 40, 75]))
+        item = "".join(rng.choice(list("abcde "), m)).strip() or "abc"
+        p = decontam.normal(item)[0]
+        if len(p) < 4:
+            continue
+        parts = []
+        for _ in range(int(rng.integers(1, 7))):
+            x = list(item)
+            for at in rng.choice(len(x), int(rng.integers(0, 1 + len(x) // 12)), replace=False):
+                x[at] = rng.choice(["", "z", x[at] + "q"])
+            parts += ["".join(x), "".join(rng.choice(list("abcde "), int(rng.integers(0, 12))))]
+        text = "".join(parts)
+        w = decontam.normal(text)[0]
+        more = [(2, "another long item " * int(rng.integers(1, 40)))] if trial % 2 else []
+        part = next(x for x in decontam.index([(1, item), *more]) if 1 in x.ids)
+        got = sorted((s, e, d) for s, e, d, i, _ in part.regions(w) if part.ids[i] == 1)
+        want = brute_regions(p.tolist(), w.tolist(), decontam.edits_of(len(p), decontam.EDIT_RATE))
+        if part.short:
+            want = [x for x in want if not decontam._within_word(w, x[0], x[1])]
+        assert got == want, (item, text)
+        cases += len(want) > 1
+    assert cases > 20
+
+
+def test_short_items_of_scripts_without_spaces():
+    items = decontam.index([(1, "什么是机器学"), (2, "สวัสดี"), (3, "기계"), (4, "cat"), (5, "日本")])
+    ids = lambda t: [h[0] for h in found_regions(t, items)]
+    assert ids("他问什么是机器学习吗") == [1] and ids("ขอสวัสดีครับ") == [2] and ids("기계가 좋다") == [3] and ids("东京日本日本") == [5, 5]
+    assert ids("concatenate") == [] and ids("a cat, cats; Cat!") == [4, 4] and ids("这是cat的") == [4]
+
+
+def test_many_shared_grams_are_counted_in_turns(monkeypatch):
+    text = ("z y " * 3000) + "the end of it all is near, says he"
+    items = decontam.index([(1, "z y " * 30), (2, "the end of it all is near, says she")])
+    want = found_regions(text, items)
+    monkeypatch.setattr(decontam, "COUNTED", 1000)
+    assert found_regions(text, items) == want and {h[0] for h in want} == {1, 2} and sum(h[0] == 1 for h in want) >= 99
+
+
 def test_short_items_keep_their_edits_and_are_whole_words():
     short = {1: "ab, cd efg hij", 2: "tiny", 3: "?!", 4: "日本語の文章はここにあります、そして続きます。", 5: "x", 6: "Abcdefg hijklmn opqrs tu"}
     items = decontam.index(list(short.items()))
@@ -329,6 +437,23 @@ def test_classifier_learns_from_rare_classes(spark):
     assert cotrain.quotas({True: 1_000_000, False: 30_000}, 20_000) == {True: 18_000, False: 2_000} and cotrain.quotas({True: 90, False: 3}, 20) == {True: 18, False: 2}
 
 
+def test_copies_hand_on_one_pseudo_label(spark, monkeypatch):
+    d = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "lang", "source", "n_chars")
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    known = lab.join(d, "doc_id").where("quality = 1 and length(text) > 200").orderBy("doc_id").first()
+    copies = [(10**6, known.text + " once more", known.lang, known.source, known.n_chars)] * 400
+    copies += [(None, known.text + " without an id", known.lang, known.source, known.n_chars)] * 50 + [(None, known.text + " and none either", known.lang, known.source, known.n_chars)]
+    given, real = [], cotrain.fit
+    monkeypatch.setattr(cotrain, "fit", lambda data: (given.append(data), real(data))[1])
+    cotrain.score(d.union(spark.createDataFrame(copies, d.schema)), lab).collect()
+    content = [data for data in given if len(data) > 1 and data[0][0].shape[1] > 100]
+    rows = np.concatenate([x for x, _, w in content[-1][1:]])
+    texts = [known.text + x for x in (" once more", " without an id", " and none either")]
+    own = cotrain.features(spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], d.schema)).select("content").collect()
+    times = [int(np.isclose(rows, np.array(r.content, dtype=np.float32), atol=1e-6).all(axis=1).sum()) for r in own]
+    assert len(rows) > 20 and times == [1, 1, 1]
+
+
 def test_folds_hold_both_classes():
     for sizes in ((1, 1), (2, 9), (1, 30), (5, 6)):
         y = np.random.default_rng(4).permutation(np.repeat([0.0, 1.0], sizes))
