@@ -5,13 +5,19 @@ that is within k edits of an item of m characters shares at least m + 1 - q (k +
 position less item position) that lie within k of each other. So:
 
 1. every q-gram of a document is looked up among the items' q-grams (a bit table, then exact 64-bit hashes);
-2. shared q-grams are counted by item in diagonal bands that overlap by k, so that some band holds all those of any true region;
-3. bands that meet the item's bound are regions to check; banded alignment gives the region's least edit distance and its span.
+2. shared q-grams are counted by item in diagonal bands that overlap by k of that item, so that some band holds all those of any true region;
+3. bands that meet the item's bound are regions to check; banded alignment gives the least edit distance of every end within a band.
 
 A region counts within k = ``edit_rate`` of the item's characters, rounded down. q is 8; an item for which the lemma says nothing at that q is searched with the
-largest q at which it does, m // (k + 1), and one of fewer than 8 characters as whole words only, since within words it is no passage. Documents are
-independent rows: no shuffle, and each whole text is searched, in time and memory that grow with its length. Items travel to the executors in blocks of about
-``block_bytes``, each searched in a pass of its own over the documents, so what a task holds doesn't grow with the benchmark.
+largest q at which it does, m // (k + 1). Of one item's regions that overlap the nearest counts (then the one that ends first); all others are
+returned, so a document that holds an item twelve times has twelve regions of it, whatever else is in the benchmark.
+
+Items of fewer than 8 characters are words rather than passages: they count where they don't begin or end within a word, which in scripts that are
+written without spaces (or whose words take endings) is anywhere.
+
+Documents are independent rows: no shuffle, and each whole text is searched, in time and memory that grow with its length. Items travel to the executors in
+blocks of about ``block_bytes`` (6 MB, which most benchmarks are within), each searched in a pass of its own over the documents; the driver and a task hold one block
+at a time, so what they hold doesn't grow with the benchmark.
 
 Null texts hold nothing; null items and items without a letter or digit are left out; repeated items are searched once, under their smallest id. Repeated
 documents are searched each; an empty table gives an empty result. Extra columns are ignored (kept by ``decontaminate``).
@@ -20,7 +26,8 @@ documents are searched each; an empty table gives an empty result. Extra columns
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +36,11 @@ from pyspark.sql import functions as F
 
 from chromatid.llm.common import free_name, only, stored
 
-Q, EDIT_RATE, BLOCK_BYTES = 8, 0.08, 1 << 20
+Q, EDIT_RATE, BLOCK_BYTES = 8, 0.08, 6 << 20
+#: Shared q-grams that are counted at once; more are counted in turns.
+COUNTED = 1 << 22
+#: Ranges of scripts whose words aren't set apart by spaces, or take endings: Thai to Myanmar, Khmer, Japanese, Chinese, Korean.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1100-\u11ff\u1780-\u17ff\u2e80-\u9fff\ua960-\ua97f\uac00-\ud7ff\uf900-\ufaff\uff66-\uffdc\U00020000-\U0003ffff]")
 #: By code, up to 128 for all others: whether it stands for a space.
 _IS_SPACE = np.array([not chr(c).isalnum() for c in range(128)] + [False])
 _PRIME = 0x9E3779B97F4A7C15
@@ -99,10 +110,10 @@ class Items:
         self.bits = max(16, int(np.ceil(np.log2(max(1, len(self.hash)) * 64))))
         self.table = np.zeros(1 << self.bits, dtype=bool)
         self.table[self.hash >> np.uint64(64 - self.bits)] = True
-        # Bands twice as wide as the most edits of any item, and dealt out every half of that.
-        self.half = 1 << max(3, int(np.ceil(np.log2(int(self.edits.max(initial=0)) + 1))))
+        # An item's bands are twice as wide as its edits, and dealt out every half of that; halves are powers of two.
+        self.shift = np.maximum(3, np.ceil(np.log2(self.edits + 1)).astype(np.int64))
 
-    def regions(self, a: np.ndarray) -> list[tuple[int, int, int]]:
+    def bands(self, a: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, half band, shared q-grams) of the bands that meet their item's bound."""
         h = qgrams(a, self.q)
         at = np.flatnonzero(self.table[h >> np.uint64(64 - self.bits)]) if len(self.hash) else np.empty(0, dtype=np.int64)
@@ -114,12 +125,19 @@ class Items:
         n = self.count[k]
         if int(n.sum()) < int(self.bound.min()):
             return []
-        of = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        item, diagonal = self.item[of], np.repeat(at, n) - self.place[of]
-        half = diagonal // self.half
-        # Half band b counts for the bands b - 1 and b, each of two halves.
-        key = item * (1 << 40) + (half + (1 << 38))
-        keys, count = np.unique(key, return_counts=True)
+        keys, count = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        ends = np.cumsum(n)
+        low = 0
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + COUNTED, side="right")))
+            part, m = slice(low, high), n[low:high]
+            of = np.repeat(self.first[k[part]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            item, diagonal = self.item[of], np.repeat(at[part], m) - self.place[of]
+            # Half band b counts for the bands b - 1 and b, each of two halves.
+            key, times = np.unique(item * (1 << 40) + ((diagonal >> self.shift[item]) + (1 << 38)), return_counts=True)
+            both, into = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            count = np.bincount(into, np.concatenate([count, times]), len(both)).astype(np.int64)
+            keys, low = both, high
         follows = np.flatnonzero(keys[1:] == keys[:-1] + 1)
         both = count.copy()
         both[follows] += count[follows + 1]
@@ -127,35 +145,64 @@ class Items:
         found = np.flatnonzero(both >= self.bound[keys >> 40])
         return [(int(keys[f] >> 40), int(keys[f] & ((1 << 40) - 1)) - (1 << 38), int(both[f])) for f in found]
 
-    def align(self, a: np.ndarray, item: int, half: int) -> tuple[int, int, int] | None:
-        """(start, end, distance) of the item's best region with diagonals in the band, or None if it takes too many edits."""
-        p, k = self.bytes[item], int(self.edits[item])
-        lo, hi = half * self.half, (half + 2) * self.half
-        if self.short:  # every place of the band where it stands between spaces
-            found = [x for x in range(max(0, lo), min(len(a) - len(p), hi) + 1) if _stands(a, x, p)]
-            return (found[0], found[0] + len(p), 0) if found else None
-        x, y = max(0, lo - k), min(len(a), hi + len(p) + k)
-        exact = a[x:y].tobytes().find(p.tobytes())
-        if exact >= 0 and not exact % 4:
-            return x + exact // 4, x + exact // 4 + len(p), 0
-        ends, best = banded(p, a, lo - k, hi + k, k)
-        if best > k:
-            return None
-        r = np.ascontiguousarray(a[max(0, ends - len(p) - k) : ends][::-1])
-        start, _ = banded(p[::-1], r, -k, k, k, anchored=True)
-        return ends - start, ends, best
-
-
-def _stands(a: np.ndarray, x: int, p: np.ndarray) -> bool:
-    """Whether a holds p at x as whole words."""
-    y = x + len(p)
-    return (x == 0 or a[x - 1] == 32) and (y == len(a) or a[y] == 32) and bool((a[x:y] == p).all())
-
-
-def banded(p: np.ndarray, a: np.ndarray, lo: int, hi: int, most: int, anchored: bool = False) -> tuple[int, int]:
-    """(end in a, distance) of the best alignment of all of p with a part of a on the diagonals lo..hi; anchored: a part that begins at 0.
-
-    Where every alignment takes more than ``most`` edits, it stops early with a distance that is over it.
+    def ends(self, a: np.ndarray, item: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, distances) of all regions within the item's edits whose diagonals lie in the band."""
+        p, k, shift = self.bytes[item], int(self.edits[item]), int(self.shift[item])
+        lo, hi = half << shift, (half + 2) << shift
+        if not k:  # no edit: the places of the band where the item stands as it is
+            x = np.arange(max(0, lo), min(len(a) - len(p), hi) + 1)
+            x = x[a[x] == p[0]] if len(x) else x
+            x = np.array([y for y in x.tolist() if (a[y : y + len(p)] == p).all() and not (self.short and _within_word(a, y, y + len(p)))], dtype=np.int64)
+            return x + len(p), np.zeros(len(x), dtype=np.int64)
+        return banded(p, a, lo - k, hi + k, k)
+
+    def regions(self, a: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(start, end, distance, item, shared) of every item's regions that don't overlap, nearest ones first."""
+        by_item: dict[int, list[tuple[int, int]]] = {}
+        for item, half, shared in self.bands(a):
+            by_item.setdefault(item, []).append((half, shared))
+        for item, found in by_item.items():
+            m, k = len(self.bytes[item]), int(self.edits[item])
+            ends, distances, shares = [], [], []
+            for half, shared in found:
+                e, d = self.ends(a, item, half)
+                ends.append(e)
+                distances.append(d)
+                shares.append(np.full(len(e), shared))
+            ends, distances, shares = np.concatenate(ends), np.concatenate(distances), np.concatenate(shares)
+            order = np.lexsort((-shares, ends, distances))
+            # An end whose region can't lie beside one that is taken is out: a region that begins at or after another's end ends m - k later at least.
+            ends, distances, shares = ends[order], distances[order], shares[order]
+            taken = []
+            while len(ends):
+                end, distance, shared = int(ends[0]), int(distances[0]), int(shares[0])
+                start = end - m if not distance else self.start(a, item, end, distance)
+                ok = all(end <= x or y <= start for x, y in taken)
+                out = (ends > start) & (ends < end + m - k) if ok else np.arange(len(ends)) == 0
+                out[0] = True
+                if ok:
+                    taken.append((start, end))
+                    yield start, end, distance, item, shared
+                ends, distances, shares = ends[~out], distances[~out], shares[~out]
+
+    def start(self, a: np.ndarray, item: int, end: int, distance: int) -> int:
+        """Where the shortest region of that distance begins that ends there."""
+        p = self.bytes[item][::-1]
+        k = int(self.edits[item])
+        r = np.ascontiguousarray(a[max(0, end - len(p) - k) : end][::-1])
+        lengths, distances = banded(p, r, -k, k, k, anchored=True)
+        return end - int(lengths[distances == distances.min()].min())
+
+
+def _within_word(a: np.ndarray, x: int, y: int) -> bool:
+    """Whether a cut at x or y would part two letters of a word."""
+    return any(0 < at < len(a) and not any(c == 32 or _UNSPACED.match(chr(c)) for c in (int(a[at - 1]), int(a[at]))) for at in (x, y))
+
+
+def banded(p: np.ndarray, a: np.ndarray, lo: int, hi: int, most: int, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(ends in a, distances) of the alignments of all of p with a part of a on the diagonals lo..hi, for each end the least if it is at most ``most``.
+
+    anchored: the part begins at 0. Where every alignment takes more edits it stops early.
     """
     width = hi - lo + 1
     far = 1 << 30
@@ -176,9 +223,9 @@ def banded(p: np.ndarray, a: np.ndarray, lo: int, hi: int, most: int, anchored:
         row = np.minimum.accumulate(new - ramp) + ramp
         row[(j < 0) | (j > len(a))] = far
         if not i % 16 and row.min() > most:
-            return 0, most + 1
-    best = int(row.argmin())
-    return int(column[best] + len(p)), int(row[best])
+            break
+    ok = np.flatnonzero(row <= most) if i == len(p) else np.empty(0, dtype=np.int64)
+    return column[ok] + len(p), row[ok]
 
 
 def index(items: list[tuple[int | None, str]], q: int = Q, edit_rate: float = EDIT_RATE) -> list[Items]:
@@ -200,26 +247,13 @@ def _spans(text: str, at: np.ndarray, found: list[tuple[int, int]]) -> list[tupl
 
 
 def search(text: str | None, items: list[Items]) -> list[dict[str, int | None]]:
-    """Regions of the text that are within an item's edits; of overlapping ones of one item, the nearest."""
+    """Regions of the text that are within an item's edits; of overlapping ones of one item, the nearest, then the one that ends first."""
     if not text:
         return []
     a, at = normal(text)
-    found: list[tuple[int, int, int, int, int, int]] = []  # start, end, distance, index, item, shared
-    for n, part in enumerate(items):
-        for item, half, shared in part.regions(a):
-            hit = part.align(a, item, half)
-            if hit:
-                found.append((hit[0], hit[1], hit[2], n, item, shared))
-    if not found:
+    best = [(start, end, distance, n, item, shared) for n, part in enumerate(items) for start, end, distance, item, shared in part.regions(a)]
+    if not best:
         return []
-    found.sort(key=lambda f: (f[3], f[4], f[2], f[0], -f[5]))
-    best: list[tuple[int, int, int, int, int, int]] = []
-    taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for f in found:
-        own = taken.setdefault(f[3:5], [])
-        if not any(x < f[1] and f[0] < y for x, y in own):
-            own.append(f[:2])
-            best.append(f)
     best.sort(key=lambda f: (f[0], f[3], f[4]))
     return [
         {"item_id": items[f[3]].ids[f[4]], "start": s, "end": e, "distance": f[2], "shared": f[5]}
@@ -242,31 +276,38 @@ def _finder(items: list[tuple[int | None, str]], q: int, edit_rate: float) -> Co
     return find.asNondeterministic()("text")
 
 
-def finders(benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> list[Column]:
-    """An array of regions (item_id, start, end, distance, shared) of a column text, for each block of benchmark (item_id, text)."""
+def finders(benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> Iterator[Column]:
+    """For one block of benchmark (item_id, text) after the other, an array of regions (item_id, start, end, distance, shared) of a column text."""
     items = only(benchmark, "item_id", "text").where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     # Items are dealt by a hash to as many blocks as their bytes need, so a block has about block_bytes.
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = []
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         if rows:
-            out.append(_finder([(r["item_id"], r["text"]) for r in rows], q, edit_rate))
-    return out
+            yield _finder([(r["item_id"], r["text"]) for r in rows], q, edit_rate)
 
 
 def regions(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """(doc_id, item_id, start, end, distance, shared): one row per region of a document that holds an item."""
+    """(doc_id, item_id, start, end, distance, shared): one row per region of a document that holds an item. What all blocks but the last find is stored."""
     rows = only(docs, "doc_id", "text")
-    passes = [rows.withColumn("hits", find) for find in finders(benchmark, **options)] or [rows.limit(0).withColumn("hits", F.array().cast(_HIT))]
-    passes = [x.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.start", "h.end", "h.distance", "h.shared") for x in passes]
-    return reduce(DataFrame.union, passes)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out, last = [], None
+    for find in finders(benchmark, **options):
+        if last is not None:
+            out.append(stored(last, "regions"))
+        last = rows.select("doc_id", F.explode(find).alias("h")).select("doc_id", "h.item_id", "h.start", "h.end", "h.distance", "h.shared")
+    if last is None:
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, start long, end long, distance long, shared long")
+    for part in out:
+        last = last.union(part)
+    return last
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any such region, with all their columns. What a block leaves is stored for the next one."""
-    hits, out = free_name(docs, "_hits"), docs
-    for k, find in enumerate(finders(benchmark, **options)):
-        out = (stored(out, "decontaminated") if k else out).withColumn(hits, find).where(F.size(hits) == 0).drop(hits)
+    hits, out, first = free_name(docs, "_hits"), docs, True
+    for find in finders(benchmark, **options):
+        out = (out if first else stored(out, "decontaminated")).withColumn(hits, find).where(F.size(hits) == 0).drop(hits)
+        first = False
     return out
