@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from chromatid import bindings as b
+from chromatid import plugins
 from chromatid.more_queries import K, View, pick
+from chromatid.plans import dispatch
 from chromatid.queries import query
-from chromatid.sources import classes, components, history, literals, projects
+from chromatid.session import shared_folder
+from chromatid.sources import classes, components, design, history, literals, projects
 
 
 def text(template: str, **parts: str) -> str:
@@ -408,3 +412,224 @@ FROM m LEFT JOIN {_SPACE_ROWS} s ON s.root = m.root LEFT JOIN w ON w.root = m.ro
 )
 def project_list(spark, d):
     return projects.projects(TREE_FILES(spark, d))
+
+
+# Theme files: base and extension, lists, sizes, references over several steps, to nothing and in a circle; four ways to export.
+_THEMES = [
+    """module.exports = {
+  content: ["./x"],
+  theme: {
+    colors: { brand: { DEFAULT: '#1«h»', 500: "#222" }, white: '#fff', mid: { deep: { er: '#0«h»' } } },
+    spacing: { 0.5: '2px', '4': '«k»px', 8: theme('spacing.4'), 16: "calc(theme(spacing.8) * 2 + theme('spacing.4'))" },
+    extend: { colors: { brand: { 500: '#333', 600: '#444' } }, fontFamily: { sans: ['Inter', `sans-serif`] }, fontSize: { lg: ['18px', { lineHeight: '1.5' }] } },
+  },
+  plugins: [require('x')],
+}""",
+    """/** @type {import('x').Config} */
+const config = withUI({ theme: { extend: { borderRadius: { lg: "var(--radius)", x«k»: theme('borderRadius.lg') }, colors: { a: theme('colors.b'), b: theme('colors.c'), c: theme('colors.a'), d: theme('colors.none.x') } } } })
+export default config""",
+    "export default { darkMode: 'class', theme: { screens: { sm: '«k»px' }, spacing: fn({ a: '1px' }), maxWidth: { prose: 65 }, opacity: { 5: '0.05' } } } satisfies Config",
+    "module.exports = require('./other')",
+]
+THEMES = View("themes", "part", k=K, path=f"'t' || {K} || '.js'", content=pick(K, *[text(t, k=K, h=f"lpad(CAST({K} % 100000 AS VARCHAR(9)), 5, '0')") for t in _THEMES]))
+_K5 = "lpad(CAST(k % 100000 AS VARCHAR(9)), 5, '0')"
+
+
+@query(
+    "SELECT * FROM "
+    + rows(
+        (
+            "k % 4 = 0",
+            [
+                ("path", "'colors.brand'", "'tw-brand'", f"'#1' || {_K5}", "'theme'", "'whole'"),
+                ("path", "'colors.brand.500'", "'tw-brand-500'", "'#333'", "'extend'", "'whole'"),
+                ("path", "'colors.brand.600'", "'tw-brand-600'", "'#444'", "'extend'", "'whole'"),
+                ("path", "'colors.white'", "'tw-white'", "'#fff'", "'theme'", "'whole'"),
+                ("path", "'colors.mid.deep.er'", "'tw-mid-deep-er'", f"'#0' || {_K5}", "'theme'", "'whole'"),
+                ("path", "'spacing.0.5'", "'tw-spacing-0.5'", "'2px'", "'theme'", "'whole'"),
+                ("path", "'spacing.4'", "'tw-spacing-4'", "k || 'px'", "'theme'", "'whole'"),
+                ("path", "'spacing.8'", "'tw-spacing-8'", "k || 'px'", "'theme'", "'whole'"),
+                ("path", "'spacing.16'", "'tw-spacing-16'", "'calc(' || k || 'px * 2 + ' || k || 'px)'", "'theme'", "'whole'"),
+                ("path", "'fontFamily.sans'", "'tw-font-sans'", "'Inter, sans-serif'", "'extend'", "'whole'"),
+                ("path", "'fontSize.lg'", "'tw-text-lg'", "'18px'", "'extend'", "'whole'"),
+            ],
+        ),
+        (
+            "k % 4 = 1",
+            [
+                ("path", "'borderRadius.lg'", "'tw-radius-lg'", "'var(--radius)'", "'extend'", "'whole'"),
+                ("path", "'borderRadius.x' || k", "'tw-radius-x' || k", "'var(--radius)'", "'extend'", "'whole'"),
+                ("path", "'colors.a'", "'tw-a'", "'theme(' || chr(39) || 'colors.b' || chr(39) || ')'", "'extend'", "'cycle'"),
+                ("path", "'colors.b'", "'tw-b'", "'theme(' || chr(39) || 'colors.c' || chr(39) || ')'", "'extend'", "'cycle'"),
+                ("path", "'colors.c'", "'tw-c'", "'theme(' || chr(39) || 'colors.a' || chr(39) || ')'", "'extend'", "'cycle'"),
+                ("path", "'colors.d'", "'tw-d'", "'theme(' || chr(39) || 'colors.none.x' || chr(39) || ')'", "'extend'", "'missing'"),
+            ],
+        ),
+        ("k % 4 = 2", [("path", "'screens.sm'", "'tw-screen-sm'", "k || 'px'", "'theme'", "'whole'"), ("path", "'maxWidth.prose'", "'tw-max-w-prose'", "'65'", "'theme'", "'whole'")]),
+        of="themes",
+        columns="path key name value origin state",
+    ),
+    THEMES.sql,
+)
+def theme_tokens(spark, d):
+    return literals.theme_tokens(THEMES(spark, d))
+
+
+# Groups by three rules in turn: selectors across files, then names in a file, then names in a folder; members that several rules would claim, and prefixes that aren't words.
+_G = f"CAST(floor(({K} - 1) / 12) AS BIGINT)"
+_I = f"({K} - 1) % 12"
+_NAMED = ["Mat", "MatLabel", "MatHint", "Tab", "TabPanel", "Table", "Card", "CardBody", "Side", "SideNav", "Lone", "Tabs"]
+NG = View(
+    "ng", "part", f"{K} >= 1", seq=K, g=_G, i=_I,
+    name=pick(_I, *[f"'{n}'" for n in _NAMED]) + f" || {_G}",
+    path=f"'app' || {_G} || CASE WHEN {_I} IN (3, 4, 5, 11) THEN '/tab.ts' WHEN {_I} = 10 THEN '/x/lone.ts' ELSE '/f' || ({_I}) || '.ts' END",
+    selector=f"CASE WHEN {_I} = 0 THEN 'mat' || {_G} || ', [mat]' WHEN {_I} = 1 THEN 'mat' || {_G} || '-label' WHEN {_I} = 2 THEN 'mat' || {_G} || '-hint-text' WHEN {_I} = 5 THEN 'mat' || {_G} || '-row'"
+    f" WHEN {_I} = 8 THEN 'side' || {_G} WHEN {_I} = 9 THEN NULL ELSE 's' || {K} END",
+)
+
+
+@query(
+    """+m AS (SELECT *, count(*) FILTER (WHERE i IN (1, 2, 5)) OVER (PARTITION BY g) AS below FROM ng)
+SELECT name, seq, CASE WHEN i = 0 AND below > 0 OR i IN (1, 2, 5) THEN 'Mat' || g END AS "group", i = 0 AND below > 0 AS root, CASE WHEN i = 0 AND below > 0 OR i IN (1, 2, 5) THEN 'selector' END AS rule FROM m""",
+    NG.sql,
+)
+def compounds_by_selector(spark, d):
+    return components.compounds_by_rules(NG(spark, d)).select("name", "seq", "group", "root", "rule")
+
+
+WORDS = ["Tab", "TabPanel", "Table", "TabPanelTitle", "Card", "CardBody", "Cardinal", "Nav", "NavItem", "Lone"]
+_J = f"{K} % 10"
+NAMED = View(
+    "named", "part", seq=K, g=f"CAST(floor({K} / 10) AS BIGINT)", i=_J, name=pick(_J, *[f"'{n}'" for n in WORDS]),
+    path=f"'lib' || CAST(floor({K} / 10) AS BIGINT) || CASE WHEN {_J} < 4 THEN '/tab.ts' WHEN {_J} = 4 THEN '/card.ts' ELSE '/f' || ({_J}) || '.ts' END", selector=f"CASE WHEN {_J} = 8 THEN NULL ELSE 'x' || {K} END",
+)
+
+
+@query(
+    """+m AS (SELECT *, count(*) FILTER (WHERE i IN (1, 3)) OVER (PARTITION BY g) AS tabs, count(*) FILTER (WHERE i = 0) OVER (PARTITION BY g) AS tab, count(*) FILTER (WHERE i = 3) OVER (PARTITION BY g) AS titles,
+  count(*) FILTER (WHERE i = 1) OVER (PARTITION BY g) AS panels, count(*) FILTER (WHERE i = 5) OVER (PARTITION BY g) AS bodies, count(*) FILTER (WHERE i = 4) OVER (PARTITION BY g) AS cards FROM named),
+r AS (SELECT *, CASE WHEN i <= 3 AND tab > 0 AND tabs > 0 THEN 'Tab' WHEN i IN (1, 3) AND tab = 0 AND panels > 0 AND titles > 0 THEN 'TabPanel' WHEN i BETWEEN 4 AND 6 AND cards > 0 AND bodies > 0 THEN 'Card' END AS x FROM m)
+SELECT name, seq, x AS "group", coalesce(name = x, false) AS root, CASE WHEN x IS NULL THEN NULL WHEN i <= 3 THEN 'file' ELSE 'folder' END AS rule FROM r""",
+    NAMED.sql,
+)
+def compounds_by_name(spark, d):
+    return components.compounds_by_rules(NAMED(spark, d)).select("name", "seq", "group", "root", "rule")
+
+
+# Design files: one set with every fault of variants, one that is right, single components, sets in sets.
+_DESIGNS = [
+    """{"components": {"1:«k»": {"key": "key«k»", "description": "Fine", "remote": true}, "1:2": {"key": "c", "description": " "}}, "document": {"children": [{"name": "Page", "children": [
+{"id": "1:«k»", "name": "Button", "type": "COMPONENT_SET", "boundVariables": {"fills": 1}, "componentPropertyDefinitions": {"Size": {"type": "VARIANT", "variantOptions": ["sm", "md", "lg"], "defaultValue": "sm"},
+ "Tone": {"type": "VARIANT", "variantOptions": ["Primary", "Secondary"], "defaultValue": "Primary"}, "Show icon": {"type": "BOOLEAN", "defaultValue": true}},
+ "children": [{"id": "1:2", "name": "Size=sm, Tone=Primary", "type": "COMPONENT"}, {"id": "1:3", "name": "Size=md, Tone=Secondary", "type": "COMPONENT"}]}]}]}}""",
+    """{"document": {"children": [{"name": "Other", "children": [{"id": "no", "name": "X", "type": "COMPONENT"}]}, {"name": "Components", "children": [{"name": "Frame", "type": "FRAME", "children": [{"name": "Row", "type": "FRAME", "children": [
+{"id": "2:1", "name": "_Deprecated/Chip", "type": "COMPONENT_SET", "componentPropertyDefinitions": {"state": {"type": "VARIANT", "variantOptions": ["on", "off"]}, "kind-of": {"type": "VARIANT", "variantOptions": ["lg", "sm", "a/b"]},
+ "size": {"type": "VARIANT", "variantOptions": ["lg", "sm"]}, "ref": {"type": "TEXT"}, "Ref": {"type": "TEXT"}, "isOn": {"type": "BOOLEAN"}, "withX#1:2": {"type": "BOOLEAN"}},
+ "children": [{"id": "2:2", "name": "State=on, size=LG", "type": "COMPONENT"}, {"id": "2:3", "name": "state=maybe, size=sm, more=1", "type": "COMPONENT"}, {"id": "2:4", "name": "Inner", "type": "COMPONENT_SET", "children": []}]},
+{"id": "2:5", "name": ".slot", "type": "COMPONENT"}]}]}]}]}}""",
+    """{"document": {"children": [{"name": "P", "children": [{"id": "3:«k»", "name": "Levels", "type": "COMPONENT_SET", "componentPropertyDefinitions": {"Level": {"type": "VARIANT", "variantOptions": ["1", "2", "x"]}}, "children": [{"id": "3:0", "name": "Level=1", "type": "COMPONENT"}]}]}]}}""",
+    """{"document": """,
+]
+DESIGNS = View("designs", "part", k=K, path=f"'d' || {K} || '.json'", content=pick(K, *[text(t, k=K) for t in _DESIGNS]))
+
+
+def _tagged(when: str, *of: tuple[str, str]) -> tuple:
+    return when, [("path", i, t if t.startswith("'") else f"'{t}'") for i, all_ in of for t in re.split(r"(?<!\|)\|(?!\|)", all_)]
+
+
+_TAGS = rows(
+    _tagged(
+        "k % 4 = 0",
+        ("'1:' || k", "component-set|variant-value-inconsistency|incomplete-variant-matrix|orphan-variant-definitions|published|semantic-hierarchy-variants|uses-variables|size-progression"),
+        ("'1:' || k", "default-variant:Size=sm, Tone=Primary|'component-key:key' || k|hierarchy:Button|variant-complexity:6|visibility-toggles:1|variant-dimension:Size[3]|variant-dimension:Tone[2]"),
+        ("'1:2'", "missing-description|component-key:c|hierarchy:Button/Size=sm, Tone=Primary|containing-frame:Button"),
+        ("'1:3'", "hierarchy:Button/Size=md, Tone=Secondary|containing-frame:Button"),
+    ),
+    ("k % 4 = 0", [("path", i, "'parent-component-set:1:' || k") for i in ("'1:2'", "'1:3'")]),
+    _tagged(
+        "k % 4 = 1",
+        ("'2:1'", "component-set|naming-inconsistency|mixed-naming-convention|incomplete-variant-matrix|undefined-variant-values|orphan-variant-definitions|undefined-variant-property|variant-value-case-mismatch"),
+        ("'2:1'", "duplicate-property-name|deprecated|reserved-property-name|special-char-variant-values|boolean-variant-antipattern|inconsistent-boolean-naming|exposes-nested-properties|unordered-size-variants"),
+        ("'2:1'", "hierarchy:Frame/Row/_Deprecated/Chip|variant-complexity:12|depth:3|containing-frame:Row|variant-dimension:state[2]|variant-dimension:kind-of[3]|variant-dimension:size[2]"),
+        ("'2:2'", "hierarchy:Frame/Row/_Deprecated/Chip/State=on, size=LG|depth:4|containing-frame:_Deprecated/Chip|parent-component-set:2:1"),
+        ("'2:3'", "hierarchy:Frame/Row/_Deprecated/Chip/state=maybe, size=sm, more=1|depth:4|containing-frame:_Deprecated/Chip|parent-component-set:2:1"),
+        ("'2:4'", "component-set|empty-component-set|nested-component-set|hierarchy:Frame/Row/_Deprecated/Chip/Inner|depth:4|containing-frame:_Deprecated/Chip"),
+        ("'2:5'", "slot-component|hierarchy:Frame/Row/.slot|depth:3|containing-frame:Row"),
+    ),
+    _tagged(
+        "k % 4 = 2",
+        ("'3:' || k", "component-set|incomplete-variant-matrix|orphan-variant-definitions|numeric-variant-values|single-variant|hierarchy:Levels|variant-complexity:3|variant-dimension:Level[3]"),
+        ("'3:0'", "hierarchy:Levels/Level=1|containing-frame:Levels|'parent-component-set:3:' || k"),
+    ),
+    of="designs",
+    columns="path id tag",
+)
+
+
+@query(f"SELECT * FROM {_TAGS}", DESIGNS.sql)
+def design_tags(spark, d):
+    return design.tags(design.components(DESIGNS(spark, d))[0])
+
+
+@query("SELECT path, 'PARSE_ERROR' AS code FROM designs WHERE k % 4 = 3", DESIGNS.sql)
+def design_errors(spark, d):
+    return design.components(DESIGNS(spark, d))[1].drop("message")
+
+
+# Styles by syntax family, from one scan.
+_STYLED = [
+    (".tsx", """<div style={{ color: '#a«h»', marginTop: «k», opacity: 0.5, "--gap": '4px', ...rest, width: w }} className="x">
+<p style="padding: 3px; top:«k»px" /></div>"""),
+    (".vue", """<template><b :style="{ fontSize: '«k»px', color: dark ? 'a' : 'b' }" style='left: 1px'/></template>
+<style scoped>
+.a:hover { color: #b«h»; /* margin: 9px; */ }
+.b { gap: «k»px }
+</style>"""),
+    (".component.html", """<i [style.width.px]="«k»" [style.color]="'#c«h»'" [ngStyle]="{ 'row-gap': '2px' }"></i> <!-- <i style="margin: 7px"> -->"""),
+    (".svelte", """<u style:color="#d«h»" style:--x={'«k»px'} style:margin={m} style="height:1rem"></u>"""),
+    (".html", """<a style="color:#e«h»">{{ style={{ color: 'no' }} }}</a>"""),
+    (".scss", """$x: 1px;
+.a { padding: «k»px; &:hover { color: #f«h» } }"""),
+    (".css", """.only { margin: 0 }"""),
+]
+_H5 = f"lpad(CAST({K} % 100000 AS VARCHAR(9)), 5, '0')"
+STYLED = View(
+    "styled", "part", k=K, path=f"'s' || {K} || " + pick(K, *[f"'{e}'" for e, _ in _STYLED]), content=pick(K, *[text(t, k=K, h=_H5) for _, t in _STYLED]), h=_H5,
+)
+_STYLES = [
+    ("jsx", [(1, "object", "color", "'#a' || h"), (1, "object", "margin-top", "CASE WHEN k = 0 THEN '0' ELSE k || 'px' END"), (1, "object", "opacity", "'0.5'"), (1, "object", "--gap", "'4px'"), (2, "attribute", "padding", "'3px'"), (2, "attribute", "top", "k || 'px'")]),
+    ("vue", [(1, "object", "font-size", "k || 'px'"), (1, "attribute", "left", "'1px'"), (2, "block", "color", "'#b' || h"), (2, "block", "gap", "k || 'px'")]),
+    ("angular", [(1, "binding", "width", "k || 'px'"), (1, "binding", "color", "'#c' || h"), (1, "object", "row-gap", "'2px'")]),
+    ("svelte", [(1, "binding", "color", "'#d' || h"), (1, "binding", "--x", "k || 'px'"), (1, "attribute", "height", "'1rem'")]),
+    ("html", [(1, "attribute", "color", "'#e' || h")]),
+    ("css", [(1, "file", "padding", "k || 'px'"), (1, "file", "color", "'#f' || h")]),
+    ("css", [(1, "file", "margin", "'0'")]),
+]
+_STYLE_ROWS = rows(
+    *[(f"k % 7 = {n}", [("path", f"'{kind}'", str(line), f"'{form}'", f"'{name}'", value) for line, form, name, value in found]) for n, (kind, found) in enumerate(_STYLES)],
+    of="styled",
+    columns="path family line form property value",
+)
+
+
+@query(f"SELECT * FROM {_STYLE_ROWS}", STYLED.sql)
+def dispatched_styles(spark, d):
+    return dispatch.declarations(dispatch.scanned(STYLED(spark, d)))
+
+
+@query(f"SELECT family, form, count(DISTINCT path) AS files, count(*) AS declarations FROM {_STYLE_ROWS} GROUP BY ALL", STYLED.sql)
+def dispatch_summary(spark, d):
+    return dispatch.summary(STYLED(spark, d))
+
+
+# A plugin's sink and source: signals written by many tasks with one commit, and read back a task a file.
+SIGNALS = View("own_signals", "part", id=f"'s' || {K}", line=K, message="p_name", severity=pick(K, "'info'", "'warning'", "NULL"))
+
+
+@query("SELECT id, line, message, severity FROM own_signals", SIGNALS.sql)
+def plugin_signals(spark, d):
+    plugins.install(spark, plugins.folder("chromatid-folder"))
+    signals = SIGNALS(spark, d).repartition(4, "id")
+    path, schema = f"{shared_folder(spark).rstrip('/')}/signals-{uuid.uuid4().hex}", signals._jdf.schema().toDDL()
+    signals.write.format("chromatid-folder").mode("append").option("path", path).option("schema", schema).save()
+    return spark.read.format("chromatid-folder").option("path", path).option("schema", schema).load()

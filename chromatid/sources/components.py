@@ -5,10 +5,11 @@ The patterns see declarations, not types: what needs a language's own parser (in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromatid.operators import fill
+from chromatid.session import durable
 
 # How component declarations look, by framework.
 DECLARATIONS = {
@@ -90,3 +91,42 @@ def inherit_in_order(components: DataFrame) -> DataFrame:
     given = roots.join(held, "root").select(F.col("id").alias("_id"), "_props")
     out = components.join(given, F.col("seq") == F.col("_id"), "left")
     return out.withColumn("props", F.coalesce("_props", "props")).select(components.columns)
+
+
+def _prefix_roots(names: DataFrame, within: str, prefixes: Column, sub: Column) -> DataFrame:
+    """(within, name, root) of unlike names: the shortest one that has others below it (sub of name and root) and that the name is or begins with."""
+    each = names.select(within, "name").distinct()
+    above = each.select(within, "name", F.explode(prefixes).alias("root")).join(each.select(within, F.col("name").alias("root")), [within, "root"])
+    having = above.where("name <> root").where(sub).select(within, "root").distinct()
+    return above.join(having, [within, "root"]).groupBy(within, "name").agg(F.min_by("root", F.char_length("root")).alias("root"))
+
+
+def compounds_by_rules(components: DataFrame) -> DataFrame:
+    """(path, name, selector, seq, group, root, rule) of components (path, name, selector, seq): three rules claim members in turn, each seeing what is left.
+
+    1. Selectors (the first of a list; of components that share one the last) below the shortest other selector that they begin with, a dash after it.
+    2. Names within a file below the shortest name that they begin with and that some name goes on from with a capital.
+    3. The same within a folder.
+
+    Groups have two members at least. ``root`` says whether the component is the group's own; ``rule`` is null for what no rule claims, as for components without a
+    selector. Prefixes are exploded and joined by equality, so no rule compares all pairs.
+    """
+    first = F.trim(F.split("selector", ",")[0])
+    c = components.select("path", "name", "selector", "seq", F.when(first != "", first).alias("_s"))
+    dashed = F.transform(F.sequence(F.lit(1), F.size(F.split("name", "-"))), lambda n: F.array_join(F.slice(F.split("name", "-"), 1, n), "-"))
+    owner = c.where("_s is not null").groupBy("_s").agg(F.max("seq").alias("seq"))
+    found = _prefix_roots(owner.select(F.lit(0).alias("all"), F.col("_s").alias("name")), "all", dashed, F.lit(True))
+    found = owner.join(found.select(F.col("name").alias("_s"), F.col("root").alias("_r")), "_s")
+    title = F.array_join(F.transform(F.split("_r", "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), "")
+    claimed = found.select("seq", title.alias("group"), (F.col("_s") == F.col("_r")).alias("root"), F.lit("selector").alias("rule"))
+    letters = F.transform(F.sequence(F.lit(1), F.char_length("name")), lambda n: F.substr(F.col("name"), F.lit(1), n))
+    capital = F.expr("substr(name, char_length(root) + 1, 1) rlike '^[A-Z]'")
+    for rule, within in (("file", F.col("path")), ("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))):
+        claimed = durable(claimed)
+        left = c.where("_s is not null").join(claimed, "seq", "left_anti").withColumn("_within", within)
+        found = left.join(_prefix_roots(left, "_within", letters, capital), ["_within", "name"]).select("_within", "seq", "name", "root")
+        some = found.groupBy("_within", "root").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+        found = found.join(some, ["_within", "root"]).select("seq", F.col("root").alias("group"), (F.col("name") == F.col("root")).alias("root"), F.lit(rule).alias("rule"))
+        claimed = claimed.union(found)
+    out = c.join(durable(claimed), "seq", "left").select("path", "name", "selector", "seq", "group", F.coalesce("root", F.lit(False)).alias("root"), "rule")
+    return out

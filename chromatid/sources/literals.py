@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chromatid.session import durable
 from chromatid.sources import files as files_
 
 _BLANK = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/)*", re.S)
 _STRING = re.compile(r"""'((?:\\.|[^'\\\n])*)'|"((?:\\.|[^"\\\n])*)\"""", re.S)
-_KEY = re.compile(r"[\w$][\w$-]*")
+_KEY = re.compile(r"\d+\.\d+|[\w$][\w$-]*")
 _ESCAPE = re.compile(r"\\(.)", re.S)
 #: What ends a literal that code follows on, but for assertions of its type.
 _ASSERTION = re.compile(r"(?:as|satisfies)\b")
@@ -26,6 +27,11 @@ _HOLE = re.compile(r"\\.|`|\$\{", re.S)
 _ESCAPED = {"n": "\n", "t": "\t", "\n": ""}
 
 
+def _said(m: re.Match) -> str:
+    """What a quoted string stands for."""
+    return _ESCAPE.sub(lambda e: _ESCAPED.get(e[1], e[1]), m[1] if m[1] is not None else m[2])
+
+
 class Code(str):
     """Source text of a value that isn't a literal."""
 
@@ -53,8 +59,7 @@ class Reader:
     def value(self):
         start, out = self.at, None
         if m := _STRING.match(self.text, self.at):
-            self.at = m.end()
-            out = _ESCAPE.sub(lambda e: _ESCAPED.get(e[1], e[1]), m[1] if m[1] is not None else m[2])
+            out, self.at = _said(m), m.end()
         elif self.sees("`"):
             self.at += 1
             out = self.template()
@@ -80,7 +85,7 @@ class Reader:
                 raise ValueError("open object")
             start = self.at
             if m := _STRING.match(self.text, self.at):
-                key, self.at = m[1] if m[1] is not None else m[2], m.end()
+                key, self.at = _said(m), m.end()
             elif m := _KEY.match(self.text, self.at):
                 key, self.at = m[0], m.end()
             else:  # a spread or a computed name
@@ -197,3 +202,69 @@ def export_leaves(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield "default", content.count("\n", 0, m.start()) + 1, 0, seq, *leaf
 
     return files_.scan(files, parse, _LEAF)
+
+
+# Sections of a theme and what their tokens' names begin with.
+SECTIONS = {
+    "colors": "tw-", "spacing": "tw-spacing-", "boxShadow": "tw-shadow-", "dropShadow": "tw-drop-shadow-", "borderRadius": "tw-radius-", "fontFamily": "tw-font-", "fontSize": "tw-text-",
+    "maxWidth": "tw-max-w-", "animation": "tw-animate-", "screens": "tw-screen-",
+}
+_REFERENCE = r"theme\(\s*['\"]?([\w$-]+(?:\.[\w$-]+)+)['\"]?\s*\)"
+
+
+def theme_entries(leaves: DataFrame) -> DataFrame:
+    """(path, key, name, value, origin) of the themes in export_leaves(): ``theme.section`` with ``theme.extend.section`` over it, lists as one value, ``DEFAULT`` as its parent's.
+
+    An entry of ``extend`` replaces the base's of the same key; where a key is said twice within one of them, the last counts. Values that aren't literals are left out,
+    but for numbers and references to other entries.
+    """
+    keys, extended = F.col("keys"), F.col("keys")[1] == "extend"
+    at = leaves.where("keys[0] = 'theme' AND size(keys) >= 3").withColumn("extended", extended)
+    at = at.withColumn("rest", F.when(extended, F.slice(keys, 3, F.size(keys))).otherwise(F.slice(keys, 2, F.size(keys)))).where("size(rest) >= 2")
+    at = at.where(F.col("rest")[0].isin(list(SECTIONS)) & (F.col("literal") | F.col("value").rlike(rf"^-?[\d.]+$|{_REFERENCE}")))
+    # Numbers at the end are places in a list but in scales, where they are names; sizes come with line heights, of which the size counts.
+    listed = F.col("rest")[0].isin("fontFamily", "fontSize") & (F.size("rest") > 2) & F.get("rest", F.lit(2)).rlike(r"^\d+$")
+    at = at.where(~(listed & (F.col("rest")[0] == "fontSize") & (F.get("rest", F.lit(2)) != "0")))
+    at = at.withColumn("parts", F.filter(F.when(listed, F.slice("rest", 1, 2)).otherwise(F.col("rest")), lambda k: k != "DEFAULT"))
+    place = F.when(listed, F.get("rest", F.lit(2)).cast("int")).otherwise(F.lit(0))
+    name = F.concat(F.element_at(F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair]), F.col("parts")[0]), F.array_join(F.slice("parts", 2, F.size("parts")), "-"))
+    at = at.select("path", "extended", F.array_join("parts", ".").alias("key"), name.alias("name"), place.alias("place"), "seq", "value")
+    last = at.groupBy("path", "extended", "key", "place").agg(F.max_by(F.struct("name", "value"), "seq").alias("v"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "v.value"))), lambda p: p["value"]), ", ")
+    one = last.groupBy("path", "key", "extended").agg(joined.alias("value"), F.max("v.name").alias("name"))
+    best = one.groupBy("path", "key").agg(F.max(F.struct("extended", "name", "value")).alias("b"))
+    return best.select("path", "key", "b.name", "b.value", F.when(F.col("b.extended"), "extend").otherwise("theme").alias("origin"))
+
+
+def resolved(entries: DataFrame) -> DataFrame:
+    """entries (path, key, name, value, origin) with references to other entries of the file put in, and ``state``: whole, missing (it refers to none) or cycle.
+
+    Each round puts in the first reference of every entry whose target is settled, so the rounds grow with the longest chain; what no round settles refers to itself
+    in the end.
+    """
+    state = F.when(F.col("value").rlike(_REFERENCE), F.lit("open")).otherwise(F.lit("whole"))
+    rows = durable(entries.select("path", "key", "name", "value", "origin").withColumn("state", state))
+    left = rows.where("state = 'open'").count()
+    while left:
+        targets = rows.select("path", F.col("key").alias("_to"), F.col("value").alias("_value"), F.col("state").alias("_state"))
+        open_ = rows.where("state = 'open'").withColumn("_to", F.regexp_extract("value", _REFERENCE, 1)).join(targets, ["path", "_to"], "left")
+        settled = F.col("_state") == "whole"
+        # The text of the first reference is cut out by its place: a value may hold any character, so it isn't put in by a pattern.
+        moved = open_.withColumn("_text", F.regexp_substr("value", F.lit(_REFERENCE))).withColumn("_at", F.expr("locate(_text, value)"))
+        put = F.concat(F.expr("substr(value, 1, _at - 1)"), "_value", F.expr("substr(value, _at + char_length(_text))"))
+        moved = moved.withColumn("value", F.when(settled, put).otherwise(F.col("value")))
+        lost = F.col("_state").isNull() | (F.col("_state") == "missing")
+        now = F.when(lost, "missing").when(settled & ~F.col("value").rlike(_REFERENCE), "whole").otherwise("open")
+        moved = moved.withColumn("state", now)
+        progress = moved.where(settled | lost).select(F.lit(1))
+        stuck = progress.isEmpty()
+        if stuck:
+            break
+        rows = durable(rows.where("state <> 'open'").unionByName(moved.select(rows.columns)))
+        left = rows.where("state = 'open'").count()
+    return rows.withColumn("state", F.when(F.col("state") == "open", "cycle").otherwise(F.col("state")))
+
+
+def theme_tokens(files: DataFrame) -> DataFrame:
+    """(path, key, name, value, origin, state) of the tokens of theme files (path, content): JavaScript that exports a configuration."""
+    return resolved(theme_entries(export_leaves(files)[0]))
