@@ -558,9 +558,9 @@ def file_importers(spark, d):
     return search.importers(i, View("t", "part", "p_partkey <= 7", target=f"'src/m' || ({K} % 7) || '/index.ts'")(spark, d))
 
 
-@query("SELECT 'G' || (p_partkey % 80) AS parent, count(*) AS n, string_agg('G' || (p_partkey % 80) || '/v' || p_partkey, ',' ORDER BY 'G' || (p_partkey % 80) || '/v' || p_partkey) AS names FROM part GROUP BY 1 HAVING count(*) >= 2")
+@query("SELECT 'G' || floor(p_partkey / 5)::BIGINT AS parent, count(*) AS n, string_agg('G' || floor(p_partkey / 5)::BIGINT || '/v' || p_partkey, ',' ORDER BY 'G' || floor(p_partkey / 5)::BIGINT || '/v' || p_partkey) AS names FROM part GROUP BY 1 HAVING count(*) >= 2")
 def potential_variants(spark, d):
-    return search.potential_variants(View("v", "part", name=f"'G' || ({K} % 80) || '/v' || {K}")(spark, d)).withColumn("names", F.array_join("names", ","))
+    return search.potential_variants(View("v", "part", name=f"'G' || CAST(floor({K} / 5) AS BIGINT) || '/v' || {K}")(spark, d)).withColumn("names", F.array_join("names", ","))
 
 
 @query("SELECT p_partkey AS id, (1 + p_partkey % 3) * (1 + p_partkey % 4) AS expected, p_partkey % 7 AS actual, p_partkey % 7 < (1 + p_partkey % 3) * (1 + p_partkey % 4) AS incomplete, false AS excessive FROM part")

@@ -161,3 +161,18 @@ def nearest_color(values: DataFrame, tokens: DataFrame) -> DataFrame:
 def contrast_level(ratio: Column) -> Column:
     """Which contrast a ratio passes: AAA, AA, AA for large text, or none."""
     return F.when(ratio >= 7, "AAA").when(ratio >= colors.MIN_CONTRAST, "AA").when(ratio >= 3, "AA-large").otherwise("fail")
+
+
+def variant_classes(components: DataFrame, fields: DataFrame) -> DataFrame:
+    """(name, field, value, members, first_id, classes) of components (id, name) by what their fields (id, field, value) say, for fields in which variants of a name differ.
+
+    Variants of one class agree and those of unlike classes differ, so this says what all pairs of variants would, in rows of the input's number: what differs are the
+    classes of a (name, field), and a variant without the field is of the class without a value.
+    """
+    named = fields.join(components.select("id", "name"), "id").groupBy("name", "field", "id").agg(F.array_join(F.array_sort(F.collect_set("value")), ", ").alias("value"))
+    total = components.groupBy("name").agg(F.count(F.lit(1)).alias("variants"))
+    held = named.groupBy("name", "field", "value").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first_id"))
+    sums = held.groupBy("name", "field").agg(F.sum("members").alias("with"), F.count(F.lit(1)).alias("n")).join(total, "name")
+    without = sums.where(F.col("variants") > F.col("with")).select("name", "field", F.lit(None).cast("string").alias("value"), (F.col("variants") - F.col("with")).alias("members"), F.lit(None).alias("first_id"))
+    classes = sums.select("name", "field", (F.col("n") + (F.col("variants") > F.col("with")).cast("long")).alias("classes")).where("classes > 1")
+    return held.unionByName(without).join(classes, ["name", "field"])

@@ -70,15 +70,33 @@ def component_scores(source: DataFrame, target: DataFrame, least: float = MIN_MA
     return both.select("source_id", "target_id", score.alias("score"), "source_seq", "target_seq").where(F.col("score") >= least)
 
 
-def greedy(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+#: Pairs that one task settles in order at the end.
+FINISHED_ALONE = 200_000
+
+
+def _settle_rest(key, pdf):
+    import pandas as pd
+
+    taken, out, last = set(), [], None
+    order = pdf.sort_values(["source_seq", "source_id", "score", "target_seq", "target_id"], ascending=[True, True, False, True, True], kind="stable")
+    for source, target, score in order[["source_id", "target_id", "score"]].itertuples(index=False):
+        if source != last and target not in taken:
+            taken.add(target)
+            out.append((source, target, score))
+            last = source
+    return pd.DataFrame(out, columns=["source_id", "target_id", "score"])
+
+
+def greedy(pairs: DataFrame, alone: int = FINISHED_ALONE) -> DataFrame:
     """(source_id, target_id, score): sources in order of source_seq each take their best free target, the first by target_seq among equals.
 
     Each round settles, all at once, every source whose best free target no earlier open source could take; the first open source always
-    is one. Rounds end when no pair is left.
+    is one. Rounds end when no pair is left, or so few that one task settles them in order: at most ``alone``, whatever the table's size, as where sources wait for each
+    other in a line.
     """
     open_ = durable(pairs)
-    done = None
-    for _ in range(max_rounds):
+    done, left = None, open_.count()
+    while left > alone:
         by_source = Window.partitionBy("source_id").orderBy(F.desc("score"), "target_seq", "target_id")
         best = open_.withColumn("k", F.row_number().over(by_source)).where("k = 1").drop("k")
         first = open_.groupBy("target_id").agg(F.min("source_seq").alias("first_seq"))
@@ -86,9 +104,10 @@ def greedy(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
         settled = durable(settled)
         done = settled if done is None else done.union(settled)
         open_ = durable(open_.join(settled.select("source_id"), "source_id", "left_anti").join(settled.select("target_id"), "target_id", "left_anti"))
-        if open_.isEmpty():
-            return done
-    raise RuntimeError(f"pairs are left after {max_rounds} rounds")
+        left = open_.count()
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    rest = open_.groupBy(F.lit(0).alias("all")).applyInPandas(_settle_rest, ", ".join(f"{c} {kinds[c]}" for c in ("source_id", "target_id", "score")))
+    return rest if done is None else done.union(rest)
 
 
 def fuzzy_components(source: DataFrame, target: DataFrame, least: float = MIN_MATCH) -> DataFrame:
@@ -217,26 +236,32 @@ def _channels(values: DataFrame, mode: str) -> DataFrame:
     return v.select("value", colors.channels(F.col("_hex")).alias("v")).where("v is not null")
 
 
-def near_colors(values: DataFrame, tokens: DataFrame, reaches: Iterable[float], enough: int) -> DataFrame:
-    """(v, t, ..., off): for distinct channels v of values, the tokens (t: channels, ...) within the first of the rising reaches in which there are enough, or else the last.
+def near_colors(values: DataFrame, tokens: DataFrame, reaches: Iterable[float], order: list[Column], enough: int) -> DataFrame:
+    """(v, t, ..., off): for distinct channels v of values, the first ``enough`` tokens (t: channels, ...) by order, of those within the first of the rising reaches that has so many.
 
-    What is answered within a narrow reach never meets the wide cells of the next ones.
+    Order goes by ``off`` first, or by what never falls with it. What is answered within a narrow reach never meets the wide cells of the next ones, and of what lies within
+    reach only the first are written: ``enough`` rows a value at most.
     """
     open_ = durable(values.select("v").distinct())
-    tokens = durable(tokens)
     reaches, done = list(reaches), None
+    place = F.row_number().over(Window.partitionBy("v").orderBy(*order))
     for reach in reaches:
         size = reach + 1e-6
         t = tokens.withColumn("_k", F.explode(_cells(F.col("t"), size, 1)))
         v = open_.withColumn("_k", _cells(F.col("v"), size, 0)[0] + (4096 + 64 + 1))
         found = v.join(t, "_k").drop("_k").withColumn("off", colors.distance(F.col("v"), F.col("t"))).where(F.col("off") <= size)
+        found = found.withColumn("_nth", place).where(F.col("_nth") <= enough)
+        if reach == reaches[-1]:
+            found = found.drop("_nth")
+            done = found if done is None else done.unionByName(found)
+            break
         found = durable(found)
-        if reach != reaches[-1]:
-            settled = durable(found.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("v"))
-            found = found.join(settled, "v", "left_semi")
-            open_ = durable(open_.join(settled, "v", "left_anti"))
-        done = found if done is None else done.union(found)
-        if reach != reaches[-1] and open_.isEmpty():
+        # A value whose last wanted place is taken is answered.
+        settled = found.where(F.col("_nth") == enough).select("v")
+        kept = found.join(settled, "v", "left_semi").drop("_nth")
+        done = kept if done is None else done.unionByName(kept)
+        open_ = durable(open_.join(settled, "v", "left_anti"))
+        if open_.isEmpty():
             break
     return done
 
@@ -244,14 +269,15 @@ def near_colors(values: DataFrame, tokens: DataFrame, reaches: Iterable[float],
 def color_suggestions(values: DataFrame, tokens: DataFrame, least: float = COLOR_MATCH, top: int = SUGGESTIONS) -> DataFrame:
     """(value, token, confidence, rank): the most similar color tokens (token, hex) of each value, by name among equals."""
     reach = (1 - least) * colors.MAX_DISTANCE
-    v = _channels(values, "suggestion")
+    v = durable(_channels(values, "suggestion"))
     t = tokens.select("token", colors.channels(F.lower("hex")).alias("t")).where("t is not null")
     # Of tokens with one color, no more than the first by name can count.
-    t = t.withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("token"))).where(F.col("k") <= top).drop("k")
-    found = near_colors(v, t, [r for r in (reach / 8, reach / 4, reach / 2) if r >= 5] + [reach], top)
-    found = found.withColumn("confidence", 1 - F.col("off") / colors.MAX_DISTANCE).where(F.col("confidence") >= least)
-    order = Window.partitionBy("v").orderBy(F.desc("confidence"), "token")
-    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    t = durable(t.withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("token"))).where(F.col("k") <= top).drop("k"))
+    confidence = 1 - F.col("off") / colors.MAX_DISTANCE
+    order = [confidence.desc(), F.col("token")]
+    found = near_colors(v, t, [r for r in (reach / 4,) if r >= 5] + [reach], order, top)
+    found = found.withColumn("confidence", confidence).where(F.col("confidence") >= least)
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("confidence"), "token")))
     return v.join(found, "v").select("value", "token", "confidence", "rank")
 
 
@@ -277,12 +303,32 @@ def spacing_suggestions(values: DataFrame, tokens: DataFrame, least: float = SPA
 
 def best_fix_colors(values: DataFrame, tokens: DataFrame, least: float = FIX_MATCH) -> DataFrame:
     """(value, token, score, level): the color token (token, hex, seq) of the highest confidence of at least 40, first by seq among equals."""
-    v = _channels(values, "fix")
+    v = durable(_channels(values, "fix"))
     t = tokens.withColumn("t", colors.channels(F.lower("hex"))).where("t is not null").groupBy("t").agg(F.min_by("token", "seq").alias("token"), F.min("seq").alias("seq"))
+    score = colors.distance_confidence(F.col("off") / colors.FIX_DISTANCE * 100)
     # The reaches are those beyond which every score is lower than any within.
-    found = near_colors(v, t, [x * colors.FIX_DISTANCE for x in (0.05, 0.15, 0.3)], 1).withColumn("score", colors.distance_confidence(F.col("off") / colors.FIX_DISTANCE * 100))
-    best = found.where(F.col("score") >= least).groupBy("v").agg(F.max_by(F.struct("token", "score"), F.struct("score", -F.col("seq"))).alias("b"))
-    return v.join(best, "v").select("value", "b.token", "b.score", colors.confidence_level(F.col("b.score")).alias("level"))
+    found = near_colors(v, durable(t), [x * colors.FIX_DISTANCE for x in (0.05, 0.15, 0.3)], [score.desc(), F.col("seq")], 1).withColumn("score", score)
+    best = found.where(F.col("score") >= least).select("v", "token", "score")
+    return v.join(best, "v").select("value", "token", "score", colors.confidence_level(F.col("score")).alias("level"))
+
+
+def best_fix_lengths(values: DataFrame, tokens: DataFrame, least: float = FIX_MATCH) -> DataFrame:
+    """(value, token, score): every spacing token (token, px) whose confidence for a value is at least ``least``, which is at least 40.
+
+    Such a token lies within a quarter of the greater of the two, so in a logarithmic bucket two apart at most, or within 2 px, so in a bucket of 2 px next to it.
+    """
+    if least < 40:
+        raise ValueError("lengths of a lower confidence may be any")
+    v = values.select("value").distinct().withColumn("v", spacing.to_px(F.col("value"))).where("v is not null")
+    t = tokens.select("token", F.col("px").cast("double").alias("t")).where("t is not null")
+    found = None
+    for kind, reach, bucket in (("log", 2, lambda c: _length_bucket(c, 0.75)), ("px", 1, lambda c: F.floor(c / 2))):
+        near = v.withColumn("_k", bucket(F.col("v"))).join(t.withColumn("_k", F.explode(F.array(*[bucket(F.col("t")) + i for i in range(-reach, reach + 1)]))), "_k")
+        # A pair that both buckets find is taken from the logarithmic ones.
+        near = near.where(F.abs(_length_bucket(F.col("v"), 0.75) - _length_bucket(F.col("t"), 0.75)) > 2) if kind == "px" else near
+        near = near.withColumn("score", spacing.spacing_confidence(F.col("v"), F.col("t"))).where(F.col("score") >= least).select("value", "token", "score")
+        found = near if found is None else found.union(near)
+    return found
 
 
 def unused(entities: DataFrame, usages: DataFrame) -> DataFrame:
@@ -307,6 +353,18 @@ def duplicate_groups(components: DataFrame) -> DataFrame:
     return whole.unionByName(heads.select("group_id", F.col("group_id").alias("member_id"))).unionByName(pairs)
 
 
+def duplicate_classes(components: DataFrame) -> DataFrame:
+    """(base, id, head, version) of the members of duplicate_groups(), one row a component: groups are each ``head`` with all members that are versions, or with all if it is one.
+
+    The rows are as many as the components, where the groups' own rows are heads times versions.
+    """
+    c = components.select("id", "seq", strings.base_name(F.col("name")).alias("base"), strings.has_version_suffix(F.col("name")).alias("version")).where(F.char_length("base") >= 3)
+    size = c.groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.count_if("version").alias("versions"), F.min("seq").alias("first_seq"), F.min_by("version", "seq").alias("first_version"))
+    m = c.join(size.where("n > 1 and versions > 0"), "base")
+    head = F.when(F.col("first_version"), F.col("seq") == F.col("first_seq")).otherwise(~F.col("version"))
+    return m.select("base", "id", head.alias("head"), "version")
+
+
 def contrast_pairs(styles: DataFrame, least: float = colors.MIN_CONTRAST) -> DataFrame:
     """(component, foreground, background, ratio) of each component's color pairs with too little contrast; styles: (component, property, value)."""
     kind = F.when(F.col("property") == "color", "f").when(F.col("property").isin("background-color", "background"), "b")

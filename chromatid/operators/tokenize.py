@@ -1,7 +1,7 @@
 """Token vocabularies from hard-coded values: clusters, names, coverage.
 
-Clustering is order-dependent but works on distinct values, after a distributed count: colors of a palette, whole px. Each call's distinct
-values are clustered as one ordered fold per group, so a group is a category (or a caller's scope), never the rows.
+Clustering is order-dependent but works on distinct values, after a distributed count: colors settle in rounds, whole px are one ordered fold per
+category (or a caller's scope), never the rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromatid.functions import colors, spacing
+from chromatid.operators import match
+from chromatid.session import durable
 
 # Names by position.
 NEUTRALS = "50 100 200 300 400 500 600 700 800 900 950".split()
@@ -32,30 +34,49 @@ def color_counts(values: DataFrame) -> DataFrame:
     return values.groupBy("scope", colors.normal_color(F.col("value"), "tokenize").alias("color")).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
 
 
-def color_clusters(values: DataFrame, threshold: float = 5.0) -> DataFrame:
+#: Colors of a scope that one task looks for representatives among, in a round.
+STEP = 1024
+
+
+def color_clusters(values: DataFrame, threshold: float = 5.0, step: int = STEP) -> DataFrame:
     """(scope, cluster, representative, n, members): colors by falling use each join the first cluster whose representative is nearer than threshold * 10.
 
-    A scope's distinct colors (2^24 at most) are one fold: the commonest open color takes all open ones within reach, so there are as many steps as
-    clusters, whose number the color space bounds. Values that are no colors are clusters of their own.
+    In each round the commonest ``step`` open colors of a scope are looked through in order for representatives, and every open color near one of those joins the first
+    by an equi-join on cells of the color cube. Representatives lie apart, so the color cube bounds their number and with it the rounds; no task holds a scope's colors.
+    Values that are no colors are clusters of their own.
     """
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "seq"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        color, n, rgb = pdf["color"].to_numpy(), pdf["n"].to_numpy(), pdf[["r", "g", "b"]].to_numpy(dtype=float)
-        none = np.isnan(rgb).any(axis=1)
-        found = [(int(i), np.array([i])) for i in np.flatnonzero(none)]
-        open_ = np.flatnonzero(~none)
-        while len(open_):
-            near = np.sqrt(((rgb[open_] - rgb[open_[0]]) ** 2).sum(axis=1)) < threshold * 10
-            near[0] = True
-            found.append((int(open_[0]), open_[near]))
-            open_ = open_[~near]
-        found = sorted(((i, int(n[at].sum()), at) for i, at in found), key=lambda c: (-c[1], c[0]))
-        rows = [(*key, k, color[i], total, color[at].tolist()) for k, (i, total, at) in enumerate(found)]
-        return pd.DataFrame(rows, columns=["scope", "cluster", "representative", "n", "members"])
-
-    c = color_counts(values).withColumn("rgb", colors.channels(F.col("color"))).select("scope", "color", "n", "seq", "rgb.*")
-    return c.groupBy("scope").applyInPandas(run, "scope string, cluster int, representative string, n long, members array<string>")
+    reach = threshold * 10
+    order = [F.desc("n"), F.col("seq"), F.col("color")]
+    # A null scope is one like others: scopes meet as JSON.
+    c = durable(color_counts(values).withColumn("scope", F.to_json(F.struct("scope"))).withColumn("rgb", colors.channels(F.col("color"))))
+    rank = F.struct((-F.col("n")).alias("n"), "seq", "color")
+
+    def leaders(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        rgb, found = pdf[["r", "g", "b"]].to_numpy(dtype=float), []
+        for i in range(len(pdf)):
+            if not found or not (np.sqrt(((rgb[found] - rgb[i]) ** 2).sum(axis=1)) < reach).any():
+                found.append(i)
+        return pdf.iloc[found][["scope", "color", "n", "seq"]]
+
+    def cells(at: Column, around: int) -> Column:
+        return match._cells(at, max(reach, 5.0) + 1e-6, around)
+
+    open_ = c.where("rgb is not null")
+    joined = c.where("rgb is null").select("scope", "color", "n", "seq", rank.alias("leader"))
+    while not open_.isEmpty():
+        first = open_.withColumn("k", F.row_number().over(Window.partitionBy("scope").orderBy(*order))).where(F.col("k") <= step)
+        found = first.select("scope", "color", "n", "seq", "k", "rgb.*").groupBy("scope").applyInPandas(leaders, "scope string, color string, n long, seq long")
+        found = durable(found.select("scope", colors.channels(F.col("color")).alias("at"), rank.alias("leader")))
+        near = open_.withColumn("cell", cells(F.col("rgb"), 0)[0] + (4096 + 64 + 1)).join(found.withColumn("cell", F.explode(cells(F.col("at"), 1))), ["scope", "cell"])
+        near = near.where((F.col("leader") <= rank) & ((colors.distance(F.col("rgb"), F.col("at")) < reach) | (F.col("leader.color") == F.col("color"))))
+        near = durable(near.groupBy("scope", "color", "n", "seq").agg(F.min("leader").alias("leader")))
+        joined = joined.unionByName(near)
+        open_ = durable(open_.join(near.select("scope", "color"), ["scope", "color"], "left_anti"))
+    clusters = joined.groupBy("scope", "leader").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(rank)).alias("all"))
+    place = (F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("n"), "leader")) - 1).cast("int")
+    scope = F.from_json("scope", "scope string")["scope"].alias("scope")
+    return clusters.select(scope, place.alias("cluster"), F.col("leader.color").alias("representative"), "n", F.transform("all", lambda x: x["color"]).alias("members"))
 
 
 def color_tokens(clusters: DataFrame) -> DataFrame:

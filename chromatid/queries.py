@@ -436,13 +436,11 @@ def best_fix_token(spark, d):
 
 @query(
     "+x AS (SELECT DISTINCT value, v.px AS v, token, t.px AS t FROM spacing_values v, spacing_tokens t), y AS (SELECT *, abs(v - t) AS a, abs(v - t) / greatest(v, t, 1) * 100 AS p FROM x)"
-    " SELECT value, token, round(CASE WHEN a = 0 THEN 100 WHEN a <= 1 THEN 98 WHEN a <= 2 THEN 95 WHEN p <= 10 THEN greatest(70, 90 - p) WHEN p <= 25 THEN greatest(40, 70 - p) ELSE 20 END::DOUBLE, 6) AS score FROM y WHERE t = 32",
+    " SELECT value, token, round(CASE WHEN a = 0 THEN 100 WHEN a <= 1 THEN 98 WHEN a <= 2 THEN 95 WHEN p <= 10 THEN greatest(70, 90 - p) WHEN p <= 25 THEN greatest(40, 70 - p) ELSE 20 END::DOUBLE, 6) AS score FROM y WHERE a <= 2 OR p <= 25",
     b.SPACINGS,
 )
 def spacing_confidence(spark, d):
-    t = b.spacing_tokens(spark).where("px = 32").first()
-    v = b.spacing_values(spark, d).select("value").distinct()
-    return v.select("value", F.lit(t["token"]).alias("token"), F.round(spacing.spacing_confidence(spacing.to_px(F.col("value")), F.lit(t["px"])), 6).alias("score"))
+    return match.best_fix_lengths(b.spacing_values(spark, d), b.spacing_tokens(spark)).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT id, name FROM components WHERE id NOT IN (SELECT 'part:' || l_partkey FROM lineitem WHERE l_quantity >= 45)", b.COMPONENTS)
@@ -730,11 +728,11 @@ def rolling_hashes(spark, d):
     return n.select("name", ids.rolling_hash(F.col("name")).alias("hash"), ids.hash_hex(F.col("name")).alias("hex"))
 
 
-@query("SELECT DISTINCT a.p_name AS a, c.p_name AS b, round(1 - levenshtein(a.p_name, c.p_name) / greatest(length(a.p_name), length(c.p_name)), 6) AS similarity FROM part a JOIN part c ON a.p_brand = c.p_brand AND a.p_size = c.p_size WHERE a.p_name < c.p_name")
+@query("SELECT DISTINCT a.p_name AS a, c.p_name AS b, round(1 - levenshtein(a.p_name, c.p_name) / greatest(length(a.p_name), length(c.p_name)), 6) AS similarity FROM part a JOIN part c ON a.p_partkey + 1 = c.p_partkey OR a.p_partkey + 64 = c.p_partkey WHERE a.p_name < c.p_name")
 def name_similarity(spark, d):
     p = b.table(spark, d, "part")
-    a, c = (p.select(F.col("p_name").alias(n), "p_brand", "p_size") for n in "ab")
-    return a.join(c, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(strings.similarity(F.col("a"), F.col("b")), 6).alias("similarity")).distinct()
+    a = p.select(F.col("p_name").alias("a"), F.explode(F.array(F.col("p_partkey") + 1, F.col("p_partkey") + 64)).alias("k"))
+    return a.join(p.select(F.col("p_name").alias("b"), F.col("p_partkey").alias("k")), "k").where("a < b").select("a", "b", F.round(strings.similarity(F.col("a"), F.col("b")), 6).alias("similarity")).distinct()
 
 
 # Detectors.

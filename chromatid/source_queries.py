@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chromatid import bindings as b
 from chromatid import plugins
 from chromatid.more_queries import K, View, pick
+from chromatid.operators import detect, match, search
 from chromatid.plans import dispatch
 from chromatid.queries import query
 from chromatid.session import shared_folder
@@ -633,3 +634,49 @@ def plugin_signals(spark, d):
     path, schema = f"{shared_folder(spark).rstrip('/')}/signals-{uuid.uuid4().hex}", signals._jdf.schema().toDDL()
     signals.write.format("chromatid-folder").mode("append").option("path", path).option("schema", schema).save()
     return spark.read.format("chromatid-folder").option("path", path).option("schema", schema).load()
+
+
+# What all pairs would say, as classes: variants of a component that differ, duplicates, examples of production components.
+MANY = View(
+    "many", "part", id=K, seq=K, name=f"'N' || ({K} % 7)", tone=pick(K, "'red'", "'red'", "'blue'"), size=f"CASE WHEN {K} % 11 = 0 THEN NULL ELSE 's' || ({K} % 2) END", same="'x'",
+)
+_FIELDS = " UNION ALL ".join(f"SELECT id, name, '{f}' AS field, {f} AS value FROM many WHERE {f} IS NOT NULL" for f in ("tone", "size", "same"))
+
+
+@query(
+    f"""+f AS ({_FIELDS}), t AS (SELECT name, count(*) AS variants FROM many GROUP BY 1), h AS (SELECT name, field, value, count(*) AS members, min(id) AS first_id FROM f GROUP BY ALL),
+s AS (SELECT name, field, sum(members)::BIGINT AS n FROM h GROUP BY ALL), a AS (SELECT * FROM h UNION ALL SELECT name, field, NULL, variants - n, NULL FROM s JOIN t USING (name) WHERE variants > n),
+c AS (SELECT name, field, count(*) AS classes FROM a GROUP BY ALL HAVING count(*) > 1) SELECT a.*, classes FROM a JOIN c USING (name, field)""",
+    MANY.sql,
+)
+def variant_classes(spark, d):
+    m = MANY(spark, d)
+    fields = m.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("tone", "size", "same")])).alias("f")).select("id", "f.*")
+    return detect.variant_classes(m.select("id", "name"), fields.where("value is not null"))
+
+
+VERSIONS = View("versions", "part", id=K, seq=K, name=f"'Name' || chr(CAST(97 + {K} % 26 AS INT)) || CASE {K} % 5 WHEN 0 THEN 'New' WHEN 1 THEN 'Old' WHEN 2 THEN 'V2' ELSE '' END")
+
+
+@query(
+    """+n AS (SELECT *, lower(regexp_replace(name, '(New|V2|Old)$', '')) AS base, regexp_matches(name, '(New|V2|Old)$') AS version FROM versions),
+s AS (SELECT base, count(*) AS n, count(*) FILTER (WHERE version) AS v, min(seq) AS first, arg_min(version, seq) AS fv FROM n GROUP BY 1 HAVING count(*) > 1 AND count(*) FILTER (WHERE version) > 0)
+SELECT n.base, id, CASE WHEN fv THEN seq = first ELSE NOT version END AS head, version FROM n JOIN s ON s.base = n.base""",
+    VERSIONS.sql,
+)
+def duplicate_classes(spark, d):
+    return match.duplicate_classes(VERSIONS(spark, d))
+
+
+_KIND = "CASE WHEN p_type < 'M' THEN 'production' WHEN p_type < 'S' THEN 'example' ELSE 'test' END"
+SHOWN = View("shown_parts", "part", id=K, name="p_name", context=_KIND)
+
+
+@query(
+    """SELECT lower(name) AS key, count(*) FILTER (WHERE context = 'production') AS production, count(*) FILTER (WHERE context = 'example') AS examples,
+min(id) FILTER (WHERE context = 'production') AS first_production, min(id) FILTER (WHERE context = 'example') AS first_example FROM shown_parts GROUP BY 1
+HAVING count(*) FILTER (WHERE context = 'production') > 0 AND count(*) FILTER (WHERE context = 'example') > 0""",
+    SHOWN.sql,
+)
+def example_classes(spark, d):
+    return search.example_classes(SHOWN(spark, d))

@@ -365,3 +365,39 @@ def test_nodes_on_cycles_of_any_length(spark):
     got = graph.cycle_nodes(edges).collect()
     assert {r.id: r.component for r in got} == want and len(got) == len(want) and want[110] == 100
     assert graph.cycle_nodes(edges.where("src between 100 and 109")).count() == 0
+
+
+def test_greedy_settles_lines_of_any_length(spark):
+    rows = [(f"s{i:05}", f"t{j:05}", 1.0 - 0.1 * (j != i - 1), i, j) for i in range(1, 1202) for j in (i - 1, i)]
+    df = frame(spark, "source_id string, target_id string, score double, source_seq long, target_seq long", *rows)
+    got = {r.source_id: r.target_id for r in match.greedy(df).collect()}
+    assert got == {f"s{i:05}": f"t{i - 1:05}" for i in range(1, 1202)}
+    waits = [(f"s{i}", f"t{j}", 1.0 if j == 0 else 0.9 - 0.001 * j, i, j) for i in range(6) for j in range(6)]
+    df = frame(spark, "source_id string, target_id string, score double, source_seq long, target_seq long", *waits)
+    want = {f"s{i}": f"t{i}" for i in range(6)}
+    for alone in (0, 4, 1000):
+        assert {r.source_id: r.target_id for r in match.greedy(df, alone).collect()} == want
+
+
+def test_color_search_writes_the_wanted_rows_only(spark, monkeypatch):
+    written = []
+    real = match.durable
+    monkeypatch.setattr(match, "durable", lambda df: (lambda out: (written.append(out), out)[1])(real(df)))
+    values = spark.range(300).select(F.concat(F.lit("#8080"), F.lpad(F.lower(F.hex(F.col("id") % 60)), 2, "0")).alias("value"))
+    tokens = spark.range(2000).select(F.concat(F.lit("t"), F.lpad("id", 4, "0")).alias("token"), F.concat(F.lit("#80"), F.lpad(F.lower(F.hex(F.col("id") % 200)), 2, "0"), F.lit("20")).alias("hex"))
+    got = match.color_suggestions(values, tokens).collect()
+    assert len(got) == 180 and {r["rank"] for r in got} == {1, 2, 3}
+    assert max(x.count() for x in written if "_nth" in x.columns) <= 3 * 60
+
+
+def test_color_clusters_are_the_same_whatever_the_step(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), f"#{rng.randrange(1 << 24):06x}" if rng.random() < 0.95 else "no color", i) for i in range(700)] + [("a", "#ffffff", 9)] * 4
+    df = frame(spark, "scope string, value string, seq long", *rows)
+    want = None
+    for step in (3, 50, 1024):
+        got = sorted((str(r.scope), r.cluster, r.representative, r.n, tuple(r.members)) for r in tokenize.color_clusters(df, step=step).collect())
+        want = want or got
+        assert got == want and sum(r[3] for r in got) == len(rows)
