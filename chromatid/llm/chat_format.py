@@ -4,13 +4,14 @@ In a rendering one participant is the assistant, the others are users by name, a
 character spans (start-end, end exclusive) that the assistant is to learn: its texts and their end markers. Participants are told apart by their
 whole role; its characters that a header line can't hold (white space, ``%``, ``<``, ``|``, ``>``) are percent-encoded in it.
 
-A dialogue is one row a participant. Only one of more than ``part_turns`` turns comes in parts of so many, in order, each a row of its own, so no task
-gathers more than a part; a later part begins with the system turns of the first again, and the participants are the whole dialogue's. Turns of
-these dialogues are numbered by a sort over all tasks, so one that holds a third of all rows is spread like any others. Expressions only, no Python.
+A dialogue is one row a participant, whole, however many turns it has. Only one whose turns are more than a row can hold (``part_bytes``, 64 MB with 64 bytes a turn
+for what is put around it) comes in parts of so much, in order, each a row of its own; a later part begins with the system turns of the first again, and the participants are
+the whole dialogue's. Turns of these dialogues are placed by a sort over all tasks, so one that holds a third of all rows is spread like any others, and
+no task gathers more than a part. Spans come from running sums over a part's turns. Expressions only, no Python.
 
 Null role: a participant without a name (null; ``%`` in the rendering); null text: empty; null conv_id: one dialogue; null turn numbers: last. Turns of
 one number are ordered by role, then text; repeated rows are repeated turns. Marker-like text (``<|``) is defused, so no turn can forge another.
-Very long texts are whole; a part's rendering must fit in a string (2 GiB). A dialogue of system turns only has no participant and no row. Extra
+Very long texts are whole; a single turn must fit in a string (2 GiB) once it is rendered. A dialogue of system turns only has no participant and no row. Extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -24,7 +25,8 @@ from chromatid.llm.common import only, stored
 #: Markers of the rendered form, and what stands for "<|" in a text.
 START, END, DEFUSED = "<|im_start|>", "<|im_end|>", "< |"
 SYSTEM = "system"
-PART_TURNS = 512
+#: Bytes of a row's turns at most, and what a turn counts besides its text.
+PART_BYTES, TURN_BYTES = 1 << 26, 64
 #: Characters of roles that are encoded in headers; % is the first, as the others' codes begin with it.
 ENCODED = ("%", " ", "\t", "\n", "\r", "<", "|", ">")
 #: Keys that a long dialogue's parts are dealt to.
@@ -40,57 +42,59 @@ def name_of(role: Column) -> Column:
     return F.coalesce(out, F.lit("%"))
 
 
-def _numbered(turns: DataFrame, part_turns: int) -> DataFrame:
-    """turns with their part, by their rank within their dialogue: ranks within ranges of the sorted rows, then sums over the ranges."""
+def _placed(turns: DataFrame, part_bytes: int) -> DataFrame:
+    """turns with their part, by the bytes before them in their dialogue: sums within ranges of the sorted rows, then over the ranges."""
     spread = turns.withColumn("nth", F.monotonically_increasing_id())  # equal rows may be dealt to several ranges
     ranges = spread.repartitionByRange("conv_id", *_ORDER, "nth").withColumn("range", F.spark_partition_id())
     ranges = stored(ranges, "chat-ranges")
-    per = ranges.groupBy("range", "conv_id").agg(F.count(F.lit(1)).alias("n"))
+    per = ranges.groupBy("range", "conv_id").agg(F.sum("bytes").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(F.col("range").alias("p_range"), F.col("conv_id").alias("p_conv"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("range", "conv_id").orderBy(*_ORDER, "nth"))
-    ranked = ranges.withColumn("rank", within).join(per, (F.col("range") == F.col("p_range")) & F.col("conv_id").eqNullSafe(F.col("p_conv")))
-    return ranked.withColumn("part", F.floor((F.col("base") + F.col("rank") - 1) / F.lit(part_turns)).cast("long")).select("conv_id", "part", *_ORDER)
+    within = F.sum("bytes").over(Window.partitionBy("range", "conv_id").orderBy(*_ORDER, "nth").rowsBetween(Window.unboundedPreceding, -1))
+    joined = ranges.withColumn("within", F.coalesce(within, F.lit(0))).join(per, (F.col("range") == F.col("p_range")) & F.col("conv_id").eqNullSafe(F.col("p_conv")))
+    return joined.withColumn("part", F.floor((F.col("base") + F.col("within")) / F.lit(part_bytes)).cast("long")).select("conv_id", "part", *_ORDER)
+
+
+def _head(role: Column) -> Column:
+    """The header of a turn of somebody who isn't the assistant."""
+    return F.when(role.eqNullSafe(F.lit(SYSTEM)), START + "system\n").otherwise(F.concat(F.lit(START + "user name="), name_of(role), F.lit("\n")))
 
 
 def _gathered(turns: DataFrame) -> DataFrame:
-    row = F.struct(*_ORDER)
-    return turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(row)).alias("turns"))
+    """(conv_id, part, turns): in order, each with the characters before it if nobody were the assistant, and how many turns of its own role are."""
+    length = F.char_length(_head(F.col("role"))) + F.char_length("text") + len(END) + 1
+    in_part = Window.partitionBy("conv_id", "part").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    rows = turns.withColumn("before", F.coalesce(F.sum(length.cast("long")).over(in_part), F.lit(0)))
+    # Equal turns are told apart by what is before them.
+    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("conv_id", "part", "role").orderBy(*_ORDER, "before")) - 1)
+    return rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct(*_ORDER, "before", "own"))).alias("turns"))
 
 
 def _rendered(parts: DataFrame) -> DataFrame:
     """(conv_id, part, speaker, n_turns, n_own, rendered, mask) from (conv_id, part, speaker, system, turns)."""
+    assistant = START + "assistant\n"
 
-    def own(role: Column) -> Column:
-        return role.eqNullSafe(F.col("speaker"))
+    def own(t: Column) -> Column:
+        return t["role"].eqNullSafe(F.col("speaker"))
 
-    def head(role: Column) -> Column:
-        return (
-            F.when(own(role), START + "assistant\n")
-            .when(role.eqNullSafe(F.lit(SYSTEM)), START + "system\n")
-            .otherwise(F.concat(F.lit(START + "user name="), name_of(role), F.lit("\n")))
-        )
-
-    messages = F.transform(
-        F.concat("system", "turns"), lambda t: F.struct(head(t["role"]).alias("head"), t["text"].alias("text"), own(t["role"]).alias("own"))
-    )
-    n_end = len(END)
+    # The assistant's header stands for its name's in all its turns before.
+    shorter = F.lit(len(assistant)) - F.char_length(_head(F.col("speaker")))
+    ahead = F.aggregate("system", F.lit(0).cast("long"), lambda n, t: n + F.char_length(_head(t["role"])) + F.char_length(t["text"]) + len(END) + 1)
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.char_length(m["head"])
-        end = start + F.char_length(m["text"]) + n_end
-        span = F.concat(start.cast("string"), F.lit("-"), end.cast("string"))
-        return F.struct((end + 1).cast("long").alias("at"), F.when(m["own"], F.concat(acc["mask"], F.array(span))).otherwise(acc["mask"]).alias("mask"))
+    def span(t: Column) -> Column:
+        start = F.col("ahead") + t["before"] + t["own"] * F.col("shorter") + len(assistant)
+        return F.concat(start.cast("string"), F.lit("-"), (start + F.char_length(t["text"]) + len(END)).cast("string"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("mask"))
-    return parts.withColumn("messages", messages).select(
+    mine = F.filter("turns", own)
+    texts = F.transform(F.concat("system", "turns"), lambda t: F.concat(F.when(own(t), assistant).otherwise(_head(t["role"])), t["text"], F.lit(END + "\n")))
+    return parts.withColumn("shorter", shorter).withColumn("ahead", ahead).select(
         "conv_id",
         "part",
         "speaker",
         F.size("turns").cast("long").alias("n_turns"),
-        F.size(F.filter("messages", lambda m: m["own"])).cast("long").alias("n_own"),
-        F.array_join(F.transform("messages", lambda m: F.concat(m["head"], m["text"], F.lit(END + "\n"))), "").alias("rendered"),
-        F.array_join(F.aggregate("messages", zero, step)["mask"], ",").alias("mask"),
+        F.size(mine).cast("long").alias("n_own"),
+        F.array_join(texts, "").alias("rendered"),
+        F.array_join(F.transform(mine, span), ",").alias("mask"),
     )
 
 
@@ -98,11 +102,12 @@ def _speakers(turns: DataFrame) -> DataFrame:
     return turns.where(~F.col("role").eqNullSafe(F.lit(SYSTEM))).select(F.col("conv_id").alias("s_conv"), F.col("role").alias("speaker")).distinct()
 
 
-def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+def rotate(conversations: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """(conv_id, part, speaker, n_turns, n_own, rendered, mask) from conversations (conv_id, turn, role, text)."""
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit(DEFUSED)).alias("text")
     turns = only(conversations, "conv_id", "turn", "role", "text").select("conv_id", F.isnull("turn").alias("no_turn"), "turn", "role", text)
-    long = turns.groupBy(F.col("conv_id").alias("l_conv")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_turns).select("l_conv")
+    turns = turns.withColumn("bytes", (F.octet_length("text") + TURN_BYTES).cast("long"))
+    long = turns.groupBy(F.col("conv_id").alias("l_conv")).agg(F.sum("bytes").alias("n")).where(F.col("n") > part_bytes).select("l_conv")
     long = stored(long, "chat-long")
     is_long = F.col("conv_id").eqNullSafe(F.col("l_conv"))
     any_long = not long.isEmpty()
@@ -115,10 +120,10 @@ def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     if not any_long:
         return out
 
-    numbered = stored(_numbered(turns.join(long, is_long, "left_semi"), part_turns), "chat-numbered")
-    parts = _gathered(numbered).withColumn("salt", F.pmod("part", F.lit(_SALTS)))
-    first = _gathered(numbered.where((F.col("part") == 0) & F.col("role").eqNullSafe(F.lit(SYSTEM)))).select(F.col("conv_id").alias("f_conv"), F.col("turns").alias("system"))
-    who = _speakers(numbered)
+    placed = stored(_placed(turns.join(long, is_long, "left_semi"), part_bytes), "chat-placed")
+    parts = _gathered(placed).withColumn("salt", F.pmod("part", F.lit(_SALTS)))
+    first = _gathered(placed.where((F.col("part") == 0) & F.col("role").eqNullSafe(F.lit(SYSTEM)))).select(F.col("conv_id").alias("f_conv"), F.col("turns").alias("system"))
+    who = _speakers(placed)
     who = who.join(first, F.col("s_conv").eqNullSafe(F.col("f_conv")), "left").withColumn("s_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
     parts = parts.join(who, F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("salt") == F.col("s_salt")))
     return out.union(_rendered(parts.withColumn("system", F.when((F.col("part") > 0) & F.col("system").isNotNull(), F.col("system")).otherwise(none))))

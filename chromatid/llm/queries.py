@@ -33,11 +33,12 @@ def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAME = "role"
 for _c in chat_format.ENCODED:
     _NAME = f"replace({_NAME}, chr({ord(_c)}), '%{ord(_c):02X}')"
-#: Every dialogue whole for each participant but the system; turns by number (null last), role and text; long ones in parts of 512 turns, the later
+#: Every dialogue whole for each participant but the system; turns by number (null last), role and text; what no row can hold in parts, the later
 #: ones behind the system turns of the first.
 OP1_SQL = f"""
 WITH r AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS x FROM conversations),
-t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, x) - 1) // 512 AS part, true AS real FROM r),
+t AS (SELECT *, (coalesce(sum(strlen(x) + {chat_format.TURN_BYTES}) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  // {chat_format.PART_BYTES})::BIGINT AS part, true AS real FROM r),
 p AS (SELECT conv_id AS c, part AS later FROM t WHERE part > 0 GROUP BY ALL),
 a AS (SELECT * FROM t UNION ALL SELECT conv_id, turn, role, x, later, false FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c WHERE part = 0 AND role = 'system'),
 s AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM r WHERE role IS DISTINCT FROM 'system'),

@@ -52,17 +52,38 @@ def test_chat_is_rendered_for_every_speaker(spark):
     assert chat_format.rotate(df.limit(0)).count() == 0
 
 
-def test_chat_deals_long_dialogues_to_parts(spark):
-    rows = [(1, 1000 * k, "u" if k % 2 else "v", f"t{k}") for k in range(1000)] + [(1, -5, "system", "S"), (1, None, "u", "end"), (None, 7, "u", "same")]
-    rows += [(None, 7, "u", "same")] * 250 + [(2, k, "w", "short") for k in range(3)]
-    got = {(r.conv_id, r.part, r.speaker): r for r in chat_format.rotate(chat(spark, rows), part_turns=100).collect()}
-    assert set(got) == {(1, p, s) for p in range(11) for s in "uv"} | {(None, p, "u") for p in range(3)} | {(2, 0, "w")}
-    assert sum(r.n_own for r in got.values()) == len(rows) - 1 and {r.n_turns for r in got.values()} == {100, 2, 51, 3}
-    head = "<|im_start|>system\nS<|im_end|>\n"
-    texts = [got[1, p, "u"].rendered.removeprefix(head) for p in range(11)]
-    assert all(got[1, p, "u"].rendered.startswith(head) for p in range(11)) and re.findall(r"\nt(\d+)<", "".join(texts)) == [str(k) for k in range(1000)]
-    last = got[1, 10, "u"]
-    assert [last.rendered[int(a) : int(b)] for a, b in (x.split("-") for x in last.mask.split(","))] == ["t999<|im_end|>", "end<|im_end|>"]
+def test_chat_renders_dialogues_whole(spark):
+    rows = [(1, 1000 * k, "u" if k % 2 else "v", f"t{k}") for k in range(3000)] + [(1, -5, "system", "S"), (1, None, "u", "end")] + [(None, 7, "u", "same")] * 700
+    got = {(r.conv_id, r.part, r.speaker): r for r in chat_format.rotate(chat(spark, rows)).collect()}
+    assert set(got) == {(1, 0, "u"), (1, 0, "v"), (None, 0, "u")} and [got[1, 0, s].n_turns for s in "uv"] == [3002] * 2
+    for who, key in (("u", (1, 0, "u")), ("v", (1, 0, "v")), ("u", (None, 0, "u"))):
+        r = got[key]
+        spans = [r.rendered[int(a) : int(b)] for a, b in (x.split("-") for x in r.mask.split(","))]
+        want = [f"{t}<|im_end|>" for c, n, role, t in rows if c == key[0] and role == who]
+        assert spans == want and r.n_own == len(want)
+
+
+def test_chat_deals_what_no_row_holds_to_parts(spark):
+    rows = [(1, 1000 * k, "u" if k % 2 else "v", f"t{k}" + "é" * (k % 5)) for k in range(1000)] + [(1, -5, "system", "S"), (1, None, "u", "end")]
+    rows += [(None, 7, "u", "same")] * 251 + [(2, k, "w", "short") for k in range(3)]
+    limit = 7000
+    parts, at = {}, {}
+    for c, n, role, t in sorted(rows, key=lambda r: (str(r[0]), r[1] is None, r[1] or 0, r[2], r[3])):
+        parts.setdefault((c, at.get(c, 0) // limit), []).append((role, t))
+        at[c] = at.get(c, 0) + len(t.encode()) + chat_format.TURN_BYTES
+    want = {}
+    for (c, p), turns in parts.items():
+        turns = ([("system", "S")] if c == 1 and p else []) + turns
+        for who in {r for d, _, r, _ in rows if d == c} - {"system"}:
+            text, mask = "", []
+            for role, t in turns:
+                text += "<|im_start|>" + ("assistant" if role == who else role if role == "system" else f"user name={role}") + "\n"
+                if role == who:
+                    mask.append(f"{len(text)}-{len(text) + len(t) + 10}")
+                text += t + "<|im_end|>\n"
+            want[c, p, who] = (text, ",".join(mask))
+    got = {(r.conv_id, r.part, r.speaker): (r.rendered, r.mask) for r in chat_format.rotate(chat(spark, rows), part_bytes=limit).collect()}
+    assert got == want and max(p for _, p, _ in got) > 5
 
 
 def test_chat_sql_is_the_operator(spark):
@@ -71,8 +92,9 @@ def test_chat_sql_is_the_operator(spark):
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [*rows, *((9, k % 50, "system" if k % 9 == 0 else "u", f"x{k}") for k in range(1200))])
     df = chat(spark, con.execute("SELECT * FROM conversations").fetchall())
-    got = sorted(map(str, (tuple(r) for r in chat_format.rotate(df).collect())))
-    assert got == sorted(map(str, con.execute(queries.OP1_SQL).fetchall())) and len(got) > 10
+    for limit, least in ((chat_format.PART_BYTES, 9), (5000, 30)):
+        got = sorted(map(str, (tuple(r) for r in chat_format.rotate(df, part_bytes=limit).collect())))
+        assert got == sorted(map(str, con.execute(queries.OP1_SQL.replace(str(chat_format.PART_BYTES), str(limit))).fetchall())) and len(got) >= least
 
 
 def judge(url, rules, default="allow"):
