@@ -680,3 +680,123 @@ HAVING count(*) FILTER (WHERE context = 'production') > 0 AND count(*) FILTER (W
 )
 def example_classes(spark, d):
     return search.example_classes(SHOWN(spark, d))
+
+
+# Classes that depend on what is around them, dynamic ones and render props.
+_SELECTORS = [
+    """<div data-slot="card-«k»" className="data-[state=open]:p-1 group-data-[size]/g«k»:m-2 has-data-[x]:y *:data-[slot=a]:w-4 data-closed:opacity-0 group-data-open:h-[1px]">
+ui-active:bg-x ui-not-focus-visible:ring-2 group/menu peer-hover/name«k»:text-x @container/main @md/main:flex data-value={v«k» + 1}""",
+    """[&_p]:mt-«k» [&>svg]:size-4 [&_[data-x=y]]:p-2 [.dark]:bg-b aria-invalid:ring-1 md:group-aria-expanded:rotate-180 **:data-[part]:!p-0 data-[a]:*:[b]:z-1
+no-data- [x] aria-none:x group-«k»""",
+]
+SELECTORS = View("selectors", "part", k=K, path=f"'q' || {K} || '.tsx'", content=pick(K, *[text(t, k=K) for t in _SELECTORS]))
+
+
+def _selected(line: int, *of: str) -> list[tuple]:
+    """Rows of ``form kind name value target``; - is '', and «k» the key."""
+    return [("path", str(line), *["''" if w == "-" else text(w, k="k") for w in row.split(" ")]) for row in of]
+
+
+@query(
+    "SELECT * FROM "
+    + rows(
+        (
+            "k % 2 = 0",
+            _selected(
+                1, "slot - card-«k» - -", "data data- state open -", "data group-data- size - g«k»", "data has-data- x - -", "data *:data- slot a -", "wildcard * slot a w-4",
+                "data-short data- closed - opacity-0", "data-short group-data- open - h-[1px]",
+            )
+            + _selected(
+                2, "headless ui active - bg-x", "headless ui not-focus-visible - ring-2", "named group menu - -", "named-state peer name«k» hover text-x", "named @container main - -",
+                "container md main - flex",
+            )
+            + [("path", "2", "'data-dynamic'", "''", "'value'", "'v' || k || ' + 1'", "''")],
+        ),
+        (
+            "k % 2 = 1",
+            _selected(
+                1, "child _ p - mt-«k»", "child > svg - size-4", "child-attribute - [data-x=y] - p-2", "parent - dark - bg-b", "aria aria invalid - ring-1", "aria group-aria expanded md rotate-180",
+                "wildcard ** part - !p-0", "wildcard-within * [b] - z-1", "data data- a - -",
+            ),
+        ),
+        of="selectors",
+        columns="path line form kind name value target",
+    ),
+    SELECTORS.sql,
+)
+def selector_classes(spark, d):
+    return classes.selector_classes(SELECTORS(spark, d))
+
+
+_DYNAMIC = [
+    "<div className={`btn-${size} b«k»`} /><b className={`static`} /><i className=\"x\" />",
+    """<b className={clsx(base, on && `${prefix}-«k»`, {
+  a: 1 })} />
+<b className={
+  cn("x", `t-${props.size || 'md'}`, `u-${f(`in-${deep}`)}-v`)} />""",
+    """<b className={isOn ? `${p}-on` : `${p}-off-«k»`} class={`${a} ${a}-${b}`}>
+<b className={`open-${x}""",
+]
+DYNAMIC = View("dynamic", "part", k=K, path=f"'y' || {K} || '.tsx'", content=pick(K, *[text(t, k=K) for t in _DYNAMIC]))
+
+
+@query(
+    "SELECT * FROM "
+    + rows(
+        ("k % 3 = 0", [("path", "1", "'template-literal'", "'btn-{size} b' || k", "'size'", "'btn-| b' || k")]),
+        (
+            "k % 3 = 1",
+            [
+                ("path", "1", "'clsx'", "'{prefix}-' || k", "'prefix'", "'-' || k"),
+                ("path", "4", "'classnames'", "'t-{props.size || ' || chr(39) || 'md' || chr(39) || '}'", "'props.size || ' || chr(39) || 'md' || chr(39)", "'t-'"),
+                ("path", "4", "'classnames'", "'u-{f(`in-' || chr(36) || '{deep}`)}-v'", "'f(`in-' || chr(36) || '{deep}`)'", "'u-|-v'"),
+            ],
+        ),
+        (
+            "k % 3 = 2",
+            [
+                ("path", "1", "'conditional'", "'{p}-on'", "'p'", "'-on'"),
+                ("path", "1", "'conditional'", "'{p}-off-' || k", "'p'", "'-off-' || k"),
+                ("path", "1", "'template-literal'", "'{a} {a}-{b}'", "'a,b'", "'-'"),
+            ],
+        ),
+        of="dynamic",
+        columns="path line context structure variables parts",
+    ),
+    DYNAMIC.sql,
+)
+def dynamic_forms(spark, d):
+    return classes.dynamic_forms(DYNAMIC(spark, d)).withColumn("variables", F.array_join("variables", ",")).withColumn("parts", F.array_join("parts", "|"))
+
+
+_RENDER = [
+    """<Tab className={({ selected, active }) => classNames("px-«k» py-1", selected ? "bg-a b" : 'bg-c', active && `ring-1`, !active && "no", other ? "x" : "y")} />""",
+    """<Tab
+  className={({ open }) => cn(
+    'w-full',
+    open ? "r«k»" : "")} className={({ a }) => a} className={cn("z")} />""",
+]
+RENDER = View("render", "part", k=K, path=f"'r' || {K} || '.tsx'", content=pick(K, *[text(t, k=K) for t in _RENDER]))
+
+
+@query(
+    "SELECT * FROM "
+    + rows(
+        (
+            "k % 2 = 0",
+            [
+                ("path", "1", "'classNames'", c, b_, n)
+                for c, b_, n in (
+                    ("NULL", "'static'", "'px-' || k"), ("NULL", "'static'", "'py-1'"), ("'selected'", "'true'", "'bg-a'"), ("'selected'", "'true'", "'b'"), ("'selected'", "'false'", "'bg-c'"),
+                    ("'active'", "'true'", "'ring-1'"), ("NULL", "'static'", "'no'"), ("NULL", "'static'", "'x'"), ("NULL", "'static'", "'y'"),
+                )
+            ],
+        ),
+        ("k % 2 = 1", [("path", "2", "'cn'", "NULL", "'static'", "'w-full'"), ("path", "2", "'cn'", "'open'", "'true'", "'r' || k")]),
+        of="render",
+        columns="path line helper condition branch class",
+    ),
+    RENDER.sql,
+)
+def render_prop_classes(spark, d):
+    return classes.render_props(RENDER(spark, d)).drop("parameters")

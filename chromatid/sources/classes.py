@@ -196,3 +196,155 @@ def class_tree(classes: DataFrame) -> DataFrame:
     tree = tree.agg(F.grouping_id().alias("above"), F.countDistinct("class").alias("classes"), F.countDistinct("path").alias("files"), F.sum("n").alias("n"))
     level = F.element_at(F.create_map(*[F.lit(x) for pair in ((7, "all"), (3, "block"), (1, "element"), (0, "modifier")) for x in pair]), F.col("above").cast("int"))
     return tree.select(level.alias("level"), "block", "element", "modifier", "classes", "files", "n")
+
+
+# Helpers around dynamic classes by the context that they give, and states that short forms name.
+_CONTEXTS = {"clsx": "clsx", "cx": "cx", "classnames": "classnames", "classNames": "classnames", "cn": "classnames", "twMerge": "classnames"}
+_RENDERERS = ["classNames", "cn", "clsx", "cx", "twMerge"]
+UI_STATES = "open checked selected active disabled focus-visible"
+DATA_STATES = (
+    "open closed active selected highlighted checked unchecked disabled enabled focused pressed expanded collapsed enter leave side align invalid valid indeterminate"
+)
+ARIA_STATES = (
+    "expanded hidden pressed checked disabled readonly required selected invalid busy grabbed current live atomic relevant sort haspopup multiselectable orientation"
+)
+_TARGET = r"(!?[a-zA-Z][\w/.-]*)"
+
+
+def _words(names: str) -> str:
+    return "|".join(sorted(names.split(), key=len, reverse=True))
+
+
+# Forms of classes that depend on what is around them: (form, pattern, groups of kind, name, value and what is set).
+SELECTOR_FORMS = [
+    ("data", r"((?<!\*)\*:data-|group-has-data-|group-data-|has-data-|(?<![\w-])(?<!\*:)data-)\[([a-zA-Z][\w-]*)(?:=([^\]]+))?\](?:/([a-zA-Z][\w-]*))?:", (1, 2, 3, 4)),
+    ("headless", rf"\b(ui)-((?:not-)?(?:{_words(UI_STATES)})):{_TARGET}", (1, 2, 0, 3)),
+    ("named", r"(?<![\w-])(group|peer|@container)/([a-zA-Z][\w-]*)", (1, 2, 0, 0)),
+    ("named-state", rf"\b(group|peer)-([a-zA-Z]\w*)/([a-zA-Z][\w-]*)(?::{_TARGET})?", (1, 3, 2, 4)),
+    ("container", rf"@((?!container)[a-z]+)/([a-zA-Z][\w-]*)(?::{_TARGET})?", (1, 2, 0, 3)),
+    ("slot", r"(?i)data-slot\s*=\s*[\"']([a-z][a-z0-9-]*)[\"']", (0, 1, 0, 0)),
+    ("data-short", rf"(?<![\w-])((?:group-|peer-)?data-)({_words(DATA_STATES)}):([\w/-]+(?:\[[^\]]+\])?)", (1, 2, 0, 3)),
+    ("data-dynamic", r"data-([a-zA-Z][\w-]*)\s*=\s*\{([^}]+)\}", (0, 1, 2, 0)),
+    ("child", rf"\[&([_>+~])([a-zA-Z*][\w*:-]*)\](?::[\w-]+)*:{_TARGET}", (1, 2, 0, 3)),
+    ("child-attribute", rf"\[&_(\[[^\]]+\])\](?::[\w-]+)*:{_TARGET}", (0, 1, 0, 2)),
+    ("parent", rf"\[\.([a-zA-Z][\w-]*)\]:{_TARGET}", (0, 1, 0, 2)),
+    ("aria", rf"(?i)(?:([a-z]+):)?((?:has-|group-|peer-)?aria)-({_words(ARIA_STATES)})(?:=[^:\s]+)?:{_TARGET}", (2, 3, 1, 4)),
+    ("wildcard", rf"(?<!\*)(\*\*?):data-\[([a-zA-Z][\w-]*)(?:=([^\]]+))?\]:{_TARGET}", (1, 2, 3, 4)),
+    ("wildcard-within", rf"data-\[[^\]]+\]:(\*):(\[[^\]]+\]):{_TARGET}", (1, 2, 0, 3)),
+]
+
+
+def selector_classes(files: DataFrame) -> DataFrame:
+    """(path, line, form, kind, name, value, target) of classes that depend on attributes, states, groups, children, parents or anything within; '' for what a form doesn't say.
+
+    Forms are looked for one by one, so a class that is of two (``*:data-[open]:p-1`` is a wildcard on data) is listed under both; equal ones of a line once.
+    """
+    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
+    said = ("kind", "name", "value", "target")
+
+    def of_form(form: str, pattern: str, groups: tuple[int, ...]) -> Column:
+        given = [n for n, g in zip(said, groups, strict=True) if g]
+        zipped = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for n, g in zip(said, groups, strict=True) if g])
+        parts = lambda x: F.struct(F.lit(form).alias("form"), *[(F.coalesce(x[n], F.lit("")) if n in given else F.lit("")).alias(n) for n in said])
+        return F.transform(zipped, parts)
+
+    found = [of_form(*f) for f in SELECTOR_FORMS]
+    return lines.select("path", "line", F.explode(F.array_distinct(F.concat(*found))).alias("f")).select("path", "line", "f.*")
+
+
+_CLASS_CODE = re.compile(r"\bclass(?:Name)?\s*=\s*\{")
+_HELPER = re.compile(rf"\s*({'|'.join(_CONTEXTS)})\s*\(")
+_PLAIN = re.compile(r"""//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`""", re.S)
+
+
+def _templates(text: str, at: int, end: int) -> Iterator[tuple[int, list[str], list[str]]]:
+    """(offset, static parts, variables) of the template literals between two places, outer ones whole."""
+    while (m := _PLAIN.search(text, at)) and m.start() < end:
+        at = m.end()
+        if m[0] != "`":
+            continue
+        reader = literals.Reader(text, at)
+        reader.at = start = at
+        parts, holes, low = [], [], start
+        while mark := literals._HOLE.search(text, reader.at):
+            if mark[0] == "`":
+                break
+            reader.at = mark.end()
+            if mark[0] == "${":
+                parts.append(text[low : mark.start()])
+                inner = reader.at
+                reader.code()
+                holes.append(text[inner : reader.at].strip())
+                reader.at += 1
+                low = reader.at
+        if mark is None:
+            return
+        yield start - 1, [*parts, text[low : mark.start()]], holes
+        at = mark.end()
+
+
+def dynamic_forms(files: DataFrame) -> DataFrame:
+    """(path, line, context, structure, variables, parts) of template literals with something filled in, in class attributes that are code, over any number of lines.
+
+    context is template-literal, or the helper that the attribute calls (clsx, cx, else classnames), or else conditional where the code chooses; structure has names in braces
+    for what is filled in.
+    """
+
+    def parse(path: str, content: str) -> Iterator[tuple]:
+        for m in _CLASS_CODE.finditer(content):
+            reader = literals.Reader(content, m.end())
+            try:
+                while not reader.sees("}"):
+                    reader.code()
+                    if not reader.takes(",") and not reader.sees("}"):
+                        raise ValueError("open attribute")
+            except ValueError:
+                continue
+            end, code = reader.at, content[m.end() : reader.at]
+            helper = _HELPER.match(code)
+            bare = _PLAIN.sub("", re.sub(r"`(?:\\.|[^`\\])*`", "", code))
+            context = _CONTEXTS[helper[1]] if helper else "conditional" if "?" in bare or "&&" in bare else "template-literal"
+            for at, parts, holes in _templates(content, m.end(), end):
+                if holes:
+                    structure = "".join(p + f"{{{h}}}" for p, h in zip(parts, holes, strict=False)) + parts[-1]
+                    yield content.count("\n", 0, at) + 1, context, structure, list(dict.fromkeys(holes)), [p for p in parts if p.strip()]
+
+    found, _ = files_.scan(files.where(F.col("content").contains("${")), parse, "line int, context string, structure string, variables array<string>, parts array<string>")
+    return found
+
+
+_RENDERED = re.compile(rf"\bclassName\s*=\s*\{{\s*\(\s*\{{([^}}]+)\}}\s*\)\s*=>\s*({'|'.join(_RENDERERS)})\s*\(")
+_QUOTED = r"""["'`]([^"'`]*)["'`]"""
+
+
+def render_props(files: DataFrame) -> DataFrame:
+    """(path, line, helper, parameters, condition, branch, class) of class attributes that are functions of render props: each class with the parameter that it hangs on.
+
+    branch is static, or true or false of ``p ? "a" : "b"`` and ``p && "a"``; conditions that aren't a parameter by itself leave their classes static.
+    """
+
+    def parse(path: str, content: str) -> Iterator[tuple]:
+        for m in _RENDERED.finditer(content):
+            line = content.count("\n", 0, m.start()) + 1
+            names = [p.strip() for p in m[1].split(",") if p.strip()]
+            try:
+                reader = literals.Reader(content, m.end())
+                while not reader.sees(")"):
+                    reader.code()
+                    if not reader.takes(",") and not reader.sees(")"):
+                        raise ValueError("open call")
+            except ValueError:
+                continue
+            body, rows = content[m.end() : reader.at], []
+            for name in names:
+                for form, branches in ((rf"(?<![\w.!]){re.escape(name)}\s*\?\s*{_QUOTED}\s*:\s*{_QUOTED}", ("true", "false")), (rf"(?<![\w.!]){re.escape(name)}\s*&&\s*{_QUOTED}", ("true",))):
+                    for hit in re.finditer(form, body):
+                        for k, branch in enumerate(branches):
+                            rows += [(name, branch, c) for c in hit[k + 1].split()]
+                    body = re.sub(form, "", body)
+            rows += [(None, "static", c) for text in re.findall(_QUOTED, body) for c in text.split()]
+            for condition, branch, name in rows:
+                yield line, m[2], names, condition, branch, name
+
+    found, _ = files_.scan(files.where(F.col("content").contains("=>")), parse, "line int, helper string, parameters array<string>, condition string, branch string, class string")
+    return found

@@ -234,3 +234,31 @@ def test_project_of_other_tools(spark):
 
 def test_prefix_pattern_is_one_of_words():
     assert re.fullmatch(rf"(?:{classes.MODIFIER_WORDS})", "variant") and not re.fullmatch(rf"(?:{classes.MODIFIER_WORDS})", "variants")
+
+
+# Dynamic classes, classes that depend on what is around them, render props.
+def test_dynamic_classes_by_context(spark):
+    cases = {
+        "<div className={`btn-${size}`}>": [("template-literal", "btn-{size}")], "<i className={`${p}-${v}`}>": [("template-literal", "{p}-{v}")], "<i className={`static`}>": [], '<i className="x">': [],
+        "<i className={clsx(b, v && `${b}-${v}`)}>": [("clsx", "{b}-{v}")], "<i className={cx(`theme-${c}`)}>": [("cx", "theme-{c}")], "<i className={cn(`a-${x}`, 'b', `c-${y}`)}>": [("classnames", "a-{x}"), ("classnames", "c-{y}")],
+        "<i className={on ? `${p}-on` : `${p}-off`}>": [("conditional", "{p}-on"), ("conditional", "{p}-off")], "<i className={\n  `a ${b}`\n}>": [("template-literal", "a {b}")],
+        "<i className={`a-${x({ y: `in-${z}` })}`}>": [("template-literal", "a-{x({ y: `in-${z}` })}")], "<i className={'it`s' + `q-${r}`}>": [("template-literal", "q-{r}")], "<i className={`open ${x": [],
+    }
+    df = spark.createDataFrame([(str(n), c) for n, c in enumerate(cases)], "path string, content string")
+    found = classes.dynamic_forms(df).collect()
+    for n, (content, want) in enumerate(cases.items()):
+        assert [(r.context, r.structure) for r in found if r.path == str(n)] == want, content
+
+
+def test_selector_forms(spark):
+    cases = {
+        "md:data-[state=open]:p-1": {("data", "data-", "state", "open")}, "**:data-[a]:x": {("wildcard", "**", "a", "")}, "*:data-[a=b]:x": {("data", "*:data-", "a", "b"), ("wildcard", "*", "a", "b")},
+        "group-has-data-[x]/n:y": {("data", "group-has-data-", "x", "")}, "ui-open:p-1 xui-open:p-1 ui-nope:p": {("headless", "ui", "open", "")}, "peer-data-checked:p-1": {("data-short", "peer-data-", "checked", "")},
+        "[&_p]:a [&>li:first]:b [& p]:c": {("child", "_", "p", ""), ("child", ">", "li:first", "")}, "has-aria-invalid:b aria-checked=mixed:c": {("aria", "has-aria", "invalid", ""), ("aria", "aria", "checked", "")},
+        "group/a peer/b @container/c @sm/d:e": {("named", "group", "a", ""), ("named", "peer", "b", ""), ("named", "@container", "c", ""), ("container", "sm", "d", "")}, "data-x={y} data-slot='z'": {("data-dynamic", "", "x", "y"), ("slot", "", "z", "")},
+        "list[0] a:b text": set(),
+    }
+    df = spark.createDataFrame([(str(n), c) for n, c in enumerate(cases)], "path string, content string")
+    found = classes.selector_classes(df).collect()
+    for n, (content, want) in enumerate(cases.items()):
+        assert {(r.form, r.kind, r["name"], r.value) for r in found if r.path == str(n)} == want, content
