@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from chromatid import bindings as b
-from chromatid import plugins
+from chromatid import plugins, schemas
+from chromatid.functions import colors, ids, strings
 from chromatid.more_queries import K, View, pick
 from chromatid.operators import detect, match, search
-from chromatid.plans import dispatch
+from chromatid.plans import dispatch, views
 from chromatid.queries import query
 from chromatid.session import shared_folder
-from chromatid.sources import classes, components, design, history, literals, projects
+from chromatid.sources import classes, components, design, extract, files, history, literals, projects
 
 
 def text(template: str, **parts: str) -> str:
@@ -800,3 +801,168 @@ RENDER = View("render", "part", k=K, path=f"'r' || {K} || '.tsx'", content=pick(
 )
 def render_prop_classes(spark, d):
     return classes.render_props(RENDER(spark, d)).drop("parameters")
+
+
+# Functions and searches over the tables' own names and values.
+_SHARE = "least(length(p_name), 5) / greatest(length(p_name), 5)"
+
+
+@query(
+    f"""+s AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN lower(p_name) = 'linen' THEN 100.0 WHEN contains(lower(p_name), 'linen') OR contains('linen', lower(p_name)) THEN 70 + 50 * {_SHARE}
+  ELSE greatest(0, (1 - levenshtein(lower(p_name), 'linen') / greatest(length(p_name), 5)) * 100 - 20) END AS score FROM part) SELECT id, name, round(score, 6) AS score FROM s WHERE score >= 5""",
+    "z AS (SELECT 1)",
+)
+def search_tokens_by_name(spark, d):
+    t = b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return search.tokens_by_name(t, "linen", least=5).withColumn("score", F.round("score", 6))
+
+
+CONTROLS = View("controls", "part", id=K, name=pick(K, "'IconButton'", "'NavLink'", "'Card'", "'SELECT'", "'checkboxGroup'", "'Radical'", "'Radio' || p_size", "p_name"))
+
+
+@query("SELECT id, regexp_matches(lower(name), 'button|link|input|select|checkbox|radio') AS interactive FROM controls", CONTROLS.sql)
+def interactive_names(spark, d):
+    return CONTROLS(spark, d).select("id", strings.is_interactive(F.col("name")).alias("interactive"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size * 2 + p_partkey % 3 >= 100 THEN 'exact' WHEN p_size * 2 + p_partkey % 3 >= 95 THEN 'high' WHEN p_size * 2 + p_partkey % 3 >= 70 THEN 'medium' ELSE 'low' END AS level FROM part")
+def confidence_levels(spark, d):
+    return b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), colors.confidence_level(F.expr("p_size * 2 + p_partkey % 3")).alias("level"))
+
+
+ID_PARTS = View("id_parts", "part", id=K, kind=pick(K, "'Component'", "'Token'"), key="p_name", path="p_brand", line="p_size", value="p_type")
+
+
+@query(
+    "SELECT id, lower(kind) || ':' || key AS node, lower(kind) || ':' || path || ':' || key AS edge, kind || ':' || path || ':' || line || ':' || substr(value, 1, 20) AS signal, substr(sha256(key), 1, 16) AS sha FROM id_parts",
+    ID_PARTS.sql,
+)
+def built_ids(spark, d):
+    c = {n: F.col(n) for n in ("kind", "key", "path", "line", "value")}
+    made = {"node": ids.node_id(c["kind"], c["key"]), "edge": ids.edge_id(c["kind"], c["path"], c["key"]), "signal": ids.signal_id(c["kind"], c["path"], c["line"], c["value"]), "sha": ids.short_sha(c["key"])}
+    return ID_PARTS(spark, d).select("id", *[e.alias(n) for n, e in made.items()])
+
+
+TYPED = View(
+    "typed", "part", id=K, kind=pick(K, "'color'", "'spacing'", "'raw'"), hex=f"'#AB' || lpad(CAST({K} % 50 AS VARCHAR(9)), 4, '0')", number=f"CAST({K} % 40 AS DOUBLE)", unit=pick(K, "'px'", "'rem'"), raw=f"'r' || ({K} % 9)",
+)
+
+
+@query(
+    "SELECT value, count(*) AS tokens, min(id) AS first FROM (SELECT id, CASE kind WHEN 'color' THEN 'color:' || lower(hex) WHEN 'spacing' THEN 'spacing:' || number || unit ELSE kind || ':' || raw END AS value FROM typed) GROUP BY value HAVING count(*) > 1",
+    TYPED.sql,
+)
+def equal_tokens(spark, d):
+    value = schemas.token_value_key(F.col("kind"), F.col("hex"), F.col("number"), F.col("unit"), F.col("raw"))
+    return TYPED(spark, d).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("tokens"), F.min("id").alias("first")).where("tokens > 1")
+
+
+SVELTE = View(
+    "svelte", "part", k=K, path=f"'C' || {K} || '.svelte'",
+    content=pick(K, text("<script lang=\"ts\">\n  export let name«k»: string;\n  export let on = true;\n  let inner = 1;\n</script>", k=K), text("<script>\n  const export_ = 1;\nexport let $x«k»\n</script>", k=K)),
+)
+
+
+@query("SELECT path, unnest(CASE WHEN k % 2 = 0 THEN ['name' || k, 'on'] ELSE [chr(36) || 'x' || k] END) AS name FROM svelte", SVELTE.sql)
+def declared_svelte(spark, d):
+    return components.declared(SVELTE(spark, d), "svelte").select("path", "name")
+
+
+PLACES = View("places", "part", k=K, path=pick(K, f"'packages/ui/src/a' || {K} || '.ts'", f"'apps/web/src/x/b' || {K} || '.ts'", f"'src/c' || {K} || '.ts'", f"'packages/@s/p/src/d' || {K} || '.ts'", f"'libs/x/lib/e' || {K} || '.ts'"))
+
+
+@query("SELECT path FROM places WHERE k % 5 IN (0, 1, 3)", PLACES.sql)
+def monorepo_files(spark, d):
+    return files.discover(PLACES(spark, d), files.MONOREPO_PATTERNS, []).select("path")
+
+
+SEEN = View("seen", "lineitem", path="'src/f' || (l_partkey % 50) || '.css'", line="l_linenumber", value="'#00' || lpad(CAST(l_suppkey % 40 AS VARCHAR(9)), 4, '0')", property=pick("l_partkey", "'color'", "'margin'"))
+
+
+@query("SELECT path, line, value, count(*) AS n FROM seen WHERE property = 'color' GROUP BY ALL", SEEN.sql)
+def repeated_signals(spark, d):
+    """How often each raw signal's id was seen, over all of lineitem: what deduplication leaves is one row each."""
+    s = SEEN(spark, d).where("property = 'color'")
+    each = s.groupBy("path", "line", "value").agg(F.count(F.lit(1)).alias("n"))
+    kept = s.withColumn("id", ids.signal_id(F.lit("color-value"), F.col("path"), F.col("line"), F.col("value"))).dropDuplicates(["id"])
+    return kept.select("path", "line", "value").join(each, ["path", "line", "value"])
+
+
+# Report views, context files, repositories, naming options.
+DRIFT = View("drift", "lineitem", type=pick("l_partkey", "'hardcoded-value'", "'naming-inconsistency'", "'unused-token'"), entity_name="'E' || (l_suppkey % 40)", severity=pick("l_linenumber", "'info'", "'warning'", "'critical'"), message="'m' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity", seq="l_orderkey * 10 + l_linenumber")
+OWNERS = View("owners", "supplier", entity_name="'E' || s_suppkey", team="'T' || (s_suppkey % 6)")
+USES = View("uses", "part", f"{K} < 40", name=f"'E' || {K}", uses=f"({K} * 37 + 5) % 900 + 1500")
+WORK = View("work", "orders", path="'src/' || (o_orderkey % 300) || '.tsx'", component="'E' || (o_orderkey % 50)", author="'d' || (o_custkey % 7)")
+_RATED = """h AS (SELECT name, floor(100 * greatest(0, uses - coalesce(n, 0)) / uses + 0.5)::INT AS health FROM uses LEFT JOIN (SELECT entity_name, count(*) AS n FROM drift GROUP BY 1) d ON name = entity_name),
+c AS (SELECT *, CASE WHEN health >= 90 THEN 'healthy' WHEN health < 50 THEN 'critical' WHEN health < 70 THEN 'attention' ELSE 'fair' END AS category FROM h)"""
+
+
+@query(f"+{_RATED} SELECT * FROM c", DRIFT.sql, USES.sql)
+def component_health(spark, d):
+    return views.health(DRIFT(spark, d), USES(spark, d))
+
+
+@query(
+    f"""+{_RATED}, t AS (SELECT 'type' AS section, type AS name, count(*) AS value FROM drift GROUP BY type UNION ALL SELECT 'team', team, count(*) FROM drift JOIN owners USING (entity_name) GROUP BY team),
+r AS (SELECT section, row_number() OVER (PARTITION BY section ORDER BY value DESC, name)::INT AS rank, name, value FROM t
+  UNION ALL SELECT category, row_number() OVER (PARTITION BY category ORDER BY CASE WHEN category = 'healthy' THEN -health ELSE health END, name)::INT, name, health FROM c WHERE category <> 'fair')
+SELECT section, rank, name, value::VARCHAR AS value FROM r WHERE rank <= CASE section WHEN 'type' THEN 5 WHEN 'team' THEN 5 WHEN 'critical' THEN 2 ELSE 4 END""",
+    DRIFT.sql, OWNERS.sql, USES.sql,
+)
+def team_dashboard(spark, d):
+    return views.team_dashboard(DRIFT(spark, d), OWNERS(spark, d), USES(spark, d))
+
+
+@query(
+    """+m AS (SELECT * FROM work WHERE author = 'd3'), n AS (SELECT DISTINCT component AS name FROM m), a AS (SELECT entity_name AS name, count(*) AS n FROM drift GROUP BY 1),
+e AS (SELECT author, sum(coalesce(n, 0)) AS n, count(*) AS of FROM (SELECT DISTINCT author, component AS name FROM work) LEFT JOIN a USING (name) GROUP BY author)
+SELECT 'changes' AS section, 1 AS rank, 'files' AS name, count(DISTINCT path)::VARCHAR AS value FROM m UNION ALL SELECT 'changes', 2, 'components', count(DISTINCT component)::VARCHAR FROM m
+UNION ALL SELECT * FROM (SELECT 'component', row_number() OVER (ORDER BY name)::INT AS r, name, CASE WHEN n IS NULL THEN 'clean' ELSE 'drift' END FROM n LEFT JOIN a USING (name)) WHERE r <= 3
+UNION ALL SELECT * FROM (SELECT 'action', row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, seq, message)::INT AS r, entity_name, message FROM drift WHERE entity_name IN (SELECT name FROM n)) WHERE r <= 3
+UNION ALL SELECT 'rate', 1, 'own', format('{:.4f}', (SELECT round(n / of, 4) FROM e WHERE author = 'd3')) UNION ALL SELECT 'rate', 2, 'team', format('{:.4f}', (SELECT round(sum(n) / sum(of), 4) FROM e))""",
+    DRIFT.sql, WORK.sql,
+)
+def developer_brief(spark, d):
+    return views.developer_brief(DRIFT(spark, d), WORK(spark, d), "d3")
+
+
+KITS = View("kits", "part", framework=pick("p_size", "'react'", "'vue'", "'svelte'"), name="p_name")
+VALUES = View("own_values", "part", category=pick("p_size", "'color'", "'spacing'"), name=f"'t' || {K}", value=f"'v' || {K}")
+
+
+@query(
+    """+k AS (SELECT DISTINCT framework AS key, name, chr(96) || name || chr(96) AS x FROM kits), v AS (SELECT category AS key, name, chr(96) || name || chr(96) || ' (' || value || ')' AS x FROM own_values),
+l AS (SELECT 'components' AS section, * FROM k UNION ALL SELECT 'tokens', * FROM v), n AS (SELECT *, row_number() OVER (PARTITION BY section, key ORDER BY name) AS nth FROM l),
+g AS (SELECT section, key, count(*) AS n, string_agg(x, ', ' ORDER BY nth) FILTER (WHERE nth <= 20) AS x FROM n GROUP BY ALL)
+SELECT section, row_number() OVER (PARTITION BY section ORDER BY key)::INT AS rank, '- **' || key || '**: ' || x || CASE WHEN n > 20 THEN ' and ' || (n - 20) || ' more' ELSE '' END AS line FROM g
+UNION ALL SELECT 'avoid', row_number() OVER (ORDER BY n DESC, type)::INT, '- ' || type || ' (' || n || ' found)' FROM (SELECT type, count(*) AS n FROM drift GROUP BY type)""",
+    DRIFT.sql, KITS.sql, VALUES.sql,
+)
+def context_lines(spark, d):
+    return views.context_lines(KITS(spark, d), VALUES(spark, d), DRIFT(spark, d))
+
+
+@query("SELECT kind, name, CASE kind WHEN 'Component' THEN '^[A-Z]' ELSE '^tk-' END AS expected FROM (SELECT kind, CASE WHEN id % 3 = 0 THEN 'Xy' || id ELSE 'tk-' || id END AS name FROM id_parts) WHERE (kind = 'Component') <> starts_with(name, 'Xy')", ID_PARTS.sql)
+def names_off_convention(spark, d):
+    names = ID_PARTS(spark, d).select("kind", F.expr("CASE WHEN id % 3 = 0 THEN 'Xy' || id ELSE 'tk-' || id END").alias("name"))
+    return views.off_convention(names, {"Component": "^[A-Z]", "Token": "^tk-"})
+
+
+_CONFIG = """[core]
+	bare = false
+[remote "fork"]
+	url = git@no:x.git
+[remote "origin"]
+	fetch = +refs/heads/*
+	url = https://git.example.org/r«k».git
+[branch "main"]
+	remote = origin"""
+REFS = View(
+    "refs", "part", root=f"'r' || CAST(floor({K} / 2) AS BIGINT)", k=f"CAST(floor({K} / 2) AS BIGINT)", path=pick(K, "'HEAD'", "'config'"),
+    content=pick(K, f"CASE WHEN CAST(floor({K} / 2) AS BIGINT) % 3 = 0 THEN '0123abcd' ELSE 'ref: refs/heads/feature/x' || CAST(floor({K} / 2) AS BIGINT) || chr(10) END", f"CASE WHEN CAST(floor({K} / 2) AS BIGINT) % 5 = 0 THEN '[core]' ELSE {text(_CONFIG, k=f'CAST(floor({K} / 2) AS BIGINT)')} END"),
+)
+
+
+@query("SELECT root, max(CASE WHEN path = 'HEAD' THEN CASE WHEN k % 3 = 0 THEN 'HEAD' ELSE 'feature/x' || k END END) AS branch, max(CASE WHEN path = 'config' AND k % 5 <> 0 THEN 'https://git.example.org/r' || k || '.git' END) AS remote FROM refs GROUP BY root", REFS.sql)
+def repositories(spark, d):
+    return views.repository(REFS(spark, d))
