@@ -153,7 +153,7 @@ def test_article_texts_of_the_test_pages(spark):
         ("<article><p title='<b>no</b>'>a < b, and c > d.</p><title>u</article>", "a < b, and c > d.\nu"),
         ("<body><div id=content><h1>Title</h1><p>A long enough sentence, with marks, and more of it.</p><ul><li>one</li><li>two</li></ul></div><div>x</div></body>", "Title\nA long enough sentence, with marks, and more of it.\none\ntwo"),
         ("<article><h1>T</h1><p>A long text, with marks. Yes.</p><section id='related-work'><h2>Related work</h2><p>Others did it, too.</p></section><div class='menu-of-the-day'><p>Soup, then fish.</p></div><div class='relatedPosts'><p>Some other long text, with marks, to read.</p></div><div class='comment-list'><p>I like it, really, it is good.</p></div></article>", "T\nA long text, with marks. Yes.\nRelated work\nOthers did it, too.\nSoup, then fish."),
-        ("<article><h2><a href=1>Linked heading</a></h2><p>Body text, long enough to be content. Sure.</p><ul><li><a href=1>rel one</a></li><li><a href=2>rel two</a></li></ul></article>", "Linked heading\nBody text, long enough to be content. Sure."),
+        ("<article><h2><a href=1>Linked heading</a></h2><p>Body text, long enough to be content. Sure.</p><ul><li><a href=1>rel one</a></li><li><a href=2>rel two</a></li></ul></article>", "Linked heading\nBody text, long enough to be content. Sure.\nrel one\nrel two"),
         ("<main><div class='sidebar'><p>Side text, long and good, with marks.</p></div><article>The text, which is short.</article></main>", "The text, which is short."),
     ],
 )
