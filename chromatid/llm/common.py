@@ -6,7 +6,10 @@ Executors may be lost at any time, so lineage is cut only by files in the shared
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -21,10 +24,17 @@ WORD_PATTERN = r"[\p{L}\p{M}\p{N}_]+"
 HOT_ROWS = 2000
 #: Bytes of rows that Spark hands to a Python worker at once, where an operator writes its own tables.
 BATCH_BYTES = 16 << 20
-_stored: list[str] = []
+_memos: dict[str, dict] = {}
 
 
-_memos: dict[str, dict] = {}
+class _Stored(threading.local):
+    """The tables that stored() has written, by thread: what one thread drops is its own."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_stored = _Stored()
 
 
 def memo(owner: str) -> dict:
@@ -35,6 +45,30 @@ def memo(owner: str) -> dict:
     return _memos[owner]
 
 
+def release() -> None:
+    """Hands memory that is free in this process back to the system: a Python worker serves many tasks, and what the largest needed would stay with it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries have no such call
+        pass
+
+
+def releasing(run: Callable) -> Callable:
+    """A function of an iterator of batches that releases its memory once a task is through."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -90,26 +124,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with batches_of(spark):
         df.write.parquet(path)
-    _stored.append(path)
+    _stored.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def stored_so_far() -> int:
     """How many tables stored() has written, as drop_stored() takes it."""
-    return len(_stored)
+    return len(_stored.paths)
 
 
 def drop_stored(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
     """Deletes the tables that stored() has written since there were so many, but those whose files keep reads directly."""
     kept = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
-    left = _stored[:since]
-    for path in _stored[since:]:
+    left = _stored.paths[:since]
+    for path in _stored.paths[since:]:
         if path.split(":", 1)[-1].lstrip("/") in kept:
             left.append(path)
             continue
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _stored[:] = left
+    _stored.paths[:] = left
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromatid.llm.common import only, stored
+from chromatid.llm.common import only, release, releasing, stored
 
 MAX_LABELLED, EXCHANGE, ROUNDS, SURE, THRESHOLD = 20_000, 200, 3, 0.95, 0.5
 _PSEUDO_WEIGHT = 0.5
@@ -90,7 +90,9 @@ N_CONTENT = len(content(""))
 
 
 def _contents(texts: pd.Series) -> pd.Series:
-    return pd.Series([content(t) for t in texts.tolist()], dtype=object)
+    out = pd.Series([content(t) for t in texts.tolist()], dtype=object)
+    release()
+    return out
 
 
 def metadata() -> Column:
@@ -285,7 +287,7 @@ def train(
         # Enough documents that those given before can be told apart.
         wanted = {(v, c): count[c] + len(given[other]) for v, other in (("content", "meta"), ("meta", "content")) for c in (True, False)}
         # One pass over all rows: the surest of each batch, then of each task, then of all.
-        picked = open_.mapInArrow(surest(model, wanted, limit), schema)
+        picked = open_.mapInArrow(releasing(surest(model, wanted, limit)), schema)
         nth = {part: F.row_number().over(Window.partitionBy(*part).orderBy(F.col("z").desc(), "h", "doc_id", "key")) for part in (("pick", "key"), ("pick",))}
         picked = picked.withColumn("nth", nth["pick", "key"]).where("nth = 1").withColumn("nth", nth["pick",]).where(F.col("nth") <= max(wanted.values())).toArrow().sort_by([("pick", "ascending"), ("nth", "ascending")])
         which, keys_ = picked["pick"].to_numpy(), picked["key"].to_pylist()

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromatid.llm.common import free_name, only, stored
+from chromatid.llm.common import free_name, only, release, stored
 
 Q, EDIT_RATE, BLOCK_BYTES = 8, 0.08, 6 << 20
 #: Shared q-grams that are counted at once; more are counted in turns.
@@ -270,7 +270,9 @@ def _finder(items: list[tuple[int | None, str]], q: int, edit_rate: float) -> Co
         if name not in _built:
             _built.clear()
             _built[name] = index(items, q, edit_rate)
-        return pd.Series([search(t, _built[name]) for t in text.tolist()], dtype=object)
+        out = pd.Series([search(t, _built[name]) for t in text.tolist()], dtype=object)
+        release()
+        return out
 
     # Not to be evaluated again by filters that Spark derives from it.
     return find.asNondeterministic()("text")

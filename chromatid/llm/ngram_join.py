@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromatid.llm.common import WORD_PATTERN, connected_components, forest, free_name, join_groups, only, runs, stored, text_of
+from chromatid.llm.common import WORD_PATTERN, connected_components, forest, free_name, join_groups, only, releasing, runs, stored, text_of
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: At this similarity, at most this share of pairs may become candidates.
@@ -250,7 +250,7 @@ def classes(
     texts = only(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     sketched = texts.select("doc_id", "text_hash", word_hashes().alias("words")).mapInArrow(
-        _sketch(bands, rows), f"doc_id {kind}, text_hash long, fp long, n_grams long, bands array<long>"
+        releasing(_sketch(bands, rows)), f"doc_id {kind}, text_hash long, fp long, n_grams long, bands array<long>"
     )
     sketched = stored(sketched, "ngram-sketches")
     reps = stored(
@@ -268,13 +268,13 @@ def classes(
     sets = (
         texts.join(wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
         .select("fp", "copies", "bands", "in", word_hashes().alias("words"))
-        .mapInArrow(_grams, "fp long, copies long, bands array<long>, in array<struct<band: int, hash: bigint, tiles: int>>, grams binary")
+        .mapInArrow(releasing(_grams), "fp long, copies long, bands array<long>, in array<struct<band: int, hash: bigint, tiles: int>>, grams binary")
     )
     dealt = sets.withColumn("x", F.explode("in")).select("fp", "copies", "bands", "grams", "x.*")
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     paired = dealt.select("band", "hash", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "fp", "copies", "bands", "grams")
     key = ["band", "hash", "a", "b"]
-    found = paired.repartition(*key).sortWithinPartitions(*key).mapInPandas(_verify(threshold), "src long, dst long, links long")
+    found = paired.repartition(*key).sortWithinPartitions(*key).mapInPandas(releasing(_verify(threshold)), "src long, dst long, links long")
     found = stored(found, "ngram-links")
 
     links = found.groupBy(F.col("src").alias("fp")).agg(F.sum("links").alias("rep_links"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromatid.llm import common
-from chromatid.llm.common import batches_of, only, stored
+from chromatid.llm.common import batches_of, only, releasing, stored
 
 CHUNK_BYTES = 1 << 20
 #: The dictionary is trained on about so many documents, so many pieces of each spread over its length, each of so many ids.
@@ -212,7 +212,7 @@ def train_dictionary(docs: DataFrame, eligible: int, tokenizer_path: str, end_id
     rows = only(docs, "doc_id", "text").where("text <> ''").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / float(1 << 63))
     # Repeated rows have one hash and count once; a share of the range, so that no task sends more than its part.
     sample = rows.where(F.col("h") < min(1.0, SAMPLE_DOCS / max(1, eligible))).dropDuplicates(["h"]).select("h", "text")
-    pieces = sample.mapInPandas(_sample_pieces(tokenizer_path, end_id), "h double, k long, piece binary").toPandas().sort_values(["h", "k"])["piece"]
+    pieces = sample.mapInPandas(releasing(_sample_pieces(tokenizer_path, end_id)), "h double, k long, piece binary").toPandas().sort_values(["h", "k"])["piece"]
     pieces = [bytes(x) for x in pieces]
     try:
         return zstandard.train_dictionary(DICT_BYTES, pieces, level=3).as_bytes() if len(pieces) >= 64 else b"".join(pieces)[:DICT_BYTES]
@@ -283,7 +283,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(shards, *key, "nth").sortWithinPartitions(*key)
     dealt = dealt.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("no_id"), "text", F.spark_partition_id().alias("shard"))
-    chunks = dealt.mapInPandas(_write_chunks(tokenizer_path, end_id, dictionary), _CHUNK)
+    chunks = dealt.mapInPandas(releasing(_write_chunks(tokenizer_path, end_id, dictionary)), _CHUNK)
     with batches_of(spark):
         chunks.write.parquet(f"{path}/chunks")
 
@@ -333,7 +333,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     chunks = spark.read.parquet(f"{path}/chunks").select("shard", "chunk", "dict_hash", "offsets", "lengths", "payload")
-    found = chunks.mapInPandas(run, "shard int, chunk int, nth int, n long, ids_crc32 long")
+    found = chunks.mapInPandas(releasing(run), "shard int, chunk int, nth int, n long, ids_crc32 long")
     index = spark.read.parquet(f"{path}/offsets")
     return index.join(found, ["shard", "chunk", "nth"]).select("doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32")
 
