@@ -182,5 +182,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     parts = [F.to_json(c) if "map<" in docs.schema[c.strip("`")].dataType.simpleString() else F.col(c) for c in (f"`{x}`" for x in docs.columns)]
     whole = F.xxhash64(F.xxhash64("text"), *parts)
     copies = mix(docs, key=whole, **options).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
-    out = docs.withColumn(key, whole).join(copies, key).dropDuplicates([key])
-    return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n))).drop(key, n)
+    copies = stored(copies, "mix-copies")
+
+    def one_each(wanted: DataFrame) -> DataFrame:
+        return docs.withColumn(key, whole).join(wanted, key).dropDuplicates([key])
+
+    # A row that is taken very often is dealt out in blocks, so no task makes all of its copies.
+    few = one_each(copies.where(F.col(n) <= _BLOCK)).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    block = free_name(docs, "_block")
+    many = one_each(copies.where(F.col(n) > _BLOCK)).withColumn(block, F.explode(F.expr(f"sequence(0L, (`{n}` - 1) div {_BLOCK})"))).repartition(key, block)
+    many = many.withColumn(n, F.explode(F.expr(f"sequence(`{block}` * {_BLOCK} + 1, least((`{block}` + 1) * {_BLOCK}, `{n}`))")))
+    return few.drop(key, n).union(many.drop(key, n, block))
