@@ -174,19 +174,20 @@ def prefixed_classes(files: DataFrame, prefix: str) -> DataFrame:
 
     A modifier begins at the first of its words; before it, all but the last part are the block. Without one, the last word for an element begins the element.
     """
-    names = [rf"(?i)\b({re.escape(prefix)}-[a-z][a-z0-9]*(?:-[a-z0-9]+)*)(?=[:\s\"'`]|$)", rf"(?i)\b({re.escape(prefix)}-[a-z][a-z0-9-]*-)(?=:)"]
+    # What repeats a group keeps what it took (``*+``): going back could find nothing else, and without it every repeat is a call on the task's stack, which a long class overflows.
+    names = [rf"(?i)\b({re.escape(prefix)}-[a-z][a-z0-9]*+(?:-[a-z0-9]++)*+)(?=[:\s\"'`]|$)", rf"(?i)\b({re.escape(prefix)}-[a-z][a-z0-9-]*-)(?=:)"]
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text")).where(F.contains(F.lower("text"), F.lit(f"{prefix.lower()}-")))
     found = F.concat(*[F.regexp_extract_all("text", F.lit(n), F.lit(1)) for n in names])
     rows = lines.select("path", (F.col("at") + 1).alias("line"), F.explode(F.transform(found, F.lower)).alias("class"))
     rows = rows.groupBy("path", "class").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n"))
-    body = F.substring("class", len(prefix) + 2, 1 << 20)
+    body = F.substr(F.col("class"), F.lit(len(prefix) + 2))
     with_modifier = rf"^(?:(.+?)-)??((?:{MODIFIER_WORDS})(?:-.*)?)$"
-    before, with_element = F.regexp_extract(body, with_modifier, 1), rf"^(.+)-((?:{ELEMENT_WORDS})(?:-[^-]+)*)$"
+    before, with_element = F.regexp_extract(body, with_modifier, 1), rf"^(.+)-((?:{ELEMENT_WORDS})(?:-[^-]++)*+)$"
     modified = body.rlike(with_modifier)
     block = F.when(modified & before.contains("-"), F.regexp_extract(before, "^(.*)-", 1)).when(modified, before).when(body.rlike(with_element), F.regexp_extract(body, with_element, 1))
     element = F.when(modified & before.contains("-"), F.substring_index(before, "-", -1)).when(~modified & body.rlike(with_element), F.regexp_extract(body, with_element, 2))
     rows = rows.select("path", "class", "line", "n", F.coalesce(block, body).alias("block"), element.alias("element"), F.when(modified, F.regexp_extract(body, with_modifier, 2)).alias("modifier"))
-    return rows.withColumn("component", F.when(F.col("block") != "", F.col("block")).otherwise(F.substring_index(F.substring("class", len(prefix) + 2, 1 << 20), "-", 1)))
+    return rows.withColumn("component", F.when(F.col("block") != "", F.col("block")).otherwise(F.substring_index(F.substr(F.col("class"), F.lit(len(prefix) + 2)), "-", 1)))
 
 
 def class_tree(classes: DataFrame) -> DataFrame:
