@@ -728,11 +728,13 @@ def rolling_hashes(spark, d):
     return n.select("name", ids.rolling_hash(F.col("name")).alias("hash"), ids.hash_hex(F.col("name")).alias("hex"))
 
 
-@query("SELECT DISTINCT a.p_name AS a, c.p_name AS b, round(1 - levenshtein(a.p_name, c.p_name) / greatest(length(a.p_name), length(c.p_name)), 6) AS similarity FROM part a JOIN part c ON a.p_partkey + 1 = c.p_partkey OR a.p_partkey + 64 = c.p_partkey WHERE a.p_name < c.p_name")
+@query("SELECT DISTINCT a.p_name AS a, c.p_name AS b, round(1 - levenshtein(a.p_name, c.p_name) / greatest(length(a.p_name), length(c.p_name)), 6) AS similarity FROM part a JOIN part c ON a.p_brand = c.p_brand AND a.p_size = c.p_size WHERE a.p_name < c.p_name")
 def name_similarity(spark, d):
     p = b.table(spark, d, "part")
-    a = p.select(F.col("p_name").alias("a"), F.explode(F.array(F.col("p_partkey") + 1, F.col("p_partkey") + 64)).alias("k"))
-    return a.join(p.select(F.col("p_name").alias("b"), F.col("p_partkey").alias("k")), "k").where("a < b").select("a", "b", F.round(strings.similarity(F.col("a"), F.col("b")), 6).alias("similarity")).distinct()
+    # Names that share a brand and a size: each name once there, and each pair once before it is compared.
+    a, c = (p.select(F.col("p_name").alias(n), "p_brand", "p_size").distinct() for n in "ab")
+    pairs = a.join(c, ["p_brand", "p_size"]).where("a < b").select("a", "b").distinct()
+    return pairs.select("a", "b", F.round(strings.similarity(F.col("a"), F.col("b")), 6).alias("similarity")).distinct()
 
 
 # Detectors.
