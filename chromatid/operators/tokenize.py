@@ -68,7 +68,7 @@ def color_clusters(values: DataFrame, threshold: float = 5.0, step: int = STEP)
         first = open_.withColumn("k", F.row_number().over(Window.partitionBy("scope").orderBy(*order))).where(F.col("k") <= step)
         found = first.select("scope", "color", "n", "seq", "k", "rgb.*").groupBy("scope").applyInPandas(leaders, "scope string, color string, n long, seq long")
         found = durable(found.select("scope", colors.channels(F.col("color")).alias("at"), rank.alias("leader")))
-        near = open_.withColumn("cell", cells(F.col("rgb"), 0)[0] + (4096 + 64 + 1)).join(found.withColumn("cell", F.explode(cells(F.col("at"), 1))), ["scope", "cell"])
+        near = open_.withColumn("cell", cells(F.col("rgb"), 0)[0] + match.CELL_STEPS).join(found.withColumn("cell", F.explode(cells(F.col("at"), 1))), ["scope", "cell"])
         near = near.where((F.col("leader") <= rank) & ((colors.distance(F.col("rgb"), F.col("at")) < reach) | (F.col("leader.color") == F.col("color"))))
         near = durable(near.groupBy("scope", "color", "n", "seq").agg(F.min("leader").alias("leader")))
         joined = joined.unionByName(near)
