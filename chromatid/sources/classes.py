@@ -124,41 +124,47 @@ def _classes(text: Column | str) -> Column:
 _DEFINED = ["path", "name", "line"]
 
 
+_IS_OPTION = "literal AND argument = 1 AND keys[0] = 'variants' AND size(keys) BETWEEN 3 AND 4"
+_IS_DEFAULT = "literal AND argument = 1 AND keys[0] = 'defaultVariants' AND size(keys) = 2"
+_IS_BASE = "literal AND argument = 0"
+
+
 def variant_options(leaves: DataFrame) -> DataFrame:
     """(path, name, line, axis, option, classes) of the variants in literals.call_leaves(): ``variants: {axis: {option: "classes"}}``, in strings or lists of them."""
-    of = leaves.where("literal AND argument = 1 AND keys[0] = 'variants' AND size(keys) BETWEEN 3 AND 4")
+    of = leaves.where(_IS_OPTION)
     of = of.groupBy(*_DEFINED, F.col("keys")[1].alias("axis"), F.col("keys")[2].alias("option")).agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("parts"))
     return of.select(*_DEFINED, "axis", "option", _classes(F.array_join(F.transform("parts", lambda p: p["value"]), " ")).alias("classes"))
 
 
 def variant_defaults(leaves: DataFrame) -> DataFrame:
     """(path, name, line, axis, option) of ``defaultVariants``."""
-    of = leaves.where("literal AND argument = 1 AND keys[0] = 'defaultVariants' AND size(keys) = 2")
-    return of.select(*_DEFINED, F.col("keys")[1].alias("axis"), F.col("value").alias("option"))
+    return leaves.where(_IS_DEFAULT).select(*_DEFINED, F.col("keys")[1].alias("axis"), F.col("value").alias("option"))
 
 
 def variant_definitions(leaves: DataFrame) -> DataFrame:
-    """(path, name, line, base, axes, options, defaults, tokens) of every definition: its base classes, counts, and the semantic tokens of all its classes."""
-    base = leaves.where("literal AND argument = 0").groupBy(*_DEFINED).agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("parts"))
-    base = base.select(*_DEFINED, _classes(F.array_join(F.transform("parts", lambda p: p["value"]), " ")).alias("base"))
-    options = variant_options(leaves)
-    classes = base.select(*_DEFINED, F.explode("base").alias("class")).union(options.select(*_DEFINED, F.explode("classes")))
-    tokens = classes.withColumn("token", semantic_token(F.col("class"))).where("token is not null").groupBy(*_DEFINED).agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-    counts = options.groupBy(*_DEFINED).agg(F.countDistinct("axis").alias("axes"), F.count(F.lit(1)).alias("options"))
-    defaults = variant_defaults(leaves).groupBy(*_DEFINED).agg(F.count(F.lit(1)).alias("defaults"))
-    out = leaves.where("argument is null").select(*_DEFINED)
-    for part in (base, counts, defaults, tokens):
-        out = out.join(part, _DEFINED, "left")
-    return out.na.fill(0, ["axes", "options", "defaults"]).select(
-        *_DEFINED, *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("base", "tokens")], "axes", "options", "defaults"
-    )
+    """(path, name, line, base, axes, options, defaults, tokens) of every definition: its base classes, counts, and the semantic tokens of all its classes.
+
+    One grouping, so that files are read once.
+    """
+    is_option, is_base = F.expr(_IS_OPTION), F.expr(_IS_BASE)
+    option = F.struct(F.get("keys", F.lit(1)).alias("axis"), F.get("keys", F.lit(2)).alias("option"))
+    of = leaves.groupBy(*_DEFINED).agg(
+        F.count_if(F.col("argument").isNull()).alias("n"), F.array_sort(F.collect_list(F.when(is_base, F.struct("seq", "value")))).alias("parts"), F.collect_set(F.when(is_option, option)).alias("said"),
+        F.collect_list(F.when(is_option, F.col("value"))).alias("values"), F.count_if(F.coalesce(F.expr(_IS_DEFAULT), F.lit(False))).alias("defaults"),
+    )
+    of = of.where("n > 0").withColumn("base", _classes(F.array_join(F.transform("parts", lambda p: p["value"]), " ")))
+    tokens = F.transform(F.concat("base", _classes(F.array_join("values", " "))), semantic_token)
+    axes = F.size(F.array_distinct(F.transform("said", lambda o: o["axis"]))).cast("long")
+    return of.select(
+        *_DEFINED, "base", F.array_sort(F.array_distinct(F.filter(tokens, lambda t: t.isNotNull()))).alias("tokens"), axes.alias("axes"), F.size("said").cast("long").alias("options"), "defaults",
+        F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("_of"),
+    ).drop("_of")
 
 
 def definition_tokens(leaves: DataFrame) -> DataFrame:
     """(token, definitions, uses) over all definitions."""
-    options = variant_options(leaves).select(*_DEFINED, F.explode("classes").alias("class"))
-    base = leaves.where("literal AND argument = 0").select(*_DEFINED, F.explode(_classes("value")))
-    tokens = options.union(base).select(*_DEFINED, semantic_token(F.col("class")).alias("token")).where("token is not null")
+    tokens = leaves.where(f"({_IS_OPTION}) OR ({_IS_BASE})").select(*_DEFINED, F.explode(_classes("value")).alias("class"))
+    tokens = tokens.select(*_DEFINED, semantic_token(F.col("class")).alias("token")).where("token is not null")
     per = tokens.groupBy(*_DEFINED, "token").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("token").agg(F.count(F.lit(1)).alias("definitions"), F.sum("n").alias("uses"))
 
@@ -240,7 +246,7 @@ def selector_classes(files: DataFrame) -> DataFrame:
 
     Forms are looked for one by one, so a class that is of two (``*:data-[open]:p-1`` is a wildcard on data) is listed under both; equal ones of a line once.
     """
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
+    lines = files_.spread(files.select("path", "content")).select("path", F.posexplode(F.split("content", "\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
     said = ("kind", "name", "value", "target")
 
     def of_form(form: str, pattern: str, groups: tuple[int, ...]) -> Column:

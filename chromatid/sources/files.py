@@ -62,6 +62,11 @@ def missing_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(files.select("path").distinct(), "path", "left_anti")
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """The files over all cores: reading their text takes far longer than its bytes let Spark expect, so that a stored table of a few MB would be one task."""
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism)
+
+
 def scan(files: DataFrame, parse: Callable, schema: str) -> tuple[DataFrame, DataFrame]:
     """(items, errors) of files parsed by ``parse(path, content)``, which yields tuples of the schema; a file that raises gives an error row, no items.
 
@@ -83,7 +88,7 @@ def scan(files: DataFrame, parse: Callable, schema: str) -> tuple[DataFrame, Dat
                     rows.append((path, f"{type(e).__name__}: {e}", []))
             yield pd.DataFrame(rows, columns=["path", "error", "items"])
 
-    parsed = files.select("path", "content").mapInPandas(run, out)
+    parsed = spread(files.select("path", "content")).mapInPandas(run, out)
     items = parsed.where("error is null").select("path", F.explode("items").alias("x")).select("path", "x.*")
     return items, parsed.where("error is not null").select("path", F.lit("PARSE_ERROR").alias("code"), F.col("error").alias("message"))
 
