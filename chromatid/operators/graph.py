@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromatid.session import durable
+from chromatid.session import durable, measured
 
 # Edges that a dependent has to what it depends on.
 DEPENDENCIES = ("USES", "RENDERS", "IMPORTS", "EXTENDS")
@@ -137,7 +137,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     n = edges.count()
     while True:
         kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        edges = durable(kept.select("src", "dst"))
+        edges = measured(kept.select("src", "dst"))
         if (left := edges.count()) == n:
             return edges
         n = left
@@ -152,21 +152,21 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     loops = e.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
     found = loops.limit(0)
-    e = _trimmed(durable(e.where("src <> dst")))
+    e = _trimmed(measured(e.where("src <> dst")))
     while not e.isEmpty():
-        labels = durable(e.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("f"), F.col("id").alias("b")))
+        labels = measured(e.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("f"), F.col("id").alias("b")))
         while True:
             down = e.join(labels.select(F.col("id").alias("src"), "f"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("f").alias("f2"))
             up = e.join(labels.select(F.col("id").alias("dst"), "b"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("b").alias("b2"))
             both = labels.join(down, "id", "left").join(up, "id", "left")
-            labels = durable(both.select("id", F.least("f", "f2").alias("f"), F.least("b", "b2").alias("b"), (F.coalesce(F.col("f2") < F.col("f"), F.lit(False)) | F.coalesce(F.col("b2") < F.col("b"), F.lit(False))).alias("moved")))
+            labels = measured(both.select("id", F.least("f", "f2").alias("f"), F.least("b", "b2").alias("b"), (F.coalesce(F.col("f2") < F.col("f"), F.lit(False)) | F.coalesce(F.col("b2") < F.col("b"), F.lit(False))).alias("moved")))
             if labels.where("moved").isEmpty():
                 break
         same = labels.where("f = b").select("id", F.col("f").alias("component"))
-        found = durable(found.union(same.join(same.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("id", "component")))
+        found = measured(found.union(same.join(same.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("id", "component")))
         open_ = labels.where("f <> b")
         ends = e.join(open_.select(F.col("id").alias("src"), F.col("f").alias("f1"), F.col("b").alias("b1")), "src").join(open_.select(F.col("id").alias("dst"), "f", "b"), "dst")
-        e = _trimmed(durable(ends.where("f = f1 and b = b1").select("src", "dst")))
+        e = _trimmed(measured(ends.where("f = f1 and b = b1").select("src", "dst")))
     return found.union(loops.join(found.select("id"), "id", "left_anti"))
 
 
@@ -177,26 +177,26 @@ def component_cycles(edges: DataFrame) -> DataFrame:
     closes a component's cycle ends its search; the way back follows the predecessors. A node is its own cycle where it leads to itself.
     """
     e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    at = durable(cycle_nodes(e))
+    at = measured(cycle_nodes(e))
     inner = e.join(at.select(F.col("id").alias("src"), F.col("component").alias("c")), "src").join(at.withColumnRenamed("id", "dst"), "dst")
-    inner = durable(inner.where("c = component").select("c", "src", "dst"))
+    inner = measured(inner.where("c = component").select("c", "src", "dst"))
     # (c, id, before): the nodes reached, by the round that reached them.
-    reached = [durable(inner.select("c", F.col("c").alias("id"), F.lit(None).cast(inner.schema["src"].dataType).alias("before")).distinct())]
+    reached = [measured(inner.select("c", F.col("c").alias("id"), F.lit(None).cast(inner.schema["src"].dataType).alias("before")).distinct())]
     seen, ends = reached[0], None
     while not reached[-1].isEmpty():
         step = reached[-1].select("c", F.col("id").alias("src")).join(inner, ["c", "src"])
         closed = step.where("dst = c").groupBy("c").agg(F.min("src").alias("last")).withColumn("round", F.lit(len(reached)))
-        ends = durable(closed if ends is None else ends.union(closed.join(ends, "c", "left_anti")))
+        ends = measured(closed if ends is None else ends.union(closed.join(ends, "c", "left_anti")))
         new = step.join(ends, "c", "left_anti").join(seen.select("c", F.col("id").alias("dst")), ["c", "dst"], "left_anti")
-        reached.append(durable(new.groupBy("c", F.col("dst").alias("id")).agg(F.min("src").alias("before"))))
-        seen = durable(seen.union(reached[-1]))
+        reached.append(measured(new.groupBy("c", F.col("dst").alias("id")).agg(F.min("src").alias("before"))))
+        seen = measured(seen.union(reached[-1]))
     way = None
     for k in range(len(reached) - 2, -1, -1):  # the last node of cycles that the round after k closed, and of the way so far
         last = ends.where(F.col("round") == k + 1).select("c", F.col("last").alias("id"), F.lit("").alias("tail"), F.lit(0).alias("length"))
         here = last if way is None else way.union(last)
         here = here.join(reached[k], ["c", "id"])
         tail = F.when(F.col("length") == 0, F.col("id").cast("string")).otherwise(F.concat(F.col("id").cast("string"), F.lit(">"), "tail"))
-        way = durable(here.select("c", F.coalesce("before", "id").alias("id"), tail.alias("tail"), (F.col("length") + 1).alias("length")))
+        way = measured(here.select("c", F.coalesce("before", "id").alias("id"), tail.alias("tail"), (F.col("length") + 1).alias("length")))
     none = edges.sparkSession.createDataFrame([], "cycle string, length int")
     return none if way is None else way.select(F.col("tail").alias("cycle"), "length")
 
@@ -208,14 +208,14 @@ def cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
     """
     at = cycle_nodes(edges)
     e = edges.select("src", "dst").distinct().join(at.select(F.col("id").alias("src"), F.col("component").alias("c")), "src").join(at.withColumnRenamed("id", "dst"), "dst")
-    e = durable(e.where("c = component").select("src", "dst"))
-    paths = durable(e.where("src < dst").select(F.array("src", "dst").alias("path")))
+    e = measured(e.where("c = component").select("src", "dst"))
+    paths = measured(e.where("src < dst").select(F.array("src", "dst").alias("path")))
     found = e.where("src = dst").select(F.array("src").alias("path"))
     for _ in range(max_length - 1):
         ends = paths.withColumn("at", F.element_at("path", -1)).join(e, F.col("at") == F.col("src"))
         found = found.union(ends.where(F.col("dst") == F.element_at("path", 1)).select("path"))
         longer = ends.where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst")))
-        paths = durable(longer.select(F.concat("path", F.array("dst")).alias("path")))
+        paths = measured(longer.select(F.concat("path", F.array("dst")).alias("path")))
         if paths.isEmpty():
             break
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"), F.size("path").alias("length")).where(F.col("length") <= max_length)
