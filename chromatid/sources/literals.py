@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromatid.session import durable
+from chromatid.session import measured
 from chromatid.sources import files as files_
 
 _BLANK = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/)*", re.S)
@@ -243,7 +243,7 @@ def resolved(entries: DataFrame) -> DataFrame:
     in the end.
     """
     state = F.when(F.col("value").rlike(_REFERENCE), F.lit("open")).otherwise(F.lit("whole"))
-    rows = durable(entries.select("path", "key", "name", "value", "origin").withColumn("state", state))
+    rows = measured(entries.select("path", "key", "name", "value", "origin").withColumn("state", state))
     left = rows.where("state = 'open'").count()
     while left:
         targets = rows.select("path", F.col("key").alias("_to"), F.col("value").alias("_value"), F.col("state").alias("_state"))
@@ -260,7 +260,7 @@ def resolved(entries: DataFrame) -> DataFrame:
         stuck = progress.isEmpty()
         if stuck:
             break
-        rows = durable(rows.where("state <> 'open'").unionByName(moved.select(rows.columns)))
+        rows = measured(rows.where("state <> 'open'").unionByName(moved.select(rows.columns)))
         left = rows.where("state = 'open'").count()
     return rows.withColumn("state", F.when(F.col("state") == "open", "cycle").otherwise(F.col("state")))
 
