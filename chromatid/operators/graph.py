@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromatid.session import durable, measured
+from chromatid.session import durable, measured, spread
 
 # Edges that a dependent has to what it depends on.
 DEPENDENCIES = ("USES", "RENDERS", "IMPORTS", "EXTENDS")
@@ -70,13 +70,19 @@ def impact_summary(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     return by.withColumn("risk", F.when(n > 20, "high").when(n > 5, "medium").otherwise("low"))
 
 
-def ownership(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(entity, author, commits, last, rank): who changed or added each entity, most commits first, then the earliest commit."""
+def ownership(nodes: DataFrame, edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(entity, author, commits, last, rank): who changed or added each entity, most commits first, then the earliest commit.
+
+    rows is the number of such edges or an upper bound, counted if not given; the work is dealt to tasks by it. Commits of one author to one
+    entity are counted in one task, without being held.
+    """
     commits = nodes.where("type = 'Commit'").select(F.col("id").alias("src"), "author", "timestamp", "seq")
     e = edges.where("type in ('CHANGED', 'ADDED')").select("src", F.col("dst").alias("entity"))
-    by = e.join(commits, "src").groupBy("entity", "author").agg(F.count(F.lit(1)).alias("commits"), F.max("timestamp").alias("last"), F.min("seq").alias("first_seq"))
+    rows = e.count() if rows is None else rows
+    changes = spread(spread(e, rows, "src").join(spread(commits, rows, "src"), "src"), rows, "entity", "author")
+    by = changes.groupBy("entity", "author").agg(F.count(F.lit(1)).alias("commits"), F.max("timestamp").alias("last"), F.min("seq").alias("first_seq"))
     order = Window.partitionBy("entity").orderBy(F.desc("commits"), "first_seq")
-    return by.withColumn("rank", F.row_number().over(order)).drop("first_seq")
+    return spread(by, rows, "entity").withColumn("rank", F.row_number().over(order)).drop("first_seq")
 
 
 def drift_authors(edges: DataFrame, affects: str = "AFFECTS", changed: str = "CHANGED", authored: str = "AUTHORED") -> DataFrame:

@@ -555,7 +555,8 @@ def idle_commits(spark, d):
     b.GRAPH,
 )
 def ownership(spark, d):
-    return graph.ownership(b.graph_nodes(spark, d), b.graph_edges(spark, d)).withColumn("last", F.col("last").cast("timestamp_ntz"))
+    changed = b.table(spark, d, "lineitem").count()
+    return graph.ownership(b.graph_nodes(spark, d), b.graph_edges(spark, d), changed).withColumn("last", F.col("last").cast("timestamp_ntz"))
 
 
 @query("SELECT n.id, u.n FROM nodes n JOIN (SELECT dst, count(*) AS n FROM edges WHERE type = 'USES' GROUP BY 1) u ON n.id = u.dst WHERE n.type = 'Token' AND n.name LIKE '\\_%' ESCAPE '\\'", b.GRAPH)
